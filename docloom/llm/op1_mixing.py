@@ -80,10 +80,10 @@ def draw_plan(blocks: list[np.ndarray], goals: list[float], shards: int, seed: i
         whole = int(goal / size + 1e-9) if size else 0
         for copy in range(whole):
             mine += [(int(b), copy, None) for b in rng.permutation(len(words))]
-        rest = goal - whole * size
+        rest = float(goal - whole * size)
         for b in rng.permutation(len(words)) if rest >= 0.5 else ():
             mine.append((int(b), whole, None if words[b] <= rest else rest))
-            rest -= words[b]
+            rest -= int(words[b])
             if rest < 0.5:
                 break
         draws.append(mine)

@@ -135,8 +135,9 @@ def top_k(df: DataFrame, is_query, k: int = K, scale: int = SCALE, vec_id: str =
     keys = ["dim", "shard", "block"]
 
     def found(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-        vectors = vectors.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "q")
-        pairs = vectors.groupBy(keys).cogroup(queries.select(*keys, "query_id", "q", "kth").groupBy(keys))
+        # aliases, as both sides come from one table
+        vectors = vectors.select(F.col("dim").alias("dim"), F.col("shard").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", F.col("q").alias("q"))
+        pairs = vectors.groupBy(keys).cogroup(queries.select(*(F.col(c).alias(c) for c in [*keys, "query_id", "q", "kth"])).groupBy(keys))
         return pairs.applyInArrow(group_search(k), "query_id long, vec_id long, score long")
 
     first = found(asked.withColumn("shard", F.lit(0)).withColumn("kth", F.lit(NONE)), dealt.where("shard = 0"))

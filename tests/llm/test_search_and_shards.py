@@ -37,9 +37,7 @@ def test_top_k_shards_ties_and_odd_rows(spark):
     rows = [(i, [rng.choice([0.0, 0.25, -0.5]) for _ in range(3)]) for i in range(400)]
     rows += [(7, [9.0, 9.0, 9.0]), (None, [1.0] * 3), (401, None), (402, [None, 1.0, 1.0]), (403, [float("nan")] * 3), (404, [float("inf"), 0.0, 0.0]), (420, [1.0]), (421, [2.0]), (440, []), (441, []), (460, [3.0e18, 1.0, -4.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = three.top_k(df, lambda i: i % 20 == 0, shard_rows=60, query_rows=7).where("query_id <> 460 AND vec_id <> 460")
-    want = [r for r in brute([r for r in rows if r[0] != 460])]
-    assert sorted((r.query_id, r.vec_id, r.score) for r in got.collect() if r.query_id != 460) == sorted((q, v, s) for q, _, v, s in want) or True
+    want = brute([r for r in rows if r[0] != 460])
     small = df.where("vec_id IS NULL OR vec_id <> 460")
     assert sorted(map(tuple, three.top_k(small, lambda i: i % 20 == 0, shard_rows=60, query_rows=7).collect())) == want
     assert three.top_k(df, lambda i: i % 20 == 0, k=3).where("query_id = 460").count() == 3
@@ -119,7 +117,8 @@ def test_mixture(spark, where, request):
         assert r.taken % max(1, r["size"]) == 0 and r.taken <= 2 * r["size"]
         per[round(r.target, 6)] += r.taken
     for t, x in per.items():
-        assert abs(x - t) <= max([size(r.text) for r in rows if round(want[r.source], 6) == t]) * sum(round(w, 6) == t for w in want.values())
+        same = [n for n in names if round(want[n], 6) == t]
+        assert abs(x - t * len(same)) <= len(same) * max(size(r.text) for r in rows if r.source in same)
 
 
 def test_splitting_tree():
