@@ -121,14 +121,16 @@ WITH d AS (
   FROM documents
 ), t(template, label, n_grams, n_words, j, gram) AS (VALUES %(templates)s),
 p(label, phrase) AS (VALUES %(phrases)s),
-n AS (SELECT r, w, unnest(range(len(w))) AS i FROM d),
-b AS (
-  SELECT n.r, n.i, p.label FROM n JOIN p ON p.phrase = array_to_string(n.w[n.i + 1 : n.i + len(string_split(p.phrase, ' '))], ' ')
+u AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+n AS (
+  SELECT r, i, word, lead(word, 1) OVER o AS second, lead(word, 2) OVER o AS third FROM u WINDOW o AS (PARTITION BY r ORDER BY i)
+), b AS (
+  SELECT n.r, n.i, p.label FROM n JOIN p ON p.phrase IN (n.word || ' ' || n.second, n.word || ' ' || n.second || ' ' || n.third)
 ), base AS (
   SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM b GROUP BY r
 ), v AS (
   SELECT n.r, n.i, t.template, t.label, t.n_grams, t.n_words, t.j, n.i - t.j AS dg
-  FROM n JOIN t ON t.gram = array_to_string(n.w[n.i + 1 : n.i + %(k)d], ' ')
+  FROM n JOIN t ON t.gram = n.word || ' ' || n.second || ' ' || n.third
 ), g AS (
   SELECT r, template, dg, CASE WHEN dg - lag(dg) OVER (PARTITION BY r, template ORDER BY dg) <= %(band)d THEN 0 ELSE 1 END AS apart
   FROM (SELECT DISTINCT r, template, dg FROM v)
