@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_mixing, op2_token_counts, op3_topk, op4_token_files, op6_license_scan, op7_byte_bpe, op8_sharding, op10_media
+from . import op1_mixing, op2_token_counts, op3_topk, op4_token_files, op6_license_scan, op7_byte_bpe, op8_sharding, op9_toxicity, op10_media
 
 QUERIES = {
     "op1_mixing": op1_mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan.op6_license_scan,
     "op7_byte_bpe": op7_byte_bpe.op7_byte_bpe,
     "op8_sharding": op8_sharding.op8_sharding,
+    "op9_toxicity": op9_toxicity.op9_toxicity,
     "op10_media": op10_media.op10_media,
 }
 
