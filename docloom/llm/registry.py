@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_mixing, op2_token_counts, op3_topk, op4_token_files, op6_license_scan, op7_byte_bpe, op8_sharding, op9_toxicity, op10_media
+from . import op1_mixing, op2_token_counts, op3_topk, op4_token_files, op5_ngram_join, op6_license_scan, op7_byte_bpe, op8_sharding, op9_toxicity, op10_media
 
 QUERIES = {
     "op1_mixing": op1_mixing.op1_mixing,
     "op2_token_counts": op2_token_counts.op2_token_counts,
     "op3_topk": op3_topk.op3_topk,
     "op4_token_files": op4_token_files.op4_token_files,
+    "op5_ngram_join": op5_ngram_join.op5_ngram_join,
     "op6_license_scan": op6_license_scan.op6_license_scan,
     "op7_byte_bpe": op7_byte_bpe.op7_byte_bpe,
     "op8_sharding": op8_sharding.op8_sharding,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_topk": op3_topk.ORACLE,
+    "op5_ngram_join": op5_ngram_join.ORACLE,
     "op6_license_scan": op6_license_scan.ORACLE,
 }
