@@ -39,8 +39,8 @@ class Shingler:
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 1 << 16)
-            self.up = np.concatenate([[1], np.cumprod(np.full(size, BASE, np.uint64))]).astype(np.uint64)
-            self.down = np.concatenate([[1], np.cumprod(np.full(size, INVERSE, np.uint64))]).astype(np.uint64)
+            self.up = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, BASE, np.uint64))])
+            self.down = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, INVERSE, np.uint64))])
         return self.up[:n], self.down[:n]
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
