@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import BOOLEAN, LONG, append_columns, field, strings, table, utf8
-from .pieces import PieceCache, load_tokenizer
+from .pieces import PieceCache, load_tokenizer, with_blanks
 
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 2_048
@@ -65,14 +65,11 @@ def spliced(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERL
 class Counter:
     def __init__(self, path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
         self.tokenizer, self.chunk, self.overlap = load_tokenizer(path), chunk, overlap
-        self.cache = PieceCache(lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], len)
+        self.cache = PieceCache(self.tokenizer, self.split, "", lambda text: [i for part in spliced(self.tokenizer, text, self.chunk, self.overlap) for i in part])
 
-    def long(self, text: str) -> int:
-        return sum(map(len, spliced(self.tokenizer, text, self.chunk, self.overlap)))
-
-    def counts(self, texts: list[str]) -> list[int]:
-        short = [t if len(t) <= self.chunk else "" for t in texts]
-        return [self.long(t) if len(t) > self.chunk or v is None else sum(v) for t, v in zip(texts, self.cache.of_texts(short))]
+    def split(self, text: str) -> list[str] | None:
+        """A longer text than a chunk goes whole to the splicing."""
+        return with_blanks(text) if len(text) <= self.chunk else None
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = LIMIT, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
@@ -82,7 +79,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = LIMI
         counter = Counter(path, chunk, overlap)
 
         def fn(column):
-            n = counter.counts(strings(column))
+            n = counter.cache.counts(strings(column))
             return [list(map(len, utf8(column))), n, [x > limit for x in n]]
 
         return fn

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, strings, table
-from .pieces import PieceCache, load_tokenizer
+from .pieces import PieceCache, load_tokenizer, without_blanks
 
 MAGIC = b"ELFT"
 HEAD = "<4sB3xIIQQQ"
@@ -137,7 +137,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int |
         library = load_tokenizer(tokenizer)
         width = 2 if library.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
         kind, end = f"<u{width}", b"" if end_id is None else end_id.to_bytes(width, "little")
-        cache = PieceCache(lambda texts: [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)], lambda ids: np.array(ids, kind).tobytes())
+        cache = PieceCache(library, without_blanks, " ")
         task, number, ids, tokens, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def blob():
@@ -145,11 +145,9 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int |
 
         for batch in batches:
             texts = strings(batch.column(1))
-            for i, t, parts in zip(batch.column(0).to_pylist(), texts, cache.of_texts(texts)):
-                if parts is None:
-                    parts = [np.array(library.encode(t, add_special_tokens=False).ids, kind).tobytes()]
+            for i, found in zip(batch.column(0).to_pylist(), cache.encoded(texts)):
                 ids.append(i)
-                tokens.append(b"".join(parts) + end)
+                tokens.append(found.astype(kind).tobytes() + end)
                 size += len(tokens[-1])
                 if size >= file_ids * width:
                     yield blob()

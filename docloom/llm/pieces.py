@@ -3,40 +3,108 @@
 A piece is a run of blanks and the run of other characters behind it. A pre-tokenizer that never joins a
 character that isn't white space with white space behind it splits at every start of a piece, whatever
 stands around, so the tokens of a text are the tokens of its pieces. Where a piece ends in white space that
-is no blank (U+00A0 and the like) this doesn't hold, and the text is encoded whole.
+is no blank (U+00A0 and the like) this doesn't hold, and a text with such a character is encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain
+
+import numpy as np
 
 PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: White space by any of the libraries' definitions, but for the four blanks.
-OTHER_SPACE = frozenset(map(chr, [0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+OTHER = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+
+
+class Numbers(dict):
+    """A number for each piece, in the order in which they first come up; fresh: those since the last look."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.fresh.append(piece)
+        return number
 
 
 class PieceCache:
-    """encode_all: the library's ids of each of a list of texts. value: what is kept of a piece's ids."""
+    """Ids of texts, each distinct piece being encoded once (until limit pieces are known, when all are forgotten).
+
+    split: a text's pieces, or None for a text that must be encoded whole. glue: what stands between pieces that are
+    encoded in one call, nothing or a blank. whole: encodes a text; the library's by default.
+    """
+
+    #: Pieces of one text for the library: much longer texts cost it more for each piece.
+    TOGETHER = 200
+
+    def __init__(self, tokenizer, split, glue: str, whole=None, limit: int = 600_000):
+        self.tokenizer, self.split, self.glue, self.limit = tokenizer, split, glue, limit
+        self.whole = whole or (lambda text: tokenizer.encode(text, add_special_tokens=False).ids)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.ids, self.lengths, self.starts = Numbers(), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def __init__(self, encode_all, value, limit: int = 400_000):
-        self.encode_all, self.value, self.limit, self.known = encode_all, value, limit, {}
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces; a token belongs to the piece in which its first character stands."""
+        groups: list[list[str]] = []
+        for p in pieces:  # without glue, only a piece that begins with a blank may stand behind another
+            if not groups or len(groups[-1]) == self.TOGETHER or not self.glue and p[0] not in BLANKS:
+                groups.append([])
+            groups[-1].append(p)
+        ids, lengths = [self.ids], [self.lengths]
+        for group, enc in zip(groups, self.tokenizer.encode_batch([self.glue.join(g) for g in groups], add_special_tokens=False)):
+            ids.append(np.array(enc.ids, np.uint32))
+            first = np.fromiter((a for a, _ in enc.offsets), np.int64, len(ids[-1]))
+            ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + len(self.glue))
+            lengths.append(np.diff(np.concatenate([[0], np.searchsorted(first, ends)])))
+        self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
-    def of_texts(self, texts: list[str]) -> list[list | None]:
-        """The kept values of each text's pieces; None for a text that must be encoded whole."""
+    def numbered(self, texts: list[str]) -> tuple[list[list | None], np.ndarray, np.ndarray]:
+        """Pieces of each text, all pieces' numbers, and where each text's numbers end."""
         if len(self.known) > self.limit:
-            self.known = {}
-        split = [PIECE.findall(t) for t in texts]
-        missing = {p for ps in split for p in ps if p not in self.known}
-        if missing:
-            whole = {p for p in missing if p[-1] in OTHER_SPACE}
-            todo = list(missing - whole)
-            self.known.update(zip(todo, map(self.value, self.encode_all(todo))))
-            self.known.update(dict.fromkeys(whole))
-        out = []
-        for pieces in split:
-            values = list(map(self.known.__getitem__, pieces))
-            out.append(None if None in values else values)
-        return out
+            self.forget()
+        split = [self.split(t) for t in texts]
+        counts = np.fromiter((len(ps or ()) for ps in split), np.int64, len(split))
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(ps or () for ps in split)), np.int64, int(counts.sum()))
+        if self.known.fresh:
+            self.learn(self.known.fresh)
+            self.known.fresh = []
+        return split, numbers, np.cumsum(counts)
+
+    def counts(self, texts: list[str]) -> list[int]:
+        split, numbers, ends = self.numbered(texts)
+        before = np.concatenate([[0], np.cumsum(self.lengths[numbers])])
+        found = np.diff(before[np.concatenate([[0], ends])]).tolist()
+        return [len(self.whole(t)) if ps is None else n for t, ps, n in zip(texts, split, found)]
+
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        split, numbers, ends = self.numbered(texts)
+        lengths = self.lengths[numbers]
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.ids[np.repeat(self.starts[numbers] - before[:-1], lengths) + np.arange(before[-1])]
+        parts = np.split(ids, before[ends[:-1]]) if len(texts) else []
+        return [np.array(self.whole(t), np.uint32) if ps is None else part for t, ps, part in zip(texts, split, parts)]
+
+
+BLANKS = frozenset(" \t\n\r")
+
+
+def with_blanks(text: str) -> list[str] | None:
+    """Pieces for pre-tokenizers that keep white space."""
+    if OTHER.search(text):
+        return None
+    return PIECE.findall(text)
+
+
+def without_blanks(text: str) -> list[str] | None:
+    """Pieces for pre-tokenizers that drop white space. Python alone counts U+001C to U+001F as such."""
+    return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
 
 def load_tokenizer(path: str):
