@@ -47,16 +47,16 @@ def prefix(n, num: int, den: int):
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """docs: doc_id, text. doc_id, n, cid (of the class) and first, the first m elements."""
+    """docs: doc_id, text, h. doc_id, h, n, cid (of the class) and first, the first m elements."""
 
     def run(batches):
         shingler = Shingler(k)
         for batch in batches:
             sets = shingler.sets(utf8(batch.column(1)))
             first = [s[: min(len(s), (p := prefix(len(s), num, den)) + p // 4 + 16)].tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) for s in sets], pa.int64()), pa.array(first, pa.binary())], names=["doc_id", "n", "cid", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) for s in sets], pa.int64()), pa.array(first, pa.binary())], names=["doc_id", "h", "n", "cid", "first"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cid long, first binary")
+    return docs.mapInArrow(run, "doc_id long, h long, n long, cid long, first binary")
 
 
 def class_id(s: np.ndarray) -> int:
@@ -240,9 +240,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def join_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, heavy: int = HEAVY, doc_id: str = "doc_id", text: str = "text", range_elements: int = RANGE_ELEMENTS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def linked(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, heavy: int = HEAVY, range_elements: int = RANGE_ELEMENTS) -> DataFrame:
+    """docs: doc_id (long), text, h. doc_id, h, n_shingles, component_id and component of every row.
+
+    component tells components apart, also where their least ids are equal; it is null where a row can't link.
+    """
     signed = written(signatures(docs, k, num, den), "signatures")
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("min_id"), F.first("n").alias("n"), F.first("first").alias("first"))
     known = written(classes, "classes")
@@ -256,10 +258,36 @@ def join_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int =
     if rest.limit(1).count():
         labels = components(links.union(verified(docs, rest, known, k, num, den)))
     least = labels.join(known.select("cid", "min_id"), "cid").groupBy("label").agg(F.min("min_id").alias("least"))
-    least = labels.join(least, "label").select("cid", "least")
-    homes = known.select("cid", "min_id").join(least, "cid", "left").select("cid", F.coalesce("least", "min_id").alias("home"))
+    least = labels.join(least, "label").select("cid", "label", "least")
+    homes = known.select("cid", "min_id").join(least, "cid", "left").select("cid", F.coalesce("least", "min_id").alias("home"), F.coalesce("label", "cid").alias("component"))
+    joined = signed.select("doc_id", "h", "n", "cid").join(homes, "cid", "left")
     own = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("home"))
-    return signed.select("doc_id", "n", "cid").join(homes, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return joined.select("doc_id", "h", F.col("n").alias("n_shingles"), own.alias("component_id"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")).alias("component"))
+
+
+def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+
+
+def join_components(df: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, heavy: int = HEAVY, doc_id: str = "doc_id", text: str = "text", range_elements: int = RANGE_ELEMENTS) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    return linked(keyed(df, doc_id, text), k, num, den, heavy, range_elements).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(df: DataFrame, k: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df but those of a component that aren't its first by id (and text, where an id repeats). Rows that can't link stay."""
+    found = linked(keyed(df, doc_id, text), k, num, den).where("component IS NOT NULL").select("component", F.struct("doc_id", "h").alias("row"))
+    found = written(found, "components")
+    first = found.groupBy("component").agg(F.min("row").alias("first"), F.sum(F.lit(1)).alias("rows"))
+    # rows are known by id and text, never by their place in a scan
+    gone = written(found.join(first, "component").where("row <> first").select(F.col("row.doc_id").alias("gone_id"), F.col("row.h").alias("gone_h")).distinct(), "gone")
+    again = written(found.groupBy("row").count().where("count > 1").select(F.col("row.doc_id").alias("gone_id"), F.col("row.h").alias("gone_h")).join(gone, ["gone_id", "gone_h"], "left_anti"), "again")
+    same = (F.col(doc_id) == F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_h"))
+    kept = df.join(gone, same, "left_anti")
+    if not again.limit(1).count():
+        return kept
+    once = kept.join(again, same, "left_semi").withColumn("one_h", F.xxhash64(text)).dropDuplicates([doc_id, "one_h"]).drop("one_h")
+    return kept.join(again, same, "left_anti").unionByName(once)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

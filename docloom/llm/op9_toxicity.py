@@ -268,6 +268,20 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return append_columns(df, [text], make, [field("score", DOUBLE), field("predicted", INT), field("evidence", shape)])
 
 
+def without_toxic(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of df, all its columns as they are, whose score is under 0.5."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        own = sent.value
+        terms = Terms(own.names)
+        for batch in batches:
+            scores, _ = own.score(strings(batch.column(batch.schema.get_field_index(text))), terms)
+            yield batch.filter(pa.array(scores < 0.5))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
