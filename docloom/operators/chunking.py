@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,6 +125,20 @@ def paragraph_batches(text: str, most: int = 30_000) -> list[str]:
     return out + (["\n\n".join(held)] if held else [])
 
 
+def numbered(chunks: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Chunks of several parts of a file under one numbering: chunk_index, total_chunks and chunk_id anew, in the parts' order."""
+    own = Window.partitionBy(key)
+    rows = chunks.withColumn("chunk_index", F.row_number().over(own.orderBy(*order)) - 1).withColumn("total_chunks", F.count("*").over(own).cast("int"))
+    return rows.withColumn("chunk_id", F.concat_ws("_", key, "chunk_index"))
+
+
+def long_text_chunks(df: DataFrame, text: str = "text", key: str = "file_hash", most: int = 100_000) -> DataFrame:
+    """Texts over most characters: paragraphs in batches, each split by itself, under one numbering."""
+    batches = F.udf(paragraph_batches, T.ArrayType(T.StringType()), useArrow=True)
+    long = df.where(F.length(text) > most).select(key, F.posexplode(batches(F.col(text))).alias("batch", "part"))
+    return numbered(semantic_chunks(long, "part").drop("part").withColumnRenamed("chunk_index", "place"), key, ["batch", "place"])
+
+
 def scan_rule(pages: DataFrame, key: str = "doc", first: int = 15, share: float = 0.7, few: int = 50) -> DataFrame:
     """pages: key, page_num, char_count. Whether a document is scanned: most of its first pages, or over half of all pages, have few characters."""
     low = F.col("char_count") < few

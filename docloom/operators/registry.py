@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom import config as C
@@ -141,9 +141,24 @@ def at_eight(ts: Column) -> tuple[Column, Column]:
     return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+08:00")), F.date_format(local, "yyyy-MM-dd HH:mm")
 
 
-def in_order(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows numbered within their key."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+def by_hash(registry: DataFrame, hashes: DataFrame) -> DataFrame:
+    return registry.join(hashes.select("file_hash").distinct(), "file_hash", "left_semi")
+
+
+def removed(registry: DataFrame, chunks: DataFrame, hashes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The registry with these files marked deleted, and the chunks that are left."""
+    gone = by_hash(registry, hashes).select("file_hash", F.lit("deleted").alias("status"), F.lit(0).cast("long").alias("chunks_count"))
+    return upsert(registry, gone, now), deleted(chunks, hashes)
+
+
+def document_of(asked: DataFrame, registry: DataFrame, chunks: DataFrame) -> DataFrame:
+    """asked: query_id, file_hash, file_path. The hash whose chunks make the document: the given one, else that of the path's chunks, else that of a completed file of its name. Null for none."""
+    have = chunks.select("file_hash").distinct()
+    by_path = chunks.groupBy("file_path").agg(F.min("file_hash").alias("path_hash"))
+    named = registry.where("status = 'completed'").join(have, "file_hash", "left_semi").groupBy("file_name").agg(F.min("file_hash").alias("name_hash"))
+    rows = asked.join(have.withColumnRenamed("file_hash", "own"), F.col("file_hash") == F.col("own"), "left").join(by_path, "file_path", "left")
+    rows = rows.join(named, t.basename(F.col("file_path")) == F.col("file_name"), "left")
+    return rows.select("query_id", F.coalesce("own", "path_hash", "name_hash").alias("file_hash"))
 
 
 def stored_name(name: Column, taken: Column, epoch: int) -> Column:

@@ -292,3 +292,41 @@ def snk_deleted(s, d):
     return registry.deleted(x.chunks(s, d), x.table(s, d, "labels").where("toxic = 1"), "doc_id").select("chunk_id")
 
 
+
+
+@query(f"""WITH {x.FILES}, parts AS (SELECT doc_id, 0 AS part, text AS t FROM files WHERE n_chars > 4000 UNION ALL SELECT doc_id, 1, 'read ' || substring(text, 1, 3000) FROM files WHERE n_chars > 4000),
+w AS (SELECT doc_id, part, t, unnest(range(CAST(greatest(ceil((length(t) - 1536) / 1344.0), 0) AS BIGINT) + 1)) AS i FROM parts)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part, i) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks, substring(t, i * 1344 + 1, 1536) AS chunk_text FROM w""")
+def chk_progressive(s, d):
+    long = x.files(s, d).where("n_chars > 4000")
+    parts = long.select("doc_id", F.lit(0).alias("part"), "text").union(long.select("doc_id", F.lit(1), F.concat(F.lit("read "), F.substring("text", 1, 3000))))
+    rows = chunking.forced_split(parts).withColumnRenamed("chunk_index", "place")
+    return chunking.numbered(rows, "doc_id", ["part", "place"]).select("doc_id", "chunk_index", "total_chunks", "chunk_text")
+
+
+@query()
+def chk_long_texts(s, d):
+    """Very long texts in batches of paragraphs; the bound is lowered to the length of the longest here."""
+    return chunking.long_text_chunks(x.files(s, d).drop("n_chars"), most=15_000).select("file_hash", "chunk_id", "chunk_index", "total_chunks", "chunk_text")
+
+
+@query(f"WITH {x.REGISTRY} SELECT {ALL} FROM registry WHERE file_hash IN (SELECT file_hash FROM registry WHERE doc_id % 50 = 0)")
+def reg_by_hash(s, d):
+    rows = x.registry(s, d)
+    return registry.by_hash(rows, rows.where("doc_id % 50 = 0")).select(*ALL.split(", "))
+
+
+@query(f"WITH {x.REGISTRY} SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'deleted' ELSE status END AS status, CASE WHEN doc_id % 50 = 0 THEN CAST(0 AS BIGINT) ELSE chunks_count END AS chunks_count, CASE WHEN doc_id % 50 = 0 THEN 'now' ELSE updated_at END AS updated_at FROM registry")
+def reg_removed(s, d):
+    rows = x.registry(s, d)
+    return registry.removed(rows, rows, rows.where("doc_id % 50 = 0"), F.lit("now"))[0].select("doc_id", "status", "chunks_count", "updated_at")
+
+
+@query(f"""WITH {x.REGISTRY}, have AS (SELECT file_hash, '/x/' || file_name AS file_path FROM registry WHERE doc_id % 3 = 0),
+ask AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 2 = 0 THEN file_hash END AS file_hash, '/x/' || file_name AS file_path, file_name FROM registry)
+SELECT query_id, coalesce((SELECT min(h.file_hash) FROM have h WHERE h.file_hash = ask.file_hash), (SELECT min(h.file_hash) FROM have h WHERE h.file_path = ask.file_path), (SELECT min(r.file_hash) FROM registry r JOIN have h USING (file_hash) WHERE r.status = 'completed' AND '/x/' || r.file_name = '/x/' || regexp_extract(ask.file_path, '[^/]*$'))) AS file_hash FROM ask""")
+def ctx_document_of(s, d):
+    rows = x.registry(s, d)
+    have = rows.where("doc_id % 3 = 0").select("file_hash", F.concat(F.lit("/x/"), "file_name").alias("file_path"))
+    asked = rows.select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 2 == 0, F.col("file_hash")).alias("file_hash"), F.concat(F.lit("/x/"), "file_name").alias("file_path"))
+    return registry.document_of(asked, rows, have)
