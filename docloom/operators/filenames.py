@@ -56,13 +56,8 @@ def after_type() -> str:
     return "array<struct<score:double,phrase:string>>"
 
 
-def best_phrase(query: Column, name: Column) -> Column:
-    """The best of the query's phrases that the name holds: struct (order, place, phrase), order being its score below zero."""
-    return F.array_min(F.filter(phrases(query), lambda x: name.contains(x["phrase"])))
-
-
-def candidate_score(candidate: Column, name: Column, bare: Column) -> Column:
-    c = F.lower(t.strip(candidate))
+def candidate_score(c: Column, name: Column, bare: Column) -> Column:
+    """All in lower case."""
     return F.when(c == name, 1.0).when(c == bare, 0.95).when((F.length(c) >= 6) & c.contains(name), 0.85).when((F.length(c) >= 4) & name.contains(c), 0.75)
 
 
@@ -75,35 +70,41 @@ def meeting_number(query: Column) -> Column:
     return p
 
 
-def meeting_score(query: Column, name: Column) -> Column:
-    asked = meeting_number(query)
-    own = F.regexp_extract(name, f"(?U)之({NUMERAL})", 1)
-    base = F.when(own == "", 0.6).when(F.ltrim(digits(own), F.lit("0")) == F.ltrim(digits(asked["seq"]), F.lit("0")), 0.95)
-    number = F.when(asked["num"].rlike(r"(?U)^\d+$"), asked["num"])
-    padded = F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)
-    score = F.when(F.startswith(name, padded), 1.0).when(F.contains(name, number), F.greatest(base, F.lit(0.85))).otherwise(base)
-    return F.when(name.contains("材料") & asked.isNotNull() & base.isNotNull(), score)
+def bare_number(numeral: Column) -> Column:
+    return F.ltrim(digits(numeral), F.lit("0"))
+
+
+def meeting_score(num: Column, seq: Column, name: Column, own: Column) -> Column:
+    """num, seq: the number before a meeting paper that a query names, and its own, without zeros. own: that of the file's name, empty for none."""
+    base = F.when(own == "", 0.6).when(own == seq, 0.95)
+    score = F.when(F.startswith(name, F.lpad(num, 2, "0")), 1.0).when(F.contains(name, num), F.greatest(base, F.lit(0.85))).otherwise(base)
+    return F.when(name.contains("材料") & seq.isNotNull() & base.isNotNull(), score)
 
 
 def detect(queries: DataFrame, registry: DataFrame, least: float = 0.4, most_files: int = MOST_FILES) -> DataFrame:
-    """queries: query_id, query. registry: file_hash, file_name, doc_number. query_id, file_hash, match_score and strategy.
+    """queries: query_id, query. registry: file_hash, file_name, doc_number. query_id, file_hash, file_name, strategy and match_score.
 
     Strategies, the first that claims a file counting: candidates, in their order; the file's name in the query; the
-    query's phrases in the name; document numbers; meeting papers.
+    query's phrases in the name; document numbers; meeting papers. What depends on a query or a file alone is worked
+    out before they meet.
     """
     if registry.limit(most_files + 1).count() > most_files:
         raise ValueError(f"more than {most_files} files")
     name, query = F.col("file_name"), F.col("query")
-    files = registry.select("file_hash", "file_name", F.coalesce("doc_number", F.lit("")).alias("doc_number"), F.lower(name).alias("lower_name"), F.lower(t.stem(name)).alias("bare_name"))
-    pairs = queries.select("query_id", "query").crossJoin(F.broadcast(files))
-    lower, bare = F.col("lower_name"), F.col("bare_name")
-    claims = F.filter(F.transform(candidates(query), lambda c: candidate_score(c, lower, bare)), lambda s: s.isNotNull())
-    asked = F.lower(query)
-    contained = F.when((F.length(bare) >= 6) & asked.contains(bare), 0.7).when((F.length(lower) >= 8) & asked.contains(lower), 0.65)
-    phrase = -best_phrase(query, bare)["order"]
+    files = registry.select("file_hash", "file_name", F.coalesce("doc_number", F.lit("")).alias("doc_number"), F.lower(name).alias("lower_name"), F.lower(t.stem(name)).alias("bare_name"), bare_number(F.regexp_extract(name, f"(?U)之({NUMERAL})", 1)).alias("own"))
     numbers = F.concat(*(all_matches(query, p, 0) for p in (r"(?U)[闽榕国]\S*〔\d{4}〕\d+号", r"(?U)[A-Z]{2,}[/T]?\s*\d+[\.\-]\d+", r"(?U)Q/GDW\s*\d+[\.\-]\d+")))
-    numbered = F.when((F.col("doc_number") != "") & F.exists(numbers, lambda n: F.contains(F.col("doc_number"), n)), 0.8)
-    steps = {"candidate": F.get(claims, 0), "contained": contained, "phrase": phrase, "number": numbered, "meeting": meeting_score(query, name)}
+    paper = meeting_number(query)
+    asked = queries.select(
+        "query_id", F.lower(query).alias("asked"), F.transform(candidates(query), lambda c: F.lower(t.strip(c))).alias("names"), F.array_sort(phrases(query)).alias("phrases"), numbers.alias("numbers"),
+        F.when(paper["num"].rlike(r"(?U)^\d+$"), paper["num"]).alias("num"), bare_number(paper["seq"]).alias("seq"),
+    )
+    pairs = asked.crossJoin(F.broadcast(files))
+    lower, bare = F.col("lower_name"), F.col("bare_name")
+    claim = F.get(F.filter(F.transform("names", lambda c: candidate_score(c, lower, bare)), lambda s: s.isNotNull()), 0)
+    contained = F.when((F.length(bare) >= 6) & F.contains("asked", bare), 0.7).when((F.length(lower) >= 8) & F.contains("asked", lower), 0.65)
+    phrase = -F.get(F.filter("phrases", lambda x: F.contains(bare, x["phrase"])), 0)["order"]
+    numbered = F.when((F.col("doc_number") != "") & F.exists("numbers", lambda n: F.contains(F.col("doc_number"), n)), 0.8)
+    steps = {"candidate": claim, "contained": contained, "phrase": phrase, "number": numbered, "meeting": meeting_score(F.col("num"), F.col("seq"), name, F.col("own"))}
     first = F.coalesce(*(F.when(s.isNotNull(), F.struct(F.lit(k).alias("strategy"), s.cast("double").alias("match_score"))) for k, s in steps.items()))
     found = pairs.withColumn("claim", first).where(F.col("claim").isNotNull()).select("query_id", "file_hash", "file_name", "claim.strategy", F.round("claim.match_score", 4).alias("match_score"))
     return found.where(F.col("match_score") >= least)
