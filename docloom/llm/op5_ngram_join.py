@@ -12,9 +12,10 @@ heavy elements, a link must show in an element that isn't heavy, so the join on
 verified only if it shares enough of them.
 
 Classes so full of heavy elements that their m elements don't suffice (large groups of near copies) are first compared with one
-pivot for each heavy element and length; what links falls into one component. Of the pairs that share heavy elements
-only those of different components are left; they are counted and verified like others. So every link between
-components is found, and a group of near copies costs what it has rows.
+pivot for each heavy element and length; what links falls into one component. Classes that share heavy elements, directly or
+through others, are a family; those outside its largest component are compared with all of it, blocks of whole sets
+against blocks, as products of 0/1 matrices. So every link between components is found, no pair of a family becomes a
+row, and what the pivot has linked costs what it has rows.
 
 Verification counts the whole sets' intersection. Sets aren't kept: texts are hashed again, those alone whose id is in a bitmap of
 2**BITMAP_BITS bits (8 MB; more ids than that only let more texts through).
@@ -32,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, utf8, written
+from .common import prepare, table, utf8, written
 from .shingles import Shingler
 
 WORDS, NUM, DEN = 4, 85, 100
 HEAVY = 32
 BITMAP_BITS = 26
-CHUNK_DOCS, RANGE_ELEMENTS = 4_096, 500_000
+CHUNK_DOCS, RANGE_ELEMENTS, BLOCK_CLASSES = 4_096, 500_000, 512
 
 
 def prefix(n, num: int, den: int):
@@ -164,18 +165,83 @@ def pivot_pairs(hot: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
 
 
-def apart_pairs(hot: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of classes of different components that share enough elements, one of each pair outside the element's largest component."""
-    placed = hot.join(labels, "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
-    largest = placed.groupBy("el", "comp").count().groupBy("el").agg(F.max(F.struct("count", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select("el", F.col("most.comp").alias("most"))
-    placed = written(placed.join(largest, "el"), "hot")
-    columns = ("cid", "n", "need", "cold", "comp", "most")
-    pairs = side(placed.where("comp <> most"), "a", *columns).join(side(placed, "b", *columns), "el")
-    # both outside the largest component: once alone
-    pairs = pairs.where(f"a_comp <> b_comp AND (b_comp = b_most OR a_cid < b_cid) AND {near_length(num, den)}")
-    a, b = F.least("a_cid", "b_cid"), F.greatest("a_cid", "b_cid")
-    counted = pairs.groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("c"), F.first(F.least("a_need", "b_need")).alias("need"), F.first(F.least("a_cold", "b_cold")).alias("cold"))
-    return counted.where("c + cold >= need").select("a", "b")
+def families(hot: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """cid, family, band, comp and left for classes that share heavy elements, directly or through others, with a class of another component.
+
+    band: of its length; linked sets are one band apart at most. left: outside the family's largest component.
+    """
+    first = hot.groupBy("el").agg(F.min("cid").alias("first"))
+    edges = hot.join(first, "el").where("cid <> first").select(F.col("cid").alias("a"), F.col("first").alias("b")).distinct()
+    family = components(edges).withColumnRenamed("label", "family")
+    placed = hot.select("cid", "n").distinct().join(family, "cid").join(labels, "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
+    largest = placed.groupBy("family", "comp").count().groupBy("family").agg(F.max(F.struct("count", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select("family", F.col("most.comp").alias("most"))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)))
+    return placed.join(largest, "family").select("cid", "family", band.alias("band"), "comp", (F.col("comp") != F.col("most")).alias("left"))
+
+
+def block_links(num: int, den: int):
+    """Links between two blocks of sets, of those that connect components as yet apart: no more than there are sets."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            a, b = ([np.frombuffer(x.as_py(), np.uint64) for x in t.column("els")] for t in (left, right))
+            shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+            at = []
+            for sets in (a, b):
+                whole = np.concatenate(sets)
+                column = np.searchsorted(shared, whole)
+                column[column == len(shared)] = 0
+                good = shared[column] == whole if len(shared) else np.zeros(len(whole), bool)
+                at.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[good], column[good]))
+            both = np.zeros((len(a), len(b)), np.float32)
+            for c in range(0, len(shared), 4096):
+                x, y = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
+                for (row, column), m in zip(at, (x, y)):
+                    here = (column >= c) & (column < c + 4096)
+                    m[row[here], column[here] - c] = 1
+                both += x @ y.T
+            sizes = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :]
+            whole = np.rint(both).astype(np.int64)
+            home: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while home.get(c, c) != c:
+                    c = home[c]
+                return c
+
+            ca, cb = left.column("comp").to_pylist(), right.column("comp").to_pylist()
+            ia, ib = left.column("cid").to_pylist(), right.column("cid").to_pylist()
+            for i, j in zip(*np.nonzero(den * whole >= num * (sizes - whole))):
+                x, y = root(ca[i]), root(cb[j])
+                if x != y:
+                    home[x] = y
+                    found.append((ia[i], ib[j]))
+        return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
+
+    return run
+
+
+def family_links(placed: DataFrame, sets: DataFrame, num: int, den: int, rows: int = BLOCK_CLASSES) -> DataFrame:
+    """placed: as families gives it. sets: cid, els. Links that connect components of a family.
+
+    Each band of a family is dealt into blocks by hash. The classes outside the largest component meet all blocks of
+    the bands near their own, block against block, and no pair of them ever becomes a row.
+    """
+    counts = placed.groupBy("family", "band").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks"))
+    dealt = placed.join(counts, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("blocks")).cast("int")).join(sets, "cid")
+    lefts = placed.where("left").select("family", "band").distinct()
+    outer = counts.join(lefts, ["family", "band"]).select("family", F.col("band").alias("l_band"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("l_block"))
+    inner = counts.select("family", F.col("band").alias("r_band"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("r_block"))
+    pairs = written(outer.join(inner, "family").where("abs(l_band - r_band) <= 1"), "blocks")
+    keys = ["family", "l_band", "l_block", "r_band", "r_block"]
+
+    def part(side: str, chosen: DataFrame) -> DataFrame:
+        rows_ = chosen.select(F.col("family").alias("family"), F.col("band").alias(f"{side}_band"), F.col("block").alias(f"{side}_block"), "cid", "comp", "els")
+        joined = rows_.join(pairs, ["family", f"{side}_band", f"{side}_block"])
+        return joined.select(*(F.col(k).alias(k) for k in keys), *(F.col(c).alias(c) for c in ("cid", "comp", "els")))
+
+    return part("l", dealt.where("left")).groupBy(keys).cogroup(part("r", dealt).groupBy(keys)).applyInArrow(block_links(num, den), "a long, b long")
 
 
 def bit_of(doc_id: str):
@@ -194,10 +260,9 @@ def bitmap(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """pairs: a, b. Those that link, by their whole sets."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """wanted: cid, distinct. cid and els, all elements of its set, sorted."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     bits = spark.sparkContext.broadcast(bitmap(wanted.join(classes.select("cid", F.col("min_id").alias("doc_id")), "cid").select("doc_id")))
 
     def sets(batches):
@@ -209,6 +274,14 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num:
             found = [s for s in shingler.sets(utf8(chosen.column(0))) if len(s)] if len(chosen) else []
             yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cid", "els"])
 
+    hashed = docs.where("doc_id IS NOT NULL").select("text", bit_of("doc_id").alias("bit")).mapInArrow(sets, "cid long, els binary").dropDuplicates(["cid"])
+    return hashed.join(wanted, "cid", "left_semi")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """pairs: a, b. Those that link, by their whole sets."""
+    hashed = whole_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), classes, k)
+
     def count(batches):
         for batch in batches:
             rows = []
@@ -219,8 +292,6 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num:
                     rows.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
 
-    hashed = docs.where("doc_id IS NOT NULL").select("text", bit_of("doc_id").alias("bit")).mapInArrow(sets, "cid long, els binary").dropDuplicates(["cid"])
-    hashed = hashed.join(wanted, "cid", "left_semi")
     both = pairs.join(hashed.select(F.col("cid").alias("b"), F.col("els").alias("b_els")), "b").join(hashed.select(F.col("cid").alias("a"), F.col("els").alias("a_els")), "a")
     return both.select("a", "b", "a_els", "b_els").mapInArrow(count, "a long, b long")
 
@@ -245,6 +316,7 @@ def linked(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, heav
 
     component tells components apart, also where their least ids are equal; it is null where a row can't link.
     """
+    prepare(docs.sparkSession)
     signed = written(signatures(docs, k, num, den), "signatures")
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("min_id"), F.first("n").alias("n"), F.first("first").alias("first"))
     known = written(classes, "classes")
@@ -254,9 +326,10 @@ def linked(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, heav
     pairs = written(cold_pairs(rows, num, den).union(pivot_pairs(hot, num, den)).distinct(), "pairs")
     links = written(verified(docs, pairs, known, k, num, den), "links")
     labels = components(links)
-    rest = written(apart_pairs(hot, labels, num, den), "pairs")
-    if rest.limit(1).count():
-        labels = components(links.union(verified(docs, rest, known, k, num, den)))
+    apart = written(families(hot, labels, num, den), "families")
+    if apart.limit(1).count():
+        more = family_links(apart, whole_sets(docs, apart.select("cid").distinct(), known, k), num, den)
+        labels = components(links.union(more))
     least = labels.join(known.select("cid", "min_id"), "cid").groupBy("label").agg(F.min("min_id").alias("least"))
     least = labels.join(least, "label").select("cid", "label", "least")
     homes = known.select("cid", "min_id").join(least, "cid", "left").select("cid", F.coalesce("least", "min_id").alias("home"), F.coalesce("label", "cid").alias("component"))
