@@ -10,12 +10,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows of a batch that goes to Python; whole texts of so many documents are in memory at once.
-BATCH_ROWS = 500
+#: Rows of a batch that goes to Python, and bytes, where rows are large; so many are in memory at once.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+#: Python workers are used again by later stages: with this, what they free goes back to the system.
+LEAN_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "4194304"}
+
+
+def prepare(spark: SparkSession, lean: bool = False) -> None:
+    """lean: for jobs of many Python stages, smaller batches and workers that keep little."""
+    env = spark.sparkContext.environment
+    if lean:
+        env.update(LEAN_ENV)
+    rows = BATCH_ROWS // 2 if LEAN_ENV.items() <= env.items() else BATCH_ROWS
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +49,7 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and outlives any executor."""
+    prepare(df.sparkSession)
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -61,6 +74,7 @@ def append_columns(df: DataFrame, inputs: list[str], make, fields: list[T.Struct
     make() is called once in each task and returns a function of the input columns (Arrow arrays of one
     batch) that returns one list or Arrow array for each field.
     """
+    prepare(df.sparkSession)
     new = {f.name.lower() for f in fields}
     own = [f for f in df.schema.fields if f.name.lower() not in new]
     keep = [f.name for f in own]

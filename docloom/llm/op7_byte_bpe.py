@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import BINARY, LONG, STRING, append_columns, field, strings, table
+from .common import BINARY, BOOLEAN, LONG, STRING, append_columns, field, strings, table
 
 SPLIT_CHARS = 65_536
 #: \S of Python's re leaves out all that any definition calls white space.
@@ -83,6 +83,23 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     return append_columns(df, [ids], make, [field(out, BINARY)])
 
 
+def coded(df: DataFrame, path: str, pattern: str, text: str = "text", split_chars: int = SPLIT_CHARS) -> DataFrame:
+    """df with ids, n_tokens and exact (whether the ids decode to the text's bytes), in one pass."""
+
+    def make():
+        codec = Codec(path, pattern, split_chars)
+
+        def fn(column):
+            texts = strings(column)
+            ids = [codec.encode(t) for t in texts]
+            exact = [codec.decode(i) == t.encode() for i, t in zip(ids, texts)]
+            return [pa.array(ids, type=pa.list_(pa.int32())), list(map(len, ids)), exact]
+
+        return fn
+
+    return append_columns(df, [text], make, [field("ids", T.ArrayType(T.IntegerType())), field("n_tokens", LONG), field("exact", BOOLEAN)])
+
+
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", split_chars: int = SPLIT_CHARS) -> DataFrame:
     """df with n_tokens, ids_sha256 and decoded_sha256: digests of the ids and of what they decode to."""
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DOUBLE, INT, append_columns, field, strings, table
+from .common import DOUBLE, INT, append_columns, field, prepare, strings, table
 
 MAX_EXAMPLES, MAX_TERMS, MIN_DF, MIN_CHI2 = 4_096, 512, 5, 30.0
 STEM, BLOCK, K = 5, 64, 15
@@ -43,7 +43,7 @@ def terms_of(piece: str) -> list[str]:
 class Terms:
     """Counts of known terms in texts; the terms of each distinct piece are found once."""
 
-    def __init__(self, names: list[str], limit: int = 400_000):
+    def __init__(self, names: list[str], limit: int = 200_000):
         self.index, self.limit = {n: i for i, n in enumerate(names)}, limit
         self.forget()
 
@@ -213,6 +213,7 @@ def fold(doc_id: str) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic. Only rows of a fold other than 0 are read."""
     spark = docs.sparkSession
+    prepare(spark)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id") != 0)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = [r for y in (0, 1) for r in known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).collect()]
