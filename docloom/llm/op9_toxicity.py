@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
 Examples are at most MAX_EXAMPLES labelled texts of each class, those of least hash of their id (the bound of the
-fit; everything else covers all rows). Terms are words, or their first STEM letters; the MAX_TERMS terms with the
-largest chi-squared of presence against label are kept. An example's vector has (1 + ln tf) * idf, of length 1.
+fit; everything else covers all rows). Terms are whole words: shorter stems merge toxic words with clean ones. The
+MAX_TERMS terms with the largest chi-squared of presence against label, MIN_CHI2 at least, are kept; that cut is from
+a cross-validation inside the training folds (README). An example's vector has (1 + ln tf) * idf, of length 1.
 
 The index orders examples so that like ones share a block of BLOCK, and keeps each term's largest weight in each
 block. A text's bound for a block is the sum of its weights times these; blocks are visited in falling order of
@@ -30,14 +31,14 @@ from pyspark.sql import types as T
 
 from .common import DOUBLE, INT, append_columns, field, prepare, strings, table
 
-MAX_EXAMPLES, MAX_TERMS, MIN_DF, MIN_CHI2 = 4_096, 512, 5, 30.0
-STEM, BLOCK, K = 5, 64, 15
+MAX_EXAMPLES, MAX_TERMS, MIN_DF, MIN_CHI2 = 4_096, 1_024, 5, 30.0
+BLOCK, K = 64, 15
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(piece: str) -> list[str]:
-    """Words of a piece without white space: short ones whole, of longer ones the stem (marked)."""
-    return [w if len(w) < STEM else w[:STEM] + "*" for w in WORD.findall(piece.lower())]
+    """Words of a piece without white space."""
+    return WORD.findall(piece.lower())
 
 
 class Terms:

@@ -17,6 +17,21 @@ def test_held_out(spark):
     assert caught >= 0.75 * sum(y for _, y in held) and sum(p for p, y in held if not y) <= 0.01 * len(held)
 
 
+def test_held_out_recall(spark):
+    d = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in nine.op9_toxicity(spark, d).collect() if r.held_out}
+    rows = [(r.lang, got[r.doc_id].predicted, r.toxic) for r in spark.read.parquet(f"{d}/labels.parquet").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").collect() if r.doc_id in got]
+    recall = {k: (sum(p for g, p, y in rows if y and g == k), sum(y for g, _, y in rows if g == k)) for k in ("en", "de", "fr", "es")}
+    assert sum(a for a, _ in recall.values()) >= 0.9 * sum(n for _, n in recall.values())
+    assert sum(p for _, p, y in rows if not y) <= 0.01 * len(rows)
+
+
+def test_words_of_one_stem_are_told_apart(spark):
+    docs = spark.createDataFrame([(i, "achlichpf vu" if i % 2 else "achlibar vu") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    assert all(r.predicted == r.doc_id % 2 for r in nine.score(docs, nine.fit(docs, labels)).collect())
+
+
 @pytest.mark.parametrize("where", ["odd_docs", "empty_docs"])
 def test_odd_rows(spark, where, request, empty_docs):
     docs = spark.read.parquet(f"{request.getfixturevalue(where)}/documents.parquet")
