@@ -52,8 +52,8 @@ class PieceCache:
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces; a token belongs to the piece in which its first character stands."""
         groups: list[list[str]] = []
-        for p in pieces:  # without glue, only a piece that begins with a blank may stand behind another
-            if not groups or len(groups[-1]) == self.TOGETHER or not self.glue and p[0] not in BLANKS:
+        for p in pieces:  # without glue, only a piece that begins with a blank may stand behind another, and none behind one that ends in a blank
+            if not groups or len(groups[-1]) == self.TOGETHER or not self.glue and (p[0] not in BLANKS or groups[-1][-1][-1] in BLANKS):
                 groups.append([])
             groups[-1].append(p)
         ids, lengths = [self.ids], [self.lengths]

@@ -27,6 +27,17 @@ def test_counts(spark, where, request):
     assert sorted(map(tuple, two.op2_token_counts(spark, d).collect()), key=str) == want
 
 
+def test_blanks_at_the_end_of_a_text_do_not_join_the_next_piece():
+    library, rng = load_tokenizer(P.path("byte_bpe_50k.json")), random.Random(3)
+    words = ["Hello", "world", "Next", "one", "\n", "\n\n", " ", "  ", "\t", "\r\n"]
+    batches = [["Hello world\n", "Hello world\n\nNext one", "Other\n\nNext one"]] + [["".join(rng.choices(words, k=rng.randrange(12))) for _ in range(20)] for _ in range(50)]
+    for batch in batches:
+        want = [library.encode(x, add_special_tokens=False).ids for x in batch]
+        counter = two.Counter(P.path("byte_bpe_50k.json"))
+        assert counter.cache.counts(batch) == list(map(len, want))
+        assert [x.tolist() for x in counter.cache.encoded(batch)] == want
+
+
 def test_splice_is_exact_whatever_the_chunks():
     library, rng = load_tokenizer(P.path("byte_bpe_50k.json")), random.Random(7)
     parts = ["the ", "don't", "  ", "\n\n \n", "<|endoftext|>", "é", "\U0001f600", "日本語", "12345", "...", " a", "x" * 40, " ", "\t", "'ll", " 's "]
