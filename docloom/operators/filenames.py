@@ -1,6 +1,7 @@
 """Files that a query names: several strategies in order, the first to claim a file wins.
 
-The registry side is joined by substring tests, so it is broadcast; its size is checked first.
+The registry side is joined by substring tests, so it is broadcast up to a bound; a larger one meets the queries
+block by block (a cartesian product of partitions), with the same result.
 """
 
 from __future__ import annotations
@@ -88,8 +89,7 @@ def detect(queries: DataFrame, registry: DataFrame, least: float = 0.4, most_fil
     query's phrases in the name; document numbers; meeting papers. What depends on a query or a file alone is worked
     out before they meet.
     """
-    if registry.limit(most_files + 1).count() > most_files:
-        raise ValueError(f"more than {most_files} files")
+    small = registry.limit(most_files + 1).count() <= most_files
     name, query = F.col("file_name"), F.col("query")
     files = registry.select("file_hash", "file_name", F.coalesce("doc_number", F.lit("")).alias("doc_number"), F.lower(name).alias("lower_name"), F.lower(t.stem(name)).alias("bare_name"), bare_number(F.regexp_extract(name, f"(?U)之({NUMERAL})", 1)).alias("own"))
     numbers = F.concat(*(all_matches(query, p, 0) for p in (r"(?U)[闽榕国]\S*〔\d{4}〕\d+号", r"(?U)[A-Z]{2,}[/T]?\s*\d+[\.\-]\d+", r"(?U)Q/GDW\s*\d+[\.\-]\d+")))
@@ -98,7 +98,7 @@ def detect(queries: DataFrame, registry: DataFrame, least: float = 0.4, most_fil
         "query_id", F.lower(query).alias("asked"), F.transform(candidates(query), lambda c: F.lower(t.strip(c))).alias("names"), F.array_sort(phrases(query)).alias("phrases"), numbers.alias("numbers"),
         F.when(paper["num"].rlike(r"(?U)^\d+$"), paper["num"]).alias("num"), bare_number(paper["seq"]).alias("seq"),
     )
-    pairs = asked.crossJoin(F.broadcast(files))
+    pairs = asked.crossJoin(F.broadcast(files) if small else files)
     lower, bare = F.col("lower_name"), F.col("bare_name")
     claim = F.get(F.filter(F.transform("names", lambda c: candidate_score(c, lower, bare)), lambda s: s.isNotNull()), 0)
     contained = F.when((F.length(bare) >= 6) & F.contains("asked", bare), 0.7).when((F.length(lower) >= 8) & F.contains("asked", lower), 0.65)

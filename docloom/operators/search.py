@@ -34,12 +34,11 @@ def normed(df: DataFrame, vector: str) -> DataFrame:
 def dense_search(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 4, most_queries: int = 10_000) -> DataFrame:
     """queries: query_id, dense. chunks: chunk_id, dense. Exact cosine of each query with each chunk.
 
-    The queries go to every executor, so their number is checked; with more of them, ask in several turns.
+    Up to most_queries queries go to every executor; more of them meet the chunks partition by partition.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries at once")
+    small = queries.limit(most_queries + 1).count() <= most_queries
     asked = normed(queries.select("query_id", F.col("dense").alias("q")), "q")
-    pairs = normed(chunks.select("chunk_id", "dense"), "dense").crossJoin(F.broadcast(asked))
+    pairs = normed(chunks.select("chunk_id", "dense"), "dense").crossJoin(F.broadcast(asked) if small else asked)
     return best(pairs.select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("dense")), digits).alias("score")), k)
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
-from docloom.operators import analysis, chunking, context, conversation, evaluation, filenames, metadata, registry, rerank
+from docloom.operators import analysis, chunking, context, conversation, evaluation, filenames, metadata, registry, rerank, search
 from docloom.sources import readers
 from docloom.streaming import index
 
@@ -85,6 +85,16 @@ def test_files_in_queries(spark):
     assert best[2][0] == "h4"
 
 
+def test_more_files_and_queries_than_are_broadcast(spark):
+    files = spark.createDataFrame([(f"h{i}", f"report{i:03d}.pdf", None) for i in range(50)], "file_hash string, file_name string, doc_number string")
+    asked = spark.createDataFrame([(i, f"what does report{i:03d}.pdf say") for i in range(50)], "query_id int, query string")
+    found = lambda **most: sorted(map(tuple, filenames.detect(asked, files, **most).collect()))
+    assert found(most_files=7) == found() and {q for q, *_ in found()} == set(range(50))
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "chunk_id int, dense array<double>")
+    near = lambda **most: sorted(map(tuple, search.dense_search(vectors.withColumnRenamed("chunk_id", "query_id"), vectors, 5, **most).collect()))
+    assert near(most_queries=7) == near() and len(near()) == 300
+
+
 def test_rerank_keeps_short_lists(spark):
     rows = [(1, "q", None, None, i, 1.0 / i, f"c{i}", None, f"d/f{i}.pdf", "标准规范" if i == 3 else "", "", False, "", "") for i in range(1, 5)]
     df = spark.createDataFrame(rows, "query_id int, query string, asked_domain string, asked_voltage string, rank int, score double, chunk_id string, doc_number string, file_path string, category string, publish_level string, is_drawing boolean, domain string, voltage_level string")
