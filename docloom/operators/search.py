@@ -80,9 +80,11 @@ def rank_fusion(dense: DataFrame, sparse: DataFrame, k: int = C.COARSE_K, consta
     return best(both.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (constant + F.col("rank"))), digits).alias("score")), k)
 
 
-def ordered_chunks(chunks: DataFrame, condition: Column, most: int = 10_000) -> DataFrame:
-    """A file's chunks in reading order; null numbers count as 0."""
-    return chunks.where(condition).orderBy(F.coalesce("page_num", F.lit(0)), F.coalesce("chunk_index", F.lit(0)), "chunk_id").limit(most)
+def ordered_chunks(chunks: DataFrame, condition: Column, most: int = 10_000, file: str = "file_path") -> DataFrame:
+    """Each file's chunks in reading order, the first most of every file; null numbers count as 0."""
+    reading = [F.coalesce("page_num", F.lit(0)), F.coalesce("chunk_index", F.lit(0)), F.col("chunk_id")]
+    rows = chunks.where(condition).withColumn("place", F.row_number().over(Window.partitionBy(file).orderBy(*reading)))
+    return rows.where(F.col("place") <= most).drop("place").orderBy(file, *reading)
 
 
 def across_domains(queries: DataFrame, scored: DataFrame, k: int, most: int = 3) -> DataFrame:

@@ -95,6 +95,11 @@ def test_more_files_and_queries_than_are_broadcast(spark):
     assert near(most_queries=7) == near() and len(near()) == 300
 
 
+def test_chunk_limit_is_of_each_file(spark):
+    rows = spark.createDataFrame([(f"{f}", f"{f}_{i}", i, None) for f in "abc" for i in range(6)], "file_path string, chunk_id string, chunk_index int, page_num int")
+    assert [r.chunk_id for r in search.ordered_chunks(rows, F.lit(True), 4).collect()] == [f"{f}_{i}" for f in "abc" for i in range(4)]
+
+
 def test_rerank_keeps_short_lists(spark):
     rows = [(1, "q", None, None, i, 1.0 / i, f"c{i}", None, f"d/f{i}.pdf", "标准规范" if i == 3 else "", "", False, "", "") for i in range(1, 5)]
     df = spark.createDataFrame(rows, "query_id int, query string, asked_domain string, asked_voltage string, rank int, score double, chunk_id string, doc_number string, file_path string, category string, publish_level string, is_drawing boolean, domain string, voltage_level string")
