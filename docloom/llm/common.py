@@ -3,26 +3,26 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Rows of a batch that goes to Python, and bytes, where rows are large; so many are in memory at once.
-BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 250, 16 << 20
 #: Python workers are used again by later stages: with this, what they free goes back to the system.
 LEAN_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "4194304"}
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def prepare(spark: SparkSession, lean: bool = False) -> None:
-    """lean: for jobs of many Python stages, smaller batches and workers that keep little."""
-    env = spark.sparkContext.environment
-    if lean:
-        env.update(LEAN_ENV)
-    rows = BATCH_ROWS // 2 if LEAN_ENV.items() <= env.items() else BATCH_ROWS
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def prepare(spark: SparkSession) -> None:
+    """Small batches, and Python workers that keep little."""
+    spark.sparkContext.environment.update(LEAN_ENV)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -43,16 +43,55 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and outlives any executor."""
-    prepare(df.sparkSession)
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone by then
+            remove(spark, path)
+
+
+class Scratch:
+    """Tables of one run of an operator in the shared folder; drop() deletes those that are spent, the rest goes when the driver ends."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.folder, self.paths = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", {}
+        atexit.register(_remove_at_exit, spark, self.folder)
+
+    def path(self, tag: str) -> str:
+        return f"{self.folder}/{tag}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        """df as a table: cuts the lineage, and outlives any executor. The job's shuffle files go with its end."""
+        prepare(self.spark)
+        path, before = self.path(tag), self.spark.conf.get(CLEAN)
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            remove(self.spark, self.paths.pop(id(t))[1])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores behind it as it takes to be no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def strings(column: pa.Array) -> list[str]:

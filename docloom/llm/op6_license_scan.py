@@ -22,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import Scratch, table
 
 #: The phrases looked for and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -89,7 +89,7 @@ def scan(df: DataFrame, spark: SparkSession, doc_id: str = "doc_id", text: str =
     rolling = F.transform(words, lambda w, i: F.when(gram_hash([w, *(F.get(words, i + n) for n in range(1, k))]).isin(hashes), i))
     hits = F.transform(F.filter(rolling, lambda i: i.isNotNull()), lambda i: F.struct(i.alias("i"), F.concat_ws(" ", F.slice(words, i + 1, k)).alias("gram"), gram_hash([F.get(words, i + n) for n in range(k)]).alias("hash")))
     looked = base.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), phrase_places(words, phrases).alias("places"), hits.alias("hits"))
-    looked = written(looked, "licences")
+    looked = Scratch(df.sparkSession, "licences").write(looked, "licences")
     voted = looked.select("row", F.explode("hits").alias("hit")).select("row", "hit.*").join(F.broadcast(positions), F.col("hash") == F.col("t_hash")).where("gram = t_gram")
     keys = ["row", "template"]
     diagonals = voted.withColumn("d", F.col("i") - F.col("j")).groupBy(*keys, "label", "n_grams", "n_words", "d").agg(F.collect_set("j").alias("js"), F.min("i").alias("first"), F.max("i").alias("last"))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import Scratch, table
 
 SHARDS = 24
 ROW_BYTES = 8
@@ -142,9 +142,11 @@ def shard(df: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(whole) + ROW_BYTES).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), text_hash(text).alias("h"))
-    rows = written(rows, "sizes")
-    groups = written(rows.groupBy("h").agg(F.sum("size").alias("size")), "groups")
+    scratch = Scratch(df.sparkSession, "sharding")
+    rows = scratch.write(rows, "sizes")
+    groups = scratch.write(rows.groupBy("h").agg(F.sum("size").alias("size")), "groups")
     cuts, _ = cut_hashes(groups, shards)
+    scratch.drop(groups)
     dealt = rows.withColumn("shard", shard_of(F.col("h"), cuts)).withColumn("part", F.pmod(F.xxhash64("doc_id", "h"), F.lit(parts)).cast("int"))
     # slots: rows before a part (shards x parts counts), then a number within the part
     counts = dealt.groupBy("shard", "part").count().orderBy("shard", "part").collect()
