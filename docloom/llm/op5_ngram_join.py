@@ -18,10 +18,13 @@ against blocks, as products of 0/1 matrices. So every link between components is
 row, and what the pivot has linked costs what it has rows.
 
 Verification counts the whole sets' intersection. Sets aren't kept: texts are hashed again, those alone whose id is in a bitmap of
-2**BITMAP_BITS bits (8 MB; more ids than that only let more texts through).
+2**BITMAP_BITS bits (8 MB; more ids than that only let more texts through). They are hashed by a second function that is
+independent of the first: what the first took for equal by chance falls away. Texts are one class if 128 bits of a digest
+of their sets agree, and for sets of one shingle of the words themselves.
 
-Defined results: null, empty and blank texts have no shingles, and their own id as component; rows without id have
-no component and link with nothing; repeated ids are rows of their own; an empty table gives no rows; further columns aren't read.
+Defined results: null, empty and blank texts have no shingles, and their own id as component; very long texts are whole, their set is
+in memory once; rows without id have no component and link with nothing; repeated ids are rows of their own; an empty table gives no
+rows; further columns aren't read, and one_of_each hands them on whatever their names.
 """
 
 from __future__ import annotations
@@ -33,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, table, utf8, written
-from .shingles import Shingler
+from .common import Scratch, prepare, table, unused, utf8
+from .shingles import Shingler, plain
 
 WORDS, NUM, DEN = 4, 85, 100
 HEAVY = 32
 BITMAP_BITS = 26
 CHUNK_DOCS, RANGE_ELEMENTS, BLOCK_CLASSES = 4_096, 500_000, 512
+#: Classes of a heavy element that one task may meet.
+SALT_CLASSES = 512
 
 
 def prefix(n, num: int, den: int):
@@ -48,20 +53,24 @@ def prefix(n, num: int, den: int):
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """docs: doc_id, text, h. doc_id, h, n, cid (of the class) and first, the first m elements."""
+    """docs: doc_id, text, h. doc_id, h, n, k1 and k2 (of the class) and first, the first m elements."""
 
     def run(batches):
         shingler = Shingler(k)
         for batch in batches:
-            sets = shingler.sets(utf8(batch.column(1)))
+            texts = utf8(batch.column(1))
+            sets = shingler.sets(texts)
             first = [s[: min(len(s), (p := prefix(len(s), num, den)) + p // 4 + 16)].tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) for s in sets], pa.int64()), pa.array(first, pa.binary())], names=["doc_id", "h", "n", "cid", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), *class_keys(texts, sets), pa.array(first, pa.binary())], names=["doc_id", "h", "n", "k1", "k2", "first"])
 
-    return docs.mapInArrow(run, "doc_id long, h long, n long, cid long, first binary")
+    return docs.mapInArrow(run, "doc_id long, h long, n long, k1 long, k2 long, first binary")
 
 
-def class_id(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_keys(texts: list[bytes], sets: list[np.ndarray]) -> list[pa.Array]:
+    """128 bits of each text's set, as two columns."""
+    keys = [hashlib.blake2b(s.tobytes() + (plain(t) if len(s) == 1 else b""), digest_size=16).digest() for t, s in zip(texts, sets)]
+    both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+    return [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
 
 
 def shared_elements(classes: DataFrame, ranges: int) -> DataFrame:
@@ -124,7 +133,7 @@ def shared_elements(classes: DataFrame, ranges: int) -> DataFrame:
 
 
 def adapted(shared: DataFrame, num: int, den: int, heavy: int) -> DataFrame:
-    """The elements in each class's prefix: el, cid, n, heavy, and of the class need (its l), h (heavy ones), cold (others), hot (whether it takes part with heavy ones)."""
+    """The elements in each class's prefix: el, cid, n, heavy, and of the class df, need (its l), h (heavy ones), cold (others), hot (whether it takes part with heavy ones)."""
     own = Window.partitionBy("cid")
     rows = shared.withColumn("heavy", (F.col("df") > heavy).cast("int")).withColumn("p", (F.col("n") - F.expr(f"(n * {num} + {den - 1}) DIV {den}") + 1))
     rows = rows.withColumn("m", F.least("n", F.col("p") + F.expr("p DIV 4") + 16))
@@ -137,7 +146,7 @@ def adapted(shared: DataFrame, num: int, den: int, heavy: int) -> DataFrame:
     rows = rows.withColumn("h", F.sum("heavy").over(own)).withColumn("cold", F.count("*").over(own) - F.col("h"))
     rows = rows.withColumn("need", F.when(F.col("dense"), F.col("m") - F.col("p") + 1).otherwise(1 + F.col("h") + F.col("more")))
     hot = F.col("dense") | (F.col("need") >= F.least(F.col("n") * 0.7, F.col("p") * 0.2 + 16))
-    return rows.select("el", "cid", "n", F.col("heavy").cast("boolean").alias("heavy"), "need", "h", "cold", hot.alias("hot"))
+    return rows.select("el", "cid", "n", F.col("heavy").cast("boolean").alias("heavy"), "df", "need", "h", "cold", hot.alias("hot"))
 
 
 def near_length(num: int, den: int) -> str:
@@ -156,23 +165,30 @@ def cold_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     return counted.where("c + least(a_h, b_h) >= least(a_need, b_need)").select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
 
 
+def with_pivot(rows: DataFrame, pivots: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined to pivots (one row for each value of keys). Both have df, by which a heavy element's rows are dealt into salts."""
+    salts = F.ceil(F.col("df") / SALT_CLASSES).cast("int")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(9)), salts).cast("int")).drop("df")
+    return dealt.join(pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("df"), [*keys, "salt"])
+
+
 def pivot_pairs(hot: DataFrame, num: int, den: int) -> DataFrame:
-    """hot: el, cid, n. Each class with the first class of each of its elements in its band of lengths, and in the band below."""
+    """hot: el, cid, n, df. Each class with the first class of each of its elements in its band of lengths, and in the band below."""
     band = hot.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))))
-    pivots = band.groupBy("el", "band").agg(F.min(F.struct("cid", "n")).alias("first")).select("el", "band", F.col("first.cid").alias("a_cid"), F.col("first.n").alias("a_n"))
-    members = band.select("el", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("cid").alias("b_cid"), F.col("n").alias("b_n"))
-    pairs = members.join(pivots, ["el", "band"]).where(f"a_cid <> b_cid AND {near_length(num, den)}")
-    return pairs.select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
+    pivots = band.groupBy("el", "band").agg(F.min(F.struct("cid", "n")).alias("first"), F.max("df").alias("df")).select("el", "band", F.col("first.cid").alias("a_cid"), F.col("first.n").alias("a_n"), "df")
+    members = band.select("el", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "cid", F.col("n").alias("b_n"), "df")
+    pairs = with_pivot(members, pivots, ["el", "band"]).where(f"a_cid <> cid AND {near_length(num, den)}")
+    return pairs.select(F.least("a_cid", "cid").alias("a"), F.greatest("a_cid", "cid").alias("b")).distinct()
 
 
-def families(hot: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+def families(hot: DataFrame, labels: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """cid, family, band, comp and left for classes that share heavy elements, directly or through others, with a class of another component.
 
     band: of its length; linked sets are one band apart at most. left: outside the family's largest component.
     """
-    first = hot.groupBy("el").agg(F.min("cid").alias("first"))
-    edges = hot.join(first, "el").where("cid <> first").select(F.col("cid").alias("a"), F.col("first").alias("b")).distinct()
-    family = components(edges).withColumnRenamed("label", "family")
+    first = hot.groupBy("el").agg(F.min("cid").alias("first"), F.max("df").alias("df"))
+    edges = with_pivot(hot.select("el", "cid", "df"), first, ["el"]).where("cid <> first").select(F.col("cid").alias("a"), F.col("first").alias("b")).distinct()
+    family = components(edges, scratch).withColumnRenamed("label", "family")
     placed = hot.select("cid", "n").distinct().join(family, "cid").join(labels, "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
     largest = placed.groupBy("family", "comp").count().groupBy("family").agg(F.max(F.struct("count", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select("family", F.col("most.comp").alias("most"))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)))
@@ -222,7 +238,7 @@ def block_links(num: int, den: int):
     return run
 
 
-def family_links(placed: DataFrame, sets: DataFrame, num: int, den: int, rows: int = BLOCK_CLASSES) -> DataFrame:
+def family_links(placed: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch, rows: int = BLOCK_CLASSES) -> DataFrame:
     """placed: as families gives it. sets: cid, els. Links that connect components of a family.
 
     Each band of a family is dealt into blocks by hash. The classes outside the largest component meet all blocks of
@@ -233,7 +249,7 @@ def family_links(placed: DataFrame, sets: DataFrame, num: int, den: int, rows: i
     lefts = placed.where("left").select("family", "band").distinct()
     outer = counts.join(lefts, ["family", "band"]).select("family", F.col("band").alias("l_band"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("l_block"))
     inner = counts.select("family", F.col("band").alias("r_band"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("r_block"))
-    pairs = written(outer.join(inner, "family").where("abs(l_band - r_band) <= 1"), "blocks")
+    pairs = scratch.write(outer.join(inner, "family").where("abs(l_band - r_band) <= 1"), "blocks")
     keys = ["family", "l_band", "l_block", "r_band", "r_block"]
 
     def part(side: str, chosen: DataFrame) -> DataFrame:
@@ -260,27 +276,28 @@ def bitmap(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """wanted: cid, distinct. cid and els, all elements of its set, sorted."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """wanted: cid, distinct. cid and els, all elements of its set by the second hash, sorted."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(bitmap(wanted.join(classes.select("cid", F.col("min_id").alias("doc_id")), "cid").select("doc_id")))
+    wanted = scratch.write(classes.select("cid", "k1", "k2", "min_id").join(wanted, "cid"), "wanted")
+    bits = spark.sparkContext.broadcast(bitmap(wanted.select(F.col("min_id").alias("doc_id"))))
 
     def sets(batches):
-        shingler = Shingler(k)
+        first, second = Shingler(k), Shingler(k, seed=1)
         known = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             bit = batch.column(1).to_numpy()
-            chosen = batch.filter(pa.array((known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
-            found = [s for s in shingler.sets(utf8(chosen.column(0))) if len(s)] if len(chosen) else []
-            yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cid", "els"])
+            texts = [t for t, b in zip(utf8(batch.column(0)), (known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1) if b and t.strip()]
+            if texts:
+                yield pa.RecordBatch.from_arrays([*class_keys(texts, first.sets(texts)), pa.array([s.tobytes() for s in second.sets(texts)], pa.binary())], names=["k1", "k2", "els"])
 
-    hashed = docs.where("doc_id IS NOT NULL").select("text", bit_of("doc_id").alias("bit")).mapInArrow(sets, "cid long, els binary").dropDuplicates(["cid"])
-    return hashed.join(wanted, "cid", "left_semi")
+    hashed = docs.where("doc_id IS NOT NULL").select("text", bit_of("doc_id").alias("bit")).mapInArrow(sets, "k1 long, k2 long, els binary").dropDuplicates(["k1", "k2"])
+    return hashed.join(wanted.select("k1", "k2", "cid"), ["k1", "k2"]).select("cid", "els")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """pairs: a, b. Those that link, by their whole sets."""
-    hashed = whole_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), classes, k)
+    hashed = whole_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), classes, k, scratch)
 
     def count(batches):
         for batch in batches:
@@ -296,44 +313,57 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num:
     return both.select("a", "b", "a_els", "b_els").mapInArrow(count, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """cid and label, the least cid of its component, for all that have a link: least labels of neighbours, then labels of labels, until nothing changes."""
-    edges = written(links.union(links.select("b", "a")).distinct().toDF("cid", "other"), "edges")
-    labels = written(edges.groupBy("cid").agg(F.least(F.col("cid"), F.min("other")).alias("label")), "labels")
+    edges = scratch.write(links.union(links.select("b", "a")).distinct().toDF("cid", "other"), "edges")
+    labels = scratch.write(edges.groupBy("cid").agg(F.least(F.col("cid"), F.min("other")).alias("label")), "labels")
     while True:
         near = edges.join(labels.select(F.col("cid").alias("other"), "label"), "other").groupBy("cid").agg(F.min("label").alias("near"))
         step = labels.join(near, "cid").select("cid", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = step.select(F.col("cid").alias("label"), F.col("label").alias("further"))
-        new = written(step.join(jump, "label").select("cid", "old", F.least("label", "further").alias("label")), "labels")
+        new = scratch.write(step.join(jump, "label").select("cid", "old", F.least("label", "further").alias("label")), "labels")
         changed = new.where("label <> old").limit(1).count()
-        labels = new.select("cid", "label")
+        scratch.drop(labels)
+        labels = new
         if not changed:
-            return labels
+            scratch.drop(edges)
+            return labels.select("cid", "label")
+        labels = new.drop("old")
+        scratch.paths[id(labels)] = labels, scratch.paths.pop(id(new))[1]
 
 
-def linked(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, heavy: int = HEAVY, range_elements: int = RANGE_ELEMENTS) -> DataFrame:
+def linked(docs: DataFrame, scratch: Scratch, k: int = WORDS, num: int = NUM, den: int = DEN, heavy: int = HEAVY, range_elements: int = RANGE_ELEMENTS) -> DataFrame:
     """docs: doc_id (long), text, h. doc_id, h, n_shingles, component_id and component of every row.
 
     component tells components apart, also where their least ids are equal; it is null where a row can't link.
     """
     prepare(docs.sparkSession)
-    signed = written(signatures(docs, k, num, den), "signatures")
-    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("min_id"), F.first("n").alias("n"), F.first("first").alias("first"))
-    known = written(classes, "classes")
-    elements = known.agg(F.sum(F.octet_length("first"))).first()[0] or 0
-    rows = written(adapted(shared_elements(known, max(1, -(-(elements // 8) // range_elements))), num, den, heavy), "prefixes")
-    hot = rows.where("heavy AND hot")
-    pairs = written(cold_pairs(rows, num, den).union(pivot_pairs(hot, num, den)).distinct(), "pairs")
-    links = written(verified(docs, pairs, known, k, num, den), "links")
-    labels = components(links)
-    apart = written(families(hot, labels, num, den), "families")
+    signed = scratch.write(signatures(docs, k, num, den).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("min_id"), F.max("n").alias("n"), F.min("row").alias("row"))
+    # numbers of rows and classes are fixed by the tables that they are written to
+    known = scratch.write(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    firsts = scratch.write(known.select("cid", "n", "row").join(signed.select("row", "first"), "row").drop("row"), "firsts")
+    narrow = scratch.write(signed.select("doc_id", "h", "n", "k1", "k2"), "rows")
+    scratch.drop(signed)
+    elements = firsts.agg(F.sum(F.octet_length("first"))).first()[0] or 0
+    rows = scratch.write(adapted(shared_elements(firsts, max(1, -(-(elements // 8) // range_elements))), num, den, heavy), "prefixes")
+    scratch.drop(firsts)
+    hot = scratch.write(rows.where("heavy AND hot").select("el", "cid", "n", "df"), "hot")
+    pairs = scratch.write(cold_pairs(rows, num, den).union(pivot_pairs(hot, num, den)).distinct(), "pairs")
+    scratch.drop(rows)
+    links = scratch.write(verified(docs, pairs, known, k, num, den, scratch), "links")
+    scratch.drop(pairs)
+    labels = components(links, scratch)
+    apart = scratch.write(families(hot, labels, num, den, scratch), "families")
+    scratch.drop(hot)
     if apart.limit(1).count():
-        more = family_links(apart, whole_sets(docs, apart.select("cid").distinct(), known, k), num, den)
-        labels = components(links.union(more))
+        more = family_links(apart, whole_sets(docs, apart.select("cid").distinct(), known, k, scratch), num, den, scratch)
+        labels = components(links.union(more), scratch)
+    scratch.drop(links, apart)
     least = labels.join(known.select("cid", "min_id"), "cid").groupBy("label").agg(F.min("min_id").alias("least"))
     least = labels.join(least, "label").select("cid", "label", "least")
-    homes = known.select("cid", "min_id").join(least, "cid", "left").select("cid", F.coalesce("least", "min_id").alias("home"), F.coalesce("label", "cid").alias("component"))
-    joined = signed.select("doc_id", "h", "n", "cid").join(homes, "cid", "left")
+    homes = known.select("cid", "min_id", "k1", "k2").join(least, "cid", "left").select("k1", "k2", F.coalesce("least", "min_id").alias("home"), F.coalesce("label", "cid").alias("component"))
+    joined = narrow.join(homes, ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("home"))
     return joined.select("doc_id", "h", F.col("n").alias("n_shingles"), own.alias("component_id"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")).alias("component"))
 
@@ -344,22 +374,26 @@ def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def join_components(df: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, heavy: int = HEAVY, doc_id: str = "doc_id", text: str = "text", range_elements: int = RANGE_ELEMENTS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    return linked(keyed(df, doc_id, text), k, num, den, heavy, range_elements).select("doc_id", "n_shingles", "component_id")
+    scratch = Scratch(df.sparkSession, "ngram")
+    return linked(keyed(df, doc_id, text), scratch, k, num, den, heavy, range_elements).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(df: DataFrame, k: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df but those of a component that aren't its first by id (and text, where an id repeats). Rows that can't link stay."""
-    found = linked(keyed(df, doc_id, text), k, num, den).where("component IS NOT NULL").select("component", F.struct("doc_id", "h").alias("row"))
-    found = written(found, "components")
-    first = found.groupBy("component").agg(F.min("row").alias("first"), F.sum(F.lit(1)).alias("rows"))
+    scratch, row = Scratch(df.sparkSession, "ngram"), ["doc_id", "h"]
+    found = scratch.write(linked(keyed(df, doc_id, text), scratch, k, num, den).where("component IS NOT NULL").select("component", *row), "components")
     # rows are known by id and text, never by their place in a scan
-    gone = written(found.join(first, "component").where("row <> first").select(F.col("row.doc_id").alias("gone_id"), F.col("row.h").alias("gone_h")).distinct(), "gone")
-    again = written(found.groupBy("row").count().where("count > 1").select(F.col("row.doc_id").alias("gone_id"), F.col("row.h").alias("gone_h")).join(gone, ["gone_id", "gone_h"], "left_anti"), "again")
-    same = (F.col(doc_id) == F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_h"))
+    first = found.groupBy("component").agg(F.min(F.struct(*row)).alias("first")).select("component", *(F.col(f"first.{c}").alias(c) for c in row))
+    gone = found.join(first, ["component", *row], "left_anti").select(*row).distinct()
+    gone_id, gone_h, one_h = unused(df, "gone_id", "gone_h", "one_h")
+    gone = scratch.write(gone.toDF(gone_id, gone_h), "gone")
+    again = scratch.write(found.groupBy(*row).count().where("count > 1").select(*row).toDF(gone_id, gone_h).join(gone, [gone_id, gone_h], "left_anti"), "again")
+    scratch.drop(found)
+    same = (F.col(doc_id) == F.col(gone_id)) & (F.xxhash64(text) == F.col(gone_h))
     kept = df.join(gone, same, "left_anti")
     if not again.limit(1).count():
         return kept
-    once = kept.join(again, same, "left_semi").withColumn("one_h", F.xxhash64(text)).dropDuplicates([doc_id, "one_h"]).drop("one_h")
+    once = kept.join(again, same, "left_semi").withColumn(one_h, F.xxhash64(text)).dropDuplicates([doc_id, one_h]).drop(one_h)
     return kept.join(again, same, "left_anti").unionByName(once)
 
 

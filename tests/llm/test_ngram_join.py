@@ -68,3 +68,20 @@ def test_large_groups_and_shared_passages(spark, heavy):
     for k, num, den in ((4, 85, 100), (5, 80, 100)):
         got = five.join_components(df, k, num, den, heavy, range_elements=900)
         assert sorted(map(tuple, got.collect()), key=str) == brute(rows, k, num, den)
+
+
+def test_structured_words_share_no_hash(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, one), (2, other), (3, one.upper()), (4, f"{one} x y z"), (5, f"{other} x y z"), (6, f"{near} {one}"), (7, f"{near} {other}"), (8, f"{one} {near}")]
+    got = five.join_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
+def test_clashing_columns(spark):
+    rows = [(i, text, f"g{i}", i, i) for i, text in enumerate(["a b c d e", "A b  c d e", "x y z", None, ""])]
+    df = spark.createDataFrame(rows + rows[2:3], "doc_id long, text string, gone_id string, gone_h long, One_h long")
+    got = five.one_of_each(df, 5, 80, 100)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], *rows[2:]], key=str)
