@@ -3,12 +3,14 @@
 Vectors are dealt into shards of about SHARD_ROWS, queries into blocks of about QUERY_ROWS; each pair of a shard
 and a block is one group. It builds the shard's ball tree and visits its leaves, for each query, in the order of
 the upper bound <q, centre> + |q| * radius (the least on the way from the root), until the bound falls under the
-query's kth score. The kth score of a first shard is shared with the searches of all others, where it prunes from
-the start. A bound equal to the kth score is still visited, as a tie may go to a smaller id.
+query's kth score. Shards are searched in waves, the first of one shard and each further one WAVE times as many as
+all before it: a query's best k so far go along as its kth score into every later shard, where it prunes from the
+start. A bound equal to the kth score is still visited, as a tie may go to a smaller id.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without id, take no part;
-rows that repeat an id count once, with the least vector; only vectors of a query's own length are compared with
-it; with fewer than k candidates all are returned; an empty table gives no rows. Scores beyond a long are clipped.
+rows that repeat an id are rows of their own: each is a candidate of the others, and a query if its id is one; only
+vectors of a query's own length are compared with it; with fewer than k candidates all are returned; an empty table
+gives no rows; further columns aren't read. Scores beyond a long are clipped.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import Scratch, table
 
 SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 8_192, 4_096, 128
-K, SCALE, QUERY_STEP = 20, 64, 20
+K, SCALE, QUERY_STEP, WAVE = 20, 64, 20, 3
 NONE = np.iinfo(np.int64).min
 
 
@@ -57,8 +59,8 @@ class BallTree:
         return np.stack([node[:, list(way)].min(axis=1) for _, way in self.leaves], axis=1)
 
 
-def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids (n queries x k, -inf where there are fewer) that may be among the best k; floor: the kth score known so far."""
+def search(x: np.ndarray, ids: np.ndarray, own: np.ndarray, q: np.ndarray, q_own: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids (n queries x k, -inf where there are fewer) that may be among the best k; own, q_own: numbers of the rows; floor: the kth score known so far."""
     n = len(q)
     best, best_id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
     kth = floor.copy()
@@ -73,7 +75,7 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, flo
         for node in np.unique(leaf[alive]):
             rows, members = alive[leaf[alive] == node], tree.leaves[node][0]
             scores = q[rows] @ x[members].T
-            scores[q_ids[rows][:, None] == ids[members][None, :]] = -np.inf
+            scores[q_own[rows][:, None] == own[members][None, :]] = -np.inf
             better = (scores >= kth[rows][:, None]) & (scores > -np.inf)
             gains = better.any(axis=1)
             if not gains.any():
@@ -87,31 +89,31 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, flo
     return best, best_id
 
 
-def search_wide(x, ids, q, q_ids, k: int):
-    """As search, in Python's integers: for components whose sums a double can't hold."""
-    for row, own in zip(q, q_ids):
-        scored = sorted((-sum(int(a) * int(b) for a, b in zip(row, v)), int(i)) for v, i in zip(x, ids) if i != own)[:k]
+def search_wide(x, ids, own, q, q_own, k: int):
+    """As search, in Python's integers: for components whose sums a double can't hold. Number of the query's row, id, score."""
+    for row, number in zip(q, q_own):
+        scored = sorted((-sum(int(a) * int(b) for a, b in zip(row, v)), int(i)) for v, i, o in zip(x, ids, own) if o != number)[:k]
         for s, i in scored:
-            yield int(own), i, max(-(2**63), min(2**63 - 1, -s))
+            yield int(number), i, max(-(2**63), min(2**63 - 1, -s))
 
 
 def group_search(k: int):
     def run(key, vectors: pa.Table, queries: pa.Table) -> pa.Table:
         dim = key[0].as_py()
-        empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())}
+        names = ["query_row", "vec_id", "score"]
         if not len(vectors) or not len(queries):
-            return pa.table(empty)
-        ids, q_ids = vectors.column("vec_id").to_numpy(), queries.column("query_id").to_numpy()
+            return pa.table({n: pa.array([], pa.int64()) for n in names})
+        ids, own, q_own = vectors.column("vec_id").to_numpy(), vectors.column("row").to_numpy(), queries.column("query_row").to_numpy()
         x = vectors.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
-        q = queries.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(q_ids), dim)
+        q = queries.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(q_own), dim)
         if dim and float(np.abs(x.astype(np.float64)).max()) * float(np.abs(q.astype(np.float64)).max()) * dim >= 2.0**53:
-            found = list(search_wide(x, ids, q, q_ids, k))
-            return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate(empty)})
+            found = list(search_wide(x, ids, own, q, q_own, k))
+            return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate(names)})
         floor = queries.column("kth").to_numpy().astype(np.float64)
         floor[queries.column("kth").to_numpy() == NONE] = -np.inf
-        best, best_id = search(x.astype(np.float64), ids, q.astype(np.float64), q_ids, floor, k)
+        best, best_id = search(x.astype(np.float64), ids, own, q.astype(np.float64), q_own, floor, k)
         at, place = np.nonzero(best > -np.inf)
-        return pa.table({"query_id": q_ids[at], "vec_id": best_id[at, place], "score": best[at, place].astype(np.int64)})
+        return pa.table({"query_row": q_own[at], "vec_id": best_id[at, place], "score": best[at, place].astype(np.int64)})
 
     return run
 
@@ -120,35 +122,48 @@ def quantised(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
     """vec_id and q, array<bigint>, of the rows that take part."""
     x = F.col(vector)
     good = F.col(vec_id).isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    rows = df.where(good).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double"))).alias("q"))
-    return rows.groupBy("vec_id").agg(F.min("q").alias("q"))
+    return df.where(good).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double"))).alias("q"))
+
+
+def waves(shards: int, growth: int = WAVE):
+    """Ranges of shards, each growth times as long as all before it."""
+    first, past = 0, 1
+    while first < shards:
+        yield first, min(past, shards)
+        first, past = past, past * (growth + 1)
 
 
 def top_k(df: DataFrame, is_query, k: int = K, scale: int = SCALE, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows for each row for which is_query(vec_id) holds."""
-    rows = written(quantised(df, vec_id, vector, scale).withColumn("dim", F.size("q")), "vectors")
-    asked = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "q", "dim")
+    scratch = Scratch(df.sparkSession, "topk")
+    # a row's number is fixed by the table that it is written to
+    rows = scratch.write(quantised(df, vec_id, vector, scale).withColumns({"dim": F.size("q"), "row": F.monotonically_increasing_id()}), "vectors")
+    asked = rows.where(is_query(F.col("vec_id"))).select(F.col("row").alias("query_row"), "q", "dim")
     shards, blocks = max(1, -(-rows.count() // shard_rows)), max(1, -(-asked.count() // query_rows))
-    block = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int")
-    asked = asked.withColumn("block", block)
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_row", F.lit(1)), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     keys = ["dim", "shard", "block"]
-
-    def found(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    best_first = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    best = None
+    for first, past in waves(shards):
         # aliases, as both sides come from one table
-        vectors = vectors.select(F.col("dim").alias("dim"), F.col("shard").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", F.col("q").alias("q"))
-        pairs = vectors.groupBy(keys).cogroup(queries.select(*(F.col(c).alias(c) for c in [*keys, "query_id", "q", "kth"])).groupBy(keys))
-        return pairs.applyInArrow(group_search(k), "query_id long, vec_id long, score long")
-
-    first = found(asked.withColumn("shard", F.lit(0)).withColumn("kth", F.lit(NONE)), dealt.where("shard = 0"))
-    if shards > 1:
-        first = written(first, "first")
-        shared = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-        rest = asked.join(shared, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(NONE)))
-        rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
-        first = first.unionByName(found(rest, dealt.where("shard > 0")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        vectors = dealt.where((F.col("shard") >= first) & (F.col("shard") < past)).select(F.col("dim").alias("dim"), F.col("shard").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", F.col("q").alias("q"), "row")
+        queries = asked.withColumn("kth", F.lit(NONE))
+        if best is not None:
+            kth = best.where(F.col("rank") == k).select("query_row", F.col("score").alias("kth"))
+            queries = asked.join(kth, "query_row", "left").withColumn("kth", F.coalesce("kth", F.lit(NONE)))
+        queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(first), F.lit(past - 1)))).select(*(F.col(c).alias(c) for c in [*keys, "query_row", "q", "kth"]))
+        found = vectors.groupBy(keys).cogroup(queries.groupBy(keys)).applyInArrow(group_search(k), "query_row long, vec_id long, score long")
+        spent = best
+        if best is not None:
+            found = found.unionByName(best.select("query_row", "vec_id", "score"))
+        best = found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+        if past < shards:
+            best = scratch.write(best, "best")
+        if spent is not None and past < shards:
+            scratch.drop(spent)
+    ids = rows.where(is_query(F.col("vec_id"))).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"))
+    return best.join(ids, "query_row").select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,17 +172,16 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE)))) AS q
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-  GROUP BY vec_id
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+  SELECT a.r, a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r AND len(a.q) = len(b.q)
   WHERE a.vec_id % 20 = 0
-), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+), o AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 20
 """
