@@ -5,13 +5,17 @@ floor(t / s) times whole, and once more in a permuted order until the rest of it
 block, documents are taken in hash order. So a source's quota is an exact number of blocks to draw. A binary tree
 splits all quotas among the output shards: at each node the left half's share of every source is one draw from
 the multivariate hypergeometric distribution. A leaf's quotas are met by the next blocks of each source's
-permutation, so shards draw disjoint blocks, and their documents are shuffled within the shard.
+permutation, so shards draw disjoint blocks, and their documents are shuffled within the shard. There are as many
+shards as SHARD_WORDS asks for.
 
 The driver holds one row for each source and one for each block (BLOCKS and one a source, at most MAX_SOURCES
-sources, an error beyond); documents meet the plan by a broadcast join of that bounded table.
+sources, an error beyond); documents meet the plan by a broadcast join of that bounded table. The last block of a
+source, of which a part is taken, is summed up by PARTS parts of it first; within one part alone documents are put
+in order, 1 / (MOST_BLOCKS * PARTS) of a large source.
 
-Defined results: a null text has size 0; a null source is a source, the last; null ids and repeated rows are rows
-like any other; a source without words has target 0 and gives nothing; an empty table gives none.
+Defined results: a null text has size 0; a very long text is one document, taken or not as a whole; a null source
+is a source, the last; null ids and repeated rows are rows like any other; a source without words has target 0 and
+gives nothing; an empty table gives none; further columns are handed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,14 +23,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import Scratch, table, unused
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 SHARDS, BLOCKS, MOST_BLOCKS, SEED = 32, 8_192, 4_096, 11
-MAX_SOURCES = 100_000
+MAX_SOURCES, PARTS, SHARD_WORDS = 100_000, 4_096, 1 << 26
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -95,48 +99,64 @@ def draw_plan(blocks: list[np.ndarray], goals: list[float], shards: int, seed: i
     return plan
 
 
-def mix(df: DataFrame, size: str, key: str, source: str = "source", shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """The mixture (df's rows, as often as taken, with columns mix_shard and mix_copy) and a table of source, source_size and target.
+class Mixture:
+    """rows: the mixture, df's rows as often as taken, with two further columns, named shard and copy here. sources: source, source_size and target."""
 
-    size: words of a row. key: a hash of the row, the same on every run.
-    """
-    spark = df.sparkSession
+    def __init__(self, rows: DataFrame, sources: DataFrame, shard: str, copy: str, shards: int):
+        self.rows, self.sources, self.shard, self.copy, self.shards = rows, sources, shard, copy, shards
+
+
+def mix(df: DataFrame, size: Column, key: Column, source: str = "source", shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED, shard_words: int = SHARD_WORDS) -> Mixture:
+    """size: words of a row. key: a hash of the row, the same on every run. shards: their least number."""
+    spark, columns = df.sparkSession, df.columns
+    scratch = Scratch(spark, "mixing")
     fine = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(MOST_BLOCKS)).cast("int")
-    stats = written(df.groupBy(F.col(source).alias("s"), fine.alias("fine")).agg(F.sum(size).alias("words")), "blocks")
+    stats = scratch.write(df.groupBy(F.col(source).cast("string").alias("s"), fine.alias("fine")).agg(F.sum(size).alias("words")), "blocks")
     totals = stats.groupBy("s").agg(F.sum("words").alias("words")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     totals = sorted(((r["s"], int(r["words"])) for r in totals), key=lambda r: (r[0] is None, r[0] or ""))
     goals = targets([w for _, w in totals], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(totals))])
     everything = max(1, sum(w for _, w in totals))
+    shards = max(shards, math.ceil(sum(goals) / shard_words))
     # a power of two, so that a source's blocks are unions of its fine ones
     counts = [min(MOST_BLOCKS, 1 << max(0, math.ceil(math.log2(max(1.0, blocks * w / everything))) - 1)) for _, w in totals]
     named = spark.createDataFrame([(s, i, n, w, g) for i, ((s, w), n, g) in enumerate(zip(totals, counts, goals))], "s string, rank int, n_blocks int, source_size long, target double")
     sums = stats.join(F.broadcast(named), stats["s"].eqNullSafe(named["s"])).groupBy("rank", F.pmod("fine", "n_blocks").alias("block")).agg(F.sum("words").alias("words")).collect()
+    scratch.drop(stats)
     words = [np.zeros(n, np.int64) for n in counts]
     for r in sums:
         words[r["rank"]][r["block"]] = r["words"]
-    plan = spark.createDataFrame(draw_plan(words, goals, shards, seed), "mix_rank int, mix_block int, mix_copy int, mix_shard int, mix_limit double")
-    of_source = named.select(F.col("s").alias("mix_s"), F.col("rank").alias("mix_rank"), F.col("n_blocks").alias("mix_n"))
-    ranked = df.join(F.broadcast(of_source), F.col(source).eqNullSafe(F.col("mix_s"))).withColumn("mix_block", F.pmod(fine, F.col("mix_n")))
-    drawn = ranked.join(F.broadcast(plan), ["mix_rank", "mix_block"])
-    # of one block a source, documents up to the words that are left, in hash order; a document goes in if it brings the sum nearer
-    order = Window.partitionBy("mix_rank", "mix_copy").orderBy(F.xxhash64(key, F.lit(seed + 1)), key).rowsBetween(Window.unboundedPreceding, 0)
-    part = drawn.where("mix_limit IS NOT NULL").withColumn("mix_sum", F.sum(size).over(order)).where(F.col("mix_sum") - F.col(size) / 2 <= F.col("mix_limit")).drop("mix_sum")
-    mixed = drawn.where("mix_limit IS NULL").unionByName(part)
-    return mixed.select(*[F.col(c) for c in df.columns], "mix_shard", "mix_copy"), named.select(F.col("s").alias("source"), "source_size", "target")
-
-
-def shuffled(mixed: DataFrame, key: str, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    rank, block, copy, shard, limit, s, n, hashed, part, before, upto = unused(df, *(f"mix_{x}" for x in ("rank", "block", "copy", "shard", "limit", "s", "n", "hash", "part", "before", "sum")))
+    plan = spark.createDataFrame(draw_plan(words, goals, shards, seed), f"{rank} int, {block} int, {copy} int, {shard} int, {limit} double")
+    of_source = named.select(F.col("s").alias(s), F.col("rank").alias(rank), F.col("n_blocks").alias(n))
+    # a block of which a part is taken is the only such block of its source
+    cut = plan.where(F.col(limit).isNotNull())
+    ranked = df.join(F.broadcast(of_source), F.col(source).cast("string").eqNullSafe(F.col(s))).withColumn(block, F.pmod(fine, F.col(n)))
+    whole = ranked.join(F.broadcast(plan.where(F.col(limit).isNull())), [rank, block])
+    partly = ranked.join(F.broadcast(cut), [rank, block]).withColumn(hashed, F.xxhash64(key, F.lit(seed + 1))).withColumn(part, F.shiftrightunsigned(hashed, 64 - (PARTS - 1).bit_length()))
+    sums = partly.groupBy(rank, part).agg(F.sum(size).alias(upto))
+    sums = sums.withColumn(before, F.sum(upto).over(Window.partitionBy(rank).orderBy(part)) - F.col(upto))
+    sums = sums.join(F.broadcast(cut.select(rank, limit)), rank).where(F.col(before) <= F.col(limit)).select(rank, part, before)
+    # documents in hash order; one goes in if it brings the sum nearer to what is left. Whole parts need no order
+    inner = partly.join(sums, [rank, part])
+    order = Window.partitionBy(rank, part).orderBy(hashed, key).rowsBetween(Window.unboundedPreceding, 0)
+    taken = inner.withColumn(upto, F.col(before) + F.sum(size).over(order)).where(F.col(upto) - size / 2 <= F.col(limit))
+    mixed = whole.select(*columns, shard, copy).unionByName(taken.select(*columns, shard, copy))
+    return Mixture(mixed, named.select(F.col("s").alias("source"), "source_size", "target"), shard, copy, shards)
+
+
+def shuffled(mixture: Mixture, key: Column, seed: int = SEED) -> DataFrame:
     """Each shard's rows together, in an order of their own."""
-    return mixed.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", F.xxhash64(key, "mix_copy", F.lit(seed + 2)))
+    order = F.xxhash64(key, mixture.copy, F.lit(seed + 2))
+    return mixture.rows.repartition(mixture.shards, mixture.shard).sortWithinPartitions(mixture.shard, order).drop(mixture.shard, mixture.copy)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"), F.xxhash64("doc_id", "text").alias("key"), F.monotonically_increasing_id().alias("row"))
-    sizes = written(sizes, "sizes")
-    mixed, sources = mix(sizes, "size", "key")
-    taken = mixed.groupBy("row").agg(F.sum("size").alias("taken"))
-    out = sizes.join(taken, "row", "left").join(F.broadcast(sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
+    sizes = Scratch(spark, "mixing").write(sizes, "sizes")
+    mixture = mix(sizes, F.col("size"), F.col("key"))
+    taken = mixture.rows.groupBy("row").agg(F.sum("size").alias("taken"))
+    out = sizes.join(taken, "row", "left").join(F.broadcast(mixture.sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
