@@ -5,6 +5,9 @@ white space is followed by a blank: no match of the pattern holds both, and none
 matches are those of the whole text. Without such a place the part goes on until one comes. Decoding joins raw
 token bytes, so a character that several tokens share comes back whole.
 
+A run of over RUN_CHARS characters of white space, on which the library's pattern would exhaust its stack, is one match
+but for its last character, if anything follows. That match is encoded as one piece, without the pattern.
+
 Defined results: null and empty texts have no ids (the digests are those of no bytes); strings of special tokens
 are ordinary text; a null id stays null; repeated rows give repeated rows; an empty table gives none; columns of
 the input that bear a name of a result are replaced.
@@ -13,6 +16,7 @@ the input that bear a name of a result are replaced.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 
@@ -25,6 +29,11 @@ from .common import BINARY, BOOLEAN, LONG, STRING, append_columns, field, string
 SPLIT_CHARS = 65_536
 #: \S of Python's re leaves out all that any definition calls white space.
 SAFE = re.compile(r"\S(?=[ \t\n\r])")
+#: White space as the library's patterns know it. Python's also holds U+001C to U+001F.
+RUN_CHARS = 10_000
+RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN_CHARS)
+#: What a pattern must end with for a run to be such a match.
+RUN_RULE = r"|\s+(?!\S)|\s+"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,7 +46,7 @@ class Codec:
         import tiktoken
 
         self.library = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-        self.split_chars = split_chars
+        self.split_chars, self.runs = split_chars, pattern.endswith(RUN_RULE)
 
     def parts(self, text: str):
         start = 0
@@ -50,19 +59,34 @@ class Codec:
         yield text[start:]
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= self.split_chars:
+        if len(text) <= min(self.split_chars, RUN_CHARS):
             return self.library.encode_ordinary(text)
-        return [i for part in self.parts(text) for i in self.library.encode_ordinary(part)]
+        ids, start = [], 0
+        for run in RUN.finditer(text) if self.runs else ():
+            end = run.end() - (run.end() < len(text))
+            for part in self.parts(text[start : run.start()]):
+                ids += self.library.encode_ordinary(part)
+            ids += self.library._encode_single_piece(text[run.start() : end])
+            start = end
+        for part in self.parts(text[start:]):
+            ids += self.library.encode_ordinary(part)
+        return ids
 
     def decode(self, ids) -> bytes:
         return self.library.decode_bytes(ids)
 
 
+@functools.lru_cache(maxsize=1)
+def worker_codec(path: str, pattern: str, split_chars: int = SPLIT_CHARS) -> Codec:
+    """One in a Python worker, whatever number of tasks it runs."""
+    return Codec(path, pattern, split_chars)
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", split_chars: int = SPLIT_CHARS) -> DataFrame:
     """df with the ids of each text, array<int>, in column out."""
 
     def make():
-        codec = Codec(path, pattern, split_chars)
+        codec = worker_codec(path, pattern, split_chars)
 
         def fn(column):
             ids = [codec.encode(t) for t in strings(column)]
@@ -77,7 +101,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     """df with the bytes that each ids column stands for (null ids: no bytes)."""
 
     def make():
-        codec = Codec(path, pattern)
+        codec = worker_codec(path, pattern)
         return lambda column: [[codec.decode(x or []) for x in column.to_pylist()]]
 
     return append_columns(df, [ids], make, [field(out, BINARY)])
@@ -87,7 +111,7 @@ def coded(df: DataFrame, path: str, pattern: str, text: str = "text", split_char
     """df with ids, n_tokens and exact (whether the ids decode to the text's bytes), in one pass."""
 
     def make():
-        codec = Codec(path, pattern, split_chars)
+        codec = worker_codec(path, pattern, split_chars)
 
         def fn(column):
             texts = strings(column)
@@ -104,7 +128,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", split
     """df with n_tokens, ids_sha256 and decoded_sha256: digests of the ids and of what they decode to."""
 
     def make():
-        codec = Codec(path, pattern, split_chars)
+        codec = worker_codec(path, pattern, split_chars)
         # decimal digits and comma of every id, for digests without a Python object for each id
         names = [b"%d," % i for i in range(codec.library.n_vocab)]
 
