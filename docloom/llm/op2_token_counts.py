@@ -13,6 +13,7 @@ repeated rows; an empty table gives none; columns of the input that bear a name
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,18 +66,24 @@ def spliced(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERL
 class Counter:
     def __init__(self, path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
         self.tokenizer, self.chunk, self.overlap = load_tokenizer(path), chunk, overlap
-        self.cache = PieceCache(self.tokenizer, self.split, "", lambda text: [i for part in spliced(self.tokenizer, text, self.chunk, self.overlap) for i in part])
+        self.cache = PieceCache(self.tokenizer, self.split, lambda text: [i for part in spliced(self.tokenizer, text, self.chunk, self.overlap) for i in part])
 
     def split(self, text: str) -> list[str] | None:
         """A longer text than a chunk goes whole to the splicing."""
         return with_blanks(text) if len(text) <= self.chunk else None
 
 
+@functools.lru_cache(maxsize=1)
+def worker_counter(path: str, chunk: int, overlap: int) -> Counter:
+    """One in a Python worker, whatever number of tasks it runs."""
+    return Counter(path, chunk, overlap)
+
+
 def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = LIMIT, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """df with n_bytes, n_tokens and over_limit (n_tokens > limit). path: a file of the tokenizers library, on every node."""
 
     def make():
-        counter = Counter(path, chunk, overlap)
+        counter = worker_counter(path, chunk, overlap)
 
         def fn(column):
             n = counter.cache.counts(strings(column))
