@@ -7,12 +7,15 @@ Documents go to the files in ascending id order (null ids first; equal ids by a
 and a line feed, written by Spark's own writer: its commit protocol keeps files of lost or repeated tasks out,
 and it reaches any file system that Spark does. An end takes 2 + log2(ids a document) bits, where a table takes 64.
 
-Defined results: null and empty texts have the end id alone; repeated rows give repeated rows; an empty table gives no file and no row;
-further columns of the input are not read.
+The query reads each file once, and learns where its documents stand from select() on the coded ends.
+
+Defined results: null and empty texts have the end id alone; a text of any length is one document, and a file that it fills over its
+bound ends with it; repeated rows give repeated rows; an empty table gives no file and no row; further columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 
@@ -22,29 +25,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, strings, table
-from .pieces import PieceCache, load_tokenizer, without_blanks
+from .common import Scratch, prepare, strings, table
+from .pieces import CONTROL_CUT, PieceCache, load_tokenizer, without_blanks
 
 MAGIC = b"ELFT"
 HEAD = "<4sB3xIIQQQ"
-FILE_IDS = 1 << 22
-SELECT_STEP = 64
+FILE_IDS, FILE_DOCS, READ_DOCS = 1 << 22, 1 << 18, 4_096
+#: Bytes of a block of the upper bit string and blocks of a span: a block's count is 16 bits, a span's 64.
+BLOCK, SPAN = 64, 127
+#: Places of a byte's ones: byte, number of the one -> bit.
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+ONES = BITS.sum(axis=1)
+NTH = np.argsort(1 - BITS, axis=1, kind="stable").astype(np.uint8)
 
 
 class EliasFano:
     """A sequence of integers that doesn't fall, in at most 2 + log2(largest / count) bits each.
 
     The low bits of each value stand side by side; the rest is a bit string in which the one of value i stands at
-    (value >> low) + i. Every SELECT_STEP-th one's place is known, so access(i) looks at a few words.
+    (value >> low) + i. A directory counts the ones before each block of BLOCK bytes from the start of its span, and
+    before each span, some 4 % of the bit string; select() goes by span, block and byte, so access() reads one block
+    for each value that it's asked for.
     """
 
     HEAD = "<QBQ"
 
     def __init__(self, n: int, low: int, lower: np.ndarray, upper: np.ndarray):
         self.n, self.low, self.lower, self.upper = n, low, lower, upper  # bytes
-        counts = np.cumsum(np.unpackbits(upper).reshape(-1, 8).sum(axis=1)) if len(upper) else np.zeros(0, np.int64)
-        self.ranks = counts
-        self.marks = np.searchsorted(counts, np.arange(0, n, SELECT_STEP) + 1)
+        whole = len(upper) // BLOCK
+        counts = np.zeros(-(-len(upper) // BLOCK), np.uint32)
+        for i in range(0, whole, 4096):
+            j = min(whole, i + 4096)
+            counts[i:j] = ONES[upper[i * BLOCK : j * BLOCK]].reshape(-1, BLOCK).sum(axis=1)
+        if whole < len(counts):
+            counts[whole] = ONES[upper[whole * BLOCK :]].sum()
+        spans = range(0, len(counts), SPAN)
+        self.spans = np.cumsum([0] + [int(counts[i : i + SPAN].sum()) for i in spans])[:-1].astype(np.uint64)
+        self.blocks = np.concatenate([np.cumsum(counts[i : i + SPAN]) - counts[i : i + SPAN] for i in spans] or [counts]).astype(np.uint16)
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -52,7 +69,9 @@ class EliasFano:
         n = len(values)
         low = max(0, (int(values[-1]) // n).bit_length() - 1) if n else 0
         if low:
-            bits = ((values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+            bits = np.empty((n, low), np.uint8)
+            for b in range(low):
+                bits[:, b] = (values >> np.uint64(b)) & np.uint64(1)
             lower = np.packbits(bits.ravel(), bitorder="little")
         else:
             lower = np.zeros(0, np.uint8)
@@ -61,21 +80,41 @@ class EliasFano:
         upper[places] = 1
         return cls(n, low, lower, np.packbits(upper, bitorder="little"))
 
-    def select(self, i: int) -> int:
-        """Place of the i-th one, counted from 0."""
-        at = int(self.marks[i // SELECT_STEP])
-        while self.ranks[at] <= i:
-            at += 1
-        before = int(self.ranks[at - 1]) if at else 0
-        return at * 8 + int(np.flatnonzero(np.unpackbits(self.upper[at : at + 1], bitorder="little"))[i - before])
-
-    def access(self, i: int) -> int:
-        value = 0
-        if self.low:
-            first = i * self.low
-            window = int.from_bytes(self.lower[first // 8 : (first + self.low + 7) // 8].tobytes(), "little")
-            value = (window >> (first % 8)) & ((1 << self.low) - 1)
-        return ((self.select(i) - i) << self.low) | value
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """Places of the i-th ones, counted from 0."""
+        span = np.searchsorted(self.spans, i.astype(np.uint64), side="right") - 1
+        left = i - self.spans[span].astype(np.int64)
+        first, past = span * SPAN, np.minimum((span + 1) * SPAN, len(self.blocks))
+        while (past - first > 1).any():  # the last block with no more ones before it than are left
+            mid = (first + past) // 2
+            up = (self.blocks[mid] <= left) & (past - first > 1)
+            first, past = np.where(up, mid, first), np.where(up | (past - first <= 1), past, mid)
+        left = left - self.blocks[first]
+        at = first[:, None] * BLOCK + np.arange(BLOCK)
+        here = np.where(at < len(self.upper), self.upper[np.minimum(at, len(self.upper) - 1)], 0)
+        sums = np.cumsum(ONES[here], axis=1, dtype=np.int64)
+        byte = (sums <= left[:, None]).sum(axis=1)
+        row = np.arange(len(i))
+        left = left - np.where(byte > 0, sums[row, byte - 1], 0)
+        return at[row, byte] * 8 + NTH[here[row, byte], left]
+
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """The values of these numbers."""
+        i = np.asarray(i, np.int64)
+        if not len(i):
+            return np.zeros(0, np.uint64)
+        high = (self.select(i) - i).astype(np.uint64) << np.uint64(self.low)
+        if not self.low:
+            return high
+        first = i * self.low
+        at = first[:, None] // 8 + np.arange(9)
+        window = np.where(at < len(self.lower), self.lower[np.minimum(at, len(self.lower) - 1)], 0).astype(np.uint64)
+        shift = (first % 8).astype(np.uint64)[:, None]
+        # nine bytes hold the low bits, wherever in a byte they begin
+        parts = np.where(np.arange(9) < 8, (window << (np.arange(9, dtype=np.uint64) % 8 * np.uint64(8))), 0)
+        word = np.bitwise_or.reduce(parts, axis=1) >> shift[:, 0]
+        spill = np.where(shift[:, 0] > 0, window[:, 8] << (np.uint64(64) - np.maximum(shift[:, 0], np.uint64(1))), np.uint64(0))
+        return high | ((word | spill) & np.uint64((1 << self.low) - 1))
 
     def all(self) -> np.ndarray:
         places = np.flatnonzero(np.unpackbits(self.upper, bitorder="little")).astype(np.uint64)
@@ -104,7 +143,7 @@ def dump_file(task: int, number: int, doc_ids: list, tokens: list[bytes], width:
     first = int(known[0]) if len(known) else 0
     gaps = known.astype(np.uint64) - np.uint64(first & 0xFFFFFFFFFFFFFFFF)
     head = struct.pack(HEAD, MAGIC, width, task, number, len(tokens), len(tokens) - len(known), int(ends[-1]) if len(ends) else 0)
-    return head + EliasFano.of(ends).dump() + struct.pack("<q", first) + EliasFano.of(gaps).dump() + b"".join(tokens)
+    return b"".join([head, EliasFano.of(ends).dump(), struct.pack("<q", first), EliasFano.of(gaps).dump(), *tokens])
 
 
 class TokenFile:
@@ -120,24 +159,36 @@ class TokenFile:
         self.gaps, at = EliasFano.load(view, at + 8)
         self.first, self.ids = first, np.frombuffer(view, f"<u{self.width}", self.n_ids, at)
 
-    def doc_id(self, i: int) -> int | None:
-        return None if i < self.n_null else self.first + self.gaps.access(i - self.n_null)
+    def doc_ids(self, first: int, past: int) -> list:
+        """Ids of the documents from first on, before past."""
+        nulls = max(0, min(past, self.n_null) - first)
+        known = self.gaps.access(np.arange(max(first, self.n_null), max(past, self.n_null)) - self.n_null)
+        return [None] * nulls + (known + np.uint64(self.first & 0xFFFFFFFFFFFFFFFF)).astype(np.int64).tolist()
+
+    def bounds(self, first: int, past: int) -> np.ndarray:
+        """Where in ids the documents from first on begin, and where the last before past ends."""
+        ends = self.ends.access(np.arange(max(0, first - 1), past)).astype(np.int64)
+        return ends if first else np.concatenate([[0], ends])
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.ends.access(i - 1) if i else 0 : self.ends.access(i)]
+        start, end = self.bounds(i, i + 1)
+        return self.ids[start:end]
 
-    def doc_ids(self) -> list:
-        return [None] * self.n_null + (self.gaps.all() + np.uint64(self.first & 0xFFFFFFFFFFFFFFFF)).astype(np.int64).tolist()
+
+@functools.lru_cache(maxsize=1)
+def worker_cache(path: str) -> PieceCache:
+    """One in a Python worker, whatever number of tasks it runs."""
+    return PieceCache(load_tokenizer(path), without_blanks, cut=CONTROL_CUT, word_end="</w>")
 
 
 def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int | None, doc_id: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> None:
-    """Encode text and write the files to folder. Range partitions keep the order; a task starts a new file each file_ids ids."""
+    """Encode text and write the files to folder. Range partitions keep the order; a task starts a new file each file_ids ids or FILE_DOCS documents."""
 
     def pack(batches):
-        library = load_tokenizer(tokenizer)
+        cache = worker_cache(tokenizer)
+        library = cache.tokenizer
         width = 2 if library.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
         kind, end = f"<u{width}", b"" if end_id is None else end_id.to_bytes(width, "little")
-        cache = PieceCache(library, without_blanks, " ")
         task, number, ids, tokens, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def blob():
@@ -149,56 +200,51 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int |
                 ids.append(i)
                 tokens.append(found.astype(kind).tobytes() + end)
                 size += len(tokens[-1])
-                if size >= file_ids * width:
+                if size >= file_ids * width or len(ids) >= FILE_DOCS:
                     yield blob()
                     number, ids, tokens, size = number + 1, [], [], 0
         if tokens:
             yield blob()
 
+    prepare(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
     tie = F.xxhash64("t")
     ranged = docs.repartitionByRange(F.col("i").asc_nulls_first(), tie).sortWithinPartitions(F.col("i").asc_nulls_first(), tie)
     ranged.mapInArrow(pack, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(folder)
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document of the files in folder."""
+def read_token_files(spark: SparkSession, folder: str, scratch: Scratch) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document of the files in folder; each file is read once."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
 
-    def heads(batches):
-        for batch in batches:
-            rows = [struct.unpack_from(HEAD, x.as_py(), 0) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 6)], names=["task", "number", "ids"])
-
     def documents(batches):
         for batch in batches:
             for x in batch.column(0):
                 f = TokenFile(x.as_py())
-                ends = f.ends.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
-                wide = f.ids.astype("<u4")
-                crcs = [zlib.crc32(wide[a:b]) for a, b in zip(starts, ends)]
-                n = f.n_docs
-                yield pa.RecordBatch.from_arrays([pa.array([f.task] * n, pa.int64()), pa.array([f.number] * n, pa.int64()), pa.array(f.doc_ids(), pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crcs, pa.int64())], names=["task", "number", "doc_id", "local", "n_tokens", "ids_crc32"])
-
-    manifest = files.mapInArrow(heads, "task long, number long, ids long")
+                for first in range(0, f.n_docs, READ_DOCS):
+                    past = min(f.n_docs, first + READ_DOCS)
+                    bounds = f.bounds(first, past)
+                    wide = f.ids[bounds[0] : bounds[-1]].astype("<u4")
+                    crcs = [zlib.crc32(wide[a:b]) for a, b in zip(bounds - bounds[0], bounds[1:] - bounds[0])]
+                    own = [pa.array([k] * (past - first), pa.int64()) for k in (f.task, f.number)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(f.doc_ids(first, past), pa.int64()), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())], names=["task", "number", "doc_id", "local", "n_tokens", "ids_crc32"])
+
+    rows = scratch.write(files.mapInArrow(documents, "task long, number long, doc_id long, local long, n_tokens long, ids_crc32 long"), "rows")
     # ids before a task: one row for each task; ids before a file in its task: a window in the task
-    tasks = manifest.groupBy("task").agg(F.sum("ids").alias("ids")).orderBy("task").collect()
+    manifest = rows.groupBy("task", "number").agg(F.sum("n_tokens").alias("ids"))
     before, total = [], 0
-    for r in tasks:
+    for r in manifest.groupBy("task").agg(F.sum("ids").alias("ids")).orderBy("task").collect():
         before.append((r["task"], total))
         total += r["ids"]
     bases = manifest.withColumn("inner", F.sum("ids").over(Window.partitionBy("task").orderBy("number")) - F.col("ids"))
     bases = bases.join(spark.createDataFrame(before, "task long, before long"), "task").select("task", "number", (F.col("before") + F.col("inner")).alias("base"))
-    rows = files.mapInArrow(documents, "task long, number long, doc_id long, local long, n_tokens long, ids_crc32 long")
     return rows.join(bases, ["task", "number"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    folder = fresh_path(spark, "tokens")
+    scratch = Scratch(spark, "tokens")
+    folder = scratch.path("files")
     write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), 1)
-    # one file of up to 8 MB of ids to a batch
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    return read_token_files(spark, folder)
+    return read_token_files(spark, folder, scratch)

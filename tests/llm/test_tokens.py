@@ -12,7 +12,7 @@ import pytest
 from docloom.llm import op2_token_counts as two
 from docloom.llm import op4_token_files as four
 from docloom.llm import op7_byte_bpe as seven
-from docloom.llm.pieces import load_tokenizer
+from docloom.llm.pieces import CONTROL_CUT, PieceCache, load_tokenizer, with_blanks, without_blanks
 
 
 def docs(spark, d):
@@ -27,15 +27,17 @@ def test_counts(spark, where, request):
     assert sorted(map(tuple, two.op2_token_counts(spark, d).collect()), key=str) == want
 
 
-def test_blanks_at_the_end_of_a_text_do_not_join_the_next_piece():
-    library, rng = load_tokenizer(P.path("byte_bpe_50k.json")), random.Random(3)
-    words = ["Hello", "world", "Next", "one", "\n", "\n\n", " ", "  ", "\t", "\r\n"]
-    batches = [["Hello world\n", "Hello world\n\nNext one", "Other\n\nNext one"]] + [["".join(rng.choices(words, k=rng.randrange(12))) for _ in range(20)] for _ in range(50)]
+@pytest.mark.parametrize("path, split, more", [("byte_bpe_50k.json", with_blanks, {}), ("word_bpe_49k.json", without_blanks, {}), ("word_bpe_49k.json", without_blanks, {"cut": CONTROL_CUT, "word_end": "</w>"})])
+def test_neighbours_in_a_batch_change_nothing(path, split, more):
+    library, rng = load_tokenizer(P.path(path)), random.Random(3)
+    words = ["Hello", "world", "don't", "x", "\n", "\n\n", " ", "  ", "\t", "\r\n", "\u00a0", "<|endoftext|>", "<|startoftext|>", "é", "e\u0301", "\u0301", "İ", "ΟΔΟΣ", "'S", "12", "!?", "\x1f", "\u3000", "\x01", "Ñandú.", "ÀÉß", "end?!", "(x)", "ÿ\u0301"]
+    batches = [["Hello world\n", "Hello world\n\nNext one", "Other\n\nNext one"], ["x \n", "\n y"], ["end.\n", "\n\nStart of"]]
+    batches += [["".join(rng.choices(words, k=rng.randrange(12))) for _ in range(20)] for _ in range(1000)]
+    cache = PieceCache(library, split, max_chars=20_000, **more)
     for batch in batches:
         want = [library.encode(x, add_special_tokens=False).ids for x in batch]
-        counter = two.Counter(P.path("byte_bpe_50k.json"))
-        assert counter.cache.counts(batch) == list(map(len, want))
-        assert [x.tolist() for x in counter.cache.encoded(batch)] == want
+        assert cache.counts(batch) == list(map(len, want)), batch
+        assert [x.tolist() for x in cache.encoded(batch)] == want
 
 
 def test_splice_is_exact_whatever_the_chunks():
@@ -80,15 +82,25 @@ def test_small_files_and_random_access(spark, sf, tmp_path):
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
     library, texts = load_tokenizer(P.path("word_bpe_49k.json")), {r.doc_id: r.text for r in rows}
     for f in files:
-        assert [f.doc_id(i) for i in range(f.n_docs)] == f.doc_ids()
-        for i in range(f.n_docs):
-            assert f.document(i).tolist() == library.encode(texts[f.doc_id(i)], add_special_tokens=False).ids
+        assert f.doc_ids(1, f.n_docs) == f.doc_ids(0, f.n_docs)[1:]
+        for i, doc in enumerate(f.doc_ids(0, f.n_docs)):
+            assert f.document(i).tolist() == library.encode(texts[doc], add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [1, 1, 7, 900, 900, 1 << 40], list(range(500)), [2**64 - 1], [0, 2**63, 2**64 - 1]])
+@pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [1, 1, 7, 900, 900, 1 << 40], list(range(500)), [2**64 - 1], [0, 2**63, 2**64 - 1], [0, 5 << 57, 7 << 60]])
 def test_elias_fano(values):
     coded, end = four.EliasFano.load(memoryview(four.EliasFano.of(np.array(values, np.uint64)).dump()), 0)
-    assert [coded.access(i) for i in range(len(values))] == values == coded.all().tolist()
+    assert coded.access(np.arange(len(values))).tolist() == values == coded.all().tolist()
+    assert [int(coded.access(np.array([i]))[0]) for i in range(len(values))] == values
+
+
+def test_elias_fano_over_many_blocks():
+    rng = np.random.default_rng(2)
+    values = np.sort(np.concatenate([rng.integers(0, 1 << 40, 30_000, dtype=np.uint64), np.full(40_000, 1 << 39, np.uint64), rng.integers(0, 1 << 20, 90_000, dtype=np.uint64)]))
+    coded = four.EliasFano.of(values)
+    at = rng.permutation(len(values))[:20_000]
+    assert (coded.access(at) == values[at]).all() and (coded.all() == values).all()
+    assert coded.spans.nbytes + coded.blocks.nbytes < 0.05 * len(coded.upper)
 
 
 def test_elias_fano_is_small():
@@ -112,3 +124,17 @@ def test_encode_then_decode(spark, odd_docs):
     df = seven.encode(spark.read.parquet(f"{odd_docs}/documents.parquet"), path, P.PATTERN, split_chars=50)
     for r in seven.decode(df, path, P.PATTERN).collect():
         assert r.decoded.decode() == (r.text or "")
+
+
+def test_long_white_space_is_what_the_library_makes_of_it():
+    codec = seven.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    rng = random.Random(5)
+    for text in ("a" + " " * 20_000 + "b", "\n" * 30_000, " " * 15_000 + "\n!", "x\u3000" * 3 + "\u3000 " * 9_000 + "y" + "\t" * 12_000 + "7", " \n\x85\u00a0" * 6_000 + " 's", "\x1c" * 20_000 + "z"):
+        assert codec.encode(text) == codec.library.encode_ordinary(text)
+    for _ in range(20):
+        text = "".join(rng.choice(["word ", "\n" * rng.randrange(9_990, 10_020), " " * rng.randrange(9_990, 10_020), "'s", "9"]) for _ in range(12))
+        assert codec.encode(text) == codec.library.encode_ordinary(text)
+    for blank in " \n":
+        text = "start" + blank * 5_000_000 + "end"
+        ids = codec.encode(text)
+        assert codec.decode(ids) == text.encode() and ids[-1:] == codec.library.encode_ordinary(blank + "end")[-1:]
