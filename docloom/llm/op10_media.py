@@ -1,16 +1,18 @@
 """Media columns: telephony audio.
 
 Mu-law and A-law samples are expanded by lookup tables of 256 entries that are built from the two rules of
-ITU-T G.711. IMA ADPCM is decoded with numpy across the blocks: every block of a file takes its next nibble at
-once, so Python loops over the samples of a block, not over a file. What is decoded is resampled by linear
-interpolation and stored as a PCM WAV file.
-
-The query stores each text's bytes as the mu-law samples of a WAV file of its own, reads that file's bytes back,
-and takes features of the expanded and resampled sound.
-
-Defined results: null and empty texts are 64 zero bytes; media that is null or can't be read gives null results
-and its reason in column error; a null id stays null; repeated rows give repeated rows; an empty table gives
-none; columns of the input that bear a name of a result are replaced.
+ITU-T G.711. IMA ADPCM is decoded with numpy across the blocks of all media of a batch: every block takes its next
+nibble at once, so Python loops over the samples of a block, not over a file. What is decoded is resampled and stored
+as a PCM WAV file: by linear interpolation, behind a low-pass filter where the rate falls.
+
+The query stores each text's bytes in a WAV file: its payload's checksum chooses mu-law samples, A-law samples or the
+nibbles of IMA ADPCM blocks, which all hold any bytes without loss (an ADPCM block has the payload's 64 bytes behind a
+header of zeros). The files are written as a table in the shared folder and read back; digests and features are of
+what was read, and the resampled PCM file is a column of the result.
+
+Defined results: null and empty texts are 64 zero bytes; a very long text is one file (a WAV file holds 4 GB); media that
+is null or can't be read gives null results and its reason in column error; a null id stays null; repeated rows give
+repeated rows; an empty table gives none; columns of the input that bear a name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BINARY, DOUBLE, INT, LONG, STRING, append_columns, field, table, utf8
+from .common import BINARY, DOUBLE, INT, LONG, STRING, Scratch, append_columns, field, table, utf8
 
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
 BLOCK = 64
 RATE, TARGET_RATE = 8_000, 16_000
+#: Bytes of an ADPCM block before its nibbles, and taps of the low-pass filter.
+IMA_HEAD, TAPS = 4, 127
 
 
 def mulaw_table() -> np.ndarray:
@@ -42,6 +46,9 @@ def alaw_table() -> np.ndarray:
     return np.where(code & 0x80, size, -size).astype(np.int16)
 
 
+MULAW_TABLE, ALAW_TABLE = mulaw_table(), alaw_table()
+
+
 def ima_steps() -> np.ndarray:
     #: Fixed values of the IMA ADPCM format: its 89 step sizes.
     return np.array([
@@ -129,20 +136,55 @@ def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
     raise ValueError("no data")
 
 
-def expand(kind: int, data: bytes, align: int) -> np.ndarray:
-    if kind in (MULAW, ALAW):
-        return (mulaw_table() if kind == MULAW else alaw_table())[np.frombuffer(data, np.uint8)]
-    if kind == IMA:
-        if align <= 4:
-            raise ValueError("blocks too short")
-        return decode_ima(data, align)
-    if kind == PCM and align == 2:
-        return np.frombuffer(data[: len(data) // 2 * 2], "<i2")
-    raise ValueError(f"format {kind} isn't telephony audio")
+def payload_of(kind: int, stored: bytes, align: int) -> bytes:
+    """Stored bytes without the headers of blocks."""
+    if kind != IMA:
+        return stored
+    return np.frombuffer(stored, np.uint8).reshape(-1, align)[:, IMA_HEAD:].tobytes()
+
+
+def expand(media: list[tuple[int, bytes, int]]) -> list[np.ndarray]:
+    """16 bit samples of each (format, stored bytes, bytes of a block). ADPCM blocks of one length are decoded together."""
+    out: list = [None] * len(media)
+    together: dict[int, list[int]] = {}
+    for i, (kind, stored, align) in enumerate(media):
+        if kind in (MULAW, ALAW):
+            out[i] = (MULAW_TABLE if kind == MULAW else ALAW_TABLE)[np.frombuffer(stored, np.uint8)]
+        elif kind == PCM and align == 2:
+            out[i] = np.frombuffer(stored[: len(stored) // 2 * 2], "<i2")
+        else:
+            together.setdefault(align, []).append(i)
+    for align, members in together.items():
+        counts = [len(media[i][1]) // align for i in members]
+        samples = decode_ima(b"".join(media[i][1][: n * align] for i, n in zip(members, counts)), align)
+        for i, x in zip(members, np.split(samples, np.cumsum(counts)[:-1] * (1 + 2 * (align - IMA_HEAD)))):
+            out[i] = x
+    return out
+
+
+def readable(data: bytes | None) -> tuple[int, int, int, bytes]:
+    """As read_wav, of media that expand() takes; a ValueError says why not."""
+    if data is None:
+        raise ValueError("null")
+    kind, rate, align, stored = read_wav(data)
+    if rate <= 0:
+        raise ValueError("no rate")
+    if kind == IMA and align <= IMA_HEAD:
+        raise ValueError("blocks too short")
+    if kind not in (MULAW, ALAW, IMA) and not (kind == PCM and align == 2):
+        raise ValueError(f"format {kind} isn't telephony audio")
+    return kind, rate, align, stored
+
+
+def low_pass(x: np.ndarray, rate: int, target: int) -> np.ndarray:
+    """x without what is above half the target rate: a sinc under a Hann window, of gain 1 at rest."""
+    at = np.arange(TAPS) - TAPS // 2
+    taps = np.sinc(at * (target / rate)) * np.hanning(TAPS + 2)[1:-1]
+    return np.convolve(np.pad(x.astype(np.float64), TAPS // 2, mode="edge"), taps / taps.sum(), mode="valid")
 
 
 def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """Linear interpolation at the target's times; behind the last sample its value is held."""
+    """Linear interpolation at the target's times, behind a low-pass filter for a lower rate; behind the last sample its value is held."""
     if rate == target or not len(x):
         return x
     if target == 2 * rate:
@@ -153,7 +195,8 @@ def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
         out[-1] = x[-1]
         return out
     at = np.arange(len(x) * target // rate) * (rate / target)
-    return np.floor(np.interp(at, np.arange(len(x)), x)).astype(np.int16)
+    smooth = low_pass(x, rate, target) if target < rate else x
+    return np.clip(np.floor(np.interp(at, np.arange(len(x)), smooth)), -32768, 32767).astype(np.int16)
 
 
 def features(x: np.ndarray, rate: int) -> str:
@@ -165,50 +208,73 @@ def features(x: np.ndarray, rate: int) -> str:
     return f"rate={rate};samples={len(x)};rms={rms:.0f};peak={peak};crossings={crossings};pcm_crc32={zlib.crc32(x.astype('<i2').tobytes())}"
 
 
-def telephony_to_pcm(df: DataFrame, media: str = "media", target: int = TARGET_RATE) -> DataFrame:
-    """df with pcm (a 16 bit WAV file at the target rate), pcm_rate, seconds, feature and error."""
+PCM_FIELDS = [field("pcm", BINARY), field("pcm_rate", INT), field("seconds", DOUBLE), field("feature", STRING), field("error", STRING)]
+PAYLOAD_FIELDS = [field("payload_bytes", LONG), field("payload_sha256", STRING), field("tail_crc32", LONG), field("media_bytes", LONG), field("media_sha256", STRING)]
 
-    def one(data):
+
+def pcm_columns(media: list, target: int) -> list[list]:
+    """Values of PCM_FIELDS for each of the media."""
+    rows: list = []
+    for data in media:
         try:
-            if data is None:
-                raise ValueError("null")
-            kind, rate, align, stored = read_wav(data)
-            if rate <= 0:
-                raise ValueError("no rate")
-            x = resample(expand(kind, stored, align), rate, target)
-            return wav(x.astype("<i2").tobytes(), PCM, target, 16, 2), target, len(x) / target, features(x, target), None
+            rows.append(readable(data))
         except (ValueError, struct.error) as e:
-            return None, None, None, None, str(e)
-
-    fields = [field("pcm", BINARY), field("pcm_rate", INT), field("seconds", DOUBLE), field("feature", STRING), field("error", STRING)]
-    return append_columns(df, [media], lambda: lambda c: list(map(list, zip(*map(one, c.to_pylist())))) or [[]] * 5, fields)
+            rows.append(str(e))
+    sounds = iter(expand([(r[0], r[3], r[2]) for r in rows if not isinstance(r, str)]))
+    out: list[list] = [[] for _ in PCM_FIELDS]
+    for r in rows:
+        if isinstance(r, str):
+            found = (None, None, None, None, r)
+        else:
+            x = resample(next(sounds), r[1], target)
+            found = (wav(x.astype("<i2").tobytes(), PCM, target, 16, 2), target, len(x) / target, features(x, target), None)
+        for values, value in zip(out, found):
+            values.append(value)
+    return out
+
+
+def payload_columns(media: list, block: int) -> list[list]:
+    """Values of PAYLOAD_FIELDS for each of the media."""
+    out: list[list] = [[] for _ in PAYLOAD_FIELDS]
+    for data in media:
+        try:
+            kind, _, align, held = readable(data)
+            payload = payload_of(kind, held, align)
+            found = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-block:]), len(data), hashlib.sha256(data).hexdigest())
+        except (ValueError, struct.error):
+            found = (None,) * len(out)
+        for values, value in zip(out, found):
+            values.append(value)
+    return out
 
 
-def store_payload(df: DataFrame, text: str = "text", block: int = BLOCK, target: int = TARGET_RATE) -> DataFrame:
-    """df with media, a mu-law WAV file whose samples are the text's UTF-8 bytes and zeros up to a positive multiple of block."""
-    return append_columns(df, [text], lambda: lambda c: [[wav(x + b"\0" * (-len(x) % block or block * (not x))) for x in utf8(c)]], [field("media", BINARY)])
+def telephony_to_pcm(df: DataFrame, media: str = "media", target: int = TARGET_RATE) -> DataFrame:
+    """df with pcm (a 16 bit WAV file at the target rate), pcm_rate, seconds, feature and error."""
+    return append_columns(df, [media], lambda: lambda c: pcm_columns(c.to_pylist(), target), PCM_FIELDS)
 
 
-def payload_report(df: DataFrame, text: str = "text", block: int = BLOCK, target: int = TARGET_RATE) -> DataFrame:
-    """What the stored media of each text (see store_payload) holds, read from its bytes."""
+def stored_media(raw: bytes, block: int = BLOCK) -> bytes:
+    """The WAV file of a text's bytes and zeros up to a positive multiple of block."""
+    payload = raw + b"\0" * (-len(raw) % block or block * (not raw))
+    kind = (MULAW, ALAW, IMA)[zlib.crc32(payload) % 3]
+    if kind != IMA:
+        return wav(payload, kind)
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, block)
+    blocks = np.concatenate([np.zeros((len(rows), IMA_HEAD), np.uint8), rows], axis=1)
+    return wav(blocks.tobytes(), IMA, bits=4, align=IMA_HEAD + block)
 
-    def make():
-        law = mulaw_table()
 
-        def one(raw):
-            media = wav(raw + b"\0" * (-len(raw) % block or block * (not raw)))
-            kind, rate, _, payload = read_wav(media)
-            if kind != MULAW:
-                raise ValueError("not what was stored")
-            x = resample(law[np.frombuffer(payload, np.uint8)], rate, target)
-            return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-block:]), len(media), hashlib.sha256(media).hexdigest(), features(x, target)
+def store_payload(df: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
+    """df with n_bytes of the text in UTF-8, and media, the WAV file that holds them."""
+    return append_columns(df, [text], lambda: lambda c: [list(map(len, raw := utf8(c))), [stored_media(x, block) for x in raw]], [field("n_bytes", LONG), field("media", BINARY)])
 
-        return lambda c: list(map(list, zip(*map(one, utf8(c))))) or [[]] * 7
 
-    fields = [field("n_bytes", LONG), field("payload_bytes", LONG), field("payload_sha256", STRING), field("tail_crc32", LONG), field("media_bytes", LONG), field("media_sha256", STRING), field("feature", STRING)]
-    return append_columns(df, [text], make, fields)
+def payload_report(df: DataFrame, media: str = "media", block: int = BLOCK, target: int = TARGET_RATE) -> DataFrame:
+    """df with what its media holds (payload_bytes, payload_sha256, tail_crc32 of the last block bytes, media_bytes, media_sha256), and the columns of telephony_to_pcm."""
+    return append_columns(df, [media], lambda: lambda c: payload_columns(x := c.to_pylist(), block) + pcm_columns(x, target), PAYLOAD_FIELDS + PCM_FIELDS)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return payload_report(docs).drop("text")
+    kept = Scratch(spark, "media").write(store_payload(docs).drop("text"), "media")
+    return payload_report(kept).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm")
