@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import op1_mixing, op5_ngram_join, op7_byte_bpe, op9_toxicity
-from docloom.llm.common import prepare, table, written
+from docloom.llm.common import Scratch, prepare, table
 
 #: Near duplicates share words by five, and four fifths of them.
 WORDS, NUM, DEN = 5, 80, 100
@@ -19,30 +19,29 @@ WORDS, NUM, DEN = 5, 80, 100
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5."""
-    prepare(spark, lean=True)
+    prepare(spark)
     labels = table(spark, sf_dir, "labels")
     return op9_toxicity.without_toxic(docs, op9_toxicity.fit(docs.select("doc_id", "text"), labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least id, of each group that links connect."""
-    prepare(spark, lean=True)
+    prepare(spark)
     return op5_ngram_join.one_of_each(docs, WORDS, NUM, DEN)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: each row as often as it is taken (never, once or twice), shard by shard, shuffled."""
-    prepare(spark, lean=True)
-    sized = docs.withColumn("mix_size", op1_mixing.word_count("text")).withColumn("mix_key", F.xxhash64("doc_id", "text"))
-    mixed, _ = op1_mixing.mix(sized, "mix_size", "mix_key")
-    return op1_mixing.shuffled(mixed, "mix_key").select(*docs.columns)
+    prepare(spark)
+    key = F.xxhash64("doc_id", "text")
+    return op1_mixing.shuffled(op1_mixing.mix(docs, op1_mixing.word_count("text"), key), key).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, n_tokens, and whether the ids decode to the text's bytes."""
     import public_tokenizers
 
-    prepare(spark, lean=True)
+    prepare(spark)
     docs = docs.select("doc_id", "source", "text")
     out = op7_byte_bpe.coded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "source", "ids", "n_tokens", "exact")
@@ -54,7 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch, spent = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop(*spent)
+        spent = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
