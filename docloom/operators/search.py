@@ -1,11 +1,28 @@
-"""Hybrid search: dense and sparse scores for many queries at once, fusion, and the best k of each query."""
+"""Hybrid search: dense and sparse scores for many queries at once, fusion, and the best k of each query.
+
+Both legs scan the chunks once for each block of queries: a block travels to every task as a matrix, a batch of chunks
+becomes another, and their product holds all scores of the two. A task keeps the best k of each query, so k rows of a
+query and task are shuffled, never a row for each pair. Conditions of a query on chunks are masks over that product.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom import config as C
+from docloom.operators import rerank
+
+#: Queries of a block, at most: the driver holds one block at a time.
+BLOCK_QUERIES = 4_096
+WORD = "[a-z0-9]+"
 
 
 def best(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", tie: str = "chunk_id", rank: str = "rank") -> DataFrame:
@@ -24,35 +41,161 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, dot(a, b) / length).otherwise(0.0)
 
 
-def normed(df: DataFrame, vector: str) -> DataFrame:
-    """The vector scaled to length 1 once for each row, so that pairs need one product."""
-    v = F.col(vector)
-    length = F.sqrt(dot(v, v))
-    return df.withColumn(vector, F.transform(v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(0.0)))
+def query_blocks(queries: DataFrame, size: int) -> Iterator[list[Row]]:
+    block: list[Row] = []
+    for row in queries.toLocalIterator():
+        block.append(row)
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves away from 0, as round() of SQL."""
+    unit = 10.0**digits
+    return np.copysign(np.floor(np.abs(x) * unit + 0.5), x) / unit
+
+
+class Best:
+    """The k best chunks of each query so far, ties by id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.kth = k, np.full(queries, -np.inf)
+        self.scores: list[np.ndarray] = [np.zeros(0)] * queries
+        self.ids: list[np.ndarray | None] = [None] * queries
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: queries x chunks, -inf for no pair."""
+        good = (scores >= self.kth[:, None]) & (scores > -np.inf)
+        for q in np.flatnonzero(good.any(axis=1)):
+            chosen = good[q]
+            had = self.ids[q]
+            mine = np.concatenate([self.scores[q], scores[q, chosen]])
+            names = ids[chosen] if had is None else np.concatenate([had, ids[chosen]])
+            order = np.lexsort((names, -mine))[: self.k]
+            self.scores[q], self.ids[q] = mine[order], names[order]
+            if len(order) == self.k:
+                self.kth[q] = mine[order[-1]]
+
+
+def masked(scores: np.ndarray, conditions: list[tuple[str, str, list]], batch: pa.RecordBatch) -> np.ndarray:
+    """scores without the pairs that a condition of the query rules out. conditions: column, kind, and each query's value (null: none)."""
+    for column, kind, wanted in conditions:
+        values = batch.column(batch.schema.get_field_index(column)).to_pylist()
+        for w in set(wanted) - {None}:
+            fits = np.array([v is not None and (w in v if kind == "contains" else v == w) for v in values], bool)
+            rows = np.array([x == w for x in wanted], bool)
+            scores[np.ix_(rows, ~fits)] = -np.inf
+    return scores
 
 
-def dense_search(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 4, most_queries: int = 10_000) -> DataFrame:
-    """queries: query_id, dense. chunks: chunk_id, dense. Exact cosine of each query with each chunk.
+def scanned(chunks: DataFrame, queries: DataFrame, scorer, k: int, conditions: dict[str, str], block: int) -> DataFrame:
+    """query_id, chunk_id, score and rank. scorer(block of queries) gives a function of a batch: queries x chunks scores.
 
-    Up to most_queries queries go to every executor; more of them meet the chunks partition by partition.
+    conditions: column of both -> "equal", or "contains" (the query's value in the chunk's).
     """
-    small = queries.limit(most_queries + 1).count() <= most_queries
-    asked = normed(queries.select("query_id", F.col("dense").alias("q")), "q")
-    pairs = normed(chunks.select("chunk_id", "dense"), "dense").crossJoin(F.broadcast(asked) if small else asked)
-    return best(pairs.select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("dense")), digits).alias("score")), k)
+    types = {f.name: f.dataType for f in [*queries.schema.fields, *chunks.schema.fields]}
+    shape = T.StructType([T.StructField("query_id", types["query_id"]), T.StructField("chunk_id", types["chunk_id"]), T.StructField("score", T.DoubleType())])
+    found: DataFrame | None = None
+    for rows in query_blocks(queries, block):
+        score = scorer(rows)
+        asked = [r["query_id"] for r in rows]
+        wanted = [(c, kind, [r[c] for r in rows]) for c, kind in conditions.items()]
+
+        def run(batches, score=score, asked=asked, wanted=wanted):
+            best, kind, number = Best(len(asked), k), None, None
+            for batch in batches:
+                ids = batch.column(batch.schema.get_field_index("chunk_id"))
+                kind = ids.type
+                if len(ids):
+                    best.add(masked(score(batch), wanted, batch), np.array(ids.to_pylist()))
+            if kind is None:
+                return
+            for q, own in enumerate(asked):
+                if best.ids[q] is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(best.scores[q]), number), pa.array(best.ids[q].tolist(), kind), pa.array(best.scores[q])], names=["query_id", "chunk_id", "score"])
+
+        part = chunks.mapInArrow(run, shape)
+        found = part if found is None else found.union(part)
+    if found is None:
+        found = chunks.sparkSession.createDataFrame([], shape)
+    return best(found, k)
+
+
+def dense_search(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 4, conditions: dict[str, str] | None = None, block: int = BLOCK_QUERIES) -> DataFrame:
+    """queries: query_id, dense. chunks: chunk_id, dense. Exact cosine of each query with each chunk whose vector has its length (0 where a vector is 0)."""
+    conditions = conditions or {}
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return x / np.where(length > 0, length, 1)
+
+    def scorer(rows: list[Row]):
+        lengths = {len(r["dense"]) for r in rows}
+        mine = [(n, at := [i for i, r in enumerate(rows) if len(r["dense"]) == n], unit(np.array([rows[i]["dense"] for i in at], np.float64).reshape(len(at), n))) for n in sorted(lengths)]
+
+        def score(batch):
+            vectors = batch.column(batch.schema.get_field_index("dense"))
+            sizes = pc.list_value_length(vectors).fill_null(-1).to_numpy(zero_copy_only=False)
+            out = np.full((len(rows), len(sizes)), -np.inf)
+            for n, at, q in mine:
+                fits = np.flatnonzero(sizes == n)
+                if len(fits):
+                    x = vectors.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), n)
+                    out[np.ix_(at, fits)] = rounded(q @ unit(x).T, digits)
+            return out
+
+        return score
+
+    asked = queries.select("query_id", "dense", *conditions).where(F.col("dense").isNotNull() & ~F.exists("dense", lambda v: v.isNull()))
+    return scanned(chunks.select("chunk_id", "dense", *conditions).where(~F.exists("dense", lambda v: v.isNull())), asked, scorer, k, conditions, block)
+
+
+def words(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
 
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     """Postings: key, term, weight (1 + ln of the count) of words of lower-case letters and digits."""
-    words = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)))
-    counts = df.select(key, words.alias("term")).groupBy(key, "term").count()
+    counts = df.select(key, F.explode(words(text)).alias("term")).groupBy(key, "term").count()
     return counts.select(key, "term", (1 + F.ln(F.col("count").cast("double"))).alias("weight"))
 
 
-def sparse_search(queries: DataFrame, postings: DataFrame, k: int, digits: int = 4) -> DataFrame:
-    """queries: query_id, term, weight. postings: chunk_id, term, weight. Inner product through the terms that both have."""
-    pairs = postings.join(queries.select("query_id", "term", F.col("weight").alias("w")), "term")
-    return best(pairs.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("w")), digits).alias("score")), k)
+def term_weights(column: pa.Array, place: dict[str, int], known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and weight of the known terms in a column of lists of words."""
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    number = pc.index_in(column.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)[number >= 0]
+    cell, count = np.unique(row * max(1, len(place)) + number[number >= 0], return_counts=True)
+    return cell // max(1, len(place)), cell % max(1, len(place)), 1 + np.log(count)
+
+
+def sparse_search(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 4, conditions: dict[str, str] | None = None, block: int = BLOCK_QUERIES) -> DataFrame:
+    """queries: query_id, words. chunks: chunk_id, words. Inner product of weights 1 + ln of the count, through the words that both have."""
+    conditions = conditions or {}
+
+    def scorer(rows: list[Row]):
+        place = {w: i for i, w in enumerate(sorted({w for r in rows for w in r["words"] or ()}))}
+        known = pa.array(list(place), pa.string())
+        at, term, weight = term_weights(pa.array([r["words"] or [] for r in rows], pa.list_(pa.string())), place, known)
+
+        def score(batch):
+            row, mine, own = term_weights(batch.column(batch.schema.get_field_index("words")), place, known)
+            seen, local = np.unique(mine, return_inverse=True)
+            x, q = np.zeros((len(seen), batch.num_rows)), np.zeros((len(rows), len(seen)))
+            x[local, row] = own
+            used = np.searchsorted(seen, term)
+            used[used == len(seen)] = 0
+            both = seen[used] == term if len(seen) else np.zeros(len(term), bool)
+            q[at[both], used[both]] = weight[both]
+            scores = rounded(q @ x, digits)
+            return np.where(scores > 0, scores, -np.inf)
+
+        return score
+
+    return scanned(chunks.select("chunk_id", "words", *conditions), queries.select("query_id", "words", *conditions), scorer, k, conditions, block)
 
 
 def scaled(leg: DataFrame, how: str) -> DataFrame:
@@ -81,15 +224,52 @@ def rank_fusion(dense: DataFrame, sparse: DataFrame, k: int = C.COARSE_K, consta
 
 
 def ordered_chunks(chunks: DataFrame, condition: Column, most: int = 10_000, file: str = "file_path") -> DataFrame:
-    """Each file's chunks in reading order, the first most of every file; null numbers count as 0."""
+    """Each file's chunks in reading order with their place, the first most of every file; null numbers count as 0."""
     reading = [F.coalesce("page_num", F.lit(0)), F.coalesce("chunk_index", F.lit(0)), F.col("chunk_id")]
     rows = chunks.where(condition).withColumn("place", F.row_number().over(Window.partitionBy(file).orderBy(*reading)))
-    return rows.where(F.col("place") <= most).drop("place").orderBy(file, *reading)
+    return rows.where(F.col("place") <= most).orderBy(file, "place")
+
+
+def of_prefix(prefixes: list[str], key: str = "file_hash") -> Column:
+    """Whether a file's hash begins with one of the prefixes."""
+    return reduce(lambda a, b: a | b, (F.startswith(key, F.lit(p)) for p in prefixes), F.lit(False))
+
+
+def across_domains(queries: DataFrame, chunks: DataFrame, k: int, most: int = 3) -> DataFrame:
+    """queries: query_id, words, domains. chunks: chunk_id, words, domain. A search of its own in each of the first domains: query_id, turn, domain, chunk_id, score, rank."""
+    asked = queries.select(F.col("query_id").alias("of"), "words", F.posexplode(F.slice("domains", 1, most)).alias("turn", "domain"))
+    asked = asked.withColumn("query_id", F.concat_ws(" ", F.col("of").cast("string"), "domain"))
+    found = sparse_search(asked, chunks, k, conditions={"domain": "equal"})
+    return found.join(asked.drop("words"), "query_id").drop("query_id").withColumnRenamed("of", "query_id")
+
+
+#: What a query's analysis may ask of a chunk.
+CONDITIONS = {"domain": "equal", "category": "equal", "voltage_level": "equal", "publish_level": "equal", "discipline": "equal", "equipment_type": "equal", "year": "equal", "is_drawing": "equal", "doc_number": "contains"}
+
+
+def with_domain(analyzed: DataFrame, manual: str | Column) -> DataFrame:
+    """A domain given by hand holds where the analysis finds none."""
+    given = F.lit(manual) if isinstance(manual, str) else manual
+    return analyzed.withColumn("domain", F.coalesce("domain", given))
+
+
+def hybrid_search(analyzed: DataFrame, chunks: DataFrame, encode, k: int = C.COARSE_K, text: str = "expanded_query", weights: tuple[float, float] = (C.DENSE_WEIGHT, C.SPARSE_WEIGHT)) -> DataFrame:
+    """query_id, chunk_id, score and rank of the k best chunks of each query by both legs, among those that its conditions leave.
+
+    analyzed: query_id, text and the columns of CONDITIONS that chunks have too. chunks: chunk_id, dense, words. encode(df, key, text) adds dense and words.
+    """
+    has = {c: kind for c, kind in CONDITIONS.items() if c in chunks.columns and c in analyzed.columns}
+    asked = encode(analyzed, "query_id", text)
+    return weighted_fusion(dense_search(asked, chunks, 2 * k, conditions=has), sparse_search(asked, chunks, 2 * k, conditions=has), k, weights)
+
+
+def by_number(numbers: DataFrame, chunks: DataFrame, encode, k: int = 100, weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
+    """numbers: query_id, doc_number. Chunks whose number holds the asked one, the best k by both legs with the number as the query."""
+    return hybrid_search(numbers.withColumn("query", F.col("doc_number")), chunks, encode, k, "query", weights)
 
 
-def across_domains(queries: DataFrame, scored: DataFrame, k: int, most: int = 3) -> DataFrame:
-    """queries: query_id, domains. scored: query_id, chunk_id, domain, score. A list of its own for each of the first domains."""
-    asked = queries.select("query_id", F.posexplode(F.slice("domains", 1, most)).alias("turn", "domain"))
-    rows = scored.join(asked, ["query_id", "domain"])
-    order = Window.partitionBy("query_id", "domain").orderBy(F.desc("score"), "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def full_search(analyzed: DataFrame, chunks: DataFrame, encode, coarse_k: int = C.COARSE_K, fine_k: int = C.FINE_K) -> DataFrame:
+    """The coarse list of hybrid_search with the chunks' columns, reranked: analyzed also has query. Adds what rerank adds."""
+    coarse = hybrid_search(analyzed, chunks, encode, coarse_k)
+    asked = analyzed.select("query_id", "query", F.col("domain").alias("asked_domain"), F.col("voltage_level").alias("asked_voltage"))
+    return rerank.rerank(coarse.join(asked, "query_id").join(chunks.drop("dense", "words"), "chunk_id"), fine_k, digits=8)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom import config as C
+from docloom.operators import search
 
 NAMES = [
     "GB50060-2008 变电站设计规范.pdf", "110kV主变保护整定.docx", "DL5352-2018.pdf", "闽电发展〔2015〕241号.pdf", "110-A2-4-D0107-01.dwg", "01会议材料之一2022年.docx", "Q/GDW 1738-2012.xlsx", "福州10kV配电网规划.txt",
@@ -116,22 +117,31 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKED = f"asked AS (SELECT item_id AS query_id, {pick_sql(QUESTIONS, 'item_id')} AS query FROM benchmark)"
 
 
+def worded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks with their words."""
+    return chunks(spark, sf_dir).withColumn("words", search.words("text"))
+
+
 def ranked(spark: SparkSession, sf_dir: str, fine: bool) -> DataFrame:
-    """For each benchmark item a ranked list of chunks by arithmetic: question_id, chunk_id, rank; the fine list is the coarse one turned about."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"))
-    n = 15 if fine else 50
-    rows = items.select("question_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rank"))
-    place = (F.lit(16) - F.col("rank")) if fine else F.col("rank")
-    doc = (F.col("question_id") * 37 + place * (F.col("question_id") % 5 + 1)) % 200
-    return rows.select("question_id", F.col("rank").cast("int").alias("rank"), F.concat(doc.cast("string"), F.lit("_0")).alias("chunk_id"), doc.alias("doc_id"))
+    """For each benchmark item the best chunks of all by its text's words: question_id, rank, chunk_id, doc_id. The fine list is the coarse one with scores boosted by document."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), search.words("text").alias("words"))
+    coarse = search.sparse_search(items, worded(spark, sf_dir), C.COARSE_K).withColumn("doc_id", F.split_part("chunk_id", F.lit("_"), F.lit(1)).cast("long"))
+    if fine:
+        boosted = coarse.withColumn("score", F.round(F.col("score") * (1 + F.col("doc_id") % 7 * 0.05), 4))
+        coarse = search.best(boosted.drop("rank"), C.FINE_K)
+    return coarse.select(F.col("query_id").alias("question_id"), "rank", "chunk_id", "doc_id")
+
+
+#: The lists behind ranked(); stands behind CHUNKS.
+RANKS = """pos AS (SELECT chunk_id, doc_id, term, 1 + ln(count(*)) AS weight FROM (SELECT chunk_id, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks) GROUP BY ALL),
+items AS (SELECT question_id, term, 1 + ln(count(*)) AS weight FROM (SELECT item_id AS question_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL),
+scored AS (SELECT question_id, chunk_id, doc_id, round(sum(pos.weight * items.weight), 4) AS score FROM pos JOIN items USING (term) GROUP BY ALL),
+list_coarse AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM scored) WHERE rank <= 50),
+list_fine AS (SELECT * FROM (SELECT question_id, chunk_id, doc_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score * (1 + doc_id % 7 * 0.05::DOUBLE), 4) DESC, chunk_id) AS INTEGER) AS rank FROM list_coarse) WHERE rank <= 15)"""
 
 
 def ranked_sql(name: str, fine: bool) -> str:
-    place = "(16 - rank)" if fine else "rank"
-    return f"""{name} AS (
-  SELECT question_id, CAST(rank AS INTEGER) AS rank, doc_id || '_0' AS chunk_id, doc_id
-  FROM (SELECT question_id, rank, (question_id * 37 + {place} * (question_id % 5 + 1)) % 200 AS doc_id FROM (SELECT item_id AS question_id, unnest(range(1, {16 if fine else 51})) AS rank FROM benchmark))
-)"""
+    return f"{name} AS (SELECT question_id, rank, chunk_id, doc_id FROM list_{'fine' if fine else 'coarse'})"
 
 
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ def query(sql: str | None = None):
     return add
 
 
-BASE = f"{x.ranked_sql('coarse', False)}, {x.ranked_sql('fine', True)}, {x.RELEVANT}, nr AS (SELECT question_id, count(*) AS n FROM relevant GROUP BY question_id)"
+BASE = f"{x.CHUNKS}, {x.RANKS}, {x.ranked_sql('coarse', False)}, {x.ranked_sql('fine', True)}, {x.RELEVANT}, nr AS (SELECT question_id, count(*) AS n FROM relevant GROUP BY question_id)"
 
 
 def layer_sql(name: str, ranked: str) -> str:
@@ -72,7 +72,7 @@ def ev_spread(s, d):
     return ev.spread(ev_layer1(s, d).withColumn("category", F.col("question_id") % 4), "mrr", ["category"])
 
 
-TEXTS = f"""{x.CHUNKS}, {x.ranked_sql('c0', False)}, {x.ranked_sql('f0', True)}, coarse AS (SELECT c0.question_id, c0.rank, c.* FROM c0 JOIN chunks c USING (chunk_id)), fine AS (SELECT f0.question_id, f0.rank, c.* FROM f0 JOIN chunks c USING (chunk_id)),
+TEXTS = f"""{x.CHUNKS}, {x.RANKS}, {x.ranked_sql('c0', False)}, {x.ranked_sql('f0', True)}, coarse AS (SELECT c0.question_id, c0.rank, c.* FROM c0 JOIN chunks c USING (chunk_id)), fine AS (SELECT f0.question_id, f0.rank, c.* FROM f0 JOIN chunks c USING (chunk_id)),
 qs AS (SELECT item_id AS question_id, CASE WHEN item_id % 7 = 0 THEN []::VARCHAR[] ELSE list_slice(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z]{{7,}}'))), 1, 4) END AS keywords FROM benchmark)"""
 
 
@@ -104,14 +104,15 @@ def ev_keyword_hits(s, d):
     return ev.keyword_hits(q, fine)
 
 
-@query(f"""WITH {TEXTS}, relevant AS (SELECT DISTINCT question_id, chunk_id FROM c0 WHERE question_id % 6 <> 0 AND (doc_id * 7 + question_id) % 9 < 2), e AS (SELECT question_id, CASE WHEN question_id % 5 = 0 THEN '' ELSE 'noext#' || (question_id * 37 + 1) % 200 END AS expected_doc, '配电' AS expected_domain, '技术文件' AS expected_category FROM qs),
+@query(f"""WITH {TEXTS}, relevant AS (SELECT DISTINCT question_id, chunk_id FROM c0 WHERE question_id % 6 <> 0 AND (doc_id * 7 + question_id) % 9 < 2), e AS (SELECT question_id, CASE WHEN question_id % 5 = 0 THEN '' ELSE coalesce((SELECT any_value(regexp_extract(k.file_path, '[^/]*$')) FROM coarse k WHERE k.question_id = qs.question_id AND k.rank = 1 + qs.question_id % 3), '') END AS expected_doc, '配电' AS expected_domain, '技术文件' AS expected_category FROM qs),
 p AS (SELECT k.question_id, max(CAST(regexp_extract(file_path, '[^/]*$') = expected_doc AS INT)) AS dh, count(DISTINCT regexp_extract(file_path, '[^/]*$')) AS docs, count(*) AS n, count(DISTINCT r.chunk_id) AS hits, arg_min(domain, rank) AS dm, arg_min(category, rank) AS ct FROM coarse k JOIN e USING (question_id) LEFT JOIN relevant r ON r.question_id = k.question_id AND r.chunk_id = k.chunk_id GROUP BY k.question_id)
 SELECT e.question_id, CASE WHEN expected_doc <> '' AND dh = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS doc_recall, round(coalesce(hits / nullif((SELECT count(*) FROM relevant r WHERE r.question_id = e.question_id), 0), 0), 6)::DOUBLE AS chunk_recall, round(least(coalesce(docs, 0) / greatest(coalesce(p.n, 0), 1) * 100, 100), 6)::DOUBLE AS coverage_pct,
   CASE WHEN dm = expected_domain THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS domain_accuracy, CASE WHEN ct = expected_category THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS category_accuracy FROM e LEFT JOIN p USING (question_id)""")
 def ev_layer2(s, d):
     q, coarse, _ = texts(s, d)
     i = F.col("question_id")
-    expected = q.select("question_id", F.when(i % 5 == 0, "").otherwise(F.concat(F.lit("noext#"), ((i * 37 + 1) % 200).cast("string"))).alias("expected_doc"), F.lit("配电").alias("expected_domain"), F.lit("技术文件").alias("expected_category"))
+    found = coarse.where("rank = 1 + question_id % 3").select("question_id", F.regexp_extract("file_path", "[^/]*$", 0).alias("found_doc"))
+    expected = q.join(found, "question_id", "left").select("question_id", F.when(i % 5 == 0, "").otherwise(F.coalesce("found_doc", F.lit(""))).alias("expected_doc"), F.lit("配电").alias("expected_domain"), F.lit("技术文件").alias("expected_category"))
     return ev.layer2(expected, coarse, x.relevant(s, d))
 
 

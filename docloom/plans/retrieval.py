@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom import config as C
-from docloom.operators import analysis, context, conversation, filenames, registry, rerank, search
+from docloom.operators import analysis, context, conversation, encoder, filenames, registry, rerank, search
 from docloom.plans import fixtures as x
 from docloom.plans.ingest import case, first
 
@@ -84,8 +84,8 @@ sparse AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_i
 
 
 def sparse_leg(s, d):
-    asked = search.terms(x.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id", "text")
-    return search.sparse_search(asked, search.terms(x.table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id", "text"), 2 * C.COARSE_K)
+    asked = x.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), search.words("text").alias("words"))
+    return search.sparse_search(asked, x.table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), search.words("text").alias("words")), 2 * C.COARSE_K)
 
 
 @query(f"WITH {SPARSE} SELECT query_id, chunk_id, score, rank FROM sparse")
@@ -115,10 +115,16 @@ def vec_rank_fusion(s, d):
     return search.rank_fusion(*legs(s, d))
 
 
-@query(f"WITH {x.CHUNKS} SELECT chunk_id, chunk_index, page_num FROM chunks WHERE doc_id IN (SELECT doc_id FROM documents WHERE n_chars > 15000) ORDER BY coalesce(page_num, 0), chunk_index, chunk_id LIMIT 10000")
+@query(f"WITH {x.CHUNKS} SELECT file_path, chunk_id, chunk_index, page_num, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY file_path ORDER BY coalesce(page_num, 0), chunk_index, chunk_id) AS INTEGER) AS place FROM chunks) WHERE place <= 10000")
 def vec_file_chunks(s, d):
-    long = x.table(s, d, "documents").where("n_chars > 15000").select("doc_id")
-    return search.ordered_chunks(x.chunks(s, d).join(long, "doc_id", "left_semi"), F.lit(True)).select("chunk_id", "chunk_index", "page_num")
+    return search.ordered_chunks(x.chunks(s, d), F.lit(True)).select("file_path", "chunk_id", "chunk_index", "page_num", "place")
+
+
+@query(f"WITH {x.CHUNKS} SELECT chunk_id, chunk_index, CAST(row_number() OVER (PARTITION BY file_path ORDER BY coalesce(page_num, 0), chunk_index, chunk_id) AS INTEGER) AS place FROM (SELECT *, sha256(doc_id || '') AS file_hash FROM chunks) WHERE starts_with(file_hash, '4e') OR starts_with(file_hash, '7')")
+def vec_prefix_chunks(s, d):
+    """Chunks of the files whose hash begins with one of the given prefixes."""
+    hashed = x.chunks(s, d).withColumn("file_hash", F.sha2(F.col("doc_id").cast("string"), 256))
+    return search.ordered_chunks(hashed, search.of_prefix(["4e", "7"])).select("chunk_id", "chunk_index", "place")
 
 
 @query(f"WITH {x.CHUNKS} SELECT domain, count(*) AS chunks, count(DISTINCT doc_id) AS files FROM chunks GROUP BY domain")
@@ -126,27 +132,49 @@ def vec_stats(s, d):
     return x.chunks(s, d).groupBy("domain").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("files"))
 
 
-@query(f"""WITH {x.FILES}, sc AS (SELECT item_id AS query_id, doc_id, {x.pick_sql(x.TOPS[:4], "doc_id")} AS domain, (doc_id * 13 + item_id) % 101 AS score FROM benchmark, documents),
-a AS (SELECT item_id AS query_id, unnest(['变电', '综合', '配电']) AS domain, unnest([0, 1, 2]) AS turn FROM benchmark)
-SELECT query_id, turn, domain, chunk_id, rank FROM (SELECT query_id, turn, domain, doc_id AS chunk_id, CAST(row_number() OVER (PARTITION BY query_id, domain ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc JOIN a USING (query_id, domain)) WHERE rank <= 5""")
+ACROSS = ["变电", "综合", "配电", "送电输电"]
+
+
+@query(f"""WITH {x.CHUNKS}, {x.RANKS}, a AS (SELECT item_id AS question_id, unnest({x.literal(ACROSS[:3])}) AS domain, unnest([0, 1, 2]) AS turn FROM benchmark)
+SELECT question_id AS query_id, turn, domain, chunk_id, rank FROM (SELECT a.question_id, a.turn, a.domain, s.chunk_id, CAST(row_number() OVER (PARTITION BY a.question_id, a.domain ORDER BY s.score DESC, s.chunk_id) AS INTEGER) AS rank
+  FROM scored s JOIN chunks c USING (chunk_id) JOIN a ON a.question_id = s.question_id AND a.domain = c.domain) WHERE rank <= 5""")
 def sr_across_domains(s, d):
-    items = x.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"))
-    scored = items.crossJoin(x.table(s, d, "documents").select("doc_id")).select("query_id", F.col("doc_id").alias("chunk_id"), x.pick(x.TOPS[:4], F.col("doc_id")).alias("domain"), ((F.col("doc_id") * 13 + F.col("query_id")) % 101).alias("score"))
-    return search.across_domains(items.withColumn("domains", F.array(*map(F.lit, ["变电", "综合", "配电", "送电输电"]))), scored, 5).select("query_id", "turn", "domain", "chunk_id", "rank")
+    items = x.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), search.words("text").alias("words"), F.array(*map(F.lit, ACROSS)).alias("domains"))
+    return search.across_domains(items, x.worded(s, d), 5).select("query_id", "turn", "domain", "chunk_id", "rank")
 
 
-# --- reranking, over lists made by arithmetic
+# --- the whole search: analysis, recall by both legs under the analysis' conditions, reranking
 
-LISTS = f"""{x.CHUNKS}, {x.ASKED}, {x.ranked_sql("coarse", False)}, hits AS (
-  SELECT a.query_id, a.query, c.*, k.rank, CASE WHEN a.query_id % 3 = 0 THEN '变电' END AS asked_domain, CASE WHEN a.query_id % 4 = 0 THEN '10kV' END AS asked_voltage, round(1.0::DOUBLE / k.rank, 6) AS score
-  FROM coarse k JOIN asked a ON a.query_id = k.question_id JOIN chunks c ON c.chunk_id = k.chunk_id WHERE k.rank <= 8 + a.query_id % 20)"""
+WHOLE = f"""{x.CHUNKS}, wd AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks), pw AS (SELECT chunk_id, term, count(*) AS n FROM wd GROUP BY ALL),
+{ANALYSIS.replace(x.ASKED, "asked AS (SELECT item_id AS query_id, " + x.pick_sql(x.QUESTIONS, "item_id") + " || ' ' || text AS query FROM benchmark)")},
+qd AS (SELECT query_id, unnest(regexp_extract_all(lower(expanded_query), '[a-z0-9]+')) AS term FROM analyzed), qn AS (SELECT query_id, term, count(*) AS n FROM qd GROUP BY ALL),
+fits AS (SELECT a.query_id, c.chunk_id FROM analyzed a JOIN chunks c ON (a.domain IS NULL OR a.domain = c.domain) AND (a.category IS NULL OR a.category = c.category) AND (a.voltage_level IS NULL OR a.voltage_level = c.voltage_level) AND (a.publish_level IS NULL OR a.publish_level = c.publish_level) AND NOT (a.exclude_drawings AND c.is_drawing) AND (a.doc_number IS NULL OR contains(c.doc_number, a.doc_number))),
+sp AS (SELECT query_id, chunk_id, round(sum((1 + ln(pw.n)) * (1 + ln(qn.n))), 4) AS score FROM pw JOIN qn USING (term) SEMI JOIN fits USING (query_id, chunk_id) GROUP BY ALL),
+dim AS (SELECT *, strpos('0123456789abcdef', substr(md5(term), 1, 1)) AS b, CASE WHEN strpos('01234567', substr(md5(term), 9, 1)) > 0 THEN n ELSE -n END AS v FROM pw),
+dqm AS (SELECT *, strpos('0123456789abcdef', substr(md5(term), 1, 1)) AS b, CASE WHEN strpos('01234567', substr(md5(term), 9, 1)) > 0 THEN n ELSE -n END AS v FROM qn),
+dc AS (SELECT chunk_id, b, CAST(sum(v) AS DOUBLE) AS v FROM dim GROUP BY ALL), dq AS (SELECT query_id, b, CAST(sum(v) AS DOUBLE) AS v FROM dqm GROUP BY ALL),
+lc AS (SELECT chunk_id, sqrt(sum(v * v)) AS l FROM dc GROUP BY ALL), lq AS (SELECT query_id, sqrt(sum(v * v)) AS l FROM dq GROUP BY ALL),
+ip AS (SELECT query_id, chunk_id, sum(dq.v * dc.v) AS p FROM dq JOIN dc USING (b) GROUP BY ALL),
+ds AS (SELECT query_id, chunk_id, round(CASE WHEN lq.l > 0 AND lc.l > 0 THEN coalesce(p, 0) / lq.l / lc.l ELSE 0 END, 4)::DOUBLE AS score FROM lq JOIN fits USING (query_id) JOIN lc USING (chunk_id) LEFT JOIN ip USING (query_id, chunk_id)),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds) WHERE rank <= 100),
+sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sp) WHERE rank <= 100),
+fu AS (SELECT query_id, chunk_id, round(coalesce(dense.score, 0) * 0.7::DOUBLE + coalesce(sparse.score, 0) * 0.3::DOUBLE, 6) AS score FROM dense FULL JOIN sparse USING (query_id, chunk_id)),
+coarse AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM fu) WHERE rank <= 50)"""
 
 
-def hits(s, d):
-    lists = x.ranked(s, d, False).select(F.col("question_id").alias("query_id"), "chunk_id", "rank").join(x.questions(s, d), "query_id").where("rank <= 8 + query_id % 20")
-    rows = lists.join(x.chunks(s, d), "chunk_id")
-    q = F.col("query_id")
-    return rows.withColumns({"asked_domain": F.when(q % 3 == 0, "变电"), "asked_voltage": F.when(q % 4 == 0, "10kV"), "score": F.round(1 / F.col("rank"), 6)})
+def asked_whole(s, d):
+    rows = x.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(x.pick(x.QUESTIONS, F.col("item_id")), F.lit(" "), "text").alias("query"))
+    return analysis.analyze(rows).withColumn("is_drawing", F.when(F.col("exclude_drawings"), F.lit(False)))
+
+
+def encoded(s, d):
+    return encoder.hashed(x.chunks(s, d), "chunk_id", "text")
+
+
+@query(f"WITH {WHOLE} SELECT query_id, chunk_id, score, rank FROM coarse")
+def sr_recall(s, d):
+    """The coarse list of the whole search."""
+    return search.hybrid_search(asked_whole(s, d), encoded(s, d), encoder.hashed)
 
 
 def boosted(q: str) -> str:
@@ -156,11 +184,69 @@ def boosted(q: str) -> str:
   + CASE WHEN publish_level IN ('国标', '行标') THEN 0.03::DOUBLE ELSE 0 END - CASE WHEN is_drawing AND NOT {within(q, C.DRAWING_WORDS)} THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN asked_domain = domain THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN asked_voltage = voltage_level THEN 0.05::DOUBLE ELSE 0 END), 4)"""
 
 
-def reranked(q: str, final: str) -> str:
-    return f"""{LISTS}, bo AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, {boosted(q)} AS boost FROM hits), fs AS (SELECT *, round(CASE WHEN n <= 15 THEN score ELSE {final} END, 6) AS fine_score FROM bo),
+def reranked_from(lists: str, q: str, final: str, digits: int = 6) -> str:
+    return f"""{lists}, bo AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, {boosted(q)} AS boost FROM hits), fs AS (SELECT *, round(CASE WHEN n <= 15 THEN score ELSE {final} END, {digits}) AS fine_score FROM bo),
 fine AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n <= 15 THEN rank END NULLS FIRST, fine_score DESC, rank) AS INTEGER) AS fine_rank FROM fs) WHERE fine_rank <= 15)"""
 
 
+FOUND = f"""{WHOLE}, hits AS (SELECT k.query_id, k.rank, k.score, a.query, a.domain AS asked_domain, a.voltage_level AS asked_voltage, c.* FROM coarse k JOIN analyzed a USING (query_id) JOIN chunks c USING (chunk_id))"""
+
+
+@query(f"WITH {reranked_from(FOUND, 'query', 'score * boost', 8)} SELECT query_id, chunk_id, score, rank, fine_score, fine_rank, round(greatest(0, least(1, fine_score)), 4)::DOUBLE AS confidence FROM fine")
+def sr_search(s, d):
+    """Analysis, recall of 50 and reranking to 15."""
+    return search.full_search(asked_whole(s, d), encoded(s, d), encoder.hashed).select("query_id", "chunk_id", "score", "rank", "fine_score", "fine_rank", "confidence")
+
+
+@query(f"WITH {ANALYSIS} SELECT query_id, coalesce(domain, '综合') AS domain, domain IS NULL AS by_hand FROM analyzed")
+def sr_manual_domain(s, d):
+    analyzed = analysis.analyze(x.questions(s, d))
+    return search.with_domain(analyzed.withColumn("by_hand", F.col("domain").isNull()), "综合").select("query_id", "domain", "by_hand")
+
+
+NUMBERS = ["GB50060-2008", "DL5352-2018", "none"]
+
+
+@query(f"""WITH {x.CHUNKS}, nb AS (SELECT unnest({x.literal(NUMBERS)}) AS query_id), q AS (SELECT query_id, lower(query_id) AS t FROM nb), fits AS (SELECT query_id, c.* FROM nb JOIN chunks c ON contains(c.doc_number, query_id)),
+qn AS (SELECT query_id, term, count(*) AS n FROM (SELECT query_id, unnest(regexp_extract_all(t, '[a-z0-9]+')) AS term FROM q) GROUP BY ALL), pw AS (SELECT query_id, chunk_id, term, count(*) AS n FROM (SELECT query_id, chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM fits) GROUP BY ALL),
+sp AS (SELECT query_id, chunk_id, round(sum((1 + ln(pw.n)) * (1 + ln(qn.n))), 4) AS score FROM pw JOIN qn USING (query_id, term) GROUP BY ALL), sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sp) WHERE rank <= 200),
+dc AS (SELECT query_id, chunk_id, strpos('0123456789abcdef', substr(md5(term), 1, 1)) AS b, CAST(sum(CASE WHEN strpos('01234567', substr(md5(term), 9, 1)) > 0 THEN n ELSE -n END) AS DOUBLE) AS v FROM pw GROUP BY ALL),
+dq AS (SELECT query_id, strpos('0123456789abcdef', substr(md5(term), 1, 1)) AS b, CAST(sum(CASE WHEN strpos('01234567', substr(md5(term), 9, 1)) > 0 THEN n ELSE -n END) AS DOUBLE) AS v FROM qn GROUP BY ALL),
+lc AS (SELECT query_id, chunk_id, sqrt(sum(v * v)) AS l FROM dc GROUP BY ALL), lq AS (SELECT query_id, sqrt(sum(v * v)) AS l FROM dq GROUP BY ALL), ip AS (SELECT query_id, chunk_id, sum(dq.v * dc.v) AS p FROM dq JOIN dc USING (query_id, b) GROUP BY ALL),
+ds AS (SELECT query_id, chunk_id, round(CASE WHEN lq.l > 0 AND lc.l > 0 THEN coalesce(p, 0) / lq.l / lc.l ELSE 0 END, 4)::DOUBLE AS score FROM lc JOIN lq USING (query_id) LEFT JOIN ip USING (query_id, chunk_id)), dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds) WHERE rank <= 200),
+fu AS (SELECT query_id, chunk_id, round(coalesce(dense.score, 0) * 0.6::DOUBLE + coalesce(sparse.score, 0) * 0.4::DOUBLE, 6) AS score FROM dense FULL JOIN sparse USING (query_id, chunk_id))
+SELECT query_id AS doc_number, chunk_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM fu) WHERE rank <= 100""")
+def sr_by_number(s, d):
+    asked = s.createDataFrame([(n, n) for n in NUMBERS], "query_id string, doc_number string")
+    return search.by_number(asked, encoded(s, d), encoder.hashed).withColumnRenamed("query_id", "doc_number")
+
+
+@query(f"""WITH {x.CHUNKS}, w AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks), p AS (SELECT chunk_id, term, count(*) AS n FROM w GROUP BY ALL),
+v AS (SELECT chunk_id, sum(CASE WHEN strpos('0123456789abcdef', substr(md5(term), 1, 1)) = i THEN CASE WHEN strpos('01234567', substr(md5(term), 9, 1)) > 0 THEN n ELSE -n END ELSE 0 END)::BIGINT AS s, i FROM p, (SELECT unnest(range(1, 17)) AS i) GROUP BY ALL)
+SELECT chunks.chunk_id, len(regexp_extract_all(lower(chunks.text), '[a-z0-9]+'))::INTEGER AS n_words, (SELECT string_agg(s, ',' ORDER BY i) FROM v WHERE v.chunk_id = chunks.chunk_id) AS dense FROM chunks""")
+def vec_encode(s, d):
+    """Both vectors of each chunk; without words there is no dense one."""
+    return encoded(s, d).select("chunk_id", F.size("words").alias("n_words"), F.array_join(F.transform("dense", lambda v: v.cast("long").cast("string")), ",").alias("dense"))
+
+
+# --- reranking, over the lists of a search
+
+LISTS = f"""{x.CHUNKS}, {x.ASKED}, {x.RANKS}, {x.ranked_sql("coarse", False)}, hits AS (
+  SELECT a.query_id, a.query, c.*, k.rank, CASE WHEN a.query_id % 3 = 0 THEN '变电' END AS asked_domain, CASE WHEN a.query_id % 4 = 0 THEN '10kV' END AS asked_voltage, round(1.0::DOUBLE / k.rank, 6) AS score
+  FROM coarse k JOIN asked a ON a.query_id = k.question_id JOIN chunks c ON c.chunk_id = k.chunk_id WHERE k.rank <= 8 + a.query_id % 20)"""
+
+
+def hits(s, d):
+    lists = x.ranked(s, d, False).select(F.col("question_id").alias("query_id"), "chunk_id", "rank").join(x.questions(s, d), "query_id").where("rank <= 8 + query_id % 20")
+    rows = lists.join(x.chunks(s, d), "chunk_id")
+    q = F.col("query_id")
+    return rows.withColumns({"asked_domain": F.when(q % 3 == 0, "变电"), "asked_voltage": F.when(q % 4 == 0, "10kV"), "score": F.round(1 / F.col("rank"), 6)})
+
+
+def reranked(q: str, final: str) -> str:
+    return reranked_from(LISTS, q, final)
+
+
 FINE = "SELECT query_id, chunk_id, rank, boost, fine_score, fine_rank, round(greatest(0, least(1, fine_score)), 4)::DOUBLE AS confidence FROM fine"
 FCOLS = ["query_id", "chunk_id", "rank", "boost", "fine_score", "fine_rank", "confidence"]
 

@@ -92,7 +92,7 @@ def test_more_files_and_queries_than_are_broadcast(spark):
     assert found(most_files=7) == found() and {q for q, *_ in found()} == set(range(50))
     vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "chunk_id int, dense array<double>")
     near = lambda **most: sorted(map(tuple, search.dense_search(vectors.withColumnRenamed("chunk_id", "query_id"), vectors, 5, **most).collect()))
-    assert near(most_queries=7) == near() and len(near()) == 300
+    assert near(block=7) == near() and len(near()) == 300
 
 
 def test_chunk_limit_is_of_each_file(spark):
