@@ -101,3 +101,12 @@ CHUNK_CHARS, CHUNK_OVERLAP, FULL_CHARS, FORCE_CHARS, SINGLE_PAGES = 1536, 192, 1
 COARSE_K, FINE_K, RRF_K, DENSE_WEIGHT, SPARSE_WEIGHT = 50, 15, 60, 0.7, 0.3
 CONTEXT_TOKENS, COMPRESS_AT, KEPT_MESSAGES = 32_768, 0.85, 6
 FULL_DOCUMENT_CHARS = 10_000
+NOT_REGISTERED, REGISTRATION_LOST, SOURCE_GONE = "文件未在注册表中找到", "文件注册信息丢失", "原始文件不存在，无法重建索引"
+#: Least, most and default of the parameters of requests.
+BOUNDS = {"search": (1, 50, 15), "ask": (5, 30, 15), "list": (1, 1000, 100)}
+MEETING_FILE = r"会议材料之[^.]*\.(?:pdf|doc|docx)"
+FOCUS = "【重要: 用户要查询的是文件 \"{name}\" 的内容, 请只基于该文件的 chunks 回答, 其他文件内容仅供背景参考, 不要混淆。】\n\n"
+CUT_NOTICE = ("\n\n【注意：完整文档过长（", "字符），已截断至", "字符。此处仅展示前半部分，如需后续内容请具体提问。】")
+ONLY_THIS = ("\n【⚠ 重要指令: 用户查询引用了文件 \"", "\"，请只基于上述完整文档内容回答，不要引用其他文件。以下其他文件片段仅供背景了解，回答中不要引用它们的内容。】\n")
+#: Characters that text in binary files may have.
+PLAUSIBLE = "一-鿿a-zA-Z0-9\\s.,;:!?()（）、。，；：！？'【】《》—…/%+\\-"

@@ -55,7 +55,8 @@ def full_documents(chunks: DataFrame, key: str = "file_hash") -> DataFrame:
 
 def shortened(document: Column, most: int = C.FULL_DOCUMENT_CHARS) -> Column:
     n = F.length(document)
-    notice = F.concat(F.lit("\n\n【注意：完整文档过长（"), n.cast("string"), F.lit(f"字符），已截断至{most}字符。此处仅展示前半部分，如需后续内容请具体提问。】"))
+    head, middle, end = C.CUT_NOTICE
+    notice = F.concat(F.lit(head), n.cast("string"), F.lit(f"{middle}{most}{end}"))
     return F.when(n > most, F.concat(F.substring(document, 1, most), notice)).otherwise(document)
 
 
@@ -76,12 +77,34 @@ def supplements(results: DataFrame, matched: DataFrame, most: int = C.FINE_K, ke
 def injected(documents: DataFrame, supplementary: DataFrame) -> DataFrame:
     """documents: query_id, match_name, document. The document, the instruction to keep to it, and its supplements."""
     extra = supplementary.withColumn("part", result_text()).groupBy("query_id").agg(in_order("part", "place", "\n\n").alias("extra"))
-    told = F.concat(F.lit('\n【⚠ 重要指令: 用户查询引用了文件 "'), F.col("match_name"), F.lit('"，请只基于上述完整文档内容回答，不要引用其他文件。以下其他文件片段仅供背景了解，回答中不要引用它们的内容。】\n'))
+    told = F.concat(F.lit(C.ONLY_THIS[0]), F.col("match_name"), F.lit(C.ONLY_THIS[1]))
     rule = "─" * 40
     note = F.when(F.col("extra").isNotNull(), F.lit(f"\n{rule}\n【以下为检索到的其他相关文件片段，仅供参考背景，回答时请勿引用以下内容】\n{rule}\n"))
     return documents.join(extra, "query_id", "left").select("query_id", F.concat_ws("\n\n", shortened(F.col("document")), told, note, "extra").alias("context"))
 
 
+def focused(text: Column, query: Column) -> Column:
+    """Without a registry: text led by the hint to keep to the file of a meeting paper that the query names by number, if the text has one."""
+    number = F.coalesce(t.blank_to_null(F.regexp_extract(query, f"(?U)(\\d{{2}})\\s*会议材料之[一二三四五六七八九十]+", 1)), t.blank_to_null(F.regexp_extract(query, r"(?U)(\d+)\s*(?:会议材料|材料)", 1)))
+    named = F.get(F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"\\d+[^.]*{C.MEETING_FILE}"), F.lit(0)), lambda m: F.when(F.instr(m, number) > 0, F.substr(m, F.instr(m, number)))), lambda m: m.isNotNull()), 0)
+    line = F.get(F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.concat(F.lit("文件: "), number)) & F.contains(x, F.lit("会议材料"))), 0)
+    name = F.coalesce(named, t.strip(line))
+    head, tail = C.FOCUS.split("{name}")
+    return F.when(name.isNotNull(), F.concat(F.lit(head), name, F.lit(tail), text)).otherwise(text)
+
+
+def with_fallback(injected_: DataFrame, results: DataFrame) -> DataFrame:
+    """query_id and context: that of the injected document; where there is none, the results' own."""
+    own = context(results).withColumnRenamed("context", "plain")
+    return own.join(injected_, "query_id", "full_outer").select("query_id", F.coalesce("context", "plain").alias("context"), F.col("context").isNotNull().alias("injected"))
+
+
+def bounded(value: Column, kind: str) -> Column:
+    """A request's number: its default without one, null where it is out of bounds."""
+    least, most, default = C.BOUNDS[kind]
+    return F.when(value.isNull(), default).when(value.between(least, most), value)
+
+
 def previews(results: DataFrame, most: int = 500) -> DataFrame:
     return results.withColumn("preview", t.cut(F.col("text"), most))
 

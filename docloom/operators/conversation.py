@@ -112,3 +112,20 @@ def folded(messages: DataFrame, limit: float = C.CONTEXT_TOKENS * C.COMPRESS_AT,
 
 def listed(conversations: DataFrame, updated: str = "updated_at") -> DataFrame:
     return conversations.orderBy(F.desc(updated), "conv_id")
+
+
+def created(asked: DataFrame, now: Column) -> DataFrame:
+    """asked: request (unique), title. conv_id of twelve hexadecimal digits, title, created_at and updated_at of new conversations."""
+    return asked.select(F.substring(F.sha2(F.col("request").cast("string"), 256), 1, 12).alias("conv_id"), "title", now.alias("created_at"), now.alias("updated_at"))
+
+
+def got(messages: DataFrame, conv_ids: DataFrame) -> DataFrame:
+    """Overview and all messages, in order, of these conversations; an unknown id gives no row."""
+    mine = messages.join(conv_ids.select("conv_id").distinct(), "conv_id", "left_semi")
+    turns = mine.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))), lambda m: F.struct(m["role"], m["content"])).alias("turns"))
+    return overview(mine).join(turns, "conv_id")
+
+
+def deleted(messages: DataFrame, conv_ids: DataFrame) -> DataFrame:
+    """The messages that are left."""
+    return messages.join(conv_ids.select("conv_id"), "conv_id", "left_anti")

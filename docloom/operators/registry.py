@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom import config as C
@@ -75,14 +75,17 @@ def recovered(registry: DataFrame) -> DataFrame:
     return registry.withColumns({"status": F.when(stuck, "pending").otherwise(F.col("status")), "error_message": F.when(stuck, "").otherwise(F.col("error_message"))})
 
 
-def resolved(identifiers: DataFrame, registry: DataFrame) -> DataFrame:
-    """identifiers: identifier. Its file: a hash of 64 hexadecimal digits, else a path, else a name (the least hash of several)."""
+def resolved(identifiers: DataFrame, registry: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """identifiers: identifier. Its file: a hash of 64 hexadecimal digits; else the content's hash of a present file of that path (present: path, content_hash); else a path or a name of the registry (the least hash of several)."""
     done = registry.select("file_hash", "original_path", "file_name")
     asked = identifiers.withColumn("is_hash", F.col("identifier").rlike("^[0-9a-fA-F]{64}$"))
     by_path = done.groupBy("original_path").agg(F.min("file_hash").alias("by_path"))
     names = done.groupBy("file_name").agg(F.min("file_hash").alias("by_name"))
     rows = asked.join(by_path, asked["identifier"] == by_path["original_path"], "left").join(names, asked["identifier"] == names["file_name"], "left")
-    return rows.select("identifier", F.when(F.col("is_hash"), F.lower("identifier")).otherwise(F.coalesce("by_path", "by_name")).alias("file_hash"))
+    there = F.lit(None).cast("string")
+    if present is not None:
+        rows, there = rows.join(present, F.col("identifier") == F.col("path"), "left"), F.col("content_hash")
+    return rows.select("identifier", F.when(F.col("is_hash"), F.lower("identifier")).otherwise(F.coalesce(there, "by_path", "by_name")).alias("file_hash"))
 
 
 def to_ingest(files: DataFrame, registry: DataFrame) -> DataFrame:
@@ -164,3 +167,32 @@ def document_of(asked: DataFrame, registry: DataFrame, chunks: DataFrame) -> Dat
 def stored_name(name: Column, taken: Column, epoch: int) -> Column:
     """A name that is taken gets the time before its extension."""
     return F.when(taken, F.concat(t.stem(name), F.lit(f"_{epoch}"), F.coalesce(t.blank_to_null(F.regexp_extract(name, r"[^.](\.[^.]*)$", 1)), F.lit("")))).otherwise(name)
+
+
+def by_state(registry: DataFrame, parsed: bool | None = None, hashes: DataFrame | None = None) -> DataFrame:
+    """Files of these hashes, parsed or not; without a condition it isn't asked for."""
+    rows = registry if hashes is None else by_hash(registry, hashes)
+    return rows if parsed is None else rows.where((F.col("status") == "completed") == F.lit(parsed))
+
+
+def details(identifiers: DataFrame, registry: DataFrame, most: int = 1000) -> DataFrame:
+    """identifiers: identifier, a hash or a name. Of each the first that fits among the latest `most` files, with a column identifier; none: no row."""
+    page = registry.orderBy(F.desc("updated_at"), "file_hash").limit(most)
+    keys = page.select("*", F.explode(F.array_distinct(F.array("file_hash", "file_name"))).alias("identifier"))
+    found = keys.join(identifiers.select("identifier").distinct(), "identifier", "left_semi")
+    order = Window.partitionBy("identifier").orderBy(F.desc("updated_at"), "file_hash")
+    return found.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+
+
+def removable(registry: DataFrame, hashes: DataFrame, uploads: str) -> DataFrame:
+    """file_hash and path of the files that removing may delete: those below uploads."""
+    path = F.coalesce(t.blank_to_null(F.col("original_path")), t.blank_to_null(F.col("stored_path")))
+    return by_hash(registry, hashes).select("file_hash", path.alias("path")).where(F.startswith("path", F.lit(uploads)))
+
+
+def reindexed(identifiers: DataFrame, registry: DataFrame, present: DataFrame) -> DataFrame:
+    """identifiers: identifier. present: path, content_hash of files that exist. What reindexing does with each: file_hash, path, status (pending: removed and to be read again) and error_message."""
+    files = registry.select(F.col("file_hash").alias("own"), F.coalesce(t.blank_to_null(F.col("original_path")), t.blank_to_null(F.col("stored_path"))).alias("path"))
+    rows = resolved(identifiers, registry, present).join(files, F.col("file_hash") == F.col("own"), "left").join(present.select("path", F.lit(True).alias("there")), "path", "left")
+    error = F.when(F.col("file_hash").isNull(), C.NOT_REGISTERED).when(F.col("own").isNull(), C.REGISTRATION_LOST).when(F.col("there").isNull(), C.SOURCE_GONE)
+    return rows.select("identifier", "file_hash", F.coalesce("path", F.lit("")).alias("path"), F.when(error.isNull(), "pending").otherwise("failed").alias("status"), F.coalesce(error, F.lit("")).alias("error_message"))

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from docloom.operators import search
 from docloom.operators.metadata import filename_metadata
 from docloom.plans import fixtures as x
-from docloom.plans import ingest, quality, retrieval
+from docloom.plans import ingest, lifecycle, quality, retrieval
 
-QUERIES = ingest.QUERIES | retrieval.QUERIES | quality.QUERIES
-ORACLE_SQL = ingest.SQL | retrieval.SQL | quality.SQL
+QUERIES = ingest.QUERIES | retrieval.QUERIES | quality.QUERIES | lifecycle.QUERIES
+ORACLE_SQL = ingest.SQL | retrieval.SQL | quality.SQL | lifecycle.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best chunks by weighted words for each benchmark passage, with their files' metadata and a preview."""
     chunks = x.chunks(spark, sf_dir)
-    asked = search.terms(x.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id", "text")
-    found = search.sparse_search(asked, search.terms(chunks.select("chunk_id", "text"), "chunk_id", "text"), 10)
+    asked = x.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), search.words("text").alias("words"))
+    found = search.sparse_search(asked, x.worded(spark, sf_dir), 10)
     files = filename_metadata(chunks.select("chunk_id", "file_name", "file_path", F.substring("text", 1, 500).alias("preview")))
     return found.join(files, "chunk_id").select("query_id", "rank", "chunk_id", "score", "file_path", "doc_number", "discipline", "preview")

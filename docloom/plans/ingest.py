@@ -181,9 +181,9 @@ def reg_name_like(s, d):
     return registry.by_name(x.registry(s, d), "gb%2008").select(*ALL.split(", "))
 
 
-@query(f"WITH {x.REGISTRY} SELECT {ALL} FROM registry WHERE status = 'completed' AND file_name = 'noext~16'")
+@query(f"WITH {x.REGISTRY} SELECT {ALL} FROM registry WHERE status = 'completed' AND file_name = 'noext~32'")
 def reg_name_exact(s, d):
-    return registry.by_name(x.registry(s, d), "noext~16", exact=True).select(*ALL.split(", "))
+    return registry.by_name(x.registry(s, d), "noext~32", exact=True).select(*ALL.split(", "))
 
 
 @query(f"WITH {x.REGISTRY} SELECT count(*) AS files FROM registry WHERE status = 'completed'")
@@ -294,12 +294,12 @@ def snk_deleted(s, d):
 
 
 
-@query(f"""WITH {x.FILES}, parts AS (SELECT doc_id, 0 AS part, text AS t FROM files WHERE n_chars > 4000 UNION ALL SELECT doc_id, 1, 'read ' || substring(text, 1, 3000) FROM files WHERE n_chars > 4000),
-w AS (SELECT doc_id, part, t, unnest(range(CAST(greatest(ceil((length(t) - 1536) / 1344.0), 0) AS BIGINT) + 1)) AS i FROM parts)
+@query(f"""WITH {x.FILES}, parts AS (SELECT doc_id, 0 AS part, text AS t FROM files UNION ALL SELECT doc_id, 1, 'read ' || text FROM files),
+w AS (SELECT doc_id, part, t, unnest(range(CAST(greatest(ceil((length(t) - 1536) / 1344.0), 0) AS BIGINT) + 1)) AS i FROM parts WHERE length(t) > 0)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part, i) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks, substring(t, i * 1344 + 1, 1536) AS chunk_text FROM w""")
 def chk_progressive(s, d):
-    long = x.files(s, d).where("n_chars > 4000")
-    parts = long.select("doc_id", F.lit(0).alias("part"), "text").union(long.select("doc_id", F.lit(1), F.concat(F.lit("read "), F.substring("text", 1, 3000))))
+    files = x.files(s, d)
+    parts = files.select("doc_id", F.lit(0).alias("part"), "text").union(files.select("doc_id", F.lit(1), F.concat(F.lit("read "), "text")))
     rows = chunking.forced_split(parts).withColumnRenamed("chunk_index", "place")
     return chunking.numbered(rows, "doc_id", ["part", "place"]).select("doc_id", "chunk_index", "total_chunks", "chunk_text")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom import config as C
@@ -442,7 +441,7 @@ def cv_times(s, d):
     return x.table(s, d, "events").select("event_id", iso.alias("iso"), shown.alias("display"))
 
 
-@query("SELECT conv_id, count(*) AS turns, CAST(row_number() OVER (ORDER BY max(turn) DESC, conv_id) AS INTEGER) AS place FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS turns, max(turn) AS updated_at FROM conversations GROUP BY conv_id")
 def cv_listed(s, d):
     rows = turns(s, d).groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("turn").alias("updated_at"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "conv_id"))).select("conv_id", "turns", "place")
+    return conversation.listed(rows)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom import config as C
 from docloom.functions import text as t
 
 
@@ -22,7 +23,8 @@ def scan(spark: SparkSession, folder: str, formats: list[str] | None = None, lim
     name = t.basename(F.col("path"))
     rows = files.select("path", name.alias("file_name"), t.extension(name).alias("extension"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
     rows = rows.where(F.col("extension").isin(*formats)) if formats else rows
-    rows = rows.orderBy("path").limit(limit) if limit else rows
+    if limit:  # paths alone are put in order, then contents are read of those that stay
+        rows = rows.join(F.broadcast(rows.select("path").orderBy("path").limit(limit)), "path", "left_semi")
     return rows.withColumn("file_hash", F.sha2("content", 256))
 
 
@@ -97,15 +99,21 @@ def ofd(data: bytes) -> str:
     return "\n\n".join(p for p in pages if p)
 
 
-RUN = re.compile(r"[一-鿿㐀-䶿　-〿＀-￯\w\s.,;:()\-+/%]{4,}")
+RUN = f"[{C.PLAUSIBLE}]{{4,}}"
 
 
 def raw_utf16(data: bytes) -> str:
-    """Runs of four and more plausible characters, of which over a twentieth are Han, and over six remain."""
-    runs = (x.strip() for x in RUN.findall(data.decode("utf-16-le", "ignore")))
+    """Runs of four and more plausible characters, of more than six, of which over a twentieth are Han."""
+    runs = re.findall(RUN, data.decode("utf-16-le", "ignore"))
     return "\n".join(x for x in runs if len(x) > 6 and sum("一" <= c <= "鿿" for c in x) > 0.05 * len(x))
 
 
+def plausible_runs(decoded: Column) -> Column:
+    """As raw_utf16, of text that is decoded already."""
+    runs = F.regexp_extract_all(decoded, F.lit(f"(?U){RUN}"), F.lit(0))
+    return F.array_join(F.filter(runs, lambda x: (F.length(x) > 6) & (F.regexp_count(x, F.lit("[一-鿿]")) > F.length(x) * 0.05)), "\n")
+
+
 def plain(data: bytes) -> str:
     return data.decode("utf-8", "ignore")
 
@@ -135,6 +143,25 @@ def parsed(files: DataFrame, parsers: dict[str, Callable[[bytes], str]] | None =
     return files.mapInArrow(run, T.StructType(fields))
 
 
+def recognised(df: DataFrame, result: str) -> DataFrame:
+    """result: what a recogniser of page images returned, as JSON, in either of its shapes: objects of rec_texts and rec_scores, or lists of [box, [text, confidence]].
+
+    Adds ocr_text (lines joined) and lines (text, confidence to four digits, bbox as a flat array of rounded numbers, empty in the first shape); lines that don't fit are left out.
+    """
+    shape = "struct<text:string,confidence:double,bbox:array<bigint>>"
+    new = F.from_json(result, "array<struct<rec_texts:array<string>,rec_scores:array<double>>>")[0]
+    first = F.get_json_object(result, "$[0]")
+    named = F.get_json_object(result, "$[0].rec_texts").isNotNull()
+    flat = F.transform(new["rec_texts"], lambda x, i: F.struct(x.alias("text"), F.round(F.coalesce(F.get(new["rec_scores"], i), F.lit(0.0)), 4).alias("confidence"), F.array().cast("array<bigint>").alias("bbox")))
+    old = F.from_json(first, "array<array<string>>")
+    box = lambda line: F.transform(F.flatten(F.from_json(F.get(line, 0), "array<array<double>>")), lambda v: F.bround(v).cast("bigint"))
+    told = lambda line: F.from_json(F.get(line, 1), "array<string>")
+    listed = F.transform(old, lambda x: F.struct(F.get(told(x), 0).alias("text"), F.round(F.get(told(x), 1).try_cast("double"), 4).alias("confidence"), box(x).alias("bbox")))
+    lines = F.when(named, flat.cast(f"array<{shape}>")).otherwise(F.filter(listed.cast(f"array<{shape}>"), lambda x: x["confidence"].isNotNull() & x["bbox"].isNotNull()))
+    lines = F.coalesce(F.filter(lines, lambda x: (x["text"] != "") | ~named), F.array().cast(f"array<{shape}>"))
+    return df.withColumn("lines", lines).withColumn("ocr_text", F.array_join(F.transform("lines", lambda x: x["text"]), "\n"))
+
+
 def dispatch(extension: Column) -> Column:
     """How a format is read; null for those that give no chunks."""
     return F.when(extension == ".pdf", "pdf").when(extension.isin(".txt", ".md"), "plain").when(extension.isin(".xls", ".xlsx"), "sheet").when(extension.isin(".ppt", ".pptx"), "slides").when(extension.isin(".doc", ".docx", ".wps"), "word").when(extension == ".ofd", "ofd")
