@@ -154,16 +154,38 @@ def ev_hallucinations(s, d):
     return answers(s, d).select("question_id", F.size(ev.unsupported(F.col("answer"), F.col("known"))).cast("long").alias("hallucinations"))
 
 
-@query()
+FACTS = f"""fx AS (SELECT item_id AS question_id, {x.pick_sql(x.ANSWERS, 'item_id')} AS answer, unnest({x.pick_sql(x.FACTS, 'item_id')}) AS fact FROM benchmark),
+fp AS (SELECT *, list_filter(regexp_split_to_array(fact, '[,，;；/、()（）\\s]+'), lambda p: length(p) >= 3) AS parts, list_distinct(list_filter(regexp_extract_all(fact, '[0-9.]+[%kKVΩmAW]?'), lambda n: length(n) >= 3)) AS numbers FROM fx),
+fc AS (SELECT *, list_concat(parts, list_filter(list_distinct(list_transform(list_filter(parts, lambda p: regexp_matches(p, '^[A-Z]{{2,}}\\s*[-_]?\\s*[0-9]')), lambda p: regexp_extract(p, '^([A-Z]{{2,}})', 1) || ' ' || regexp_extract(p, '^[A-Z]{{2,}}\\s*[-_]?\\s*([0-9]+)', 1))), lambda c: NOT list_contains(parts, c))) AS most FROM fp),
+ff AS (SELECT *, list_concat(most, list_filter(numbers, lambda n: NOT list_contains(most, n))) AS found FROM fc),
+fs AS (SELECT question_id, CASE WHEN len(found) < 2 THEN CAST(contains(lower(answer), lower(trim(fact))) AS INT)::DOUBLE ELSE len(list_filter(found, lambda p: contains(lower(answer), lower(p)))) / len(found) END AS share FROM ff),
+facts AS (SELECT item_id AS question_id, round(CASE WHEN count(share) > 0 THEN (count(*) FILTER (share >= 0.6::DOUBLE) + count(*) FILTER (share >= 0.3::DOUBLE AND share < 0.6::DOUBLE) * 0.5::DOUBLE) / count(share) ELSE 0 END, 6)::DOUBLE AS coverage, CAST(count(*) FILTER (share >= 0.6::DOUBLE) AS INTEGER) AS hit,
+  CAST(count(*) FILTER (share >= 0.3::DOUBLE AND share < 0.6::DOUBLE) AS INTEGER) AS partial, CAST(count(*) FILTER (share < 0.3::DOUBLE) AS INTEGER) AS miss FROM benchmark LEFT JOIN fs ON fs.question_id = item_id GROUP BY item_id)"""
+
+
+@query(f"WITH {FACTS} SELECT question_id, coverage, hit, partial, miss FROM facts")
 def ev_fact_coverage(s, d):
-    """Facts' parts; goldens stand for an oracle."""
     return answers(s, d).select("question_id", ev.fact_coverage(F.col("answer"), F.col("facts")).alias("f")).select("question_id", "f.*")
 
 
-@query()
+#: Longest common subsequences of the distinct pairs of texts, a row of the table at a time.
+ROUGE = """texts AS (SELECT DISTINCT replace(answer, ' ', '') AS a, replace(gold, ' ', '') AS g FROM qa),
+dp AS (SELECT a, g, 0 AS i, list_transform(range(0, length(g) + 1), lambda j: 0) AS r FROM texts UNION ALL
+  SELECT a, g, i + 1, list_transform(range(1, length(g) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN k = 1 THEN 0 ELSE greatest(r[k], r[k - 1] + CASE WHEN substring(a, i + 1, 1) = substring(g, k - 1, 1) THEN 1 ELSE 0 END) END))) FROM dp WHERE i < length(a)),
+lcs AS (SELECT a, g, r[-1] AS n, CASE WHEN length(a) > 0 THEN r[-1] / length(a) ELSE 0 END AS p, CASE WHEN length(g) > 0 THEN r[-1] / length(g) ELSE 0 END AS q FROM dp WHERE i = length(a))"""
+UNSUPPORTED = """cd AS (SELECT question_id, list_distinct(list_transform(regexp_extract_all(answer, '(?i)(?:GB|GB/T|GB\\s*T|DL|DL/T|DL\\s*T|JGJ|CJJ|CECS|Q/GDW|SL|NB|YS|SH)\\s*[0-9]+[-0-9]*'), lambda v: regexp_replace(lower(trim(v)), '[ _]', '', 'g'))) AS codes, list_transform(list_filter(known, lambda v: v <> ''), lambda v: regexp_replace(lower(trim(v)), '[ _]', '', 'g')) AS src FROM qa),
+un AS (SELECT question_id, CAST(len(list_filter(codes, lambda v: len(list_filter(src, lambda w: contains(w, v) OR contains(v, w) OR contains(w, substring(v, 1, 6)))) = 0)) AS INTEGER) AS hallucinations FROM cd)"""
+
+
+@query(f"""WITH RECURSIVE qa AS (SELECT item_id AS question_id, {x.pick_sql(x.ANSWERS, 'item_id')} AS answer, {x.pick_sql(x.ANSWERS, 'item_id + 1')} AS gold, {x.pick_sql(x.EXPECTED, 'item_id')} AS expected, {x.pick_sql(x.KNOWN, 'item_id // 2')} AS known FROM benchmark), {ROUGE}, {FACTS}, {UNSUPPORTED},
+ct AS (SELECT question_id, CASE WHEN len(expected) > 0 THEN round(len(list_filter(expected, lambda e: contains(lower(answer), lower(trim(e))))) / len(expected), 6) ELSE 0.0::DOUBLE END AS share FROM qa)
+SELECT qa.question_id, coverage, hit, partial, miss, share AS citation_precision, share AS citation_recall, hallucinations, CAST(length(answer) AS INTEGER) AS answer_length, round(CASE WHEN length(gold) > 0 THEN length(answer) / length(gold) ELSE 0 END, 6)::DOUBLE AS length_ratio,
+  round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6)::DOUBLE AS rouge_l_f1, round(p, 6)::DOUBLE AS rouge_l_precision, round(q, 6)::DOUBLE AS rouge_l_recall
+FROM qa JOIN facts USING (question_id) JOIN un USING (question_id) JOIN ct USING (question_id) JOIN lcs ON lcs.a = replace(answer, ' ', '') AND lcs.g = replace(gold, ' ', '')""")
 def ev_answer_quality(s, d):
     """All measures of answers, ROUGE-L among them."""
-    return ev.answer_quality(answers(s, d)).drop("answer", "gold")
+    out = ev.answer_quality(answers(s, d)).drop("answer", "gold")
+    return out.withColumns({c: F.round(c, 6) for c in ("rouge_l_f1", "rouge_l_precision", "rouge_l_recall")})
 
 
 @query("SELECT doc_id, CASE WHEN p >= 90 THEN 5 WHEN p >= 75 THEN 4 WHEN p >= 60 THEN 3 WHEN p >= 40 THEN 2 ELSE 1 END AS stars, repeat('█', CAST(round_even(p / 100.0::DOUBLE * 20, 0) AS INTEGER)) || repeat('░', 20 - CAST(round_even(p / 100.0::DOUBLE * 20, 0) AS INTEGER)) AS bar FROM (SELECT doc_id, n_chars % 101 AS p FROM documents)")

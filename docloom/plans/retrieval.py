@@ -335,13 +335,35 @@ def ctx_supplements(s, d):
     return context.supplements(h, h.where("rank = 2").select("query_id", F.col("file_path").alias("match_path"), F.col("file_name").alias("match_name"))).select("query_id", "chunk_id", "place")
 
 
-@query()
-def ctx_injected(s, d):
-    """The whole prompt context; its parts have oracles of their own."""
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+THIN = "─" * 40
+INJECTED = f"""{INJECT}, {DOCS[len(x.CHUNKS) + 2:]}, ex AS (SELECT query_id, string_agg({PART}, chr(10) || chr(10) ORDER BY place) AS extra FROM sp WHERE place <= 2 GROUP BY query_id),
+inj AS (SELECT m.query_id, concat_ws(chr(10) || chr(10), CASE WHEN length(document) > 10000 THEN substring(document, 1, 10000) || {quoted(C.CUT_NOTICE[0])} || length(document) || {quoted(C.CUT_NOTICE[1])} || 10000 || {quoted(C.CUT_NOTICE[2])} ELSE document END, {quoted(C.ONLY_THIS[0])} || match_name || {quoted(C.ONLY_THIS[1])},
+  CASE WHEN extra IS NOT NULL THEN chr(10) || '{THIN}' || chr(10) || '【以下为检索到的其他相关文件片段，仅供参考背景，回答时请勿引用以下内容】' || chr(10) || '{THIN}' || chr(10) END, extra) AS context FROM m JOIN whole USING (doc_id) LEFT JOIN ex USING (query_id))"""
+
+
+def injected(s, d, condition: str):
     h = hits(s, d)
-    m = h.where("rank = 2").select("query_id", F.col("file_path").alias("match_path"), F.col("file_name").alias("match_name"), "doc_id")
+    m = h.where("rank = 2").where(condition).select("query_id", F.col("file_path").alias("match_path"), F.col("file_name").alias("match_name"), "doc_id")
     docs = m.join(context.full_documents(x.chunks(s, d), "doc_id"), "doc_id")
-    return context.injected(docs, context.supplements(h, m.drop("doc_id")))
+    return h, context.injected(docs, context.supplements(h, m.drop("doc_id")))
+
+
+@query(f"WITH {INJECTED} SELECT query_id, context FROM inj")
+def ctx_injected(s, d):
+    """The whole prompt context of a file that a query names."""
+    return injected(s, d, "true")[1]
+
+
+@query(f"""WITH {INJECTED}, co AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_path ORDER BY rank) AS turn FROM hits WHERE rank <= 15), pl AS (SELECT query_id, string_agg({PART}, chr(10) || chr(10) ORDER BY rank) AS plain FROM co WHERE turn = 1 GROUP BY query_id)
+SELECT pl.query_id, coalesce(inj.context, plain) AS context, inj.context IS NOT NULL AS injected FROM pl LEFT JOIN (SELECT inj.* FROM inj JOIN m USING (query_id) WHERE m.doc_id % 2 = 0) inj USING (query_id)""")
+def ctx_with_fallback(s, d):
+    """Where no document is found, a query's results are its context."""
+    h, found = injected(s, d, "doc_id % 2 = 0")
+    return context.with_fallback(found, h)
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '...' ELSE text END AS preview FROM documents")
@@ -429,7 +451,23 @@ def cv_chat_request(s, d):
     return out.select("conv_id", F.size("messages").cast("long").alias("messages"), F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"])), "|").alias("request"))
 
 
-@query()
+def estimate_sql(c: str) -> str:
+    han = f"len(regexp_extract_all({c}, '[一-鿿]'))"
+    return f"CAST(floor({han} / 1.5::DOUBLE + (length({c}) - {han}) / 4.0::DOUBLE) AS BIGINT)"
+
+
+POINTS = SENT.replace("content", "oc[i]")
+OLD_LINE = f"CASE WHEN orl[i] = 'user' THEN '用户询问: ' || substring(oc[i], 1, 100) WHEN len({POINTS}) > 0 THEN '回答要点: ' || array_to_string(list_slice({POINTS}, 1, 2), '; ') END"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, role, text AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+st AS (SELECT conv_id, CAST(0 AS BIGINT) AS n, []::VARCHAR[] AS kr, []::VARCHAR[] AS kc, '' AS summary, CAST(0 AS BIGINT) AS total, 0 AS times FROM (SELECT DISTINCT conv_id FROM t) UNION ALL
+  SELECT conv_id, n, CASE WHEN fold THEN list_slice(kr, -6, -1) ELSE kr END, CASE WHEN fold THEN list_slice(kc, -6, -1) ELSE kc END, CASE WHEN fold THEN told ELSE summary END,
+    CASE WHEN fold THEN total + {estimate_sql('told')} - CAST(coalesce(list_sum(list_transform(oc, lambda c: {estimate_sql('c')})), 0) AS BIGINT) ELSE total END, CASE WHEN fold THEN times + 1 ELSE times END
+  FROM (SELECT *, array_to_string(list_slice(list_filter(list_transform(range(1, len(oc) + 1), lambda i: {OLD_LINE}), lambda l: l IS NOT NULL), 1, 20), chr(10)) AS told
+    FROM (SELECT *, total > 300 AND len(kr) > 6 AS fold, list_slice(kr, 1, len(kr) - 6) AS orl, list_slice(kc, 1, len(kc) - 6) AS oc
+      FROM (SELECT st.conv_id, t.n, list_append(kr, t.role) AS kr, list_append(kc, t.content) AS kc, summary, total + {estimate_sql('t.content')} AS total, times FROM st JOIN t ON t.conv_id = st.conv_id AND t.n = st.n + 1))))
+SELECT conv_id, CAST(len(kr) AS INTEGER) AS kept, summary, total AS total_tokens, times AS compressions FROM st JOIN (SELECT conv_id, max(n) AS n FROM t GROUP BY conv_id) USING (conv_id, n)""")
 def cv_folded(s, d):
     """Turn after turn with compression, as a fold of each conversation."""
     return conversation.folded(turns(s, d), 300)
