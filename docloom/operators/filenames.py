@@ -1,13 +1,12 @@
 """Files that a query names: several strategies in order, the first to claim a file wins.
 
-The registry side is joined by substring tests, so it is broadcast up to a bound; a larger one meets the queries
-block by block (a cartesian product of partitions), with the same result.
+No strategy compares every query with every file: a string stands in another only if its first characters are among
+the other's n-grams, so queries and files meet in an equi-join on such keys, and the strategies' exact tests look at the
+pairs that share one.
 """
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +14,6 @@ from docloom import config as C
 from docloom.functions import text as t
 
 NUMERAL = "[一二三四五六七八九十\\d]+"
-MOST_FILES = 200_000
 
 
 def all_matches(c: Column, pattern: str, group: int = 1) -> Column:
@@ -82,37 +80,73 @@ def meeting_score(num: Column, seq: Column, name: Column, own: Column) -> Column
     return F.when(name.contains("材料") & seq.isNotNull() & base.isNotNull(), score)
 
 
-def detect(queries: DataFrame, registry: DataFrame, least: float = 0.4, most_files: int = MOST_FILES) -> DataFrame:
-    """queries: query_id, query. registry: file_hash, file_name, doc_number. query_id, file_hash, file_name, strategy and match_score.
+def grams(c: Column, n: int) -> Column:
+    """All pieces of n characters."""
+    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n)))).otherwise(t.strings([]))
 
-    Strategies, the first that claims a file counting: candidates, in their order; the file's name in the query; the
-    query's phrases in the name; document numbers; meeting papers. What depends on a query or a file alone is worked
-    out before they meet.
-    """
-    small = registry.limit(most_files + 1).count() <= most_files
-    name, query = F.col("file_name"), F.col("query")
-    files = registry.select("file_hash", "file_name", F.coalesce("doc_number", F.lit("")).alias("doc_number"), F.lower(name).alias("lower_name"), F.lower(t.stem(name)).alias("bare_name"), bare_number(F.regexp_extract(name, f"(?U)之({NUMERAL})", 1)).alias("own"))
-    numbers = F.concat(*(all_matches(query, p, 0) for p in (r"(?U)[闽榕国]\S*〔\d{4}〕\d+号", r"(?U)[A-Z]{2,}[/T]?\s*\d+[\.\-]\d+", r"(?U)Q/GDW\s*\d+[\.\-]\d+")))
-    paper = meeting_number(query)
-    asked = queries.select(
-        "query_id", F.lower(query).alias("asked"), F.transform(candidates(query), lambda c: F.lower(t.strip(c))).alias("names"), F.array_sort(phrases(query)).alias("phrases"), numbers.alias("numbers"),
-        F.when(paper["num"].rlike(r"(?U)^\d+$"), paper["num"]).alias("num"), bare_number(paper["seq"]).alias("seq"),
-    )
-    pairs = asked.crossJoin(F.broadcast(files) if small else files)
+
+def tagged(tag: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.concat(F.lit(f"{tag}:"), v))
+
+
+def query_keys() -> Column:
+    """Keys of a query of detect(): what a file must have one of for any strategy to claim it."""
+    each = lambda xs, make: F.flatten(F.transform(xs, make))
+    names, told = F.col("names"), F.transform("phrases", lambda x: x["phrase"])
+    start = lambda xs, n: F.transform(F.filter(xs, lambda v: F.length(v) >= n), lambda v: F.substring(v, 1, n))
+    parts = [tagged("same", names), tagged("in", each(names, lambda c: F.concat(*(grams(c, n) for n in (1, 2, 3, 4))))), tagged("holds", start(names, 4)), tagged("asked", grams(F.col("asked"), 6))]
+    parts += [tagged("phrase", start(told, 4)), tagged("phrase", F.filter(told, lambda v: F.length(v) < 4)), tagged("number", start(F.col("numbers"), 4))]
+    parts.append(F.when(F.col("seq").isNotNull(), tagged("paper", F.array(F.lit(""), F.col("seq")))).otherwise(t.strings([])))
+    return F.array_distinct(F.concat(*parts))
+
+
+def file_keys() -> Column:
+    name, bare = F.col("lower_name"), F.col("bare_name")
+    first = lambda c, n: F.array(F.substring(c, 1, n))
+    parts = [tagged("same", F.array(name, bare)), tagged("in", first(name, 4)), tagged("holds", grams(name, 4)), tagged("asked", F.concat(first(bare, 6), first(name, 6)))]
+    parts += [tagged("phrase", grams(bare, n)) for n in (1, 2, 3, 4)] + [tagged("number", grams(F.col("doc_number"), 4))]
+    parts.append(F.when(F.contains("file_name", F.lit("材料")), tagged("paper", F.array("own"))).otherwise(t.strings([])))
+    return F.array_distinct(F.concat(*parts))
+
+
+def claims(pairs: DataFrame, least: float) -> DataFrame:
+    """Of pairs with the columns of both sides those that a strategy claims."""
     lower, bare = F.col("lower_name"), F.col("bare_name")
     claim = F.get(F.filter(F.transform("names", lambda c: candidate_score(c, lower, bare)), lambda s: s.isNotNull()), 0)
     contained = F.when((F.length(bare) >= 6) & F.contains("asked", bare), 0.7).when((F.length(lower) >= 8) & F.contains("asked", lower), 0.65)
     phrase = -F.get(F.filter("phrases", lambda x: F.contains(bare, x["phrase"])), 0)["order"]
     numbered = F.when((F.col("doc_number") != "") & F.exists("numbers", lambda n: F.contains(F.col("doc_number"), n)), 0.8)
-    steps = {"candidate": claim, "contained": contained, "phrase": phrase, "number": numbered, "meeting": meeting_score(F.col("num"), F.col("seq"), name, F.col("own"))}
+    steps = {"candidate": claim, "contained": contained, "phrase": phrase, "number": numbered, "meeting": meeting_score(F.col("num"), F.col("seq"), F.col("file_name"), F.col("own"))}
     first = F.coalesce(*(F.when(s.isNotNull(), F.struct(F.lit(k).alias("strategy"), s.cast("double").alias("match_score"))) for k, s in steps.items()))
     found = pairs.withColumn("claim", first).where(F.col("claim").isNotNull()).select("query_id", "file_hash", "file_name", "claim.strategy", F.round("claim.match_score", 4).alias("match_score"))
     return found.where(F.col("match_score") >= least)
 
 
+def sides(queries: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What of a query and of a file alone the strategies look at."""
+    name, query = F.col("file_name"), F.col("query")
+    files = registry.select("file_hash", "file_name", F.coalesce("doc_number", F.lit("")).alias("doc_number"), F.lower(name).alias("lower_name"), F.lower(t.stem(name)).alias("bare_name"), bare_number(F.regexp_extract(name, f"(?U)之({NUMERAL})", 1)).alias("own"))
+    numbers = F.concat(*(all_matches(query, p, 0) for p in (r"(?U)[闽榕国]\S*〔\d{4}〕\d+号", r"(?U)[A-Z]{2,}[/T]?\s*\d+[\.\-]\d+", r"(?U)Q/GDW\s*\d+[\.\-]\d+")))
+    paper = meeting_number(query)
+    asked = queries.select(
+        "query_id", F.lower(query).alias("asked"), F.transform(candidates(query), lambda c: F.lower(t.strip(c))).alias("names"), F.array_sort(phrases(query)).alias("phrases"), numbers.alias("numbers"),
+        F.when(paper["num"].rlike(r"(?U)^\d+$"), paper["num"]).alias("num"), bare_number(paper["seq"]).alias("seq"),
+    )
+    return asked, files
+
+
+def detect(queries: DataFrame, registry: DataFrame, least: float = 0.4) -> DataFrame:
+    """queries: query_id (unique), query. registry: file_hash, file_name, doc_number, one row a file. query_id, file_hash, file_name, strategy and match_score.
+
+    Strategies, the first that claims a file counting: candidates, in their order; the file's name in the query; the
+    query's phrases in the name; document numbers; meeting papers.
+    """
+    asked, files = sides(queries, registry)
+    met = asked.select("query_id", F.explode(query_keys()).alias("key")).join(files.select("file_hash", F.explode(file_keys()).alias("key")), "key").select("query_id", "file_hash").distinct()
+    return claims(met.join(files, "file_hash").join(asked, "query_id"), least)
+
+
 def best_file(matches: DataFrame, least: float = 0.5) -> DataFrame:
     """Of each query the file of the best score, ties by hash."""
     order = Window.partitionBy("query_id").orderBy(F.desc("match_score"), "file_hash")
     return matches.where(F.col("match_score") >= least).withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
-
-

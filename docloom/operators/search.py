@@ -23,6 +23,7 @@ from docloom.operators import rerank
 #: Queries of a block, at most: the driver holds one block at a time.
 BLOCK_QUERIES = 4_096
 WORD = "[a-z0-9]+"
+ARROW = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}
 
 
 def best(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", tie: str = "chunk_id", rank: str = "rank") -> DataFrame:
@@ -105,7 +106,7 @@ def scanned(chunks: DataFrame, queries: DataFrame, scorer, k: int, conditions: d
         wanted = [(c, kind, [r[c] for r in rows]) for c, kind in conditions.items()]
 
         def run(batches, score=score, asked=asked, wanted=wanted):
-            best, kind, number = Best(len(asked), k), None, None
+            best, kind = Best(len(asked), k), None
             for batch in batches:
                 ids = batch.column(batch.schema.get_field_index("chunk_id"))
                 kind = ids.type
@@ -115,7 +116,7 @@ def scanned(chunks: DataFrame, queries: DataFrame, scorer, k: int, conditions: d
                 return
             for q, own in enumerate(asked):
                 if best.ids[q] is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(best.scores[q]), number), pa.array(best.ids[q].tolist(), kind), pa.array(best.scores[q])], names=["query_id", "chunk_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(best.scores[q]), ARROW[shape["query_id"].dataType.typeName()]), pa.array(best.ids[q].tolist(), kind), pa.array(best.scores[q])], names=["query_id", "chunk_id", "score"])
 
         part = chunks.mapInArrow(run, shape)
         found = part if found is None else found.union(part)

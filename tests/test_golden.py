@@ -85,16 +85,33 @@ def test_files_in_queries(spark):
     assert best[2][0] == "h4"
 
 
-def test_more_files_and_queries_than_are_broadcast(spark):
-    files = spark.createDataFrame([(f"h{i}", f"report{i:03d}.pdf", None) for i in range(50)], "file_hash string, file_name string, doc_number string")
-    asked = spark.createDataFrame([(i, f"what does report{i:03d}.pdf say") for i in range(50)], "query_id int, query string")
-    found = lambda **most: sorted(map(tuple, filenames.detect(asked, files, **most).collect()))
-    assert found(most_files=7) == found() and {q for q, *_ in found()} == set(range(50))
+def test_detection_by_keys_finds_what_all_pairs_do(spark):
+    parts = ["01", "02", "会议材料", "材料", "之一", "之三", "之12", "设计", "GB50060-2008", "闽电发展〔2015〕241号", " ", ".", "规范", "a", "report", "x1", "文件", "《", "》", '"', ".pdf", ".docx", "2022年"]
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 7))) for _ in range(500)]
+    files = spark.createDataFrame([(f"h{i}", x + rng.choice([".pdf", ".docx", "", "之一.txt"]), rng.choice([None, "", "GB50060-2008", "榕闽电发展〔2015〕241号"])) for i, x in enumerate(texts[:250])], "file_hash string, file_name string, doc_number string")
+    asked = spark.createDataFrame(list(enumerate(texts[250:])), "query_id int, query string")
+    queries, sides = filenames.sides(asked, files)
+    every = sorted(map(tuple, filenames.claims(queries.crossJoin(sides), 0.4).collect()))
+    assert sorted(map(tuple, filenames.detect(asked, files).collect())) == every and len({r[3] for r in every}) == 5
+
+
+def test_queries_in_blocks(spark):
     vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "chunk_id int, dense array<double>")
     near = lambda **most: sorted(map(tuple, search.dense_search(vectors.withColumnRenamed("chunk_id", "query_id"), vectors, 5, **most).collect()))
     assert near(block=7) == near() and len(near()) == 300
 
 
+def test_searches_of_odd_rows(spark):
+    chunks = spark.createDataFrame([("a", [1.0, 0.0], ["x", "y"], "p"), ("b", [0.0, 0.0], [], None), ("c", None, None, "p"), ("d", [1.0], ["x"], "q"), ("e", [None, 1.0], ["y", "y"], "q")], "chunk_id string, dense array<double>, words array<string>, domain string")
+    asked = spark.createDataFrame([(1, [2.0, 0.0], ["x"], None), (2, [1.0, 1.0], ["y", "z"], "p"), (3, None, None, "q"), (4, [3.0], ["x"], "none")], "query_id int, dense array<double>, words array<string>, domain string")
+    rows = lambda df: sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in df.collect())
+    assert rows(search.dense_search(asked, chunks, 3)) == [(1, 1, "a", 1.0), (1, 2, "b", 0.0), (2, 1, "a", 0.7071), (2, 2, "b", 0.0), (4, 1, "d", 1.0)]
+    assert rows(search.sparse_search(asked, chunks, 3)) == [(1, 1, "a", 1.0), (1, 2, "d", 1.0), (2, 1, "e", 1.6931), (2, 2, "a", 1.0), (4, 1, "a", 1.0), (4, 2, "d", 1.0)]
+    assert rows(search.sparse_search(asked, chunks, 3, conditions={"domain": "equal"})) == [(1, 1, "a", 1.0), (1, 2, "d", 1.0), (2, 1, "a", 1.0)]
+    assert search.dense_search(asked.limit(0), chunks, 3).count() == search.sparse_search(asked, chunks.limit(0), 3).count() == 0
+
+
 def test_chunk_limit_is_of_each_file(spark):
     rows = spark.createDataFrame([(f"{f}", f"{f}_{i}", i, None) for f in "abc" for i in range(6)], "file_path string, chunk_id string, chunk_index int, page_num int")
     assert [r.chunk_id for r in search.ordered_chunks(rows, F.lit(True), 4).collect()] == [f"{f}_{i}" for f in "abc" for i in range(4)]
