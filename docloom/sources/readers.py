@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import re
 import zipfile
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from docloom import config as C
 from docloom.functions import text as t
+from docloom.sources import pdf
 
 
 def scan(spark: SparkSession, folder: str, formats: list[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -85,16 +87,39 @@ def wps(data: bytes) -> str:
     return "\n".join(parts)
 
 
+def lenient(raw: bytes, gbk_first: bool) -> str:
+    """Bytes as GBK or UTF-8, whichever of the two comes first without a fault; else as UTF-8 with gaps."""
+    for encoding in ("gbk", "utf-8") if gbk_first else ("utf-8", "gbk"):
+        try:
+            return raw.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    return raw.decode("utf-8", "replace")
+
+
+def gbk_fonts(resources: bytes) -> set[bytes]:
+    """Ids of the fonts whose name says that their texts are GBK."""
+    fonts = re.findall(rb"<(?:\w+:)?Font\s+([^>]+)>", resources)
+    named = [(re.search(rb'\bID="(\d+)"', f), re.search(rb'FontName="([^"]*)"', f)) for f in fonts]
+    marked = lambda name: any(m in name for m in ("GBK", "_gbk", "GB2312", "gb2312", "\ufffd"))
+    return {i[1] for i, n in named if i and n and marked(lenient(n[1], True))}
+
+
 def ofd(data: bytes) -> str:
-    """Text codes of each page's content, pages in the order of their names (Page_10 before Page_2), a blank line apart."""
+    """Text codes of each page's content, pages in the order of their names (Page_10 before Page_2), a blank line apart.
+
+    A text whose font's name says GBK is read as such first, others as UTF-8 first.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = sorted(z.namelist())
+        gbk: set[bytes] = set().union(*(gbk_fonts(z.read(n)) for n in names if n.endswith("PublicRes.xml")))
         pages = []
-        for n in sorted(x for x in z.namelist() if x.endswith("Content.xml")):
-            raw = z.read(n)
-            try:
-                found = [x.text for x in ElementTree.fromstring(raw).iter() if tag(x) == "TextCode" and x.text]
-            except ElementTree.ParseError:
-                found = re.findall(r"<(?:\w+:)?TextCode[^>]*>([^<]*)<", raw.decode("utf-8", "ignore"))
+        for n in (x for x in names if x.endswith("Content.xml")):
+            font, found = b"", []
+            for f, code in re.findall(rb"<(?:\w+:)?TextObject\b[^>]*?\bFont=\"(\d+)\"|<(?:\w+:)?TextCode[^>]*>([^<]*)<", z.read(n)):
+                font = f or font
+                if code:
+                    found.append(html.unescape(lenient(code, font in gbk)))
             pages.append("\n".join(found))
     return "\n\n".join(p for p in pages if p)
 
@@ -118,7 +143,7 @@ def plain(data: bytes) -> str:
     return data.decode("utf-8", "ignore")
 
 
-PARSERS: dict[str, Callable[[bytes], str]] = {".docx": docx, ".xlsx": xlsx, ".pptx": pptx, ".wps": wps, ".ofd": ofd, ".doc": raw_utf16, ".txt": plain, ".md": plain}
+PARSERS: dict[str, Callable[[bytes], str]] = {".pdf": pdf.text, ".docx": docx, ".xlsx": xlsx, ".pptx": pptx, ".wps": wps, ".ofd": ofd, ".doc": raw_utf16, ".txt": plain, ".md": plain}
 
 
 def parsed(files: DataFrame, parsers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
@@ -173,9 +198,9 @@ def dataset(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("questions").alias("q")).select("q.*").withColumn("id", F.col("id").cast("string"))
 
 
-def visible_html(html: Column) -> Column:
+def visible_html(page: Column) -> Column:
     """Text of a page: no scripts, styles or tags, white space as single blanks."""
-    bare = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
+    bare = F.regexp_replace(page, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
     return t.strip(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " "))
 
 

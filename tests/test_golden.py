@@ -3,6 +3,7 @@
 import io
 import random
 import zipfile
+import zlib
 from datetime import datetime
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as t
 from docloom.operators import analysis, chunking, context, conversation, evaluation, filenames, metadata, registry, rerank, search
-from docloom.sources import readers
+from docloom.sources import pdf, readers, settings, sinks
 from docloom.streaming import index
 
 
@@ -217,3 +218,50 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     want = chunking.text_chunks(docs.dropDuplicates(["file_hash"])).select("chunk_id", "chunk_text").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     assert spark.read.parquet(str(tmp_path / "out" / "registry")).count() == docs.select("file_hash").distinct().count()
+
+
+def a_pdf(contents, packed=True):
+    """A PDF of these pages' content streams; the second font maps its codes."""
+    cmap = b"1 beginbfchar <0001> <4F60> endbfchar 1 beginbfrange <0002> <0004> <0061> endbfrange"
+    flate = lambda raw: b"<< /Filter /FlateDecode >>\nstream\n" + zlib.compress(raw) + b"\nendstream"
+    kids = b" ".join(b"%d 0 R" % (10 + i) for i in range(len(contents)))
+    objects = {2: b"<< /Type /Pages /Kids [" + kids + b"] >>", 3: b"<< /F1 4 0 R /F2 5 0 R >>", 4: b"<< /Type /Font >>", 5: b"<< /Type /Font /ToUnicode 6 0 R >>", 6: flate(cmap)}
+    for i, c in enumerate(contents):
+        objects[10 + i] = b"<< /Type /Page /Parent 2 0 R /Resources << /Font 3 0 R >> /Contents %d 0 R >>" % (50 + i)
+        objects[50 + i] = flate(c) if packed else b"<< >>\nstream\n" + c + b"\nendstream"
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % o for o in objects.items()) + b"trailer << >>\n%%EOF"
+
+
+def test_pdf_pages(spark):
+    one = rb"BT /F1 12 Tf 72 700 Td (Hello \(PDF\) w\157rld) Tj 0 -14 Td [(sec) -20 (ond)] TJ T* (third) Tj ET"
+    two = b"BT /F2 9 Tf 1 0 0 1 5 5 Tm <000100020004> Tj ET"
+    files = [("a", a_pdf([one, two, b""])), ("b", a_pdf([two] * 12, packed=False)), ("c", b"no pdf"), ("d", None)]
+    rows = pdf.page_rows(spark.createDataFrame(files, "path string, content binary")).collect()
+    got = {(r.path, r.page_num): r.text for r in rows}
+    assert got["a", 1] == "Hello (PDF) world\nsecond\nthird" and got["a", 2] == "你ac" and got["a", 3] == ""
+    assert [got["b", i] for i in range(1, 13)] == ["你ac"] * 12
+    assert {r.path: r.error for r in rows if r.error} == {"c": "ValueError: not a PDF", "d": "ValueError: not a PDF"}
+    scanned = {r.doc: (r.pages, r.is_scanned) for r in chunking.scan_rule(pdf.page_rows(spark.createDataFrame(files[:2], "path string, content binary")).withColumnRenamed("path", "doc")).collect()}
+    assert scanned == {"a": (3, True), "b": (12, True)}
+
+
+def test_fonts_of_ofd():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("Doc_0/PublicRes.xml", '<ofd:Font ID="7" FontName="FZ_GBK"/><ofd:Font ID="8" FontName="SimSun"/>')
+        z.writestr("Doc_0/Pages/Page_0/Content.xml", b'<ofd:TextObject ID="1" Font="7"><ofd:TextCode X="1">' + "电缆".encode("gbk") + b'</ofd:TextCode></ofd:TextObject><ofd:TextObject Font="8"><ofd:TextCode>' + "a&lt;接地".encode() + b"</ofd:TextCode></ofd:TextObject>")
+    assert readers.ofd(out.getvalue()) == "电缆\na<接地"
+
+
+def test_chunk_table_and_reports(spark, sf, tmp_path):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("file_hash"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), "text")
+    sinks.write_chunks(rows, str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert table.count() == rows.count() and set(table.columns) == {*sinks.CHUNK.fieldNames(), "bucket"}
+    one = rows.first()
+    assert [r.chunk_id for r in sinks.read_chunks(table, one.file_hash).collect()] == [one.chunk_id]
+    averages = spark.createDataFrame([("a", 0.5, None)], "category string, mrr double, n int")
+    assert sinks.markdown(averages, "T") == "# T\n\n| category | mrr | n |\n|---|---|---|\n| a | 0.5000 |  |\n"
+    path = tmp_path / "c.json"
+    path.write_text('{"paths": {"db": "x/y.db", "abs": "/z"}, "k": 1}')
+    assert settings.load(str(path)) == {"paths": {"db": f"{tmp_path}/x/y.db", "abs": "/z"}, "k": 1, "_project_root": str(tmp_path)}
