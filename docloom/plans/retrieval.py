@@ -274,12 +274,17 @@ def rerank_cosine():
 # --- files named in queries
 
 
-@query("SELECT query_id, list_filter(list_transform(list_concat(regexp_extract_all(query, '《([^》]+)》', 1), regexp_extract_all(query, '\"([^\"]+?)\"', 1)), lambda c: trim(c)), lambda c: length(c) >= 3) AS names FROM (SELECT item_id AS query_id, %s AS query FROM benchmark)" % x.pick_sql(x.QUESTIONS[:17], "item_id"))
+STRIPPED = "list_transform({0}, lambda c: regexp_replace(c, '^\\s+|\\s+$', '', 'g'))"
+LONG = "list_filter(" + STRIPPED + ", lambda c: length(c) >= 3)"
+NAMED = """'(?i)([\\p{L}\\p{M}\\p{N}_\\-\\s()（）]+\\.(?:pdf|doc|docx|xls|xlsx|ppt|pptx|txt|ofd|ceb|dwg))'"""
+CANDIDATES = "list_concat({}, list_concat({}, list_concat({}, {})))".format(LONG.format("regexp_extract_all(query, '《([^》]+)》', 1)"), LONG.format("regexp_extract_all(query, '\"([^\"]+?)\"', 1)"), STRIPPED.format(f"regexp_extract_all(query, {NAMED}, 1)"), STRIPPED.format("regexp_extract_all(query, '([^\\s，。,.]{2,30})\\s*文件', 1)"))
+MORE_QUESTIONS = [*x.QUESTIONS, "打开 GB50060-2008 变电站设计规范.pdf 和 报告（终稿）.DOCX", "国标 消防 文件在哪", "《a》和《配网 规划》", "report.pptx文件"]
+
+
+@query(f"SELECT query_id, {CANDIDATES} AS names FROM (SELECT item_id AS query_id, {x.pick_sql(MORE_QUESTIONS, 'item_id')} AS query FROM benchmark)")
 def fn_quoted_names(s, d):
-    q = x.pick(x.QUESTIONS[:17], F.col("item_id"))
-    rows = x.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(q).alias("query"))
-    marks = F.col("query").contains("《") | F.col("query").contains('"')
-    return rows.select("query_id", F.when(marks, F.filter(filenames.candidates(F.col("query")), lambda c: ~c.rlike("(?i)^see|photo|第三章$"))).otherwise(F.array().cast("array<string>")).alias("names"))
+    rows = x.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(x.pick(MORE_QUESTIONS, F.col("item_id"))).alias("query"))
+    return rows.select("query_id", filenames.candidates(F.col("query")).alias("names"))
 
 
 @query()
