@@ -70,24 +70,27 @@ def split(text: str, size: int = C.CHUNK_CHARS, overlap: int = C.CHUNK_OVERLAP,
 CHUNKS = T.ArrayType(T.StructType([T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk_text", T.StringType())]))
 
 
-def semantic_chunks(df: DataFrame, text: str = "text", size: int = C.CHUNK_CHARS, overlap: int = C.CHUNK_OVERLAP) -> DataFrame:
-    """A row for each piece that isn't blank: chunk_index (blank pieces keep theirs), total_chunks (all pieces), chunk_text."""
-    kept = df.schema.fields
+def semantic_chunks(df: DataFrame, text: str = "text", size: int = C.CHUNK_CHARS, overlap: int = C.CHUNK_OVERLAP, parts=lambda whole: [whole]) -> DataFrame:
+    """A row for each piece that isn't blank, with df's columns but text: chunk_index (blank pieces keep theirs), total_chunks (all pieces), chunk_text.
+
+    parts: cuts a text into parts that are split each by itself.
+    """
+    kept = [f for f in df.schema.fields if f.name != text]
 
     def run(batches):
         for batch in batches:
             rows = batch.column(batch.schema.get_field_index(text)).to_pylist()
             at, index, total, out = [], [], [], []
             for i, whole in enumerate(rows):
-                pieces = split(whole or "", size, overlap)
+                pieces = [piece for part in parts(whole or "") for piece in split(part, size, overlap)]
                 for k, piece in enumerate(pieces):
                     if piece.strip():
                         at.append(i)
                         index.append(k)
                         total.append(len(pieces))
                         out.append(piece.strip())
-            part = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(index, pa.int32()), pa.array(total, pa.int32()), pa.array(out, pa.string())], names=[*batch.schema.names, "chunk_index", "total_chunks", "chunk_text"])
+            others = batch.select([f.name for f in kept]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*others.columns, pa.array(index, pa.int32()), pa.array(total, pa.int32()), pa.array(out, pa.string())], names=[*(f.name for f in kept), "chunk_index", "total_chunks", "chunk_text"])
 
     more = [T.StructField("chunk_index", T.IntegerType()), T.StructField("total_chunks", T.IntegerType()), T.StructField("chunk_text", T.StringType())]
     return df.mapInArrow(run, T.StructType([*kept, *more]))
@@ -96,7 +99,7 @@ def semantic_chunks(df: DataFrame, text: str = "text", size: int = C.CHUNK_CHARS
 def text_chunks(df: DataFrame, text: str = "text", key: str = "file_hash") -> DataFrame:
     """Chunks of plain texts: whole under FULL_CHARS characters, else by the recursive split. Adds chunk_id and chunk_strategy."""
     short = df.where(F.length(text) < C.FULL_CHARS)
-    whole = short.withColumns({"chunk_index": F.lit(0), "total_chunks": F.lit(1), "chunk_text": t.strip(F.col(text)), "chunk_strategy": F.lit("full_document")})
+    whole = short.withColumns({"chunk_index": F.lit(0), "total_chunks": F.lit(1), "chunk_text": t.strip(F.col(text)), "chunk_strategy": F.lit("full_document")}).drop(text)
     parts = semantic_chunks(df.where(F.length(text) >= C.FULL_CHARS), text).withColumn("chunk_strategy", F.lit("semantic"))
     return whole.unionByName(parts).withColumn("chunk_id", F.concat_ws("_", key, "chunk_index"))
 
@@ -134,9 +137,8 @@ def numbered(chunks: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def long_text_chunks(df: DataFrame, text: str = "text", key: str = "file_hash", most: int = 100_000) -> DataFrame:
     """Texts over most characters: paragraphs in batches, each split by itself, under one numbering."""
-    batches = F.udf(paragraph_batches, T.ArrayType(T.StringType()), useArrow=True)
-    long = df.where(F.length(text) > most).select(key, F.posexplode(batches(F.col(text))).alias("batch", "part"))
-    return numbered(semantic_chunks(long, "part").drop("part").withColumnRenamed("chunk_index", "place"), key, ["batch", "place"])
+    long = df.where(F.length(text) > most).select(key, text)
+    return numbered(semantic_chunks(long, text, parts=paragraph_batches).withColumnRenamed("chunk_index", "place"), key, ["place"]).drop("place")
 
 
 def scan_rule(pages: DataFrame, key: str = "doc", first: int = 15, share: float = 0.7, few: int = 50) -> DataFrame:

@@ -156,7 +156,43 @@ def chk_forced_windows(s, d):
     return chunking.forced_split(x.table(s, d, "documents")).select("doc_id", "chunk_index", "chunk_text")
 
 
-@query()
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def split_sql(units: str, size: int = C.CHUNK_CHARS, overlap: int = C.CHUNK_OVERLAP) -> str:
+    """CTEs that split the rows of units (uid, t) by separators, level by level: pieces (uid, k from 1, n, t) come out as l0.
+
+    A level packs the parts of a unit from left to right, a row for each part; parts that are too long are the next level's
+    units, and their pieces take their place.
+    """
+    levels, out = range(len(C.SEPARATORS)), [f"u0 AS (SELECT uid, t FROM {units})"]
+    for i in levels:
+        mark = C.SEPARATORS[i]
+        out.append(f"b{i} AS (SELECT uid, t, length(t) <= {size} AS short, length(t) > {size} AND ({str(not mark).lower()} OR length(t) > {C.FORCE_CHARS}) AS forced FROM u{i})")
+        if mark:
+            out.append(f"p{i} AS (SELECT uid, string_split(t, {quoted(mark)}) AS parts FROM b{i} WHERE NOT short AND NOT forced)")
+            longer = f"CASE WHEN held <> '' THEN held || {quoted(mark)} || parts[i + 1] ELSE parts[i + 1] END"
+            out.append(f"""s{i} AS (SELECT uid, parts, 0 AS i, '' AS held, NULL::VARCHAR AS done, NULL::VARCHAR AS long FROM p{i} UNION ALL
+  SELECT uid, parts, i + 1, CASE WHEN length({longer}) <= {size} THEN {longer} WHEN length(parts[i + 1]) <= {size} THEN parts[i + 1] ELSE '' END,
+    CASE WHEN length({longer}) > {size} THEN nullif(held, '') END, CASE WHEN length({longer}) > {size} AND length(parts[i + 1]) > {size} THEN parts[i + 1] END FROM s{i} WHERE i < len(parts))""")
+            out.append(f"u{i + 1} AS (SELECT uid || '.' || i AS uid, long AS t FROM s{i} WHERE long IS NOT NULL)")
+    for i in reversed(levels):
+        windows = f"SELECT uid, g + 1 AS k, 0 AS m, substring(t, g * {size - overlap} + 1, {size}) AS t FROM (SELECT uid, t, unnest(range(CAST(greatest(ceil((length(t) - {size}) / {size - overlap}.0), 0) AS BIGINT) + 1)) AS g FROM b{i} WHERE forced)"
+        rows = [f"SELECT uid, 1 AS k, 0 AS m, t FROM b{i} WHERE short", windows]
+        packed = ""
+        if C.SEPARATORS[i]:
+            packed = f"""e{i} AS (SELECT uid, 2 * i AS k, 0 AS m, done AS t FROM s{i} WHERE done IS NOT NULL UNION ALL SELECT uid, 2 * i + 2, 0, held FROM s{i} WHERE i = len(parts) AND held <> ''
+  UNION ALL SELECT s{i}.uid, 2 * s{i}.i + 1, l{i + 1}.k, l{i + 1}.t FROM s{i} JOIN l{i + 1} ON l{i + 1}.uid = s{i}.uid || '.' || s{i}.i WHERE s{i}.long IS NOT NULL),
+q{i} AS (SELECT uid, k, m, coalesce(right(lag(t) OVER (PARTITION BY uid ORDER BY k, m), {overlap}) || chr(10), '') || t AS t FROM e{i}), """
+            rows.append(f"SELECT uid, k, m, t FROM q{i}")
+        out.append(f"{packed}l{i} AS (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY k, m) AS k, count(*) OVER (PARTITION BY uid) AS n, t FROM ({' UNION ALL '.join(rows)}))")
+    return ",\n".join(out)
+
+
+@query(f"""WITH RECURSIVE {x.FILES}, units AS (SELECT CAST(doc_id AS VARCHAR) AS uid, text AS t FROM files WHERE length(text) >= {C.FULL_CHARS}), {split_sql('units')}
+SELECT doc_id, file_hash || '_0' AS chunk_id, 0 AS chunk_index, 1 AS total_chunks, {STRIP.format('text')} AS chunk_text, 'full_document' AS chunk_strategy FROM files WHERE length(text) < {C.FULL_CHARS} UNION ALL
+SELECT doc_id, file_hash || '_' || (k - 1), CAST(k - 1 AS INTEGER), CAST(n AS INTEGER), {STRIP.format('t')}, 'semantic' FROM l0 JOIN files ON uid = CAST(doc_id AS VARCHAR) WHERE {STRIP.format('t')} <> ''""")
 def chk_semantic(s, d):
     """The recursive split; golden and property tests stand for an oracle."""
     return chunking.text_chunks(x.files(s, d)).select("doc_id", "chunk_id", "chunk_index", "total_chunks", "chunk_text", "chunk_strategy")
@@ -304,7 +340,15 @@ def chk_progressive(s, d):
     return chunking.numbered(rows, "doc_id", ["part", "place"]).select("doc_id", "chunk_index", "total_chunks", "chunk_text")
 
 
-@query()
+#: Paragraphs of long texts in batches, a row for each paragraph.
+BATCHES = """pg AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS parts FROM files WHERE length(text) > 15000),
+ba AS (SELECT doc_id, parts, 0 AS i, 0 AS batch, CAST(0 AS BIGINT) AS size FROM pg UNION ALL
+  SELECT doc_id, parts, i + 1, CASE WHEN size > 0 AND size + length(parts[i + 1]) >= 30000 THEN batch + 1 ELSE batch END, CASE WHEN size > 0 AND size + length(parts[i + 1]) >= 30000 THEN 0 ELSE size END + length(parts[i + 1]) + 2 FROM ba WHERE i < len(parts)),
+units AS (SELECT doc_id || ' ' || batch AS uid, string_agg(parts[i], chr(10) || chr(10) ORDER BY i) AS t FROM ba WHERE i > 0 GROUP BY doc_id, batch)"""
+
+
+@query(f"""WITH RECURSIVE {x.FILES}, {BATCHES}, {split_sql('units')}, r AS (SELECT file_hash, split_part(uid, ' ', 2)::INT AS batch, k, {STRIP.format('t')} AS chunk_text FROM l0 JOIN files ON split_part(uid, ' ', 1) = CAST(doc_id AS VARCHAR) WHERE {STRIP.format('t')} <> ''),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY file_hash ORDER BY batch, k) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY file_hash) AS INTEGER) AS total_chunks FROM r) SELECT file_hash, file_hash || '_' || chunk_index AS chunk_id, chunk_index, total_chunks, chunk_text FROM o""")
 def chk_long_texts(s, d):
     """Very long texts in batches of paragraphs; the bound is lowered to the length of the longest here."""
     return chunking.long_text_chunks(x.files(s, d).drop("n_chars"), most=15_000).select("file_hash", "chunk_id", "chunk_index", "total_chunks", "chunk_text")

@@ -287,13 +287,52 @@ def fn_quoted_names(s, d):
     return rows.select("query_id", filenames.candidates(F.col("query")).alias("names"))
 
 
-@query()
+NUM = "([一二三四五六七八九十0-9]+)"
+NUMERALS = x.literal(C.NUMERALS)
+
+
+def two_digits(c: str) -> str:
+    known = f"CASE WHEN list_position({NUMERALS}, {c}) > 0 THEN CAST(list_position({NUMERALS}, {c}) AS VARCHAR) ELSE {c} END"
+    return f"CASE WHEN regexp_full_match({known}, '[0-9]') THEN lpad({known}, 2, '0') ELSE {known} END"
+
+
+def found(pattern: str, group: int, test: str = "true") -> str:
+    return f"CASE WHEN {test} AND regexp_matches(query, {x.literal(pattern)}) THEN regexp_extract(query, {x.literal(pattern)}, {group}) END"
+
+
+def each(pattern: str, lead: str, score: float, test: str = "true") -> str:
+    return f"list_transform(list_filter(regexp_extract_all(query, {x.literal(pattern)}, 1), lambda v: {test}), lambda v: {{'s': {score}::DOUBLE, 'p': '{lead}' || v}})"
+
+
+MEETING = "(contains(query, '材料') OR contains(query, '会议'))"
+PAPERS = [(r"([0-9]{2,4})\s*会议材料之" + NUM, 1, 2, "true"), ("会议材料之" + NUM, 1, 1, "true"), (r"([0-9]{2,4})\s*会议材料" + NUM, 1, 2, "true"), ("会议材料" + NUM, 1, 1, "true"), ("之" + NUM, 1, 1, MEETING), ("材料" + NUM, 1, 1, MEETING)]
+PIECES = " UNION ALL ".join([
+    "SELECT query_id, 0.88::DOUBLE AS s, whole AS p FROM aq", f"SELECT query_id, 0.75::DOUBLE, {two_digits('wseq')} || whole FROM aq WHERE regexp_full_match({two_digits('wseq')}, '[0-9]+')",
+    *(f"SELECT query_id, {s}::DOUBLE, '{lead}' || wseq FROM aq" for lead, s in (("会议材料之", 0.85), ("材料之", 0.8), ("材料", 0.7))),
+    *(f"SELECT query_id, u.s, u.p FROM (SELECT query_id, unnest({e}) AS u FROM aq WHERE {MEETING})" for e in (each("之" + NUM, "之", 0.65), each("之" + NUM, "材料之", 0.68, f"regexp_full_match({two_digits('v')}, '[0-9]+')"), each("材料" + NUM, "材料", 0.62), each("材料" + NUM, "材料之", 0.65))),
+    "SELECT query_id, round(least(0.7::DOUBLE, 0.45::DOUBLE + length(p) * 0.02::DOUBLE), 4), p FROM (SELECT query_id, unnest(regexp_extract_all(query, '[一-鿿0-9]{4,}')) AS p FROM aq)",
+    "SELECT query_id, 0.72::DOUBLE, regexp_replace(p, '\\s+', '', 'g') FROM (SELECT query_id, unnest(regexp_extract_all(query, '[0-9]{2}\\s*(?:会议|材料|设计|电力|标准)')) AS p FROM aq)",
+])
+DETECTED = f"""{x.REGISTRY}, aq AS (SELECT *, coalesce({found("会议材料之" + NUM, 0)}, {found("会议材料" + NUM, 0)}) AS whole, coalesce({found("会议材料之" + NUM, 1)}, {found("会议材料" + NUM, 1)}) AS wseq, list_transform({CANDIDATES}, lambda c: lower(c)) AS names,
+  list_concat(regexp_extract_all(query, '[闽榕国][^\\s]*〔[0-9]{{4}}〕[0-9]+号'), list_concat(regexp_extract_all(query, '[A-Z]{{2,}}[/T]?\\s*[0-9]+[.\\-][0-9]+'), regexp_extract_all(query, 'Q/GDW\\s*[0-9]+[.\\-][0-9]+'))) AS numbers,
+  coalesce({", ".join(found(p, a, t) for p, a, _, t in PAPERS)}) AS num0, coalesce({", ".join(found(p, b, t) for p, _, b, t in PAPERS)}) AS seq0 FROM (SELECT item_id AS query_id, {x.pick_sql(x.QUESTIONS, 'item_id')} AS query FROM benchmark)),
+am AS (SELECT *, CASE WHEN regexp_full_match(num0, '[0-9]+') THEN num0 END AS num, ltrim({two_digits('seq0')}, '0') AS seq FROM aq), pieces AS ({PIECES}),
+fi AS (SELECT file_hash, file_name, coalesce(doc_number, '') AS doc_number, lower(file_name) AS lname, lower(regexp_replace(file_name, '([^.])\\.[^.]*$', '\\1')) AS bare, ltrim({two_digits("regexp_extract(file_name, '之" + NUM + "', 1)")}, '0') AS own FROM registry WHERE status = 'completed'),
+ph AS (SELECT query_id, file_hash, max(s) AS s FROM pieces JOIN fi ON contains(bare, p) GROUP BY ALL),
+cl AS (SELECT query_id, file_hash, file_name, list_filter(list_transform(names, lambda c: CASE WHEN c = lname THEN 1.0::DOUBLE WHEN c = bare THEN 0.95::DOUBLE WHEN length(c) >= 6 AND contains(c, lname) THEN 0.85::DOUBLE WHEN length(c) >= 4 AND contains(lname, c) THEN 0.75::DOUBLE END), lambda v: v IS NOT NULL)[1] AS c1,
+  CASE WHEN length(bare) >= 6 AND contains(lower(query), bare) THEN 0.7::DOUBLE WHEN length(lname) >= 8 AND contains(lower(query), lname) THEN 0.65::DOUBLE END AS c2, ph.s AS c3,
+  CASE WHEN doc_number <> '' AND len(list_filter(numbers, lambda n: contains(doc_number, n))) > 0 THEN 0.8::DOUBLE END AS c4,
+  CASE WHEN contains(file_name, '材料') AND seq IS NOT NULL AND (own = '' OR own = seq) THEN CASE WHEN starts_with(file_name, lpad(num, 2, '0')) THEN 1.0::DOUBLE WHEN contains(file_name, num) THEN CASE WHEN own = '' THEN 0.85::DOUBLE ELSE 0.95::DOUBLE END WHEN own = '' THEN 0.6::DOUBLE ELSE 0.95::DOUBLE END END AS c5
+  FROM am CROSS JOIN fi LEFT JOIN ph USING (query_id, file_hash)),
+detected AS (SELECT query_id, file_hash, file_name, CASE WHEN c1 IS NOT NULL THEN 'candidate' WHEN c2 IS NOT NULL THEN 'contained' WHEN c3 IS NOT NULL THEN 'phrase' WHEN c4 IS NOT NULL THEN 'number' ELSE 'meeting' END AS strategy, round(coalesce(c1, c2, c3, c4, c5), 4) AS match_score FROM cl WHERE coalesce(c1, c2, c3, c4, c5) >= 0.4)"""
+
+
+@query(f"WITH {DETECTED} SELECT query_id, file_hash, file_name, strategy, match_score FROM detected")
 def fn_detect(s, d):
-    """All strategies; goldens stand for an oracle."""
     return filenames.detect(x.questions(s, d), x.registry(s, d).where("status = 'completed'"))
 
 
-@query()
+@query(f"WITH {DETECTED} SELECT query_id, file_hash, file_name, strategy, match_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY match_score DESC, file_hash) AS place FROM detected WHERE match_score >= 0.5) WHERE place = 1")
 def fn_best_file(s, d):
     return filenames.best_file(filenames.detect(x.questions(s, d), x.registry(s, d).where("status = 'completed'")))
 

@@ -9,25 +9,31 @@ from pyspark.sql.types import StructType
 from docloom.operators.chunking import text_chunks
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def documents(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def indexed(stream: DataFrame, out: str, checkpoint: str, key: str = "file_hash"):
-    """A query that chunks what is new and ends when all is done. A batch has a folder of its own, so doing it again replaces it."""
+    """A query that chunks what is new and ends when all is done. A batch has a folder of its own, so doing it again replaces it.
+
+    Which files are known is the stream's own state, kept in RocksDB beside the checkpoint: a batch costs what is in it,
+    however many went before.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        if number:
-            done = spark.read.parquet(*(f"{out}/registry/batch={i}" for i in range(number)))
-            new = new.join(done.select(key), key, "left_anti")
-        chunks = text_chunks(new).select(key, "chunk_id", "chunk_index", "total_chunks", "chunk_text", "chunk_strategy")
+        batch.persist()
+        chunks = text_chunks(batch).select(key, "chunk_id", "chunk_index", "total_chunks", "chunk_text", "chunk_strategy")
         chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
         written = spark.read.parquet(f"{out}/chunks/batch={number}").groupBy(key).agg(F.count("*").alias("chunks_count"))
-        new.select(key).join(written, key, "left").withColumns({"chunks_count": F.coalesce("chunks_count", F.lit(0)), "status": F.lit("completed")}).write.mode("overwrite").parquet(f"{out}/registry/batch={number}")
+        batch.select(key).join(written, key, "left").withColumns({"chunks_count": F.coalesce("chunks_count", F.lit(0)), "status": F.lit("completed")}).write.mode("overwrite").parquet(f"{out}/registry/batch={number}")
+        batch.unpersist()
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
