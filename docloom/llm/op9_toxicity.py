@@ -36,14 +36,14 @@ from pyspark.sql import types as T
 
 from .common import DOUBLE, INT, append_columns, field, prepare, strings, table
 
-MAX_EXAMPLES = 2_048
-BLOCK, K, POWER = 64, 15, 1.5
-SLACKS = (0.05, 0.005, 0.0)
+MAX_EXAMPLES = 1_024
+BLOCK, K, POWER = 64, 15, 2
+SLACKS = (0.01, 0.001, 0.0)
 #: Similarities are compared as whole numbers of 1 / UNIT; an example's number takes NUMBER_BITS bits below them.
 UNIT, NUMBER_BITS = 1_000_000_000, 24
 TOP_NUMBER = (1 << NUMBER_BITS) - 1
 #: Blocks of a text that are visited together at first, and weights that are in memory at once.
-FIRST_BLOCKS, MOST_WEIGHTS = 4, 2_000_000
+FIRST_BLOCKS, MOST_WEIGHTS = 4, 250_000
 WORD = re.compile(r"[^\W\d_]+")
 #: No letters: around a word they leave it the only one.
 MARKS = ".,;:!?%&$#()[]\"'-/*+=<>"
@@ -63,21 +63,25 @@ class Terms:
 
     def forget(self):
         self.known: dict[str, int] = {}
-        self.ids, self.starts, self.lengths, self.chars = [], [0], [0], 0
+        self.ids, self.starts, self.lengths, self.chars = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), 0
 
     def learn(self, pieces) -> None:
         """Number 0 stands for all pieces without a known term."""
-        known, index = self.known, self.index
+        known, index, number = self.known, self.index, len(self.starts)
+        ids: list[int] = []
+        lengths: list[int] = []
         for p in pieces:
             word = p.lower().strip(MARKS)
             found = [index.get(word)] if word.isalpha() else list(map(index.get, terms_of(p)))
             found = [i for i in found if i is not None]
-            known[p] = len(self.starts) if found else 0
+            known[p] = number + len(lengths) if found else 0
             if found:
-                self.starts.append(len(self.ids))
-                self.lengths.append(len(found))
-                self.ids += found
+                lengths.append(len(found))
+                ids += found
         self.chars += sum(map(len, pieces))
+        new = np.array(lengths, np.int64)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(new) - new])
+        self.lengths, self.ids = np.concatenate([self.lengths, new]), np.concatenate([self.ids, np.array(ids, np.int64)])
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, term and count, for each term that stands in a text."""
@@ -89,9 +93,8 @@ class Terms:
         numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
         docs = np.repeat(np.arange(len(split)), sizes)
         docs, numbers = docs[numbers > 0], numbers[numbers > 0]
-        lengths = np.array(self.lengths)[numbers]
-        ends = np.cumsum(lengths)
-        ids = np.array(self.ids + [0])[np.repeat(np.array(self.starts)[numbers] - ends + lengths, lengths) + np.arange(int(lengths.sum()))]
+        lengths = self.lengths[numbers]
+        ids = self.ids[spread(self.starts[numbers], lengths)]
         key, n = np.unique(np.repeat(docs, lengths) * (len(self.index) + 1) + ids, return_counts=True)
         return key // (len(self.index) + 1), key % (len(self.index) + 1), n
 
@@ -161,12 +164,14 @@ class Model:
         self.run_block = block[self.run_start]
         self.run_most = np.maximum.reduceat(self.post_weights, self.run_start) if len(terms) else np.zeros(0)
         self.term_runs = np.searchsorted(terms[self.run_start], np.arange(len(self.names) + 1))
-        self.blocks = -(-len(self.labels) // BLOCK)
+        self.blocks, self.post_slot = -(-len(self.labels) // BLOCK), self.posted % BLOCK
         self.term_most = np.zeros(len(self.names))
         np.maximum.at(self.term_most, terms, self.post_weights)
         by_example = np.lexsort((terms, self.posted))
         self.example_start = np.searchsorted(self.posted[by_example], np.arange(len(self.labels) + 1))
         self.example_terms, self.example_weights = terms[by_example], self.post_weights[by_example]
+        for name in ("posted", "post_slot", "run_start", "run_length", "run_block", "term_runs", "example_start", "example_terms"):  # the model travels to every worker
+            setattr(self, name, getattr(self, name).astype(np.int32))
 
     def nearest(self, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Similarities (0 where there are fewer) and numbers of the k nearest examples of n texts. own: text i is example i, which doesn't count.
@@ -229,7 +234,7 @@ class Model:
             where = spread(edges[pair], counts)
             of_pair, runs_here, weights_here = np.repeat(np.arange(len(pair)), counts), run[where], weight[where]
             posted = spread(self.run_start[runs_here], self.run_length[runs_here])
-            slot = np.repeat(of_pair * BLOCK, self.run_length[runs_here]) + self.posted[posted] % BLOCK
+            slot = np.repeat(of_pair * BLOCK, self.run_length[runs_here]) + self.post_slot[posted]
             sums = np.bincount(slot, np.repeat(weights_here, self.run_length[runs_here]) * self.post_weights[posted], minlength=len(pair) * BLOCK)
             number = (chosen[rows, columns] * BLOCK)[:, None] + np.arange(BLOCK)
             units = np.rint(sums * UNIT).astype(np.int64).reshape(-1, BLOCK)

@@ -117,10 +117,10 @@ def test_nearest_is_exact():
             x[model.posted[here], t] = model.post_weights[here]
     full = np.rint(q @ x.T * 1e9)
     for i in range(len(texts)):
-        want = sorted((-s, j) for j, s in enumerate(full[i]) if s > 0)[: model.k]
-        got = [(-s, j) for s, j in zip(np.rint(sims[i] * 1e9), numbers[i]) if s > 0]
-        assert np.abs(np.array([a for a, _ in got]) - [a for a, _ in want]).max(initial=0) <= 1
-        assert sum(g != w for g, w in zip(got, want)) <= 2 or [a for a, _ in got] == [a for a, _ in want]
+        got = {int(j): s for s, j in zip(np.rint(sims[i] * 1e9), numbers[i]) if s > 0}
+        # sums in another order differ by a unit or two
+        assert len(got) == min(model.k, (full[i] > 3).sum()) and all(abs(full[i][j] - s) <= 2 for j, s in got.items())
+        assert all(s <= min(got.values(), default=3) + 3 for j, s in enumerate(full[i]) if j not in got)
 
 
 def test_isotonic_rises():
