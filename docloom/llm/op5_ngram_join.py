@@ -30,10 +30,11 @@ rows; further columns aren't read, and one_of_each hands them on whatever their
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, prepare, table, unused, utf8
@@ -378,6 +379,20 @@ def join_components(df: DataFrame, k: int = WORDS, num: int = NUM, den: int = DE
     return linked(keyed(df, doc_id, text), scratch, k, num, den, heavy, range_elements).select("doc_id", "n_shingles", "component_id")
 
 
+def without(df: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:
+    """df without the rows whose keys are a row of gone. Only rows whose bit is set in a bitmap of gone (8 MB at most) are shuffled; the others pass."""
+    ours, (bucket, bits, maybe) = gone.columns, unused(df, "bucket", "bits", "maybe")
+    bit = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(1 << BITMAP_BITS)) + 1
+    marked = bit([F.col(c) for c in ours])
+    bitmap_ = gone.groupBy(F.bitmap_bucket_number(marked).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(marked)).alias(bits))
+    place = F.bitmap_bit_position(bit(keys))
+    byte = F.conv(F.hex(F.substr(bits, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    looked = df.join(F.broadcast(bitmap_), F.bitmap_bucket_number(bit(keys)) == F.col(bucket), "left").withColumn(maybe, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)))
+    same = reduce(lambda a, b: a & b, (k == F.col(c) for k, c in zip(keys, ours)))
+    asked = looked.where(maybe).select(*df.columns).join(gone, same, "left_anti")
+    return looked.where(~F.col(maybe)).select(*df.columns).unionByName(asked)
+
+
 def one_of_each(df: DataFrame, k: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df but those of a component that aren't its first by id (and text, where an id repeats). Rows that can't link stay."""
     scratch, row = Scratch(df.sparkSession, "ngram"), ["doc_id", "h"]
@@ -390,7 +405,7 @@ def one_of_each(df: DataFrame, k: int, num: int, den: int, doc_id: str = "doc_id
     again = scratch.write(found.groupBy(*row).count().where("count > 1").select(*row).toDF(gone_id, gone_h).join(gone, [gone_id, gone_h], "left_anti"), "again")
     scratch.drop(found)
     same = (F.col(doc_id) == F.col(gone_id)) & (F.xxhash64(text) == F.col(gone_h))
-    kept = df.join(gone, same, "left_anti")
+    kept = without(df, gone, [F.col(doc_id).cast("long"), F.xxhash64(text)])
     if not again.limit(1).count():
         return kept
     once = kept.join(again, same, "left_semi").withColumn(one_h, F.xxhash64(text)).dropDuplicates([doc_id, one_h]).drop(one_h)

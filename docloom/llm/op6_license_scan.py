@@ -11,8 +11,8 @@ The plain places of the phrases are counted beside it, from the same words.
 
 The score is the largest coverage of a verified band, and 1 where a phrase stands.
 
-Defined results: null and empty texts have no words, no labels and score 0; null ids and repeated rows are rows of
-their own; an empty table gives none; a template occurring several times labels once; further columns aren't read.
+Defined results: null and empty texts have no words, no labels and score 0; a very long text is one row, its words are in
+memory once; null ids and repeated rows are rows of their own; an empty table gives none; a template occurring several times labels once; further columns aren't read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ no cut can fall counts as atomic without loss, so the capacity is the one of the
 
 Law 'bytes' holds. Defined results: a null text is the empty one (its crc32 is 0, its size the 8 bytes of each
 row); a null id stays null; repeated rows are rows of one group; with fewer groups than shards some shards
-stay empty; an empty table gives no rows. Texts of equal hash count as one group.
+stay empty; an empty table gives no rows; a very long text is one row, and may fill a shard by itself; further columns
+aren't read. Texts of equal hash count as one group.
 """
 
 from __future__ import annotations

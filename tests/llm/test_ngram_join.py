@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import op5_ngram_join as five
 
@@ -85,3 +86,11 @@ def test_clashing_columns(spark):
     got = five.one_of_each(df, 5, 80, 100)
     assert got.columns == df.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], *rows[2:]], key=str)
+
+
+def test_rows_without_those_of_a_table(spark):
+    df = spark.createDataFrame([(i % 700 if i % 5 else None, f"t{i % 90}", i) for i in range(2000)], "doc_id long, text string, bits int")
+    gone = df.where("doc_id % 3 = 0").select(F.col("doc_id").alias("a"), F.xxhash64("text").alias("b")).distinct()
+    got = five.without(df, gone, [F.col("doc_id"), F.xxhash64("text")])
+    assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, df.where("doc_id IS NULL OR doc_id % 3 <> 0").collect()))
+    assert five.without(df, gone.limit(0), [F.col("doc_id"), F.xxhash64("text")]).count() == 2000
