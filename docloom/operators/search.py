@@ -158,12 +158,6 @@ def words(text: str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
 
 
-def terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Postings: key, term, weight (1 + ln of the count) of words of lower-case letters and digits."""
-    counts = df.select(key, F.explode(words(text)).alias("term")).groupBy(key, "term").count()
-    return counts.select(key, "term", (1 + F.ln(F.col("count").cast("double"))).alias("weight"))
-
-
 def term_weights(column: pa.Array, place: dict[str, int], known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, term and weight of the known terms in a column of lists of words."""
     sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
