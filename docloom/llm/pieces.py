@@ -45,7 +45,7 @@ class PieceCache:
 
     TOGETHER = 200
 
-    def __init__(self, tokenizer, split, whole=None, cut: str | None = None, word_end: str | None = None, max_chars: int = 12_000_000):
+    def __init__(self, tokenizer, split, whole=None, cut: str | None = None, word_end: str | None = None, max_chars: int = 9_000_000):
         self.tokenizer, self.max_chars = tokenizer, max_chars
         self.whole = whole or (lambda text: tokenizer.encode(text, add_special_tokens=False).ids)
         added = tokenizer.get_added_tokens_decoder()
