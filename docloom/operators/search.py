@@ -1,8 +1,9 @@
 """Hybrid search: dense and sparse scores for many queries at once, fusion, and the best k of each query.
 
-Both legs scan the chunks once for each block of queries: a block travels to every task as a matrix, a batch of chunks
-becomes another, and their product holds all scores of the two. A task keeps the best k of each query, so k rows of a
-query and task are shuffled, never a row for each pair. Conditions of a query on chunks are masks over that product.
+Queries come in blocks, which are broadcast. The dense leg reads the vectors once a block: tiles of a bounded number of
+bytes hold the scores of some queries and a batch of chunks. The sparse leg goes through an index at rest (index.py). A task
+keeps the best k of each query, so k rows of a query and task are shuffled, never a row for each pair. What all queries of a
+block ask of a chunk reaches the scan; other conditions are masks over a tile.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom import config as C
-from docloom.operators import rerank
+from docloom.operators import index, rerank
+from docloom.sources import shared
 
-#: Queries of a block, at most: the driver holds one block at a time.
-BLOCK_QUERIES = 4_096
+#: Queries of a block, at most (the driver holds one block at a time); bytes of a tile of scores.
+BLOCK_QUERIES, TILE_BYTES = 4_096, 8 << 20
 WORD = "[a-z0-9]+"
-ARROW = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}
+ARROW = index.ARROW
 
 
 def best(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", tie: str = "chunk_id", rank: str = "rank") -> DataFrame:
@@ -43,6 +45,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def query_blocks(queries: DataFrame, size: int) -> Iterator[list[Row]]:
+    """The queries, a block at a time on the driver."""
     block: list[Row] = []
     for row in queries.toLocalIterator():
         block.append(row)
@@ -53,6 +56,22 @@ def query_blocks(queries: DataFrame, size: int) -> Iterator[list[Row]]:
         yield block
 
 
+def by_block(queries: DataFrame, size: int, search, shape: T.StructType) -> DataFrame:
+    """search(block) of each block of queries. A second block makes every block's rows be written before the next one is read, so that a plan holds one block."""
+    spark, path, last = queries.sparkSession, None, None
+    for rows in query_blocks(queries, size):
+        if last is not None:
+            path = path or shared.fresh(spark, "found")
+            last.write.mode("append").parquet(path)
+        last = search(rows)
+    if last is None:
+        return spark.createDataFrame([], shape)
+    if path is None:
+        return last
+    last.write.mode("append").parquet(path)
+    return spark.read.schema(shape).parquet(path)
+
+
 def rounded(x: np.ndarray, digits: int) -> np.ndarray:
     """Halves away from 0, as round() of SQL."""
     unit = 10.0**digits
@@ -67,13 +86,13 @@ class Best:
         self.scores: list[np.ndarray] = [np.zeros(0)] * queries
         self.ids: list[np.ndarray | None] = [None] * queries
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """scores: queries x chunks, -inf for no pair."""
-        good = (scores >= self.kth[:, None]) & (scores > -np.inf)
-        for q in np.flatnonzero(good.any(axis=1)):
-            chosen = good[q]
+    def add(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: queries from number first on x chunks, -inf for no pair."""
+        good = (scores >= self.kth[first : first + len(scores), None]) & (scores > -np.inf)
+        for row in np.flatnonzero(good.any(axis=1)):
+            chosen, q = good[row], first + row
             had = self.ids[q]
-            mine = np.concatenate([self.scores[q], scores[q, chosen]])
+            mine = np.concatenate([self.scores[q], scores[row, chosen]])
             names = ids[chosen] if had is None else np.concatenate([had, ids[chosen]])
             order = np.lexsort((names, -mine))[: self.k]
             self.scores[q], self.ids[q] = mine[order], names[order]
@@ -81,116 +100,91 @@ class Best:
                 self.kth[q] = mine[order[-1]]
 
 
-def masked(scores: np.ndarray, conditions: list[tuple[str, str, list]], batch: pa.RecordBatch) -> np.ndarray:
-    """scores without the pairs that a condition of the query rules out. conditions: column, kind, and each query's value (null: none)."""
-    for column, kind, wanted in conditions:
-        values = batch.column(batch.schema.get_field_index(column)).to_pylist()
-        for w in set(wanted) - {None}:
-            fits = np.array([v is not None and (w in v if kind == "contains" else v == w) for v in values], bool)
-            rows = np.array([x == w for x in wanted], bool)
-            scores[np.ix_(rows, ~fits)] = -np.inf
-    return scores
-
-
-def scanned(chunks: DataFrame, queries: DataFrame, scorer, k: int, conditions: dict[str, str], block: int) -> DataFrame:
-    """query_id, chunk_id, score and rank. scorer(block of queries) gives a function of a batch: queries x chunks scores.
-
-    conditions: column of both -> "equal", or "contains" (the query's value in the chunk's).
-    """
+def shape_of(queries: DataFrame, chunks: DataFrame) -> T.StructType:
     types = {f.name: f.dataType for f in [*queries.schema.fields, *chunks.schema.fields]}
-    shape = T.StructType([T.StructField("query_id", types["query_id"]), T.StructField("chunk_id", types["chunk_id"]), T.StructField("score", T.DoubleType())])
-    found: DataFrame | None = None
-    for rows in query_blocks(queries, block):
-        score = scorer(rows)
-        asked = [r["query_id"] for r in rows]
-        wanted = [(c, kind, [r[c] for r in rows]) for c, kind in conditions.items()]
-
-        def run(batches, score=score, asked=asked, wanted=wanted):
-            best, kind = Best(len(asked), k), None
-            for batch in batches:
-                ids = batch.column(batch.schema.get_field_index("chunk_id"))
-                kind = ids.type
-                if len(ids):
-                    best.add(masked(score(batch), wanted, batch), np.array(ids.to_pylist()))
-            if kind is None:
-                return
-            for q, own in enumerate(asked):
-                if best.ids[q] is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(best.scores[q]), ARROW[shape["query_id"].dataType.typeName()]), pa.array(best.ids[q].tolist(), kind), pa.array(best.scores[q])], names=["query_id", "chunk_id", "score"])
-
-        part = chunks.mapInArrow(run, shape)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = chunks.sparkSession.createDataFrame([], shape)
-    return best(found, k)
+    return T.StructType([T.StructField("query_id", types["query_id"]), T.StructField("chunk_id", types["chunk_id"]), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
 
 
-def dense_search(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 4, conditions: dict[str, str] | None = None, block: int = BLOCK_QUERIES) -> DataFrame:
-    """queries: query_id, dense. chunks: chunk_id, dense. Exact cosine of each query with each chunk whose vector has its length (0 where a vector is 0)."""
-    conditions = conditions or {}
+def dense_block(rows: list[Row], chunks: DataFrame, k: int, digits: int, conditions: dict[str, str], shape: T.StructType) -> DataFrame:
+    """The k best chunks of each query of a block. A tile of scores has TILE_BYTES: as many queries at a time as a batch of chunks leaves room for."""
 
     def unit(x: np.ndarray) -> np.ndarray:
         length = np.sqrt((x * x).sum(axis=1, keepdims=True))
         return x / np.where(length > 0, length, 1)
 
-    def scorer(rows: list[Row]):
-        lengths = {len(r["dense"]) for r in rows}
-        mine = [(n, at := [i for i, r in enumerate(rows) if len(r["dense"]) == n], unit(np.array([rows[i]["dense"] for i in at], np.float64).reshape(len(at), n))) for n in sorted(lengths)]
-
-        def score(batch):
-            vectors = batch.column(batch.schema.get_field_index("dense"))
+    rows = [r for r in rows if r["dense"] is not None and None not in r["dense"]]
+    if not rows:
+        return chunks.sparkSession.createDataFrame([], shape)
+    rows.sort(key=lambda r: len(r["dense"]))
+    sides = []
+    for n in sorted({len(r["dense"]) for r in rows}):
+        at = [i for i, r in enumerate(rows) if len(r["dense"]) == n]
+        sides.append((n, at[0], unit(np.array([rows[i]["dense"] for i in at], np.float64).reshape(len(at), n))))
+    must, wanted = index.pushed(rows, conditions), [(c, kind, [r[c] for r in rows]) for c, kind in conditions.items()]
+    block = chunks.sparkSession.sparkContext.broadcast((sides, wanted, [r["query_id"] for r in rows]))
+    kind = ARROW[shape["query_id"].dataType.typeName()]
+
+    def run(batches):
+        sides, wanted, asked = block.value
+        best, id_type = Best(len(asked), k), pa.null()
+        for batch in batches:
+            names = batch.column("chunk_id")
+            ids, id_type = np.array(names.to_pylist()), names.type
+            vectors = batch.column("dense")
             sizes = pc.list_value_length(vectors).fill_null(-1).to_numpy(zero_copy_only=False)
-            out = np.full((len(rows), len(sizes)), -np.inf)
-            for n, at, q in mine:
-                fits = np.flatnonzero(sizes == n)
-                if len(fits):
-                    x = vectors.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), n)
-                    out[np.ix_(at, fits)] = rounded(q @ unit(x).T, digits)
-            return out
+            fits = index.masks(wanted, batch.column, len(ids))
+            for n, first, q in sides:
+                chosen = np.flatnonzero(sizes == n)
+                if not len(chosen):
+                    continue
+                x = unit(vectors.take(pa.array(chosen)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(chosen), n))
+                step = max(1, TILE_BYTES // (8 * len(chosen)))
+                for i in range(0, len(q), step):
+                    scores = rounded(q[i : i + step] @ x.T, digits)
+                    for j in range(len(scores)) if fits else ():
+                        if fits[first + i + j] is not None:
+                            scores[j, ~fits[first + i + j][chosen]] = -np.inf
+                    best.add(first + i, scores, ids[chosen])
+        for q, own in enumerate(asked):
+            if best.ids[q] is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(best.scores[q]), kind), pa.array(best.ids[q].tolist(), id_type), pa.array(best.scores[q])], names=["query_id", "chunk_id", "score"])
+
+    # conditions come before vectors: what no query of the block asks for isn't read
+    chunks = (chunks if must is None else chunks.where(must)).select("chunk_id", "dense", *conditions).where(~F.exists("dense", lambda v: v.isNull()))
+    return best(chunks.mapInArrow(run, T.StructType(shape.fields[:3])), k)
 
-        return score
 
-    asked = queries.select("query_id", "dense", *conditions).where(F.col("dense").isNotNull() & ~F.exists("dense", lambda v: v.isNull()))
-    return scanned(chunks.select("chunk_id", "dense", *conditions).where(~F.exists("dense", lambda v: v.isNull())), asked, scorer, k, conditions, block)
+def dense_search(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 4, conditions: dict[str, str] | None = None, block: int = BLOCK_QUERIES) -> DataFrame:
+    """queries: query_id, dense. chunks: chunk_id, dense. Exact cosine of each query with each chunk whose vector has its length (0 where a vector is 0).
+
+    query_id, chunk_id, score and rank. conditions: column of both -> "equal", or "contains" (the query's value in the chunk's).
+    """
+    conditions, shape = conditions or {}, shape_of(queries, chunks)
+    return by_block(queries.select("query_id", "dense", *conditions), block, lambda rows: dense_block(rows, chunks, k, digits, conditions, shape), shape)
 
 
 def words(text: str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
 
 
-def term_weights(column: pa.Array, place: dict[str, int], known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, term and weight of the known terms in a column of lists of words."""
-    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-    number = pc.index_in(column.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(sizes)), sizes)[number >= 0]
-    cell, count = np.unique(row * max(1, len(place)) + number[number >= 0], return_counts=True)
-    return cell // max(1, len(place)), cell % max(1, len(place)), 1 + np.log(count)
-
-
-def sparse_search(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 4, conditions: dict[str, str] | None = None, block: int = BLOCK_QUERIES) -> DataFrame:
-    """queries: query_id, words. chunks: chunk_id, words. Inner product of weights 1 + ln of the count, through the words that both have."""
-    conditions = conditions or {}
+def sparse_block(rows: list[Row], ready: index.Index, k: int, digits: int, conditions: dict[str, str], shape: T.StructType) -> DataFrame:
+    met = index.found_in(ready, rows, k, conditions, lambda x: rounded(x, digits))
+    pairs = met.select(F.col("query_id").cast(shape["query_id"].dataType).alias("query_id"), F.explode(F.arrays_zip(F.col("chunk_ids").alias("chunk_id"), F.col("scores").alias("score"))).alias("hit"))
+    return best(pairs.select("query_id", F.col("hit.chunk_id").alias("chunk_id"), F.col("hit.score").alias("score")), k)
 
-    def scorer(rows: list[Row]):
-        place = {w: i for i, w in enumerate(sorted({w for r in rows for w in r["words"] or ()}))}
-        known = pa.array(list(place), pa.string())
-        at, term, weight = term_weights(pa.array([r["words"] or [] for r in rows], pa.list_(pa.string())), place, known)
 
-        def score(batch):
-            row, mine, own = term_weights(batch.column(batch.schema.get_field_index("words")), place, known)
-            seen, local = np.unique(mine, return_inverse=True)
-            x, q = np.zeros((len(seen), batch.num_rows)), np.zeros((len(rows), len(seen)))
-            x[local, row] = own
-            used = np.searchsorted(seen, term)
-            used[used == len(seen)] = 0
-            both = seen[used] == term if len(seen) else np.zeros(len(term), bool)
-            q[at[both], used[both]] = weight[both]
-            scores = rounded(q @ x, digits)
-            return np.where(scores > 0, scores, -np.inf)
+def indexed(chunks: DataFrame | index.Index, conditions: dict[str, str] | None = None) -> index.Index:
+    """An index of chunks that have none, for one search."""
+    if isinstance(chunks, index.Index):
+        return chunks
+    return index.build(chunks.select("chunk_id", "words", *(conditions or {})), shared.fresh(chunks.sparkSession, "index"))
 
-        return score
 
-    return scanned(chunks.select("chunk_id", "words", *conditions), queries.select("query_id", "words", *conditions), scorer, k, conditions, block)
+def sparse_search(queries: DataFrame, chunks: DataFrame | index.Index, k: int, digits: int = 4, conditions: dict[str, str] | None = None, block: int = BLOCK_QUERIES) -> DataFrame:
+    """queries: query_id, words. chunks: an index, or chunk_id and words. Inner product of weights 1 + ln of the count, through the words that both have."""
+    conditions, ready = conditions or {}, indexed(chunks, conditions)
+    shape = shape_of(queries, ready.chunks)
+    return by_block(queries.select("query_id", "words", *conditions), block, lambda rows: sparse_block(rows, ready, k, digits, conditions, shape), shape)
 
 
 def scaled(leg: DataFrame, how: str) -> DataFrame:
@@ -230,7 +224,7 @@ def of_prefix(prefixes: list[str], key: str = "file_hash") -> Column:
     return reduce(lambda a, b: a | b, (F.startswith(key, F.lit(p)) for p in prefixes), F.lit(False))
 
 
-def across_domains(queries: DataFrame, chunks: DataFrame, k: int, most: int = 3) -> DataFrame:
+def across_domains(queries: DataFrame, chunks: DataFrame | index.Index, k: int, most: int = 3) -> DataFrame:
     """queries: query_id, words, domains. chunks: chunk_id, words, domain. A search of its own in each of the first domains: query_id, turn, domain, chunk_id, score, rank."""
     asked = queries.select(F.col("query_id").alias("of"), "words", F.posexplode(F.slice("domains", 1, most)).alias("turn", "domain"))
     asked = asked.withColumn("query_id", F.concat_ws(" ", F.col("of").cast("string"), "domain"))
@@ -248,23 +242,48 @@ def with_domain(analyzed: DataFrame, manual: str | Column) -> DataFrame:
     return analyzed.withColumn("domain", F.coalesce("domain", given))
 
 
-def hybrid_search(analyzed: DataFrame, chunks: DataFrame, encode, k: int = C.COARSE_K, text: str = "expanded_query", weights: tuple[float, float] = (C.DENSE_WEIGHT, C.SPARSE_WEIGHT)) -> DataFrame:
+def ready_for(analyzed: DataFrame, chunks: DataFrame | index.Index) -> tuple[index.Index, dict[str, str]]:
+    """An index of the chunks, and the conditions that queries and chunks both know."""
+    columns = chunks.chunks.columns if isinstance(chunks, index.Index) else chunks.columns
+    has = {c: kind for c, kind in CONDITIONS.items() if c in columns and c in analyzed.columns}
+    if not isinstance(chunks, index.Index):
+        chunks = index.build(chunks, shared.fresh(chunks.sparkSession, "index"))
+    return chunks, has
+
+
+def hybrid_block(rows: list[Row], ready: index.Index, k: int, has: dict[str, str], weights: tuple[float, float], shape: T.StructType) -> DataFrame:
+    return weighted_fusion(dense_block(rows, ready.chunks, 2 * k, 4, has, shape), sparse_block(rows, ready, 2 * k, 4, has, shape), k, weights)
+
+
+def hybrid_search(analyzed: DataFrame, chunks: DataFrame | index.Index, encode, k: int = C.COARSE_K, text: str = "expanded_query", weights: tuple[float, float] = (C.DENSE_WEIGHT, C.SPARSE_WEIGHT), block: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, chunk_id, score and rank of the k best chunks of each query by both legs, among those that its conditions leave.
 
-    analyzed: query_id, text and the columns of CONDITIONS that chunks have too. chunks: chunk_id, dense, words. encode(df, key, text) adds dense and words.
+    analyzed: query_id, text and the columns of CONDITIONS that chunks have too. chunks: an index, or chunk_id, dense, words. encode(df, key, text) adds dense and words.
     """
-    has = {c: kind for c, kind in CONDITIONS.items() if c in chunks.columns and c in analyzed.columns}
-    asked = encode(analyzed, "query_id", text)
-    return weighted_fusion(dense_search(asked, chunks, 2 * k, conditions=has), sparse_search(asked, chunks, 2 * k, conditions=has), k, weights)
+    ready, has = ready_for(analyzed, chunks)
+    asked = encode(analyzed.select("query_id", text, *has), "query_id", text).select("query_id", "dense", "words", *has)
+    shape = shape_of(asked, ready.chunks)
+    return by_block(asked, block, lambda rows: hybrid_block(rows, ready, k, has, weights, shape), shape)
 
 
-def by_number(numbers: DataFrame, chunks: DataFrame, encode, k: int = 100, weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
+def by_number(numbers: DataFrame, chunks: DataFrame | index.Index, encode, k: int = 100, weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
     """numbers: query_id, doc_number. Chunks whose number holds the asked one, the best k by both legs with the number as the query."""
     return hybrid_search(numbers.withColumn("query", F.col("doc_number")), chunks, encode, k, "query", weights)
 
 
-def full_search(analyzed: DataFrame, chunks: DataFrame, encode, coarse_k: int = C.COARSE_K, fine_k: int = C.FINE_K) -> DataFrame:
+def full_search(analyzed: DataFrame, chunks: DataFrame | index.Index, encode, coarse_k: int = C.COARSE_K, fine_k: int = C.FINE_K, block: int = BLOCK_QUERIES) -> DataFrame:
     """The coarse list of hybrid_search with the chunks' columns, reranked: analyzed also has query. Adds what rerank adds."""
-    coarse = hybrid_search(analyzed, chunks, encode, coarse_k)
-    asked = analyzed.select("query_id", "query", F.col("domain").alias("asked_domain"), F.col("voltage_level").alias("asked_voltage"))
-    return rerank.rerank(coarse.join(asked, "query_id").join(chunks.drop("dense", "words"), "chunk_id"), fine_k, digits=8)
+    ready, has = ready_for(analyzed, chunks)
+    told = {"query": "query", "domain": "asked_domain", "voltage_level": "asked_voltage"}
+    asked = encode(analyzed.select("query_id", "query", "expanded_query", *has, *(c for c in told if c not in has and c != "query")), "query_id", "expanded_query")
+    shape = shape_of(asked, ready.chunks)
+    known = T.StructType([T.StructField("query_id", shape["query_id"].dataType), *(T.StructField(n, T.StringType()) for n in told.values())])
+    rows_of = ready.chunks.drop("segment", "row", "part", "dense", "words")
+
+    def search(rows: list[Row]) -> DataFrame:
+        """The block's analysis goes on as it is instead of being made again."""
+        coarse = hybrid_block(rows, ready, coarse_k, has, (C.DENSE_WEIGHT, C.SPARSE_WEIGHT), shape)
+        mine = ready.spark.createDataFrame([(r["query_id"], *(r[c] for c in told)) for r in rows], known)
+        return rerank.rerank(coarse.join(F.broadcast(mine), "query_id").join(rows_of, "chunk_id"), fine_k, digits=8)
+
+    return by_block(asked, block, search, search([]).schema)

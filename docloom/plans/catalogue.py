@@ -16,8 +16,8 @@ ORACLE_SQL = ingest.SQL | retrieval.SQL | quality.SQL | lifecycle.SQL
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best chunks by weighted words for each benchmark passage, with their files' metadata and a preview."""
-    chunks = x.chunks(spark, sf_dir)
+    store = x.store(spark, sf_dir)
     asked = x.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), search.words("text").alias("words"))
-    found = search.sparse_search(asked, x.worded(spark, sf_dir), 10)
-    files = filename_metadata(chunks.select("chunk_id", "file_name", "file_path", F.substring("text", 1, 500).alias("preview")))
+    found = search.sparse_search(asked, store, 10)
+    files = filename_metadata(store.chunks.select("chunk_id", "file_name", "file_path", F.substring("text", 1, 500).alias("preview")))
     return found.join(files, "chunk_id").select("query_id", "rank", "chunk_id", "score", "file_path", "doc_number", "discipline", "preview")

@@ -84,7 +84,7 @@ sparse AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_i
 
 def sparse_leg(s, d):
     asked = x.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), search.words("text").alias("words"))
-    return search.sparse_search(asked, x.table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), search.words("text").alias("words")), 2 * C.COARSE_K)
+    return search.sparse_search(asked, x.whole_texts(s, d), 2 * C.COARSE_K)
 
 
 @query(f"WITH {SPARSE} SELECT query_id, chunk_id, score, rank FROM sparse")
@@ -139,7 +139,7 @@ SELECT question_id AS query_id, turn, domain, chunk_id, rank FROM (SELECT a.ques
   FROM scored s JOIN chunks c USING (chunk_id) JOIN a ON a.question_id = s.question_id AND a.domain = c.domain) WHERE rank <= 5""")
 def sr_across_domains(s, d):
     items = x.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), search.words("text").alias("words"), F.array(*map(F.lit, ACROSS)).alias("domains"))
-    return search.across_domains(items, x.worded(s, d), 5).select("query_id", "turn", "domain", "chunk_id", "rank")
+    return search.across_domains(items, x.store(s, d), 5).select("query_id", "turn", "domain", "chunk_id", "rank")
 
 
 # --- the whole search: analysis, recall by both legs under the analysis' conditions, reranking
@@ -173,7 +173,7 @@ def encoded(s, d):
 @query(f"WITH {WHOLE} SELECT query_id, chunk_id, score, rank FROM coarse")
 def sr_recall(s, d):
     """The coarse list of the whole search."""
-    return search.hybrid_search(asked_whole(s, d), encoded(s, d), encoder.hashed)
+    return search.hybrid_search(asked_whole(s, d), x.store(s, d), encoder.hashed)
 
 
 def boosted(q: str) -> str:
@@ -194,7 +194,7 @@ FOUND = f"""{WHOLE}, hits AS (SELECT k.query_id, k.rank, k.score, a.query, a.dom
 @query(f"WITH {reranked_from(FOUND, 'query', 'score * boost', 8)} SELECT query_id, chunk_id, score, rank, fine_score, fine_rank, round(greatest(0, least(1, fine_score)), 4)::DOUBLE AS confidence FROM fine")
 def sr_search(s, d):
     """Analysis, recall of 50 and reranking to 15."""
-    return search.full_search(asked_whole(s, d), encoded(s, d), encoder.hashed).select("query_id", "chunk_id", "score", "rank", "fine_score", "fine_rank", "confidence")
+    return search.full_search(asked_whole(s, d), x.store(s, d), encoder.hashed).select("query_id", "chunk_id", "score", "rank", "fine_score", "fine_rank", "confidence")
 
 
 @query(f"WITH {ANALYSIS} SELECT query_id, coalesce(domain, '综合') AS domain, domain IS NULL AS by_hand FROM analyzed")
@@ -217,7 +217,7 @@ fu AS (SELECT query_id, chunk_id, round(coalesce(dense.score, 0) * 0.6::DOUBLE +
 SELECT query_id AS doc_number, chunk_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM fu) WHERE rank <= 100""")
 def sr_by_number(s, d):
     asked = s.createDataFrame([(n, n) for n in NUMBERS], "query_id string, doc_number string")
-    return search.by_number(asked, encoded(s, d), encoder.hashed).withColumnRenamed("query_id", "doc_number")
+    return search.by_number(asked, x.store(s, d), encoder.hashed).withColumnRenamed("query_id", "doc_number")
 
 
 @query(f"""WITH {x.CHUNKS}, w AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks), p AS (SELECT chunk_id, term, count(*) AS n FROM w GROUP BY ALL),
