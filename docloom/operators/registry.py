@@ -44,14 +44,20 @@ def by_name(registry: DataFrame, name: str, exact: bool = False) -> DataFrame:
     return done.where(F.col("file_name") == name) if exact else done.where(F.col("file_name").ilike(f"%{name}%"))
 
 
+def path_of() -> Column:
+    """Where a file is looked for: its original path, or the stored one where that is empty; null without either."""
+    return F.coalesce(t.blank_to_null(F.col("original_path")), t.blank_to_null(F.col("stored_path")))
+
+
 def listing(registry: DataFrame, present: DataFrame, status: str | None = None, domain: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page, latest first. present: stored_path of files that exist; file_exists is null where no path is stored."""
+    """A page, latest first. present: path of files that exist; file_exists is null where no path is known."""
     rows = registry
     rows = rows.where(F.col("status") == status) if status else rows
     rows = rows.where(F.col("domain") == domain) if domain else rows
     page = rows.orderBy(F.desc("updated_at"), "file_hash").offset(offset).limit(limit)
-    found = page.join(present.select("stored_path", F.lit(True).alias("there")).distinct(), "stored_path", "left")
-    return found.withColumn("file_exists", F.when(F.col("stored_path") != "", F.coalesce("there", F.lit(False)))).drop("there")
+    there = present.select(F.col("path").alias("own_path"), F.lit(True).alias("there")).distinct()
+    found = page.withColumn("own_path", path_of()).join(there, "own_path", "left")
+    return found.withColumn("file_exists", F.when(F.col("own_path").isNotNull(), F.coalesce("there", F.lit(False)))).drop("own_path", "there")
 
 
 def summary(registry: DataFrame) -> DataFrame:
@@ -65,8 +71,9 @@ def summary(registry: DataFrame) -> DataFrame:
 
 
 def orphans(registry: DataFrame, present: DataFrame) -> DataFrame:
-    """Files that should be there and aren't."""
-    return registry.where(~F.col("status").isin("deleted", "pending", "processing")).join(present.select("stored_path"), "stored_path", "left_anti")
+    """Files that should be there and aren't. present: path of files that exist; a file without a path is missing."""
+    rows = registry.where(~F.col("status").isin("deleted", "pending", "processing")).withColumn("own_path", path_of())
+    return rows.join(present.select(F.col("path").alias("own_path")), "own_path", "left_anti").drop("own_path")
 
 
 def recovered(registry: DataFrame) -> DataFrame:
@@ -184,15 +191,15 @@ def details(identifiers: DataFrame, registry: DataFrame, most: int = 1000) -> Da
     return found.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
-def removable(registry: DataFrame, hashes: DataFrame, uploads: str) -> DataFrame:
-    """file_hash and path of the files that removing may delete: those below uploads."""
-    path = F.coalesce(t.blank_to_null(F.col("original_path")), t.blank_to_null(F.col("stored_path")))
-    return by_hash(registry, hashes).select("file_hash", path.alias("path")).where(F.startswith("path", F.lit(uploads)))
+def removable(registry: DataFrame, hashes: DataFrame, uploads: str, present: DataFrame) -> DataFrame:
+    """file_hash and path of the files that removing may delete: those below uploads that exist (present: path)."""
+    rows = by_hash(registry, hashes).select("file_hash", path_of().alias("path")).where(F.startswith("path", F.lit(uploads)))
+    return rows.join(present.select("path"), "path", "left_semi").select("file_hash", "path")
 
 
 def reindexed(identifiers: DataFrame, registry: DataFrame, present: DataFrame) -> DataFrame:
     """identifiers: identifier. present: path, content_hash of files that exist. What reindexing does with each: file_hash, path, status (pending: removed and to be read again) and error_message."""
-    files = registry.select(F.col("file_hash").alias("own"), F.coalesce(t.blank_to_null(F.col("original_path")), t.blank_to_null(F.col("stored_path"))).alias("path"))
+    files = registry.select(F.col("file_hash").alias("own"), path_of().alias("path"))
     rows = resolved(identifiers, registry, present).join(files, F.col("file_hash") == F.col("own"), "left").join(present.select("path", F.lit(True).alias("there")), "path", "left")
     error = F.when(F.col("file_hash").isNull(), C.NOT_REGISTERED).when(F.col("own").isNull(), C.REGISTRATION_LOST).when(F.col("there").isNull(), C.SOURCE_GONE)
     return rows.select("identifier", "file_hash", F.coalesce("path", F.lit("")).alias("path"), F.when(error.isNull(), "pending").otherwise("failed").alias("status"), F.coalesce(error, F.lit("")).alias("error_message"))

@@ -65,7 +65,7 @@ FILES = f"""files AS (
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     return files(spark, sf_dir).select(
-        "doc_id", F.sha2(F.concat(d.cast("string"), F.lit(":"), "text"), 256).alias("file_hash"), F.concat(F.lit("/in/"), d.cast("string"), F.lit("/"), "file_name").alias("original_path"),
+        "doc_id", F.sha2(F.concat(d.cast("string"), F.lit(":"), "text"), 256).alias("file_hash"), F.when(d % 13 == 5, "").otherwise(F.concat(F.lit("/in/"), d.cast("string"), F.lit("/"), "file_name")).alias("original_path"),
         F.when(d % 11 == 0, "").otherwise(F.concat(F.lit("/up/"), d.cast("string"))).alias("stored_path"), F.concat("file_name", F.lit("~"), (d % 40).cast("string")).alias("file_name"), pick(C.STATUSES, F.floor(d / 3)).alias("status"),
         (F.floor(F.col("n_chars") / 1344) + 1).cast("long").alias("chunks_count"), F.col("n_chars").alias("chars_count"), pick(TOPS[:4], d).alias("domain"), pick(CATEGORIES, d).alias("category"),
         F.when(d % 4 == 0, pick(["GB50060-2008", "闽电发展〔2015〕241号", "Q/GDW 1738-2012"], d)).alias("doc_number"), F.when(d % 5 == 0, "broken").otherwise("").alias("error_message"),
@@ -74,7 +74,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = f"""{FILES}, registry AS (
-  SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || ':' || text) AS file_hash, '/in/' || doc_id || '/' || file_name AS original_path,
+  SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || ':' || text) AS file_hash, CASE WHEN doc_id % 13 = 5 THEN '' ELSE '/in/' || doc_id || '/' || file_name END AS original_path,
     CASE WHEN doc_id % 11 = 0 THEN '' ELSE '/up/' || doc_id END AS stored_path, file_name || '~' || (doc_id % 40) AS file_name, {pick_sql(C.STATUSES, "doc_id // 3")} AS status,
     CAST(n_chars // 1344 + 1 AS BIGINT) AS chunks_count, n_chars AS chars_count, {pick_sql(TOPS[:4], "doc_id")} AS domain, {pick_sql(CATEGORIES, "doc_id")} AS category,
     CASE WHEN doc_id % 4 = 0 THEN {pick_sql(["GB50060-2008", "闽电发展〔2015〕241号", "Q/GDW 1738-2012"], "doc_id")} END AS doc_number, CASE WHEN doc_id % 5 = 0 THEN 'broken' ELSE '' END AS error_message,
@@ -84,10 +84,12 @@ REGISTRY = f"""{FILES}, registry AS (
 
 
 def present(registry_: DataFrame) -> DataFrame:
-    return registry_.where("doc_id % 7 <> 0 AND stored_path <> ''").select("stored_path")
+    """Paths of files that exist: most original ones, and half of the stored copies, also of files whose original is gone."""
+    return registry_.where("doc_id % 7 <> 0 AND original_path <> ''").select(F.col("original_path").alias("path")).union(registry_.where("doc_id % 2 = 0 AND stored_path <> ''").select("stored_path"))
 
 
-PRESENT = "present AS (SELECT stored_path FROM registry WHERE doc_id % 7 <> 0 AND stored_path <> '')"
+PRESENT = "present AS (SELECT original_path AS path FROM registry WHERE doc_id % 7 <> 0 AND original_path <> '' UNION ALL SELECT stored_path FROM registry WHERE doc_id % 2 = 0 AND stored_path <> '')"
+OWN_PATH = "CASE WHEN original_path <> '' THEN original_path WHEN stored_path <> '' THEN stored_path END"
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,7 +228,7 @@ def reg_count(s, d):
 
 
 @query(f"""WITH {x.REGISTRY}, {x.PRESENT}, page AS (SELECT * FROM registry WHERE domain = '配电' ORDER BY updated_at DESC, file_hash LIMIT 50 OFFSET 20)
-SELECT {ALL}, updated_at, CASE WHEN page.stored_path <> '' THEN page.stored_path IN (SELECT stored_path FROM present) END AS file_exists FROM page""")
+SELECT {ALL}, updated_at, CASE WHEN {x.OWN_PATH} IS NOT NULL THEN {x.OWN_PATH} IN (SELECT path FROM present) END AS file_exists FROM page""")
 def reg_listing(s, d):
     rows = x.registry(s, d)
     return registry.listing(rows, x.present(rows), domain="配电", limit=50, offset=20).select(*ALL.split(", "), "updated_at", "file_exists")
@@ -242,7 +242,7 @@ def reg_summary(s, d):
     return registry.summary(x.registry(s, d))
 
 
-@query(f"WITH {x.REGISTRY}, {x.PRESENT} SELECT {ALL} FROM registry WHERE status NOT IN ('deleted', 'pending', 'processing') AND stored_path NOT IN (SELECT stored_path FROM present)")
+@query(f"WITH {x.REGISTRY}, {x.PRESENT} SELECT {ALL} FROM registry WHERE status NOT IN ('deleted', 'pending', 'processing') AND NOT EXISTS (SELECT 1 FROM present WHERE path = {x.OWN_PATH})")
 def reg_orphans(s, d):
     rows = x.registry(s, d)
     return registry.orphans(rows, x.present(rows)).select(*ALL.split(", "))
@@ -273,11 +273,11 @@ def reg_walk_stats(s, d):
     return registry.walk_stats(metadata.format_class(metadata.path_metadata(x.files(s, d))))
 
 
-@query(f"""WITH {x.REGISTRY}, {x.PRESENT}, f AS (SELECT domain, category, stored_path IN (SELECT stored_path FROM present) AS e FROM registry)
+@query(f"""WITH {x.REGISTRY}, {x.PRESENT}, f AS (SELECT domain, category, coalesce({x.OWN_PATH} IN (SELECT path FROM present), false) AS e FROM registry)
 SELECT domain, category, count(*) AS files, count_if(NOT e) AS missing FROM f GROUP BY ROLLUP (domain, category)""")
 def reg_tree(s, d):
     rows = x.registry(s, d)
-    marked = rows.join(x.present(rows).withColumn("there", F.lit(True)), "stored_path", "left").withColumn("file_exists", F.coalesce("there", F.lit(False)))
+    marked = rows.join(x.present(rows).withColumn("there", F.lit(True)), registry.path_of() == F.col("path"), "left").withColumn("file_exists", F.coalesce("there", F.lit(False)))
     return registry.tree(marked).select("domain", "category", "files", F.col("missing").cast("long").alias("missing"))
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from docloom import config as C
 from docloom.operators import context, conversation, registry
 from docloom.plans import fixtures as x
-from docloom.sources import readers, sinks
+from docloom.operators.chunking import forced_split
+from docloom.sources import readers, shared, sinks
+from docloom.sources.store import CHUNKS, REGISTRY, Store
 
 QUERIES, SQL = {}, {}
 
@@ -54,10 +56,46 @@ def reg_reindexed(s, d):
     return registry.reindexed(ids, rows, present)
 
 
-@query(f"WITH {x.REGISTRY} SELECT file_hash, CASE WHEN original_path <> '' THEN original_path ELSE stored_path END AS path FROM registry WHERE starts_with(original_path, '/in/1')")
+WINDOWS = "CASE WHEN length({0}) > 0 THEN CAST(greatest(ceil((length({0}) - 1536) / 1344.0), 0) AS BIGINT) + 1 ELSE 0 END"
+HALF = "substring(text, 1, CAST(length(text) // 2 AS BIGINT))"
+
+
+def stored_files(s, d):
+    """A store of all files and their windows, at its first version."""
+    rows = x.registry(s, d)
+    chunked = lambda t: forced_split(t).select("file_hash", F.concat_ws("_", "file_hash", "chunk_index").alias("chunk_id"), F.col("chunk_text").alias("text"))
+    texts = x.files(s, d).select("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text"), 256).alias("file_hash"), "text")
+    rows = rows.select("file_hash", "original_path", "stored_path", "file_name", "status", F.lit(0).cast("long").alias("chunks_count"), "error_message", "updated_at", "reindex_count")
+    chunks = chunked(texts)
+    store = Store(s, shared.fresh(s, "files"), {CHUNKS: chunks.schema, REGISTRY: rows.schema}, buckets=16, splits=1)
+    store.put("first", chunks, rows)
+    return store, rows, texts, chunked
+
+
+@query(f"""WITH {x.REGISTRY}, two AS (SELECT doc_id, file_hash, status, {WINDOWS.format('text')} AS n, {WINDOWS.format(HALF)} AS half, doc_id % 3 = 0 AND original_path <> '' AS again, length(text) AS l, length({HALF}) AS hl FROM registry JOIN documents USING (doc_id))
+SELECT 1 AS version, file_hash, status, n AS chunks, l + 192 * greatest(n - 1, 0) AS chars, 0 AS reindexed FROM two UNION ALL
+SELECT 2, file_hash, CASE WHEN again THEN 'completed' ELSE status END, CASE WHEN again THEN half ELSE n END, CASE WHEN again THEN hl + 192 * greatest(half - 1, 0) ELSE l + 192 * greatest(n - 1, 0) END, CASE WHEN again THEN 1 ELSE 0 END FROM two""")
+def reg_reindex(s, d):
+    """A third of the files is deleted and processed again, their texts being half as long by now; the store before and after."""
+    store, rows, texts, chunked = stored_files(s, d)
+    third = texts.where("doc_id % 3 = 0")
+    present = rows.join(third.select("file_hash"), "file_hash", "left_semi").where("original_path <> ''").select(F.col("original_path").alias("path"), F.col("file_hash").alias("content_hash"))
+    plan = registry.reindexed(third.select(F.col("file_hash").alias("identifier")), rows, present)
+    halves = third.withColumn("text", F.substr("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")))
+    store.reindex("half", plan, halves, chunked, F.lit("2024-02-01"))
+    store.reindex("half", plan, halves, chunked, F.lit("2024-02-01"))
+    shown = None
+    for version in (1, store.latest()):
+        chunks = store.read(CHUNKS, version).groupBy("file_hash").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
+        part = store.read(REGISTRY, version).join(chunks, "file_hash", "left").select(F.lit(version).alias("version"), "file_hash", "status", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("chars", F.lit(0)).alias("chars"), F.col("reindex_count").cast("int").alias("reindexed"))
+        shown = part if shown is None else shown.unionByName(part)
+    return shown
+
+
+@query(f"WITH {x.REGISTRY}, {x.PRESENT} SELECT file_hash, path FROM (SELECT file_hash, {x.OWN_PATH} AS path FROM registry) SEMI JOIN present USING (path) WHERE starts_with(path, '/in/1')")
 def reg_removable(s, d):
     rows = x.registry(s, d)
-    return registry.removable(rows, rows, "/in/1")
+    return registry.removable(rows, rows, "/in/1", x.present(rows))
 
 
 @query(f"WITH {x.REGISTRY} SELECT doc_id, status FROM registry WHERE status <> 'completed' AND file_name IN (SELECT file_name FROM registry WHERE status = 'failed')")
