@@ -96,6 +96,8 @@ DRAWING_WORDS = ["图纸", "方案图", "布置图", "接线图", "主接线", "
 SEPARATORS = ["\n\n\n", "\n\n", "\n", "。", "；", "，", ". ", " ", ""]
 NUMERALS = ["一", "二", "三", "四", "五", "六", "七", "八", "九", "十", "十一", "十二", "十三", "十四", "十五", "十六", "十七", "十八", "十九", "二十"]
 STATUSES = ["pending", "processing", "completed", "failed", "deleted"]
+#: Which status may follow which ("": a file that isn't known yet).
+TRANSITIONS = {"": ("pending",), "pending": ("processing", "deleted"), "processing": ("completed", "failed"), "completed": ("pending", "deleted"), "failed": ("pending", "processing", "deleted"), "deleted": ("pending",)}
 NATIONWIDE, STANDARDS = "全国", "标准规范"
 CHUNK_CHARS, CHUNK_OVERLAP, FULL_CHARS, FORCE_CHARS, SINGLE_PAGES = 1536, 192, 1500, 50_000, 1
 COARSE_K, FINE_K, RRF_K, DENSE_WEIGHT, SPARSE_WEIGHT = 50, 15, 60, 0.7, 0.3

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from docloom.operators import search
 from docloom.operators.metadata import filename_metadata
 from docloom.plans import fixtures as x
-from docloom.plans import ingest, lifecycle, quality, retrieval
+from docloom.plans import ingest, lifecycle, quality, retrieval, streams
 
-QUERIES = ingest.QUERIES | retrieval.QUERIES | quality.QUERIES | lifecycle.QUERIES
-ORACLE_SQL = ingest.SQL | retrieval.SQL | quality.SQL | lifecycle.SQL
+QUERIES = ingest.QUERIES | retrieval.QUERIES | quality.QUERIES | lifecycle.QUERIES | streams.QUERIES
+ORACLE_SQL = ingest.SQL | retrieval.SQL | quality.SQL | lifecycle.SQL | streams.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

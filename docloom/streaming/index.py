@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,7 +11,18 @@ from pyspark.sql.types import StructType
 from docloom.operators.chunking import text_chunks
 
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def on_disk(spark: SparkSession):
+    """State of the queries that start within is kept in RocksDB; a query takes its settings along when it starts."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
 def documents(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
@@ -22,8 +35,6 @@ def indexed(stream: DataFrame, out: str, checkpoint: str, key: str = "file_hash"
     Which files are known is the stream's own state, kept in RocksDB beside the checkpoint: a batch costs what is in it,
     however many went before.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.persist()
@@ -33,7 +44,8 @@ def indexed(stream: DataFrame, out: str, checkpoint: str, key: str = "file_hash"
         batch.select(key).join(written, key, "left").withColumns({"chunks_count": F.coalesce("chunks_count", F.lit(0)), "status": F.lit("completed")}).write.mode("overwrite").parquet(f"{out}/registry/batch={number}")
         batch.unpersist()
 
-    return stream.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with on_disk(stream.sparkSession):
+        return stream.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
