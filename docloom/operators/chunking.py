@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,51 +33,59 @@ def forced_split(df: DataFrame, text: str = "text", size: int = C.CHUNK_CHARS, o
     return rows.withColumn("chunk_text", F.expr(f"substring(`{text}`, chunk_start, {size})")).drop("chunk_start")
 
 
-def force(text: str, size: int, overlap: int) -> list[str]:
-    """The windows of one text."""
-    out, start = [], 0
-    while start < len(text):
-        out.append(text[start : start + size])
-        if start + size >= len(text):
-            break
-        start += size - overlap
-    return out
+def spans(low: int, high: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    """The windows of a range."""
+    last = max(0, -(-(high - low - size) // (size - overlap)))
+    return [(at, min(at + size, high)) for at in range(low, low + last * (size - overlap) + 1, size - overlap)] if high > low else []
+
 
+def parts(text: str, low: int, high: int, mark: str) -> tuple[list[int], list[int]]:
+    """Begins and ends of what stands between the marks of a range."""
+    marks = [m.start() for m in re.finditer(re.escape(mark), text[low:high])]
+    return [low, *(low + m + len(mark) for m in marks)], [*(low + m for m in marks), high]
 
-def split(text: str, size: int = C.CHUNK_CHARS, overlap: int = C.CHUNK_OVERLAP, level: int = 0) -> list[str]:
-    """Pieces of at most size characters, packed greedily at the coarsest separator that does; longer parts go a level down.
 
-    On each level every piece but the first is led by the end of the piece before it, as that was without its own lead.
+def leaves(text: str, size: int, overlap: int) -> list[tuple[int, int, tuple[int, ...]]]:
+    """Ranges of at most size characters in order, each with the numbers of the ranges that were cut to get it.
+
+    A range that is too long is cut at the marks of its depth: from a part that isn't empty as far as size reaches, which a
+    search over the parts' ends tells; a part that is too long by itself is cut on at the next depth's marks.
     """
-    if len(text) <= size:
-        return [text]
-    mark = C.SEPARATORS[level] if level < len(C.SEPARATORS) else ""
-    if not mark or len(text) > C.FORCE_CHARS:
-        return force(text, size, overlap)
-    packed: list[str] = []
-    held = ""
-    for part in text.split(mark):
-        longer = f"{held}{mark}{part}" if held else part
-        if len(longer) <= size:
-            held = longer
-            continue
-        packed += [held] if held else []
-        held = part if len(part) <= size else ""
-        if len(part) > size:
-            packed += split(part, size, overlap, level + 1)
-    packed += [held] if held else []
-    if overlap <= 0:
-        return packed
-    return packed[:1] + [f"{before[-overlap:]}\n{here}" for before, here in zip(packed, packed[1:])]
-
-
-CHUNKS = T.ArrayType(T.StructType([T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk_text", T.StringType())]))
-
-
-def semantic_chunks(df: DataFrame, text: str = "text", size: int = C.CHUNK_CHARS, overlap: int = C.CHUNK_OVERLAP, parts=lambda whole: [whole]) -> DataFrame:
+    todo, out, numbers = [(0, len(text), ())], [], itertools.count()
+    while todo:
+        low, high, above = todo.pop()
+        mark = C.SEPARATORS[len(above)] if len(above) < len(C.SEPARATORS) else ""
+        if high - low <= size:
+            out.append((low, high, above))
+        elif not mark or high - low > C.FORCE_CHARS:
+            out += [(a, b, above) for a, b in spans(low, high, size, overlap)]
+        else:
+            begins, ends = parts(text, low, high, mark)
+            own, cut, i = (*above, next(numbers)), [], 0
+            while i < len(ends):
+                if begins[i] < ends[i]:
+                    reach = max(i, bisect.bisect_right(ends, begins[i] + size, i) - 1)
+                    cut.append((begins[i], ends[reach], own))
+                    i = reach
+                i += 1
+            todo += reversed(cut)
+    return out
+
+
+def split(text: str, size: int = C.CHUNK_CHARS, overlap: int = C.CHUNK_OVERLAP) -> list[str]:
+    """Pieces of at most size characters, packed at the coarsest separators that do; each but the first of a range is led by the end of the piece before it, once for each depth that both are of."""
+    found = leaves(text, size, overlap)
+    out = [text[a:b] for a, b, _ in found]
+    for depth in reversed(range(max((len(above) for *_, above in found), default=0))) if overlap > 0 else ():
+        same = [False, *(len(a) > depth and a[: depth + 1] == b[: depth + 1] for (*_, a), (*_, b) in zip(found, found[1:]))]
+        out = [f"{out[k - 1][-overlap:]}\n{piece}" if same[k] else piece for k, piece in enumerate(out)]
+    return out
+
+
+def semantic_chunks(df: DataFrame, text: str = "text", size: int = C.CHUNK_CHARS, overlap: int = C.CHUNK_OVERLAP, cut=lambda whole: [whole]) -> DataFrame:
     """A row for each piece that isn't blank, with df's columns but text: chunk_index (blank pieces keep theirs), total_chunks (all pieces), chunk_text.
 
-    parts: cuts a text into parts that are split each by itself.
+    cut: cuts a text into parts that are split each by itself.
     """
     kept = [f for f in df.schema.fields if f.name != text]
 
@@ -82,7 +94,7 @@ def semantic_chunks(df: DataFrame, text: str = "text", size: int = C.CHUNK_CHARS
             rows = batch.column(batch.schema.get_field_index(text)).to_pylist()
             at, index, total, out = [], [], [], []
             for i, whole in enumerate(rows):
-                pieces = [piece for part in parts(whole or "") for piece in split(part, size, overlap)]
+                pieces = [piece for part in cut(whole or "") for piece in split(part, size, overlap)]
                 for k, piece in enumerate(pieces):
                     if piece.strip():
                         at.append(i)
@@ -138,7 +150,7 @@ def numbered(chunks: DataFrame, key: str, order: list[str]) -> DataFrame:
 def long_text_chunks(df: DataFrame, text: str = "text", key: str = "file_hash", most: int = 100_000) -> DataFrame:
     """Texts over most characters: paragraphs in batches, each split by itself, under one numbering."""
     long = df.where(F.length(text) > most).select(key, text)
-    return numbered(semantic_chunks(long, text, parts=paragraph_batches).withColumnRenamed("chunk_index", "place"), key, ["place"]).drop("place")
+    return numbered(semantic_chunks(long, text, cut=paragraph_batches).withColumnRenamed("chunk_index", "place"), key, ["place"]).drop("place")
 
 
 def scan_rule(pages: DataFrame, key: str = "doc", first: int = 15, share: float = 0.7, few: int = 50) -> DataFrame:

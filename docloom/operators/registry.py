@@ -203,3 +203,25 @@ def reindexed(identifiers: DataFrame, registry: DataFrame, present: DataFrame) -
     rows = resolved(identifiers, registry, present).join(files, F.col("file_hash") == F.col("own"), "left").join(present.select("path", F.lit(True).alias("there")), "path", "left")
     error = F.when(F.col("file_hash").isNull(), C.NOT_REGISTERED).when(F.col("own").isNull(), C.REGISTRATION_LOST).when(F.col("there").isNull(), C.SOURCE_GONE)
     return rows.select("identifier", "file_hash", F.coalesce("path", F.lit("")).alias("path"), F.when(error.isNull(), "pending").otherwise("failed").alias("status"), F.coalesce(error, F.lit("")).alias("error_message"))
+
+
+def snapshots(versions: DataFrame, queries: DataFrame, ttl: int) -> DataFrame:
+    """Which version of the registry answers each query, where a version is kept ttl seconds and then read anew.
+
+    versions: refreshed (a timestamp). queries: query_id, ts. A query is answered by the last version before it (or at it): age in
+    seconds, and stale where it is older than ttl, so that the query has to refresh. Null before the first one. Both sides are
+    put into slots of ttl seconds; a slot carries the last version before it, so that a query looks at its own slot alone.
+    """
+    slot = lambda c: F.floor(F.unix_micros(c) / (ttl * 1_000_000))
+    moments = versions.select(F.col("refreshed").cast("timestamp").alias("refreshed")).where("refreshed IS NOT NULL").distinct()
+    lasts = moments.groupBy(slot(F.col("refreshed")).alias("slot")).agg(F.max("refreshed").alias("last"))
+    asked = queries.withColumn("ts", F.col("ts").cast("timestamp"))
+    # slots that are asked for and those that have a version, in order: not rows, but one for each ttl of time
+    slots = lasts.select("slot", "last").unionByName(asked.select(slot(F.col("ts")).alias("slot")).distinct().withColumn("last", F.lit(None).cast("timestamp"))).groupBy("slot").agg(F.max("last").alias("last"))
+    before = slots.withColumn("before", F.max("last").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))).select("slot", "before")
+    # within a slot versions and queries are read in the order of time, a version before queries of its moment
+    both = asked.select("*", slot(F.col("ts")).alias("slot"), F.lit(None).cast("timestamp").alias("own")).unionByName(moments.select(F.col("refreshed").alias("ts"), slot(F.col("refreshed")).alias("slot"), F.col("refreshed").alias("own")), allowMissingColumns=True)
+    seen = both.withColumn("kind", F.col("own").isNotNull()).withColumn("own", F.max("own").over(Window.partitionBy("slot").orderBy("ts", F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = seen.where("NOT kind").join(before, "slot", "left").withColumn("refreshed", F.coalesce("own", "before")).drop("slot", "before", "own", "kind")
+    age = (F.unix_micros("ts") - F.unix_micros("refreshed")) / 1_000_000
+    return rows.withColumn("age", age).withColumn("stale", F.when(F.col("refreshed").isNull(), True).otherwise(F.col("age") > ttl))

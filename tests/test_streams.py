@@ -6,9 +6,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from docloom import config as C
-from docloom.operators import conversation
+from docloom.operators import conversation, registry
 from docloom.sources import shared
-from docloom.streaming import conversations, status
+from docloom.streaming import conversations, progress, status
+from docloom.streaming import pages as streamed_pages
 
 
 def test_turns_in_any_order_and_after_a_restart(spark):
@@ -78,3 +79,61 @@ def test_settings_are_as_before(spark):
     with on_disk(spark):
         assert "RocksDB" in spark.conf.get(PROVIDER)
     assert spark.conf.get(PROVIDER, None) == before and spark.range(3).agg(F.sum("id")).first()[0] == 3
+
+
+def test_pages_and_readings_in_any_order(spark):
+    rng, at = random.Random(8), datetime(2024, 1, 1)
+    pages = [(f"f{f}", p, "own text" if (f + p) % 2 else " ", 4, (f + p) % 3 == 0, at) for f in range(8) for p in range(1, 5)]
+    reads = [(f, p, f"read {f} {p}", at) for f, p, _, _, waits, _ in pages if waits]
+    missing = ("f5", 2)
+    pages = [r for r in pages if (r[0], r[1]) != missing]
+    want = sorted((f, p, streamed_pages.met(text, f"read {f} {p}" if waits else None), f != "f5") for f, p, text, _, waits, _ in pages)
+    rng.shuffle(pages)
+    rng.shuffle(reads)
+    ps, rs, out = shared.fresh(spark, "pages"), shared.fresh(spark, "reads"), shared.fresh(spark, "out")
+    schemas = "file string, page_num int, text string, pages int, waits boolean, ts timestamp", "file string, page_num int, ocr_text string, ts timestamp"
+    # the watermark is the lesser of both streams': a late row of each lets the timer of the file that stays incomplete run out
+    end = [("end", 1, "x", 1, False, at + timedelta(hours=5))]
+    for a, b, c, e in ((0, 9, 0, 0), (9, 20, 0, 6), (20, 99, 6, 99)):
+        spark.createDataFrame(pages[a:b] + pages[:a:5] + (end if b == 99 else []), schemas[0]).coalesce(1).write.mode("append").parquet(ps)
+        spark.createDataFrame(reads[c:e] + ([("end", 1, "y", at + timedelta(hours=5))] if b == 99 else []), schemas[1]).coalesce(1).write.mode("append").parquet(rs)
+        streams = [spark.readStream.schema(k).option("maxFilesPerTrigger", 1).parquet(p) for k, p in zip(schemas, (ps, rs))]
+        streamed_pages.written(*streams, out, f"{out}-checkpoint", "2 hours").awaitTermination()
+    got = [r for r in streamed_pages.read(spark, out).collect() if r.file != "end"]
+    assert sorted((r.file, r.page_num, r.text, r.complete) for r in got) == want
+    assert {r.edition for r in got} == {1} and all(r.needs_ocr == (r.char_count < 50 and "read" not in r.text) for r in got)
+
+
+def test_progress_after_a_restart_in_the_middle_of_a_batch(spark):
+    source, out = shared.fresh(spark, "progress"), shared.fresh(spark, "out")
+    schema = "job string, at long, event string, body string"
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    run = lambda: progress.written(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), out, f"{out}-checkpoint").awaitTermination()
+    write([("a", 2, "x", "1"), ("a", 1, "x", "0"), ("b", 9, "y", "0")])
+    run()
+    batch = [("a", 1, "x", "2"), ("c", 1, "z", "0"), ("a", 5, "x", "3")]
+    # the batch's events are out, but the stream doesn't know it when it starts again
+    progress.appended(spark.createDataFrame(batch, schema), out, 1)
+    write(batch)
+    run()
+    write([("a", 1, "x", "4")])
+    run()
+    assert sorted(map(tuple, progress.replayed(spark, out).select("job", "seq", "body").collect())) == [("a", i + 1, str(i)) for i in range(5)] + [("b", 1, "0"), ("c", 1, "0")]
+    behind = spark.createDataFrame([("a", 3), ("c", 1)], "job string, seq long")
+    assert sorted(r.seq for r in progress.replayed(spark, out, behind).collect()) == [4, 5]
+    (line,) = progress.as_stream_text(progress.replayed(spark, out).where("job = 'b'")).collect()
+    assert line.line == "id: 1\nevent: y\ndata: 0\n\n"
+    files = spark.createDataFrame([("j", "f1", "completed", 3, None), ("j", "f2", "failed", 0, "e" * 300)], "job string, file_name string, status string, chunks long, error string")
+    events = sorted((r.at, r.event, len(r.body)) for r in progress.told(files, ["file_name"]).collect())
+    assert [e[:2] for e in events] == [(0, "file_start"), (1, "file_done"), (2, "file_start"), (3, "file_error")] and events[3][2] < 240
+
+
+def test_snapshots_by_all_pairs(spark):
+    rng, begin = random.Random(5), datetime(2024, 1, 1)
+    moments = [begin + timedelta(seconds=rng.randrange(4000)) for _ in range(12)] + [None]
+    asked = [(i, begin + timedelta(seconds=rng.randrange(-50, 5000)) if i % 9 else moments[0]) for i in range(80)]
+    got = registry.snapshots(spark.createDataFrame([(m,) for m in moments], "refreshed timestamp"), spark.createDataFrame(asked, "query_id int, ts timestamp"), 300).collect()
+    for r in got:
+        last = max((m for m in moments if m is not None and m <= r.ts), default=None)
+        assert r.refreshed == last and r.stale == (last is None or (r.ts - last).total_seconds() > 300)
+    assert len(got) == 80
