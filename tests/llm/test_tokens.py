@@ -56,6 +56,20 @@ def test_splice_widens_until_it_can():
         assert [i for p in two.spliced(library, text, 300, 70) for i in p] == library.encode(text, add_special_tokens=False).ids
 
 
+def test_splicing_is_linear():
+    library, sent = load_tokenizer(P.path("byte_bpe_50k.json")), []
+
+    class Counted:
+        def encode(self, text, **more):
+            sent.append(len(text))
+            return library.encode(text, **more)
+
+    for text in (" " * 300_000, "ab" * 60_000, "a b " * 5_000 + "\n" * 150_000 + "the end. " * 9_000, "word " * 60_000, "x" * 99_000 + " y" * 40_000 + "z" * 99_000):
+        sent.clear()
+        assert [i for p in two.spliced(Counted(), text, 2_000, 200) for i in p] == library.encode(text, add_special_tokens=False).ids
+        assert sum(sent) < 6 * len(text)
+
+
 @pytest.mark.parametrize("where", ["sf", "odd_docs", "empty_docs"])
 def test_token_files(spark, where, request):
     d = request.getfixturevalue(where)
