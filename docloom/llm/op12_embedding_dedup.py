@@ -41,7 +41,7 @@ COSINE, PROBE = 0.93, 0.1
 LIST, LISTS, SAMPLE = 24, 4_096, 65_536
 #: Subspaces, words of each, and classes that the words are fitted on.
 SPLITS, CODES, CODED = 16, 256, 4_096
-CELL, HEAVY = 1_024, 1_024
+CELL, HEAVY = 256, 1_024
 ROUNDS, SLACK = 8, 1e-6
 
 
