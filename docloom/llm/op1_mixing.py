@@ -146,17 +146,31 @@ def mix(df: DataFrame, size: Column, key: Column, source: str = "source", shards
     return Mixture(mixed, named.select(F.col("s").alias("source"), "source_size", "target"), shard, copy, shards)
 
 
+def own_order(mixture: Mixture, key: Column, seed: int = SEED) -> Column:
+    """The order of a shard's rows."""
+    return F.xxhash64(key, mixture.copy, F.lit(seed + 2))
+
+
+def placed(mixture: Mixture, key: Column, place: str, tie: str, seed: int = SEED) -> DataFrame:
+    """The mixture's rows with their place in their shard, from 0 on; a shard holds SHARD_WORDS words or so. tie: a column that parts rows of one key."""
+    order = Window.partitionBy(mixture.shard).orderBy(own_order(mixture, key, seed), tie, mixture.copy)
+    return mixture.rows.withColumn(place, (F.row_number().over(order) - 1).cast("long"))
+
+
 def shuffled(mixture: Mixture, key: Column, seed: int = SEED) -> DataFrame:
     """Each shard's rows together, in an order of their own."""
-    order = F.xxhash64(key, mixture.copy, F.lit(seed + 2))
+    order = own_order(mixture, key, seed)
     return mixture.rows.repartition(mixture.shards, mixture.shard).sortWithinPartitions(mixture.shard, order).drop(mixture.shard, mixture.copy)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and of each copy in the mixture its shard and its place there (copies)."""
     docs = table(spark, sf_dir, "documents")
     sizes = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"), F.xxhash64("doc_id", "text").alias("key"), F.monotonically_increasing_id().alias("row"))
     sizes = Scratch(spark, "mixing").write(sizes, "sizes")
     mixture = mix(sizes, F.col("size"), F.col("key"))
-    taken = mixture.rows.groupBy("row").agg(F.sum("size").alias("taken"))
+    rows = placed(mixture, F.col("key"), "place", "row")
+    copies = F.array_sort(F.collect_list(F.struct(F.col(mixture.copy).alias("copy"), F.col(mixture.shard).cast("int").alias("shard"), "place")))
+    taken = rows.groupBy("row").agg(F.sum("size").alias("taken"), copies.alias("copies"))
     out = sizes.join(taken, "row", "left").join(F.broadcast(mixture.sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce(F.transform("copies", lambda c: F.struct(c["shard"].alias("shard"), c["place"].alias("place"))), F.array().cast("array<struct<shard:int,place:bigint>>")).alias("copies"))

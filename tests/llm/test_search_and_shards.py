@@ -151,3 +151,27 @@ def test_mixture_of_clashing_columns(spark):
     words = {t: s for t, s in ((r["target"], r["source"]) for r in mixture.sources.collect())}
     for target, source in words.items():
         assert abs(sum(r[2] * n for r, n in taken.items() if r[1] == source) - target) <= 6
+
+
+def test_shards_draw_disjoint_blocks(spark, sf):
+    rng = np.random.default_rng(1)
+    blocks = [rng.integers(1, 50, n) for n in (40, 7, 1, 64)]
+    goals = [1.5 * blocks[0].sum(), 0.4 * blocks[1].sum(), 2.0 * blocks[2].sum(), 0.9 * blocks[3].sum()]
+    plan = one.draw_plan(blocks, goals, 8, 3)
+    assert len({(s, b, copy) for s, b, copy, _, _ in plan}) == len(plan)
+    totals = Counter(shard for _, _, _, shard, _ in plan)
+    assert max(totals.values()) - min(totals[i] for i in range(8)) <= 1
+    for s, (words, goal) in enumerate(zip(blocks, goals)):
+        assert abs(sum(words[b] if limit is None else limit for o, b, _, _, limit in plan if o == s) - goal) < 0.5
+
+
+def test_copies_of_the_mixture(spark, sf):
+    rows = one.op1_mixing(spark, sf).collect()
+    places = defaultdict(list)
+    for r in rows:
+        assert (r.taken == len(r.copies) * r["size"]) and len(r.copies) <= 2
+        for c in r.copies:
+            places[c.shard].append((c.place, r.doc_id))
+    assert set(places) <= set(range(32)) and all(sorted(p for p, _ in ps) == list(range(len(ps))) for ps in places.values())
+    ordered = [d for ps in places.values() for _, d in sorted(ps)]
+    assert ordered != sorted(ordered) and [r.copies for r in sorted(one.op1_mixing(spark, sf).collect(), key=str)] == [r.copies for r in sorted(rows, key=str)]
