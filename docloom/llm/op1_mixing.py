@@ -146,20 +146,15 @@ def mix(df: DataFrame, size: Column, key: Column, source: str = "source", shards
     return Mixture(mixed, named.select(F.col("s").alias("source"), "source_size", "target"), shard, copy, shards)
 
 
-def own_order(mixture: Mixture, key: Column, seed: int = SEED) -> Column:
-    """The order of a shard's rows."""
-    return F.xxhash64(key, mixture.copy, F.lit(seed + 2))
-
-
 def placed(mixture: Mixture, key: Column, place: str, tie: str, seed: int = SEED) -> DataFrame:
-    """The mixture's rows with their place in their shard, from 0 on; a shard holds SHARD_WORDS words or so. tie: a column that parts rows of one key."""
-    order = Window.partitionBy(mixture.shard).orderBy(own_order(mixture, key, seed), tie, mixture.copy)
+    """The mixture's rows with their place in their shard, from 0 on, in the order of shuffled(); a shard holds SHARD_WORDS words or so. tie: a column that parts rows of one key."""
+    order = Window.partitionBy(mixture.shard).orderBy(F.xxhash64(key, mixture.copy, F.lit(seed + 2)), tie, mixture.copy)
     return mixture.rows.withColumn(place, (F.row_number().over(order) - 1).cast("long"))
 
 
 def shuffled(mixture: Mixture, key: Column, seed: int = SEED) -> DataFrame:
     """Each shard's rows together, in an order of their own."""
-    order = own_order(mixture, key, seed)
+    order = F.xxhash64(key, mixture.copy, F.lit(seed + 2))
     return mixture.rows.repartition(mixture.shards, mixture.shard).sortWithinPartitions(mixture.shard, order).drop(mixture.shard, mixture.copy)
 
 
