@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.operators import encoder, search
 from docloom.operators import evaluation as ev
 from docloom.plans import fixtures as x
+from docloom.plans import retrieval
 from docloom.streaming import index
 
 QUERIES, SQL = {}, {}
@@ -208,11 +210,19 @@ def ev_category_counts(s, d):
     return x.table(s, d, "documents").groupBy(F.col("source").alias("category")).agg(F.count("*").alias("questions")).orderBy(F.desc("questions"), "category")
 
 
-@query(f"""WITH {x.FILES} SELECT expected_domain, count(*) AS queries, count_if(found IS NOT DISTINCT FROM expected_domain) AS domain_hits, count_if(contains(file_name, 'GB')) AS key_hits
-FROM (SELECT file_name, {x.pick_sql(x.TOPS, 'doc_id')} AS expected_domain, CASE WHEN doc_id % 9 <> 0 THEN {x.pick_sql(x.TOPS, 'doc_id * 3')} END AS found FROM files) GROUP BY expected_domain""")
+SMOKE = retrieval.reranked_from(retrieval.FOUND, "query", "score * boost", 8)
+
+
+@query(f"""WITH {SMOKE}, nm AS (SELECT query_id, list(file_name ORDER BY fine_rank) AS names FROM fine WHERE fine_rank <= 3 GROUP BY query_id),
+q AS (SELECT a.domain AS found, {x.pick_sql(x.TOPS, "a.query_id")} AS expected_domain, coalesce(names, []) AS names FROM analyzed a LEFT JOIN nm USING (query_id))
+SELECT expected_domain, count(*) AS queries, count_if(found IS NOT DISTINCT FROM expected_domain) AS domain_hits, count_if(len(list_filter(names, lambda n: contains(n, 'GB'))) > 0) AS key_hits FROM q GROUP BY expected_domain""")
 def ev_smoke(s, d):
-    i = F.col("doc_id")
-    return ev.smoke(x.files(s, d).select(x.pick(x.TOPS, i).alias("expected_domain"), F.when(i % 9 != 0, x.pick(x.TOPS, i * 3)).alias("found_domain"), F.lit("GB").alias("expected_key"), F.array("file_name").alias("names"))).select("expected_domain", "queries", F.col("domain_hits").cast("long").alias("domain_hits"), F.col("key_hits").cast("long").alias("key_hits"))
+    """Whole searches of all questions: the domain that the analysis finds, and whether a standard is among the first three files."""
+    asked = retrieval.asked_whole(s, d)
+    found = search.full_search(asked, x.store(s, d), encoder.hashed).where("fine_rank <= 3").groupBy("query_id").agg(F.collect_list("file_name").alias("names"))
+    rows = asked.select("query_id", F.col("domain").alias("found_domain"), x.pick(x.TOPS, F.col("query_id")).alias("expected_domain"), F.lit("GB").alias("expected_key"))
+    hits = rows.join(found, "query_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    return ev.smoke(hits).select("expected_domain", "queries", F.col("domain_hits").cast("long").alias("domain_hits"), F.col("key_hits").cast("long").alias("key_hits"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
