@@ -112,3 +112,17 @@ CUT_NOTICE = ("\n\n【注意：完整文档过长（", "字符），已截断至
 ONLY_THIS = ("\n【⚠ 重要指令: 用户查询引用了文件 \"", "\"，请只基于上述完整文档内容回答，不要引用其他文件。以下其他文件片段仅供背景了解，回答中不要引用它们的内容。】\n")
 #: Characters that text in binary files may have.
 PLAUSIBLE = "一-鿿a-zA-Z0-9\\s.,;:!?()（）、。，；：！？'【】《》—…/%+\\-"
+
+#: Words of the diagnosis of a question's best chunk.
+DIAGNOSIS = {
+    "coarse": "粗排第", "none": "无关键词", "missing": "检索缺失: 50条候选池中无chunk包含任何预期关键词", "pushed_out": "位, 精排后被挤出Top-", "after": "位, 精排后第", "outside": "位, 未进入Top-10",
+    "raised": "位→精排后提升到第", "better": "位 (Reranker改善)", "then": "位→精排后第", "inside": "位 (已在Top-10内)", "place": "位", "worse": "位, 精排后反被挤掉 (Reranker退化)",
+}
+#: Patterns of file names in questions.
+NUMERAL = "[一二三四五六七八九十\\d]+"
+NAMED_FILE = r"(?iU)([\w一-鿿\-\s()（）]+\.(?:pdf|doc|docx|xls|xlsx|ppt|pptx|txt|ofd|ceb|dwg))"
+BEFORE_FILE = r"(?U)([^\s，。,.]{2,30})\s*文件"
+QUOTED = ("《([^》]+)》", '"([^"]+?)"')
+QUESTION_NUMBERS = (r"(?U)[闽榕国]\S*〔\d{4}〕\d+号", r"(?U)[A-Z]{2,}[/T]?\s*\d+[\.\-]\d+", r"(?U)Q/GDW\s*\d+[\.\-]\d+")
+#: What stands before the excerpts of other files.
+SUPPLEMENTS = "【以下为检索到的其他相关文件片段，仅供参考背景，回答时请勿引用以下内容】"

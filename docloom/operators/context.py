@@ -79,7 +79,7 @@ def injected(documents: DataFrame, supplementary: DataFrame) -> DataFrame:
     extra = supplementary.withColumn("part", result_text()).groupBy("query_id").agg(in_order("part", "place", "\n\n").alias("extra"))
     told = F.concat(F.lit(C.ONLY_THIS[0]), F.col("match_name"), F.lit(C.ONLY_THIS[1]))
     rule = "─" * 40
-    note = F.when(F.col("extra").isNotNull(), F.lit(f"\n{rule}\n【以下为检索到的其他相关文件片段，仅供参考背景，回答时请勿引用以下内容】\n{rule}\n"))
+    note = F.when(F.col("extra").isNotNull(), F.lit(f"\n{rule}\n{C.SUPPLEMENTS}\n{rule}\n"))
     return documents.join(extra, "query_id", "left").select("query_id", F.concat_ws("\n\n", shortened(F.col("document")), told, note, "extra").alias("context"))
 
 

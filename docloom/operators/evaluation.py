@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom import config as C
 from docloom.functions import text as t
 from docloom.operators.context import in_order
 
@@ -110,11 +111,14 @@ def best_chunk(questions: DataFrame, coarse: DataFrame, fine: DataFrame, fixed:
     df = questions.join(pool, "question_id", "left").join(kept, "question_id", "left").join(top, "question_id", "left").join(after, ["question_id", "chunk_id"], "left")
     c, f = F.coalesce("rank", F.lit(-1)), F.coalesce("fine", F.lit(-1))
     say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
-    out = say("粗排第", c, "位, 精排后反被挤掉 (Reranker退化)")
-    diagnosis = F.when((F.size("keywords") == 0) | F.col("pool").isNull(), "无关键词").when(F.col("hits").isNull(), "检索缺失: 50条候选池中无chunk包含任何预期关键词").when((c > 10) & (f == -1), say("粗排第", c, "位, 精排后被挤出Top-", F.coalesce("kept", F.lit(0)))).when((c > 10) & (f > 10), say("粗排第", c, "位, 精排后第", f, "位, 未进入Top-10")).when(c > 10, say("粗排第", c, "位→精排后提升到第", f, "位 (Reranker改善)"))
+    d = C.DIAGNOSIS
+    out = say(d["coarse"], c, d["worse"])
+    nothing = (F.size("keywords") == 0) | F.col("pool").isNull()
+    diagnosis = F.when(nothing, d["none"]).when(F.col("hits").isNull(), d["missing"]).when((c > 10) & (f == -1), say(d["coarse"], c, d["pushed_out"], F.coalesce("kept", F.lit(0))))
+    diagnosis = diagnosis.when((c > 10) & (f > 10), say(d["coarse"], c, d["after"], f, d["outside"])).when(c > 10, say(d["coarse"], c, d["raised"], f, d["better"]))
     if fixed:
         diagnosis = diagnosis.when(f == -1, out)
-    diagnosis = diagnosis.when(f <= 10, say("粗排第", c, "位→精排后第", f, "位 (已在Top-10内)")).otherwise(say("粗排第", c, "位"))
+    diagnosis = diagnosis.when(f <= 10, say(d["coarse"], c, d["then"], f, d["inside"])).otherwise(say(d["coarse"], c, d["place"]))
     return df.select("question_id", c.alias("best_coarse_rank"), f.alias("best_fine_rank"), F.coalesce("hits", F.lit(0)).alias("kw_hit_best"), F.size("keywords").alias("kw_total"), F.coalesce("file_path", F.lit("")).alias("file_best"), diagnosis.alias("diagnosis"))
 
 

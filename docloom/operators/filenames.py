@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docloom import config as C
 from docloom.functions import text as t
 
-NUMERAL = "[一二三四五六七八九十\\d]+"
+NUMERAL = C.NUMERAL
 
 
 def all_matches(c: Column, pattern: str, group: int = 1) -> Column:
@@ -23,8 +23,8 @@ def all_matches(c: Column, pattern: str, group: int = 1) -> Column:
 def candidates(query: Column) -> Column:
     """Names in 《》, in quotes, with an extension, or before 文件."""
     long = lambda xs: F.filter(F.transform(xs, t.strip), lambda x: F.length(x) >= 3)
-    named = all_matches(query, r"(?iU)([\w一-鿿\-\s()（）]+\.(?:pdf|doc|docx|xls|xlsx|ppt|pptx|txt|ofd|ceb|dwg))")
-    return F.concat(long(all_matches(query, "《([^》]+)》")), long(all_matches(query, '"([^"]+?)"')), F.transform(named, t.strip), F.transform(all_matches(query, r"(?U)([^\s，。,.]{2,30})\s*文件"), t.strip))
+    named = all_matches(query, C.NAMED_FILE)
+    return F.concat(long(all_matches(query, C.QUOTED[0])), long(all_matches(query, C.QUOTED[1])), F.transform(named, t.strip), F.transform(all_matches(query, C.BEFORE_FILE), t.strip))
 
 
 def digits(numeral: Column) -> Column:
@@ -126,7 +126,7 @@ def sides(queries: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame
     """What of a query and of a file alone the strategies look at."""
     name, query = F.col("file_name"), F.col("query")
     files = registry.select("file_hash", "file_name", F.coalesce("doc_number", F.lit("")).alias("doc_number"), F.lower(name).alias("lower_name"), F.lower(t.stem(name)).alias("bare_name"), bare_number(F.regexp_extract(name, f"(?U)之({NUMERAL})", 1)).alias("own"))
-    numbers = F.concat(*(all_matches(query, p, 0) for p in (r"(?U)[闽榕国]\S*〔\d{4}〕\d+号", r"(?U)[A-Z]{2,}[/T]?\s*\d+[\.\-]\d+", r"(?U)Q/GDW\s*\d+[\.\-]\d+")))
+    numbers = F.concat(*(all_matches(query, p, 0) for p in C.QUESTION_NUMBERS))
     paper = meeting_number(query)
     asked = queries.select(
         "query_id", F.lower(query).alias("asked"), F.transform(candidates(query), lambda c: F.lower(t.strip(c))).alias("names"), F.array_sort(phrases(query)).alias("phrases"), numbers.alias("numbers"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom import config as C
-from docloom.operators import encoder, search
+from docloom.operators import encoder, rerank, search
 from docloom.sources import shared
 
 NAMES = [
@@ -141,19 +141,42 @@ def whole_texts(spark: SparkSession, sf_dir: str) -> search.index.Index:
     return kept(spark, f"{sf_dir}/documents.parquet", "documents", lambda: docs.select(F.col("doc_id").alias("chunk_id"), search.words("text").alias("words")))
 
 
-def ranked(spark: SparkSession, sf_dir: str, fine: bool) -> DataFrame:
-    """For each benchmark item the best chunks of all by its text's words: question_id, rank, chunk_id, doc_id. The fine list is the coarse one with scores boosted by document."""
-    benchmark, ready = table(spark, sf_dir, "benchmark"), store(spark, sf_dir)
-    # the list that all evaluations start from is made once for a store and a benchmark
-    path = f"{ready.path}-lists-{shared.fingerprint(spark, f"{sf_dir}/benchmark.parquet")}"
+def once(spark: SparkSession, sf_dir: str, tag: str, make) -> DataFrame:
+    """A table about a store and a benchmark, made when it isn't there for these very files."""
+    path = f"{store(spark, sf_dir).path}-{tag}-{shared.fingerprint(spark, f'{sf_dir}/benchmark.parquet')}"
     if not shared.exists(spark, f"{path}/_SUCCESS"):
-        items = benchmark.select(F.col("item_id").alias("query_id"), search.words("text").alias("words"))
-        search.sparse_search(items, ready, C.COARSE_K).withColumn("doc_id", F.split_part("chunk_id", F.lit("_"), F.lit(1)).cast("long")).write.mode("overwrite").parquet(path)
-    coarse = spark.read.parquet(path)
-    if fine:
-        boosted = coarse.withColumn("score", F.round(F.col("score") * (1 + F.col("doc_id") % 7 * 0.05), 4))
-        coarse = search.best(boosted.drop("rank"), C.FINE_K)
-    return coarse.select(F.col("query_id").alias("question_id"), "rank", "chunk_id", "doc_id")
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def ranked(spark: SparkSession, sf_dir: str, fine: bool) -> DataFrame:
+    """For each benchmark item the best chunks of all by its text's words: question_id, rank, chunk_id, doc_id. The fine list is the coarse one reranked."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+    def coarse() -> DataFrame:
+        found = search.sparse_search(asked.withColumn("words", search.words("text")), store(spark, sf_dir), C.COARSE_K)
+        return found.withColumn("doc_id", F.split_part("chunk_id", F.lit("_"), F.lit(1)).cast("long"))
+
+    def fine_list() -> DataFrame:
+        nobody = F.lit(None).cast("string")
+        hits = once(spark, sf_dir, "coarse", coarse).join(asked.withColumnRenamed("text", "query"), "query_id").withColumns({"asked_domain": nobody, "asked_voltage": nobody})
+        rows = hits.join(store(spark, sf_dir).chunks.drop("segment", "row", "part", "dense", "words", "text", "doc_id"), "chunk_id")
+        return rerank.rerank(rows, C.FINE_K, digits=4).drop("rank").withColumnRenamed("fine_rank", "rank").select("query_id", "rank", "chunk_id", "doc_id")
+
+    # the lists that all evaluations start from
+    lists = once(spark, sf_dir, "fine", fine_list) if fine else once(spark, sf_dir, "coarse", coarse)
+    return lists.select(F.col("query_id").alias("question_id"), "rank", "chunk_id", "doc_id")
+
+
+def within(c: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({c}, {literal(w)})" for w in words) + ")"
+
+
+def boosted(q: str) -> str:
+    name = "lower(regexp_extract(file_path, '[^/]*$'))"
+    tokens = f"len(list_filter(regexp_split_to_array({name}, '[_\\-.\\s]+'), lambda w: length(w) >= 2 AND contains(lower({q}), w)))"
+    return f"""round(least(1.15::DOUBLE, 1 + CASE WHEN doc_number <> '' AND contains({q}, doc_number) THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN {tokens} >= 2 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN category = '标准规范' THEN 0.03::DOUBLE ELSE 0 END
+  + CASE WHEN publish_level IN ('国标', '行标') THEN 0.03::DOUBLE ELSE 0 END - CASE WHEN is_drawing AND NOT {within(q, C.DRAWING_WORDS)} THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN asked_domain = domain THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN asked_voltage = voltage_level THEN 0.05::DOUBLE ELSE 0 END), 4)"""
 
 
 #: The lists behind ranked(); stands behind CHUNKS.
@@ -161,16 +184,36 @@ RANKS = """pos AS (SELECT chunk_id, doc_id, term, 1 + ln(count(*)) AS weight FRO
 items AS (SELECT question_id, term, 1 + ln(count(*)) AS weight FROM (SELECT item_id AS question_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL),
 scored AS (SELECT question_id, chunk_id, doc_id, round(sum(pos.weight * items.weight), 4) AS score FROM pos JOIN items USING (term) GROUP BY ALL),
 list_coarse AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM scored) WHERE rank <= 50),
-list_fine AS (SELECT * FROM (SELECT question_id, chunk_id, doc_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score * (1 + doc_id % 7 * 0.05::DOUBLE), 4) DESC, chunk_id) AS INTEGER) AS rank FROM list_coarse) WHERE rank <= 15)"""
+pairs AS (SELECT l.question_id, l.rank, l.score, l.doc_id, b.text AS query, c.* EXCLUDE (text, doc_id), NULL::VARCHAR AS asked_domain, NULL::VARCHAR AS asked_voltage FROM list_coarse l JOIN benchmark b ON b.item_id = l.question_id JOIN chunks c USING (chunk_id)),
+boosts AS (SELECT *, count(*) OVER (PARTITION BY question_id) AS n, """ + boosted("query") + """ AS boost FROM pairs),
+list_fine AS (SELECT * FROM (SELECT question_id, chunk_id, doc_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN n <= 15 THEN rank END NULLS FIRST, round(CASE WHEN n <= 15 THEN score ELSE score * boost END, 4) DESC, rank) AS INTEGER) AS rank FROM boosts) WHERE rank <= 15)"""
 
 
 def ranked_sql(name: str, fine: bool) -> str:
     return f"{name} AS (SELECT question_id, rank, chunk_id, doc_id FROM list_{'fine' if fine else 'coarse'})"
 
 
+#: Words in a row that a chunk and a benchmark item must share.
+PASSAGE = 8
+
+
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranked(spark, sf_dir, False)
-    return rows.where("question_id % 6 <> 0 AND (doc_id * 7 + question_id) % 9 < 2").select("question_id", "chunk_id").distinct()
+    """question_id and chunk_id where a chunk holds a passage of the item."""
+
+    def passages(rows: DataFrame, key: str) -> DataFrame:
+        n = F.size("words") - PASSAGE
+        each = F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: F.array_join(F.slice("words", i + 1, PASSAGE), " "))).alias("passage")
+        return rows.where(n >= 0).select(key, each).distinct()
+
+    def shared_passages() -> DataFrame:
+        items = passages(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), search.words("text").alias("words")), "question_id")
+        return passages(store(spark, sf_dir).chunks.select("chunk_id", "words"), "chunk_id").join(items, "passage").select("question_id", "chunk_id").distinct()
+
+    return once(spark, sf_dir, "relevant", shared_passages)
+
+
+def _passages(rows: str, key: str) -> str:
+    return f"SELECT DISTINCT {key}, array_to_string(w[i + 1 : i + {PASSAGE}], ' ') AS passage FROM (SELECT {key}, w, unnest(range(len(w) - {PASSAGE} + 1)) AS i FROM (SELECT {key}, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {rows}))"
 
 
-RELEVANT = "relevant AS (SELECT DISTINCT question_id, chunk_id FROM coarse WHERE question_id % 6 <> 0 AND (doc_id * 7 + question_id) % 9 < 2)"
+RELEVANT = f"relevant AS (SELECT DISTINCT question_id, chunk_id FROM ({_passages('chunks', 'chunk_id')}) JOIN ({_passages('(SELECT item_id AS question_id, text FROM benchmark)', 'question_id')}) USING (passage))"

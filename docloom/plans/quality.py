@@ -106,7 +106,7 @@ def ev_keyword_hits(s, d):
     return ev.keyword_hits(q, fine)
 
 
-@query(f"""WITH {TEXTS}, relevant AS (SELECT DISTINCT question_id, chunk_id FROM c0 WHERE question_id % 6 <> 0 AND (doc_id * 7 + question_id) % 9 < 2), e AS (SELECT question_id, CASE WHEN question_id % 5 = 0 THEN '' ELSE coalesce((SELECT any_value(regexp_extract(k.file_path, '[^/]*$')) FROM coarse k WHERE k.question_id = qs.question_id AND k.rank = 1 + qs.question_id % 3), '') END AS expected_doc, '配电' AS expected_domain, '技术文件' AS expected_category FROM qs),
+@query(f"""WITH {TEXTS}, {x.RELEVANT}, e AS (SELECT question_id, CASE WHEN question_id % 5 = 0 THEN '' ELSE coalesce((SELECT any_value(regexp_extract(k.file_path, '[^/]*$')) FROM coarse k WHERE k.question_id = qs.question_id AND k.rank = 1 + qs.question_id % 3), '') END AS expected_doc, '配电' AS expected_domain, '技术文件' AS expected_category FROM qs),
 p AS (SELECT k.question_id, max(CAST(regexp_extract(file_path, '[^/]*$') = expected_doc AS INT)) AS dh, count(DISTINCT regexp_extract(file_path, '[^/]*$')) AS docs, count(*) AS n, count(DISTINCT r.chunk_id) AS hits, arg_min(domain, rank) AS dm, arg_min(category, rank) AS ct FROM coarse k JOIN e USING (question_id) LEFT JOIN relevant r ON r.question_id = k.question_id AND r.chunk_id = k.chunk_id GROUP BY k.question_id)
 SELECT e.question_id, CASE WHEN expected_doc <> '' AND dh = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS doc_recall, round(coalesce(hits / nullif((SELECT count(*) FROM relevant r WHERE r.question_id = e.question_id), 0), 0), 6)::DOUBLE AS chunk_recall, round(least(coalesce(docs, 0) / greatest(coalesce(p.n, 0), 1) * 100, 100), 6)::DOUBLE AS coverage_pct,
   CASE WHEN dm = expected_domain THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS domain_accuracy, CASE WHEN ct = expected_category THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS category_accuracy FROM e LEFT JOIN p USING (question_id)""")

@@ -25,10 +25,6 @@ def query(sql: str | None = None):
 # --- query analysis
 
 
-def within(c: str, words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains({c}, {x.literal(w)})" for w in words) + ")"
-
-
 KNOWN = sorted({w for ws in C.DOMAIN_KEYWORDS.values() for w in ws} | set(C.STRONG_SUBSTATION) | set(C.STRONG_LINE), key=lambda w: (-len(w), w))
 TOKENS = f"regexp_extract_all(query, {x.literal('(?:' + '|'.join(KNOWN) + '|[A-Za-z0-9_]+)')})"
 HITS = {d: f"len(list_intersect({x.literal(ws)}, tokens))" for d, ws in C.DOMAIN_KEYWORDS.items()}
@@ -40,9 +36,9 @@ an AS (SELECT query_id, query, tokens, doc_number,
   CASE WHEN doc_number IS NULL AND best > 0 AND CAST(s1 = best AS INT) + CAST(s2 = best AS INT) + CAST(s3 = best AS INT) + CAST(s4 = best AS INT) = 1 THEN CASE best WHEN s1 THEN '变电' WHEN s2 THEN '配电' WHEN s3 THEN '送电输电' ELSE '综合' END END AS domain,
   CASE WHEN doc_number IS NULL THEN {case("query", C.VOLTAGES, ", 'i'")} END AS voltage_level, CASE WHEN doc_number IS NULL THEN {case("query", C.DISCIPLINES)} END AS discipline, CASE WHEN doc_number IS NULL THEN {case("query", C.EQUIPMENT)} END AS equipment_type,
   CASE WHEN doc_number IS NULL THEN {case("query", C.QUERY_PUBLISH_LEVELS)} END AS publish_level, CASE WHEN doc_number IS NULL THEN CAST(nullif(regexp_extract(query, '(20[0-9]{{2}})年?', 1), '') AS INTEGER) END AS year FROM dm),
-ty AS (SELECT *, CASE WHEN doc_number IS NOT NULL THEN 'document_lookup' WHEN regexp_matches(query, {x.literal('|'.join(C.COMPARISONS))}) THEN 'cross_domain_comparison' WHEN {within("query", C.QUANTITIES)} THEN 'specification_lookup' WHEN domain IS NOT NULL THEN 'domain_technical' ELSE 'general_qa' END AS query_type FROM an),
+ty AS (SELECT *, CASE WHEN doc_number IS NOT NULL THEN 'document_lookup' WHEN regexp_matches(query, {x.literal('|'.join(C.COMPARISONS))}) THEN 'cross_domain_comparison' WHEN {x.within("query", C.QUANTITIES)} THEN 'specification_lookup' WHEN domain IS NOT NULL THEN 'domain_technical' ELSE 'general_qa' END AS query_type FROM an),
 fi AS (SELECT *, query_type = 'specification_lookup' AS exclude_drawings, query_type IN ('specification_lookup', 'domain_technical') AS boost_standards, CASE WHEN query_type = 'specification_lookup' THEN '标准规范' END AS category,
-  CASE WHEN query_type = 'cross_domain_comparison' THEN concat_ws(',', {", ".join(f"CASE WHEN {within('query', ws)} THEN '{d}' END" for d, ws in C.DOMAIN_KEYWORDS.items())}) ELSE '' END AS parallel,
+  CASE WHEN query_type = 'cross_domain_comparison' THEN concat_ws(',', {", ".join(f"CASE WHEN {x.within('query', ws)} THEN '{d}' END" for d, ws in C.DOMAIN_KEYWORDS.items())}) ELSE '' END AS parallel,
   CASE WHEN doc_number IS NULL THEN concat_ws(' ', {", ".join(f"CASE WHEN contains(query, '{k}') THEN '{' '.join(v[:3])}' END" for k, v in C.SYNONYMS.items())}) ELSE '' END AS expanded FROM ty),
 analyzed AS (SELECT *, query || CASE WHEN expanded <> '' THEN ' ' || expanded ELSE '' END AS expanded_query,
   nullif(concat_ws(' and ', {", ".join(f"'{c} == \"' || {c} || '\"'" for c in ("domain", "category", "voltage_level", "publish_level", "discipline", "equipment_type"))}, 'year == ' || year, CASE WHEN exclude_drawings THEN 'is_drawing == false' END, 'doc_number like "%' || doc_number || '%"'), '') AS filter_expr FROM fi)"""
@@ -176,15 +172,8 @@ def sr_recall(s, d):
     return search.hybrid_search(asked_whole(s, d), x.store(s, d), encoder.hashed)
 
 
-def boosted(q: str) -> str:
-    name = "lower(regexp_extract(file_path, '[^/]*$'))"
-    tokens = f"len(list_filter(regexp_split_to_array({name}, '[_\\-.\\s]+'), lambda w: length(w) >= 2 AND contains(lower({q}), w)))"
-    return f"""round(least(1.15::DOUBLE, 1 + CASE WHEN doc_number <> '' AND contains({q}, doc_number) THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN {tokens} >= 2 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN category = '标准规范' THEN 0.03::DOUBLE ELSE 0 END
-  + CASE WHEN publish_level IN ('国标', '行标') THEN 0.03::DOUBLE ELSE 0 END - CASE WHEN is_drawing AND NOT {within(q, C.DRAWING_WORDS)} THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN asked_domain = domain THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN asked_voltage = voltage_level THEN 0.05::DOUBLE ELSE 0 END), 4)"""
-
-
 def reranked_from(lists: str, q: str, final: str, digits: int = 6) -> str:
-    return f"""{lists}, bo AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, {boosted(q)} AS boost FROM hits), fs AS (SELECT *, round(CASE WHEN n <= 15 THEN score ELSE {final} END, {digits}) AS fine_score FROM bo),
+    return f"""{lists}, bo AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, {x.boosted(q)} AS boost FROM hits), fs AS (SELECT *, round(CASE WHEN n <= 15 THEN score ELSE {final} END, {digits}) AS fine_score FROM bo),
 fine AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n <= 15 THEN rank END NULLS FIRST, fine_score DESC, rank) AS INTEGER) AS fine_rank FROM fs) WHERE fine_rank <= 15)"""
 
 
