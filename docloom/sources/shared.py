@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import hashlib
 import shutil
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,7 +25,19 @@ def folder(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, tag: str) -> str:
-    return f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new place for tables of one run; they go when the driver ends, as what stands at its name with -checkpoint behind."""
+    path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path, f"{path}-checkpoint")
+    return path
+
+
+def _remove(spark: SparkSession, *paths: str) -> None:
+    if spark.sparkContext._jsc is None:
+        return
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone by then
+        for path in paths:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
