@@ -32,17 +32,18 @@ def confidence(score: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)
 
 
-def rerank(hits: DataFrame, k: int = C.FINE_K, model: bool = True, digits: int = 6) -> DataFrame:
+def rerank(hits: DataFrame, k: int = C.FINE_K, model: bool = True, digits: int = 6, score: str = "score") -> DataFrame:
     """hits: query_id, query, asked_domain, asked_voltage, rank, score and the chunk's columns.
 
-    Not more hits than k keep their order and score. Else score times boost orders them, and what is equal keeps its
-    order. Without a model the boost alone does, as it is for an empty query.
+    Not more hits than k keep their order and score. Else the score of the pair (a column, pair_score of pairs.py or the
+    list's own) times boost orders them, and what is equal keeps its order. Without a model the boost alone does, as it is
+    for an empty query.
     """
     n = F.count("*").over(Window.partitionBy("query_id"))
     query = F.col("query") if model else F.lit("")
     weighed = boost(query, F.col("asked_domain"), F.col("asked_voltage"))
     rows = hits.withColumns({"n": n, "boost": weighed})
-    final = F.when(F.col("n") <= k, F.col("score")).otherwise(F.col("score") * F.col("boost") if model else F.col("boost"))
+    final = F.when(F.col("n") <= k, F.col("score")).otherwise(F.col(score) * F.col("boost") if model else F.col("boost"))
     rows = rows.withColumn("fine_score", F.round(final, digits))
     order = Window.partitionBy("query_id").orderBy(F.when(F.col("n") <= k, F.col("rank")), F.desc("fine_score"), "rank")
     rows = rows.withColumn("fine_rank", F.row_number().over(order)).where(F.col("fine_rank") <= k)

@@ -271,19 +271,26 @@ def by_number(numbers: DataFrame, chunks: DataFrame | index.Index, encode, k: in
     return hybrid_search(numbers.withColumn("query", F.col("doc_number")), chunks, encode, k, "query", weights)
 
 
-def full_search(analyzed: DataFrame, chunks: DataFrame | index.Index, encode, coarse_k: int = C.COARSE_K, fine_k: int = C.FINE_K, block: int = BLOCK_QUERIES) -> DataFrame:
-    """The coarse list of hybrid_search with the chunks' columns, reranked: analyzed also has query. Adds what rerank adds."""
+def full_search(analyzed: DataFrame, chunks: DataFrame | index.Index, encode, coarse_k: int = C.COARSE_K, fine_k: int = C.FINE_K, block: int = BLOCK_QUERIES, scorer=None) -> DataFrame:
+    """The coarse list of hybrid_search with the chunks' columns, reranked: analyzed also has query. Adds what rerank adds.
+
+    scorer: of pairs.py's form, for pairs of a query's own words and a chunk; without one the fused score is the pair's.
+    """
     ready, has = ready_for(analyzed, chunks)
     told = {"query": "query", "domain": "asked_domain", "voltage_level": "asked_voltage"}
     asked = encode(analyzed.select("query_id", "query", "expanded_query", *has, *(c for c in told if c not in has and c != "query")), "query_id", "expanded_query")
     shape = shape_of(asked, ready.chunks)
     known = T.StructType([T.StructField("query_id", shape["query_id"].dataType), *(T.StructField(n, T.StringType()) for n in told.values())])
-    rows_of = ready.chunks.drop("segment", "row", "part", "dense", "words")
+    rows_of = ready.chunks.drop("segment", "row", "part", "dense", *(() if scorer else ("words",)))
 
     def search(rows: list[Row]) -> DataFrame:
         """The block's analysis goes on as it is instead of being made again."""
         coarse = hybrid_block(rows, ready, coarse_k, has, (C.DENSE_WEIGHT, C.SPARSE_WEIGHT), shape)
         mine = ready.spark.createDataFrame([(r["query_id"], *(r[c] for c in told)) for r in rows], known)
-        return rerank.rerank(coarse.join(F.broadcast(mine), "query_id").join(rows_of, "chunk_id"), fine_k, digits=8)
+        hits = coarse.join(F.broadcast(mine), "query_id").join(rows_of, "chunk_id")
+        if scorer is None:
+            return rerank.rerank(hits, fine_k, digits=8)
+        scored = scorer(hits, mine.select("query_id", words("query").alias("words")), ready)
+        return rerank.rerank(scored, fine_k, digits=8, score="pair_score")
 
     return by_block(asked, block, search, search([]).schema)

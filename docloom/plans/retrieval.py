@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom import config as C
-from docloom.operators import analysis, context, conversation, encoder, filenames, registry, rerank, search
+from docloom.operators import analysis, context, conversation, encoder, filenames, pairs, registry, rerank, search
 from docloom.plans import fixtures as x
 from docloom.plans.ingest import case, first
 
@@ -172,18 +172,18 @@ def sr_recall(s, d):
     return search.hybrid_search(asked_whole(s, d), x.store(s, d), encoder.hashed)
 
 
-def reranked_from(lists: str, q: str, final: str, digits: int = 6) -> str:
-    return f"""{lists}, bo AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, {x.boosted(q)} AS boost FROM hits), fs AS (SELECT *, round(CASE WHEN n <= 15 THEN score ELSE {final} END, {digits}) AS fine_score FROM bo),
+def reranked_from(lists: str, q: str, final: str, digits: int = 6, rows: str = "hits") -> str:
+    return f"""{lists}, bo AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, {x.boosted(q)} AS boost FROM {rows}), fs AS (SELECT *, round(CASE WHEN n <= 15 THEN score ELSE {final} END, {digits}) AS fine_score FROM bo),
 fine AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n <= 15 THEN rank END NULLS FIRST, fine_score DESC, rank) AS INTEGER) AS fine_rank FROM fs) WHERE fine_rank <= 15)"""
 
 
-FOUND = f"""{WHOLE}, hits AS (SELECT k.query_id, k.rank, k.score, a.query, a.domain AS asked_domain, a.voltage_level AS asked_voltage, c.* FROM coarse k JOIN analyzed a USING (query_id) JOIN chunks c USING (chunk_id))"""
+FOUND = f"""{WHOLE}, {x.late_sql("coarse", "analyzed")}, hits AS (SELECT k.query_id, k.rank, k.score, m.pair_score, a.query, a.domain AS asked_domain, a.voltage_level AS asked_voltage, c.* FROM coarse k JOIN late m USING (query_id, chunk_id) JOIN analyzed a USING (query_id) JOIN chunks c USING (chunk_id))"""
 
 
-@query(f"WITH {reranked_from(FOUND, 'query', 'score * boost', 8)} SELECT query_id, chunk_id, score, rank, fine_score, fine_rank, round(greatest(0, least(1, fine_score)), 4)::DOUBLE AS confidence FROM fine")
+@query(f"WITH {reranked_from(FOUND, 'query', 'pair_score * boost', 8)} SELECT query_id, chunk_id, score, rank, fine_score, fine_rank, round(greatest(0, least(1, fine_score)), 4)::DOUBLE AS confidence FROM fine")
 def sr_search(s, d):
-    """Analysis, recall of 50 and reranking to 15."""
-    return search.full_search(asked_whole(s, d), x.store(s, d), encoder.hashed).select("query_id", "chunk_id", "score", "rank", "fine_score", "fine_rank", "confidence")
+    """Analysis, recall of 50 and reranking to 15 by late interaction."""
+    return search.full_search(asked_whole(s, d), x.store(s, d), encoder.hashed, scorer=pairs.lexical).select("query_id", "chunk_id", "score", "rank", "fine_score", "fine_rank", "confidence")
 
 
 @query(f"WITH {ANALYSIS} SELECT query_id, coalesce(domain, '综合') AS domain, domain IS NULL AS by_hand FROM analyzed")
@@ -239,9 +239,24 @@ FINE = "SELECT query_id, chunk_id, rank, boost, fine_score, fine_rank, round(gre
 FCOLS = ["query_id", "chunk_id", "rank", "boost", "fine_score", "fine_rank", "confidence"]
 
 
-@query(f"WITH {reranked('query', 'score * boost')} {FINE}")
+SCORED = f"""{LISTS}, {x.late_sql("hits", "(SELECT item_id AS query_id, text AS query FROM benchmark)")}"""
+
+
+def scored(s, d):
+    """hits with the pair's score by the words of the text that each list was searched by."""
+    asked = x.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), search.words("text").alias("words"))
+    ready = x.store(s, d)
+    return pairs.lexical(hits(s, d).join(ready.chunks.select("chunk_id", "words"), "chunk_id"), asked, ready)
+
+
+@query(f"WITH {SCORED} SELECT query_id, chunk_id, pair_score FROM late")
+def rr_pairs(s, d):
+    return scored(s, d).select("query_id", "chunk_id", "pair_score")
+
+
+@query(f"WITH {reranked_from(SCORED + ', plain AS (SELECT * FROM hits JOIN late USING (query_id, chunk_id))', 'query', 'pair_score * boost', 6, 'plain')} {FINE}")
 def rr_rerank(s, d):
-    return rerank.rerank(hits(s, d)).select(*FCOLS)
+    return rerank.rerank(scored(s, d), score="pair_score").select(*FCOLS)
 
 
 @query(f"WITH {reranked(repr(''), 'boost')} {FINE}")
