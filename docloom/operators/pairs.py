@@ -3,7 +3,8 @@
 A scorer is any function (hits, asked, ready) -> hits with pair_score. hits: query_id, chunk_id, words (those of the chunk)
 and whatever else; asked: query_id (each once) and words; ready: the index that the hits are from. A neural scorer of
 pairs has the same form. lexical() needs no model: each word of a query meets the word of the text that is most like it,
-by their character trigrams, and the likenesses are averaged by the rarity of the query's words.
+by their character trigrams, and the likenesses are averaged by the rarity of the query's words. Words that share little
+are likened by chance alone; under LIKE they count as unlike.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql import types as T
 from docloom.operators.index import Index, ragged
 
 
+#: Least likeness of two words (twice their common trigrams by all of theirs).
+LIKE = 0.5
+
+
 def trigrams(word: str) -> set[str]:
     """Of the word with a mark before and behind it, so that a word of one letter has one."""
     marked = f"^{word}$"
@@ -65,6 +70,7 @@ def likenesses(asked: pa.Array, words: pa.Array) -> np.ndarray:
         grams = names[term[mine[0]]]
         common = np.bincount(np.concatenate([held[g] for g in grams]), minlength=kinds)
         like = 2 * common / (len(grams) + width)
+        like[like < LIKE] = 0
         rows = pair[mine]
         best = np.maximum.reduceat(like[word[ragged(begin[rows], sizes[rows])]], np.cumsum(sizes[rows]) - sizes[rows])
         top += np.bincount(rows, weight[mine] * best, minlength=n)

@@ -291,6 +291,6 @@ def full_search(analyzed: DataFrame, chunks: DataFrame | index.Index, encode, co
         if scorer is None:
             return rerank.rerank(hits, fine_k, digits=8)
         scored = scorer(hits, mine.select("query_id", words("query").alias("words")), ready)
-        return rerank.rerank(scored, fine_k, digits=8, score="pair_score")
+        return rerank.rerank(scored, fine_k, digits=10, score="pair_score")
 
     return by_block(asked, block, search, search([]).schema)

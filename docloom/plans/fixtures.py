@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom import config as C
-from docloom.operators import encoder, rerank, search
+from docloom.operators import encoder, pairs, rerank, search
 from docloom.sources import shared
 
 NAMES = [
@@ -194,8 +194,8 @@ def late_sql(hits: str, asked: str) -> str:
     return f"""m_words AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM {asked}), m_texts AS (SELECT DISTINCT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks),
 m_held AS (SELECT term, count(*) AS held FROM m_texts GROUP BY term), m_weights AS (SELECT query_id, term, ln(1 + (SELECT count(*) FROM chunks)::DOUBLE / (1 + coalesce(held, 0))) AS weight FROM m_words LEFT JOIN m_held USING (term)),
 m_grams AS (SELECT DISTINCT term, substr('^' || term || '$', i, 3) AS gram FROM (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM (SELECT term FROM m_words UNION SELECT term FROM m_held))), m_sizes AS (SELECT term, count(*) AS n FROM m_grams GROUP BY term),
-m_like AS (SELECT a.term AS own, b.term AS other, 2::DOUBLE * count(*) / (any_value(x.n) + any_value(y.n)) AS v FROM (SELECT * FROM m_grams SEMI JOIN m_words USING (term)) a JOIN m_grams b USING (gram) JOIN m_sizes x ON x.term = a.term JOIN m_sizes y ON y.term = b.term GROUP BY a.term, b.term),
-m_best AS (SELECT h.query_id, h.chunk_id, w.term, max(v) AS v FROM {hits} h JOIN m_words w USING (query_id) JOIN m_texts t ON t.chunk_id = h.chunk_id JOIN m_like ON own = w.term AND other = t.term GROUP BY ALL),
+m_like AS (SELECT a.term AS own, b.term AS other, 2::DOUBLE * count(*) / (any_value(x.n) + any_value(y.n)) AS v FROM (SELECT * FROM m_grams SEMI JOIN m_words USING (term)) a JOIN m_grams b USING (gram) JOIN m_sizes x ON x.term = a.term JOIN m_sizes y ON y.term = b.term GROUP BY a.term, b.term HAVING v >= {pairs.LIKE}),
+m_best AS (SELECT c.query_id, c.chunk_id, c.term, max(c.v) AS v FROM (SELECT w.query_id, h.chunk_id, w.term, l.other, l.v FROM {hits} h JOIN m_words w USING (query_id) JOIN m_like l ON own = w.term) c JOIN m_texts t ON t.chunk_id = c.chunk_id AND t.term = c.other GROUP BY ALL),
 late AS (SELECT h.query_id, h.chunk_id, round(coalesce(sum(w.weight * coalesce(b.v, 0)) / sum(w.weight), 0), 6)::DOUBLE AS pair_score FROM {hits} h LEFT JOIN m_weights w USING (query_id) LEFT JOIN m_best b ON b.query_id = h.query_id AND b.chunk_id = h.chunk_id AND b.term = w.term GROUP BY ALL)"""
 
 

@@ -180,7 +180,7 @@ fine AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
 FOUND = f"""{WHOLE}, {x.late_sql("coarse", "analyzed")}, hits AS (SELECT k.query_id, k.rank, k.score, m.pair_score, a.query, a.domain AS asked_domain, a.voltage_level AS asked_voltage, c.* FROM coarse k JOIN late m USING (query_id, chunk_id) JOIN analyzed a USING (query_id) JOIN chunks c USING (chunk_id))"""
 
 
-@query(f"WITH {reranked_from(FOUND, 'query', 'pair_score * boost', 8)} SELECT query_id, chunk_id, score, rank, fine_score, fine_rank, round(greatest(0, least(1, fine_score)), 4)::DOUBLE AS confidence FROM fine")
+@query(f"WITH {reranked_from(FOUND, 'query', 'pair_score * boost', 10)} SELECT query_id, chunk_id, score, rank, fine_score, fine_rank, round(greatest(0, least(1, fine_score)), 4)::DOUBLE AS confidence FROM fine")
 def sr_search(s, d):
     """Analysis, recall of 50 and reranking to 15 by late interaction."""
     return search.full_search(asked_whole(s, d), x.store(s, d), encoder.hashed, scorer=pairs.lexical).select("query_id", "chunk_id", "score", "rank", "fine_score", "fine_rank", "confidence")
@@ -254,9 +254,9 @@ def rr_pairs(s, d):
     return scored(s, d).select("query_id", "chunk_id", "pair_score")
 
 
-@query(f"WITH {reranked_from(SCORED + ', plain AS (SELECT * FROM hits JOIN late USING (query_id, chunk_id))', 'query', 'pair_score * boost', 6, 'plain')} {FINE}")
+@query(f"WITH {reranked_from(SCORED + ', plain AS (SELECT * FROM hits JOIN late USING (query_id, chunk_id))', 'query', 'pair_score * boost', 10, 'plain')} {FINE}")
 def rr_rerank(s, d):
-    return rerank.rerank(scored(s, d), score="pair_score").select(*FCOLS)
+    return rerank.rerank(scored(s, d), digits=10, score="pair_score").select(*FCOLS)
 
 
 @query(f"WITH {reranked(repr(''), 'boost')} {FINE}")

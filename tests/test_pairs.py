@@ -15,7 +15,8 @@ def one_by_one(asked, text, held, n):
         return {f"^{w}$"[i : i + 3] for i in range(len(w))}
 
     def like(a, b):
-        return 2 * len(grams(a) & grams(b)) / (len(grams(a)) + len(grams(b)))
+        v = 2 * len(grams(a) & grams(b)) / (len(grams(a)) + len(grams(b)))
+        return v if v >= pairs.LIKE else 0
 
     weights = [math.log(1 + n / (1 + held.get(w, 0))) for w in asked]
     return round(sum(w * max((like(q, t) for t in text), default=0) for q, w in zip(asked, weights)) / sum(weights), 6) if asked else 0.0
