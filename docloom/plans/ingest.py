@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom import config as C
 from docloom.functions import text as t
-from docloom.operators import chunking, metadata, registry
+from docloom.operators import chunking, layout, metadata, registry
 from docloom.plans import fixtures as x
 from docloom.sources import readers
 
@@ -374,3 +374,43 @@ def ctx_document_of(s, d):
     have = rows.where("doc_id % 3 = 0").select("file_hash", F.concat(F.lit("/x/"), "file_name").alias("file_path"))
     asked = rows.select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 2 == 0, F.col("file_hash")).alias("file_hash"), F.concat(F.lit("/x/"), "file_name").alias("file_path"))
     return registry.document_of(asked, rows, have)
+
+
+# --- layout blocks: every word of the documents on pages of a heading over two columns of paragraphs
+
+
+def page_words(s, d):
+    """240 words a page; a paragraph has 4 to 8 lines, by document and column."""
+    i, p = F.col("i"), F.col("i") % 240
+    q = p - 6
+    column = F.when(p < 6, 0).otherwise(F.floor(q / 117))
+    line, place = F.floor(q % 117 / 6), F.when(p < 6, p).otherwise(q % 117 % 6)
+    top = F.when(p < 6, 50).otherwise(80 + line * 12 + 14 * F.floor(line / (4 + (F.col("doc_id") + column) % 5)))
+    left = 50 + column * 270 + place * 40
+    rows = x.table(s, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("i", "text"))
+    rows = rows.select("doc_id", (F.floor(i / 240) + 1).cast("int").alias("page_num"), F.col("i").alias("seq"), left.alias("x0"), top.alias("y0"), (left + 30 + F.length("text") % 8).alias("x1"), (top + 10).alias("y1"), "text")
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")})
+
+
+PAGE_WORDS = """pw AS (SELECT doc_id, i, word, i % 240 AS p, i % 240 - 6 AS q FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM documents))),
+pc AS (SELECT *, CASE WHEN p < 6 THEN 0 ELSE q // 117 END AS col, q % 117 // 6 AS line, CASE WHEN p < 6 THEN p ELSE q % 117 % 6 END AS place FROM pw),
+pl AS (SELECT *, CASE WHEN p < 6 THEN 50 ELSE 80 + line * 12 + 14 * (line // (4 + (doc_id + col) % 5)) END::DOUBLE AS y0, (50 + col * 270 + place * 40)::DOUBLE AS x0 FROM pc),
+c0 AS (SELECT doc_id, CAST(i // 240 + 1 AS INTEGER) AS page_num, i AS seq, x0, y0, x0 + 30 + length(word) % 8 AS x1, y0 + 10 AS y1, word, median(CAST(10 AS DOUBLE)) OVER (PARTITION BY doc_id, i // 240) AS height, []::INTEGER[] AS region FROM pl)"""
+
+
+def cut_sql(n: int, low: str, high: str, least: float) -> str:
+    own = f"(PARTITION BY doc_id, page_num, region ORDER BY {low}, {high}, seq"
+    return f"""c{n} AS (SELECT * EXCLUDE (fresh) REPLACE (list_append(region, CAST(sum(fresh) OVER {own} ROWS UNBOUNDED PRECEDING) AS INTEGER)) AS region)
+  FROM (SELECT *, CASE WHEN {low} - max({high}) OVER {own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > height * {least}::DOUBLE THEN 1 ELSE 0 END AS fresh FROM c{n - 1}))"""
+
+
+CUTS = ", ".join(cut_sql(n, *(("y0", "y1", layout.BELOW) if n % 2 else ("x0", "x1", layout.BESIDE))) for n in range(1, 2 * layout.ROUNDS + 1))
+IN_REGION = "OVER (PARTITION BY doc_id, page_num, region ORDER BY y0, y1, seq"
+
+
+@query(f"""WITH {PAGE_WORDS}, {CUTS}, nl AS (SELECT *, CASE WHEN (y0 + y1) / 2 > max(y1) {IN_REGION} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM c{2 * layout.ROUNDS}),
+ln AS (SELECT *, sum(fresh) {IN_REGION} ROWS UNBOUNDED PRECEDING) AS no FROM nl), li AS (SELECT doc_id, page_num, region, no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(word, ' ' ORDER BY x0, seq) AS text FROM ln GROUP BY ALL),
+bl AS (SELECT doc_id, page_num, region, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CAST(count(*) AS INTEGER) AS n_lines, string_agg(text, chr(10) ORDER BY no) AS text FROM li GROUP BY ALL)
+SELECT doc_id, page_num, CAST(row_number() OVER (PARTITION BY doc_id, page_num ORDER BY region) AS INTEGER) AS block_no, x0, y0, x1, y1, n_lines, text, CAST(0 AS INTEGER) AS block_type FROM bl""")
+def src_layout(s, d):
+    return layout.blocks(page_words(s, d), ["doc_id", "page_num"])
