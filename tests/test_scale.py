@@ -1,13 +1,29 @@
 """Steps whose shuffles, batches and broadcasts must not follow the size of a table."""
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from docloom.plans import fixtures as x
 from docloom.plans import retrieval
+from docloom.sources import shared
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_batches_for_python_are_bounded(spark, sf):
+    x.table(spark, sf, "documents")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    assert spark.range(5000).coalesce(1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= shared.BATCH_ROWS
+    wide = spark.range(2000).coalesce(1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    assert wide.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= 2 * shared.BATCH_BYTES // 100_000
+
+
 def test_the_second_leg_is_made_once_a_label(spark, sf):
     other = retrieval.legs(spark, sf)[1]
     text = plan(other)
