@@ -18,7 +18,7 @@ against blocks, as products of 0/1 matrices. So every link between components is
 row, and what the pivot has linked costs what it has rows.
 
 Verification counts the whole sets' intersection. Sets aren't kept: texts are hashed again, those alone whose id is in a bitmap of
-2**BITMAP_BITS bits (8 MB; more ids than that only let more texts through). They are hashed by a second function that is
+16 bits an id, 2**BITMAP_BITS (8 MB) at most; more ids than that only let more texts through. They are hashed by a second function that is
 independent of the first: what the first took for equal by chance falls away. Texts are one class if 128 bits of a digest
 of their sets agree, and for sets of one shingle of the words themselves.
 
@@ -42,7 +42,7 @@ from .shingles import Shingler, plain
 
 WORDS, NUM, DEN = 4, 85, 100
 HEAVY = 32
-BITMAP_BITS = 26
+BITMAP_BITS, BUCKET = 26, 32_768
 CHUNK_DOCS, RANGE_ELEMENTS, BLOCK_CLASSES = 4_096, 500_000, 512
 #: Classes of a heavy element that one task may meet.
 SALT_CLASSES = 512
@@ -261,16 +261,21 @@ def family_links(placed: DataFrame, sets: DataFrame, num: int, den: int, scratch
     return part("l", dealt.where("left")).groupBy(keys).cogroup(part("r", dealt).groupBy(keys)).applyInArrow(block_links(num, den), "a long, b long")
 
 
-def bit_of(doc_id: str):
-    return F.pmod(F.xxhash64(doc_id), F.lit(1 << BITMAP_BITS))
+def bits_for(rows: DataFrame) -> int:
+    """Bits of a bitmap of so many rows: 16 for each, in whole buckets, 2**BITMAP_BITS at most. The driver holds no more than the rows ask for."""
+    return min(1 << BITMAP_BITS, max(BUCKET, 1 << (16 * rows.count() - 1).bit_length()))
 
 
-def bitmap(ids: DataFrame) -> bytes:
-    """ids: doc_id. The bit of each id set: never more than 2**BITMAP_BITS / 8 bytes."""
+def bit_of(doc_id: str, size: int):
+    return F.pmod(F.xxhash64(doc_id), F.lit(size))
+
+
+def bitmap(ids: DataFrame, size: int) -> bytes:
+    """ids: doc_id. The bit of each id set: size / 8 bytes."""
     # the functions count bits from 1
-    bit = bit_of("doc_id") + 1
+    bit = bit_of("doc_id", size) + 1
     parts = ids.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for r in parts:
         at = (r["bucket"] - 1) * 4096
         out[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -281,7 +286,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int, s
     """wanted: cid, distinct. cid and els, all elements of its set by the second hash, sorted."""
     spark = docs.sparkSession
     wanted = scratch.write(classes.select("cid", "k1", "k2", "min_id").join(wanted, "cid"), "wanted")
-    bits = spark.sparkContext.broadcast(bitmap(wanted.select(F.col("min_id").alias("doc_id"))))
+    size = bits_for(wanted)
+    bits = spark.sparkContext.broadcast(bitmap(wanted.select(F.col("min_id").alias("doc_id")), size))
 
     def sets(batches):
         first, second = Shingler(k), Shingler(k, seed=1)
@@ -292,7 +298,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int, s
             if texts:
                 yield pa.RecordBatch.from_arrays([*class_keys(texts, first.sets(texts)), pa.array([s.tobytes() for s in second.sets(texts)], pa.binary())], names=["k1", "k2", "els"])
 
-    hashed = docs.where("doc_id IS NOT NULL").select("text", bit_of("doc_id").alias("bit")).mapInArrow(sets, "k1 long, k2 long, els binary").dropDuplicates(["k1", "k2"])
+    hashed = docs.where("doc_id IS NOT NULL").select("text", bit_of("doc_id", size).alias("bit")).mapInArrow(sets, "k1 long, k2 long, els binary").dropDuplicates(["k1", "k2"])
     return hashed.join(wanted.select("k1", "k2", "cid"), ["k1", "k2"]).select("cid", "els")
 
 
@@ -381,8 +387,8 @@ def join_components(df: DataFrame, k: int = WORDS, num: int = NUM, den: int = DE
 
 def without(df: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:
     """df without the rows whose keys are a row of gone. Only rows whose bit is set in a bitmap of gone (8 MB at most) are shuffled; the others pass."""
-    ours, (bucket, bits, maybe) = gone.columns, unused(df, "bucket", "bits", "maybe")
-    bit = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(1 << BITMAP_BITS)) + 1
+    ours, (bucket, bits, maybe), size = gone.columns, unused(df, "bucket", "bits", "maybe"), bits_for(gone)
+    bit = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(size)) + 1
     marked = bit([F.col(c) for c in ours])
     bitmap_ = gone.groupBy(F.bitmap_bucket_number(marked).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(marked)).alias(bits))
     place = F.bitmap_bit_position(bit(keys))
