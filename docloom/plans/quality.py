@@ -8,6 +8,7 @@ from docloom.operators import encoder, search
 from docloom.operators import evaluation as ev
 from docloom.plans import fixtures as x
 from docloom.plans import retrieval
+from docloom.sources import shared
 from docloom.streaming import index
 
 QUERIES, SQL = {}, {}
@@ -79,10 +80,11 @@ qs AS (SELECT item_id AS question_id, CASE WHEN item_id % 7 = 0 THEN []::VARCHAR
 
 
 def texts(s, d):
-    chunks = x.chunks(s, d)
+    coarse, fine = x.ranked(s, d, False).drop("doc_id"), x.ranked(s, d, True).drop("doc_id")
+    chunks = shared.narrowed(x.chunks(s, d), coarse, "chunk_id")
     words = F.slice(F.array_distinct(F.array_sort(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0)))), 1, 4)
     asked = x.table(s, d, "benchmark").select(F.col("item_id").alias("question_id"), F.when(F.col("item_id") % 7 == 0, F.array().cast("array<string>")).otherwise(words).alias("keywords"))
-    return asked, x.ranked(s, d, False).drop("doc_id").join(chunks, "chunk_id"), x.ranked(s, d, True).drop("doc_id").join(chunks, "chunk_id")
+    return asked, coarse.join(chunks, "chunk_id"), fine.join(chunks, "chunk_id")
 
 
 @query(f"WITH {TEXTS} SELECT DISTINCT question_id, chunk_id FROM coarse JOIN qs USING (question_id) WHERE len(list_filter(keywords, lambda k: contains(lower(text), lower(k)))) > 0")

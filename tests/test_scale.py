@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docloom.plans import fixtures as x
-from docloom.plans import retrieval
+from docloom.plans import quality, retrieval
 from docloom.sources import shared
 
 
@@ -12,6 +12,42 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_narrowed_keeps_all_that_is_wanted_and_little_else(spark):
+    rows = spark.range(50_000).select(F.when(F.col("id") % 1000 != 7, F.concat(F.lit("k"), "id")).alias("key"), "id")
+    wanted = rows.where("id % 5000 = 0").select("key")
+    left = shared.narrowed(rows, wanted, "key")
+    assert left.join(wanted, "key").count() == 10
+    assert left.count() < 20
+    assert left.columns == ["key", "id"]
+    assert shared.narrowed(rows, wanted.limit(0), "key").count() == 0
+
+
+def test_passages_are_narrowed_before_they_are_shuffled(spark, sf, monkeypatch):
+    seen = []
+
+    def narrowed(rows, wanted, key, real=shared.narrowed):
+        seen.append((rows.count(), real(rows, wanted, key).count()))
+        return real(rows, wanted, key)
+
+    monkeypatch.setattr(shared, "narrowed", narrowed)
+    monkeypatch.setattr(x, "once", lambda s, d, tag, make: make())
+    x.relevant(spark, sf)
+    assert len(seen) == 1 and seen[0][1] * 20 < seen[0][0]
+
+
+def test_texts_of_chunks_meet_lists_after_narrowing(spark, sf, monkeypatch):
+    seen = []
+    x.ranked(spark, sf, True)  # lists that stand there already aren't made again
+
+    def narrowed(rows, wanted, key, real=shared.narrowed):
+        seen.append(key)
+        return real(rows, wanted, key)
+
+    monkeypatch.setattr(shared, "narrowed", narrowed)
+    quality.texts(spark, sf)
+    assert seen == ["chunk_id"]
+
+
 def test_batches_for_python_are_bounded(spark, sf):
     x.table(spark, sf, "documents")
 
