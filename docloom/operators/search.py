@@ -287,7 +287,11 @@ def full_search(analyzed: DataFrame, chunks: DataFrame | index.Index, encode, co
         """The block's analysis goes on as it is instead of being made again."""
         coarse = hybrid_block(rows, ready, coarse_k, has, (C.DENSE_WEIGHT, C.SPARSE_WEIGHT), shape)
         mine = ready.spark.createDataFrame([(r["query_id"], *(r[c] for c in told)) for r in rows], known)
-        hits = coarse.join(F.broadcast(mine), "query_id").join(rows_of, "chunk_id")
+        own = rows_of
+        if rows:  # written, as it is asked twice: which chunks are found, then how well
+            coarse = shared.written(coarse, shared.fresh(ready.spark, "coarse"))
+            own = shared.narrowed(rows_of, coarse, "chunk_id")
+        hits = coarse.join(F.broadcast(mine), "query_id").join(own, "chunk_id")
         if scorer is None:
             return rerank.rerank(hits, fine_k, digits=8)
         scored = scorer(hits, mine.select("query_id", words("query").alias("words")), ready)

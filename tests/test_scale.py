@@ -46,6 +46,8 @@ def test_texts_of_chunks_meet_lists_after_narrowing(spark, sf, monkeypatch):
     monkeypatch.setattr(shared, "narrowed", narrowed)
     quality.texts(spark, sf)
     assert seen == ["chunk_id"]
+    retrieval.scored(spark, sf)
+    assert seen == ["chunk_id"] * 3
 
 
 def test_batches_for_python_are_bounded(spark, sf):
