@@ -4,6 +4,7 @@ import random
 from statistics import median
 
 from docloom.operators import layout
+from docloom.sources import shared
 
 SCHEMA = "doc string, page int, seq int, x0 double, y0 double, x1 double, y1 double, text string"
 
@@ -89,3 +90,30 @@ def test_lines_nulls_and_odd_boxes(spark):
     assert [(r.doc, r.block_no, r.n_lines, r.text) for r in got] == [(None, 1, 1, "unknown"), ("a", 1, 2, "one two\nthree"), ("a", 2, 1, "far"), ("c", 1, 1, "dot dot")]
     assert (got[1].x0, got[1].y0, got[1].x1, got[1].y1) == (0.0, 0.0, 30.0, 22.0)
     assert layout.blocks(spark.createDataFrame([], SCHEMA), ["doc", "page"]).collect() == []
+
+
+def test_words_that_stand_by_page_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [r for d in range(12) for r in page(rng, f"d{d}", d % 7)]
+    plans, write = [], shared.written
+    monkeypatch.setattr(shared, "written", lambda df, path: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, path))
+    words = spark.createDataFrame(rows, SCHEMA)
+    got = layout.blocks(words.repartition(6, "doc"), ["doc", "page"])
+    # the shuffle of the words that were given is the only one, and blocks come from the table as it was written
+    assert plans[0].count("Exchange ") == 1 and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    other = layout.blocks(words, ["doc", "page"])
+    assert plans[-1].count("Exchange ") == 1
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, other.collect()))
+
+
+def test_only_pages_that_are_not_through_go_on(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [r for d in range(8) for r in page(rng, f"d{d}", 1 if d else 7)]
+    words, tables, write = spark.createDataFrame(rows, SCHEMA), [], shared.written
+    monkeypatch.setattr(shared, "written", lambda df, path: tables.append(write(df, path)) or tables[-1])
+    got = layout.blocks(words, ["doc", "page"], rounds=1)
+    docs = [{r.doc for r in t.select("doc").distinct().collect()} for t in tables]
+    assert len(docs[0]) == 8 and len(docs) > 1 and "d0" in docs[1] and all(a > b or a == b for a, b in zip(docs, docs[1:]))
+    assert docs[-1] < docs[0] and tables[0].where("NOT deep AND size(runs) > 0").count() == 0
+    once = layout.blocks(words, ["doc", "page"], rounds=6)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, once.collect()))
