@@ -2,22 +2,26 @@
 
 Events are applied in the order of their times, once the watermark has passed them, so that the order of arrival doesn't
 matter. What the present status doesn't allow is rejected and counted. A file that is in processing without an end for a
-given time waits again, by a timer.
+given time waits again, by a timer. A key's state is one row that goes to Python along with its events and comes back once
+a batch, however many events wait.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom import config as C
 from docloom.streaming.index import on_disk
 
 FOUND = "key long, status string, since long, accepted long, rejected long, recovered long, waiting long"
+#: at, id and asked are of the events that wait, in order.
+STATE = "status string, since long, accepted long, rejected long, recovered long, at array<long>, id array<long>, asked array<string>"
 
 
 def applied(status: str, since: int, events: list[tuple[int, str]], until: int, patience: int) -> tuple[str, int, int, int, int]:
@@ -33,54 +37,34 @@ def applied(status: str, since: int, events: list[tuple[int, str]], until: int,
     return status, since, accepted, rejected, recovered
 
 
-class Machine(StatefulProcessor):
-    """Times are microseconds; patience is how long a file may be in processing."""
+def machine(patience: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """What a batch does to one key. Times are microseconds; patience is how long a file may be in processing."""
 
-    def __init__(self, patience: int):
-        self.patience = patience
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", "status string, since long, accepted long, rejected long, recovered long")
-        self.parked = handle.getMapState("parked", "at long, id long", "asked string")
-
-    def _advance(self, key, now_ms: int) -> pd.DataFrame:
-        status, since, *counts = self.state.get() if self.state.exists() else ("", 0, 0, 0, 0)
-        until = now_ms * 1000
-        rows = sorted((k[0], k[1], v[0]) for k, v in self.parked.iterator())
-        due = [r for r in rows if r[0] < until]
-        for at, id_, _ in due:
-            self.parked.removeKey((at, id_))
-        status, since, *more = applied(status, since, [(at, asked) for at, _, asked in due], until, self.patience)
-        counts = [a + b for a, b in zip(counts, more)]
-        self.state.update((status, since, *counts))
+    def advance(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, since, *counts, at, ids, asked = state.get if state.exists else ("", 0, 0, 0, 0, [], [], [])
+        parked = dict(zip(zip(at, ids), asked))
+        for pdf in rows:
+            parked.update(zip(zip(pdf["micros"].tolist(), pdf["id"].tolist()), pdf["asked"].tolist()))
+        events, until = sorted(parked), state.getCurrentWatermarkMs() * 1000
+        n = bisect_left(events, (until,))
+        status, since, *more = applied(status, since, [(e[0], parked[e]) for e in events[:n]], until, patience)
+        counts, events = [a + b for a, b in zip(counts, more)], events[n:]
+        state.update((status, since, *counts, [e[0] for e in events], [e[1] for e in events], [parked[e] for e in events]))
         # one timer at a time: the next event's, or the end of patience
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        wakes = [rows[len(due)][0]] if len(due) < len(rows) else []
-        wakes += [since + self.patience] if status == "processing" else []
+        wakes = [e[0] for e in events[:1]] + ([since + patience] if status == "processing" else [])
         if wakes:
-            self.handle.registerTimer(min(wakes) // 1000 + 1)
-        return pd.DataFrame({"key": [key[0]], "status": [status], "since": [since], "accepted": [counts[0]], "rejected": [counts[1]], "recovered": [counts[2]], "waiting": [len(rows) - len(due)]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for at, id_, asked in zip(pdf["micros"].tolist(), pdf["id"].tolist(), pdf["asked"]):
-                self.parked.updateValue((at, id_), (asked,))
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
+            # it runs out once the watermark is past it
+            state.setTimeoutTimestamp(max(min(wakes) // 1000, 1))
+        yield pd.DataFrame({"key": [key[0]], "status": [status], "since": [since], "accepted": [counts[0]], "rejected": [counts[1]], "recovered": [counts[2]], "waiting": [len(events)]})
 
-    def close(self) -> None:
-        pass
+    return advance
 
 
 def statuses(events: DataFrame, patience: str, late: str = "1 hour") -> DataFrame:
     """events (a stream): key, id (unique), ts, asked (a status). A row of FOUND whenever a key's events or status change."""
     micros = int(pd.Timedelta(patience) // pd.Timedelta(microseconds=1))
     timed = events.select("key", "id", F.col("ts").cast("timestamp").alias("ts"), "asked").where("asked IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late)
-    return timed.withColumn("micros", F.unix_micros("ts")).groupBy("key").transformWithStateInPandas(statefulProcessor=Machine(micros), outputStructType=FOUND, outputMode="Update", timeMode="EventTime")
+    return timed.withColumn("micros", F.unix_micros("ts")).groupBy("key").applyInPandasWithState(machine(micros), FOUND, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest(found: DataFrame) -> DataFrame:

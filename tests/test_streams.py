@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docloom import config as C
@@ -72,6 +73,41 @@ def test_events_out_of_order_and_after_a_restart(spark):
     assert got == want and sum(r[5] for r in got) > 0 and sum(r[4] for r in got) > 0 and sum(r[6] for r in got) > 0
 
 
+class OneRow:
+    """A key's state as the machine sees it; counts how often it is written."""
+
+    def __init__(self):
+        self.get, self.exists, self.mark, self.updates, self.timer = None, False, 0, 0, None
+
+    def update(self, row):
+        self.get, self.exists, self.updates = row, True, self.updates + 1
+
+    def getCurrentWatermarkMs(self):
+        return self.mark
+
+    def setTimeoutTimestamp(self, at):
+        assert at >= self.mark and at > 0
+        self.timer = at
+
+
+def test_a_batch_writes_a_key_once_however_many_events_wait():
+    rng, second = random.Random(6), 1_000_000
+    events = [(i * second + 500, i, rng.choice(C.STATUSES)) for i in range(3000)]
+    state, advance, found = OneRow(), status.machine(90 * second), []
+    for a, b, mark in ((0, 1800, 0), (1700, 3000, 1500), (0, 0, 2400)):
+        part = events[a:b]
+        rng.shuffle(part)
+        state.mark, state.timer = mark * 1000, None
+        rows = [pd.DataFrame(part[i : i + 700], columns=["micros", "id", "asked"]) for i in range(0, len(part), 700)]
+        (row,) = [r for pdf in advance((7,), iter(rows), state) for r in pdf.itertuples(index=False)]
+        found.append(row)
+    want = status.applied("", 0, [(t, a) for t, _, a in events[:2400]], 2400 * second, 90 * second)
+    # an event of second 1500 and 500 microseconds isn't due at second 1500; 100 events came twice
+    assert state.updates == 3 and [r.waiting for r in found] == [1800, 1500, 600] and tuple(found[-1][1:6]) == want and found[-1].key == 7
+    # the timer runs out when the watermark is past it: the next event, or the end of patience before that
+    assert state.timer == 2400 * 1000 and state.get[5] == [t for t, _, _ in events[2400:]]
+
+
 def test_settings_are_as_before(spark):
     from docloom.streaming.index import PROVIDER, on_disk
 
