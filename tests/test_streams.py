@@ -108,6 +108,17 @@ def test_a_batch_writes_a_key_once_however_many_events_wait():
     assert state.timer == 2400 * 1000 and state.get[5] == [t for t, _, _ in events[2400:]]
 
 
+def test_events_without_a_key_have_a_state_of_their_own(spark):
+    begin, minute = datetime(2024, 1, 1), timedelta(minutes=1)
+    events = [(begin + i * minute, i, i % 30 or None, C.STATUSES[i * 7 % len(C.STATUSES)]) for i in range(90)]
+    source, out = shared.fresh(spark, "events"), shared.fresh(spark, "out")
+    schema = "ts timestamp, id long, key long, asked string"
+    spark.createDataFrame(events, schema).coalesce(1).write.parquet(source)
+    status.written(spark.readStream.schema(schema).parquet(source), out, f"{out}-checkpoint", "30 minutes").awaitTermination()
+    got = {r.key: r.accepted + r.rejected + r.waiting for r in status.read(spark, out).collect()}
+    assert got == {None: 3} | {k: 3 for k in range(1, 30)}
+
+
 def test_settings_are_as_before(spark):
     from docloom.streaming.index import PROVIDER, on_disk
 
