@@ -187,6 +187,58 @@ def sparse_search(queries: DataFrame, chunks: DataFrame | index.Index, k: int, d
     return by_block(queries.select("query_id", "words", *conditions), block, lambda rows: sparse_block(rows, ready, k, digits, conditions, shape), shape)
 
 
+def scan_block(rows: list[Row], chunks: DataFrame, k: int, digits: int, shape: T.StructType) -> DataFrame:
+    """The k best chunks of each query of a block from the chunks' words as they come. A tile has TILE_BYTES of scores, and of products of weights, or one chunk's."""
+    names = sorted({w for r in rows for w in r["words"] or () if w is not None})
+    place, asked = {w: i for i, w in enumerate(names)}, []
+    for q, r in enumerate(rows):
+        terms, counts = np.unique(np.array([place[w] for w in r["words"] or () if w is not None], np.int64), return_counts=True)
+        asked.append((terms, np.full(len(terms), q), 1 + np.log(counts)))
+    term, query, weight = map(np.concatenate, zip(*asked))
+    order = np.argsort(term, kind="stable")
+    held = np.bincount(term, minlength=len(names))
+    block = chunks.sparkSession.sparkContext.broadcast((pa.array(names, pa.string()), held, np.cumsum(held) - held, query[order], weight[order], [r["query_id"] for r in rows]))
+    kind = ARROW[shape["query_id"].dataType.typeName()]
+
+    def run(batches):
+        known, held, first, query, weight, asked = block.value
+        best, id_type = Best(len(asked), k), pa.null()
+        for batch in batches:
+            chunk_ids, words = batch.column("chunk_id"), batch.column("words")
+            ids, id_type = np.array(chunk_ids.to_pylist()), chunk_ids.type
+            sizes = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False)
+            # a null word has no place
+            code = pc.index_in(words.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            cell, count = np.unique((np.repeat(np.arange(len(sizes)), sizes) * len(known) + code)[code >= 0], return_counts=True)
+            if not len(cell):
+                continue
+            of, code = np.divmod(cell, len(known))
+            own = 1 + np.log(count)
+            work = np.cumsum(np.maximum(np.bincount(of, held[code], minlength=len(ids)), len(asked)))
+            low = 0
+            while low < len(ids):
+                done = work[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(work, done + TILE_BYTES // 8, "right")))
+                a, b = np.searchsorted(of, (low, high))
+                n = held[code[a:b]]
+                spots = index.ragged(first[code[a:b]], n)
+                cells = np.repeat((of[a:b] - low) * len(asked), n) + query[spots]
+                sums = np.bincount(cells, weight[spots] * np.repeat(own[a:b], n), minlength=(high - low) * len(asked)).reshape(-1, len(asked))
+                best.add(0, np.where(sums > 0, rounded(sums, digits), -np.inf).T, ids[low:high])
+                low = high
+        for q, own in enumerate(asked):
+            if best.ids[q] is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(best.scores[q]), kind), pa.array(best.ids[q].tolist(), id_type), pa.array(best.scores[q])], names=["query_id", "chunk_id", "score"])
+
+    return best(chunks.select("chunk_id", "words").mapInArrow(run, T.StructType(shape.fields[:3])), k)
+
+
+def sparse_scan(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 4, block: int = BLOCK_QUERIES) -> DataFrame:
+    """As sparse_search, for lists that are made once: chunks (chunk_id, words) are read as they come, once a block of queries, and no index is built of them; k rows a query and task are shuffled."""
+    shape = shape_of(queries, chunks)
+    return by_block(queries.select("query_id", "words"), block, lambda rows: scan_block(rows, chunks, k, digits, shape), shape)
+
+
 def scaled(leg: DataFrame, how: str) -> DataFrame:
     if how == "none":
         return leg

@@ -41,12 +41,12 @@ def layer_sql(name: str, ranked: str) -> str:
 
 
 def base(s, d):
-    return x.table(s, d, "benchmark").select(F.col("item_id").alias("question_id")), x.ranked(s, d, False), x.ranked(s, d, True), x.relevant(s, d)
+    return x.table(s, d, "benchmark").select(F.col("item_id").alias("question_id")), x.ranked(s, d, False), x.relevant(s, d)
 
 
 @query(f"WITH {BASE}, {layer_sql('l1', 'coarse')} SELECT * FROM l1")
 def ev_layer1(s, d):
-    q, coarse, _, rel = base(s, d)
+    q, coarse, rel = base(s, d)
     return ev.layer1(q, coarse, rel)
 
 
@@ -56,8 +56,8 @@ L3 = f"""{BASE}, {layer_sql('l1', 'coarse')}, {layer_sql('l2', 'fine')}, l3 AS (
 
 @query(f"WITH {L3} SELECT * FROM l3")
 def ev_layer3(s, d):
-    q, coarse, fine, rel = base(s, d)
-    return ev.layer3(ev.layer1(q, coarse, rel), ev.layer1(q, fine, rel))
+    q, coarse, rel = base(s, d)
+    return ev.layer3(ev.layer1(q, coarse, rel), ev.layer1(q, x.ranked(s, d, True), rel))
 
 
 @query(f"WITH {L3} SELECT count(*) AS questions, round(avg(top1_improvement), 6) AS avg_top1_improvement, round(avg(mrr_delta), 6) AS avg_mrr_delta, round(avg(ndcg_delta), 6) AS avg_ndcg_delta, CAST(sum(degradation) AS BIGINT) AS total_degradation FROM l3")
