@@ -24,6 +24,8 @@ from docloom.sources import shared
 
 #: Queries of a block, at most (the driver holds one block at a time); bytes of a tile of scores.
 BLOCK_QUERIES, TILE_BYTES = 4_096, 8 << 20
+#: All cosines: vectors and queries of a cell as expected, pairs that a task may have, pairs of a batch that leaves Python, and tasks that share a group.
+CELL_VECTORS, CELL_QUERIES, TASK_PAIRS, BATCH_PAIRS, SPREAD = 2_048, 1_024, 1 << 25, 1 << 17, 256
 WORD = "[a-z0-9]+"
 ARROW = index.ARROW
 
@@ -163,6 +165,55 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 4,
     return by_block(queries.select("query_id", "dense", *conditions), block, lambda rows: dense_block(rows, chunks, k, digits, conditions, shape), shape)
 
 
+def matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors as rows, shorter ones with zeros behind them; their lengths and numbers of values (-1 where a value or the vector is null)."""
+    sizes = pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False)
+    flat = vectors.flatten()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    x = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    x[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+    known = pc.is_valid(vectors).to_numpy(zero_copy_only=False)
+    known[row[flat.is_null().to_numpy(zero_copy_only=False)]] = False
+    return x, np.sqrt((x * x).sum(axis=1)), np.where(known, sizes, -1)
+
+
+def all_cosines(queries: DataFrame, chunks: DataFrame, by: str, digits: int = 4) -> DataFrame:
+    """query_id, chunk_id and cosine of every query with every chunk of the same group: queries has query_id, dense and by, chunks has chunk_id, dense and by.
+
+    0 where a length is 0 or a value is null, null for vectors of different sizes. The pairs are the result, so rows grow with
+    the square; they are made from cells of a group as products of matrices, so neither a row of a pair with its vectors nor
+    a whole group is ever in one place. A group is dealt over up to SPREAD tasks, each of which gets its queries.
+    """
+    asked, held = queries.count(), chunks.count()
+    tasks = max(chunks.sparkSession.sparkContext.defaultParallelism, -(-asked * held // TASK_PAIRS))
+    spread = min(SPREAD, tasks)
+    cells = spread * max(1, -(-held // (CELL_VECTORS * spread)))
+    cell = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+    v = chunks.select(by, cell("chunk_id", cells).alias("cell"), F.struct(F.col("chunk_id").alias("id"), "dense").alias("v")).withColumn("deal", F.col("cell") % spread)
+    v = v.where(F.col(by).isNotNull()).repartition(tasks, by, "deal").groupBy(by, "deal", "cell").agg(F.collect_list("v").alias("chunks"))
+    q = queries.select(by, cell("query_id", max(1, -(-asked // CELL_QUERIES))).alias("part"), F.struct(F.col("query_id").alias("id"), "dense").alias("q"))
+    q = q.groupBy(by, "part").agg(F.collect_list("q").alias("queries")).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+
+    def run(batches):
+        for batch in batches:
+            for left, right in zip(batch.column("queries"), batch.column("chunks")):
+                a, b = left.values, right.values
+                (x, x_length, x_size), (y, y_length, y_size) = matrix(a.field("dense")), matrix(b.field("dense"))
+                width = min(x.shape[1], y.shape[1])
+                step = max(1, BATCH_PAIRS // len(b))
+                for i in range(0, len(a), step):
+                    part = slice(i, i + step)
+                    length = np.outer(x_length[part], y_length)
+                    some = ~(length <= 0) & (x_size[part, None] >= 0) & (y_size >= 0)
+                    with np.errstate(invalid="ignore"):
+                        score = np.where(some, rounded(x[part, :width] @ y[:, :width].T / np.where(some, length, 1), digits) + 0.0, 0.0)
+                    odd = some & (x_size[part, None] != y_size)
+                    n = len(score)
+                    yield pa.RecordBatch.from_arrays([a.field("id").take(pa.array(np.repeat(np.arange(i, i + n), len(b)))), b.field("id").take(pa.array(np.tile(np.arange(len(b)), n))), pa.array(score.ravel(), mask=odd.ravel() if odd.any() else None)], names=["query_id", "chunk_id", "score"])
+
+    return v.join(q, [by, "deal"]).select("queries", "chunks").mapInArrow(run, T.StructType(shape_of(queries, chunks).fields[:3]))
+
+
 def words(text: str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
 
